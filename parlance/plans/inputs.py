@@ -15,3 +15,31 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations")
+
+
+def sft_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SFT contract rows ``(conv_id, turn, instruction, output)`` via PRJ-1."""
+    from parlance.operators.templates import conversation_pairs
+    return conversation_pairs(conversations(spark, sf_dir))
+
+
+def indexed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inference records: SFT pairs with a dense 0-based ``idx`` in seeded md5 order (ORD-1),
+    ``input`` = instruction, ``output`` = gold reply, ``original_events`` = source key JSON."""
+    from parlance.operators.ordering import seeded_shuffle
+    ranked = seeded_shuffle(sft_records(spark, sf_dir), ["conv_id", "turn"], 42, "rank")
+    return ranked.select(
+        (F.col("rank") - 1).alias("idx"), "conv_id", "turn", F.col("instruction").alias("input"),
+        F.to_json(F.struct("conv_id", "turn")).alias("original_events"), "output")
+
+
+def group_agents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group-chat agents (``pos, name, description, is_human``) shaped from ``customer``."""
+    c = table(spark, sf_dir, "customer")
+    return c.select(F.col("c_custkey").alias("pos"), F.col("c_name").alias("name"),
+                    F.col("c_mktsegment").alias("description"),
+                    (F.col("c_acctbal") < 0).alias("is_human"))
