@@ -1 +1,212 @@
-"""Registered queries."""
+"""Registered queries: batch generation with the deterministic local generator (INF-*, JN-1/2,
+SET-1, PRJ-10, FLT-2, FLT-4, AGG-1..3)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from parlance.functions.text import WS_CLASS
+from parlance.operators import filters, generate as G, joins, templates as T, batching
+from parlance.plans import inputs
+from parlance.plans.q_prep import IDX_SQL
+from parlance.plans.q_sft import PAIRS_SQL
+from parlance.plans.registry import query
+from parlance.plans.sqltext import strip
+
+STUB = G.EchoGenerator()
+NO_WAIT = (0.0, 0.0)
+SETTINGS = {"temperature": 0.4, "do_sample": True, "max_new_tokens": 1024, "top_k": 40, "top_p": 0.85,
+            "repetition_penalty": 1.05}
+
+
+def _wc(x: str) -> str:
+    s = strip(x)
+    return f"(CASE WHEN {s} = '' THEN 0 ELSE len(string_split_regex({s}, '{WS_CLASS}+')) END)"
+
+
+def _h(a: int) -> str:
+    return f"CAST(('0x' || substr(md5(CAST(id AS VARCHAR) || ':{a}'), 1, 8)) AS UBIGINT) % 100"
+
+
+_SYS = T.DEFAULT_SYSTEM_INFERENCE
+GEN_CTES = f"""{IDX_SQL},
+req AS (SELECT idx AS id, conv_id, turn, input, output, original_events FROM (
+  SELECT *, CAST(to_json({{'conv_id': conv_id, 'turn': turn}}) AS VARCHAR) AS original_events, instruction AS input FROM idxd)),
+hh AS (SELECT *, {_h(1)} AS h1, {_h(2)} AS h2, {_h(3)} AS h3 FROM req),
+st AS (SELECT *,
+  CASE WHEN h1 < 10 THEN 'filtered' WHEN h1 >= 40 THEN 'ok' WHEN h2 < 10 THEN 'filtered' WHEN h2 >= 40 THEN 'ok'
+       WHEN h3 < 10 THEN 'filtered' WHEN h3 >= 40 THEN 'ok' ELSE 'exhausted' END AS status,
+  CAST(CASE WHEN h1 < 10 OR h1 >= 40 THEN 1 WHEN h2 < 10 OR h2 >= 40 THEN 2 ELSE 3 END AS INTEGER) AS attempts FROM hh),
+gen AS (SELECT id, conv_id, turn, input, output, original_events, status, attempts,
+  CASE status WHEN 'filtered' THEN 'Error: InvalidRequestError: content is unsafe, so it was filtered, exception type: RuntimeError'
+              WHEN 'exhausted' THEN 'Error: RateLimitError: too many requests, exception type: RuntimeError' END AS error,
+  CASE WHEN status = 'ok' THEN 'Echo: ' || substr(input, 1, 40) END AS content,
+  CASE WHEN status = 'ok' THEN 'stub-echo' END AS model,
+  CASE WHEN status = 'ok' THEN 'stop' END AS finish_reason,
+  CASE WHEN status = 'ok' THEN CAST({_wc(repr(_SYS))} + {_wc('input')} AS BIGINT) END AS prompt_tokens,
+  CASE WHEN status = 'ok' THEN CAST({_wc("'Echo: ' || substr(input, 1, 40)")} AS BIGINT) END AS completion_tokens
+  FROM st),
+flat AS (SELECT *, prompt_tokens + completion_tokens AS total_tokens,
+  CASE WHEN status = 'ok' THEN CAST(0.001 AS DOUBLE) * (prompt_tokens + completion_tokens) ELSE CAST(0 AS DOUBLE) END AS elapsed_s FROM gen)"""
+
+
+def requests(spark, sf):
+    r = inputs.indexed_records(spark, sf)
+    return r.select(F.col("idx").alias("id"), "conv_id", "turn", "input", "output", "original_events",
+                    T.system_user_messages("input", _SYS).alias("messages"))
+
+
+def flat_results(spark, sf):
+    res = G.generate_batch(requests(spark, sf), STUB, backoff=NO_WAIT, partitions=8)
+    return G.flatten_response(res)
+
+
+@query("generate_batch", f"WITH {GEN_CTES} SELECT id, status, attempts, content, total_tokens FROM flat")
+def q_generate_batch(spark, sf):
+    """INF-1: one generator call per request row, in parallel over 8 partitions."""
+    return flat_results(spark, sf).select("id", "status", "attempts", "content", "total_tokens")
+
+
+@query("retry_policy", f"WITH {GEN_CTES} SELECT id, status, attempts, error FROM flat")
+def q_retry_policy(spark, sf):
+    """INF-2: up to 3 attempts, content-filter errors terminal, every row keeps a status."""
+    return flat_results(spark, sf).select("id", "status", "attempts", "error")
+
+
+@query("flatten_response", f"WITH {GEN_CTES} SELECT id, 'stub-echo-' || id || '-' || attempts AS response_id, model, "
+       "content, finish_reason, prompt_tokens, completion_tokens, total_tokens FROM flat WHERE status = 'ok'")
+def q_flatten_response(spark, sf):
+    """INF-3: response JSON -> flat fields and usage (answered rows)."""
+    f = flat_results(spark, sf).filter(F.col("status") == "ok")
+    return f.select("id", "response_id", "model", "content", "finish_reason", "prompt_tokens",
+                    "completion_tokens", "total_tokens")
+
+
+@query("failed_batch_skip", f"""WITH {GEN_CTES}
+SELECT CAST(id // 8 AS BIGINT) AS batch_id, CAST(count(*) AS BIGINT) AS rows,
+  CAST(sum(CASE WHEN status = 'ok' THEN 1 ELSE 0 END) AS BIGINT) AS ok,
+  CAST(sum(CASE WHEN status != 'ok' THEN 1 ELSE 0 END) AS BIGINT) AS failed,
+  sum(CASE WHEN status = 'ok' THEN 1 ELSE 0 END) = 0 AS lost FROM flat GROUP BY id // 8""")
+def q_failed_batch_skip(spark, sf):
+    """INF-4: per-batch (8 rows by idx) report of answered/failed rows and lost batches."""
+    f = batching.assign_batches(flat_results(spark, sf), "id", 8, one_based=False)
+    return G.batch_report(f)
+
+
+@query("content_filter_class", f"WITH {GEN_CTES} SELECT id, status, coalesce(regexp_matches(error, 'InvalidRequestError|filtered'), false) AS filtered FROM flat")
+def q_content_filter_class(spark, sf):
+    """FLT-4: error text marking a content-filter refusal."""
+    f = flat_results(spark, sf)
+    return f.select("id", "status", filters.is_content_filtered("error").alias("filtered"))
+
+
+@query("attach_outputs", f"WITH {GEN_CTES} SELECT id AS idx, input, output, content AS model_output FROM flat")
+def q_attach_outputs(spark, sf):
+    """JN-1: generated text onto its source row by ``idx``."""
+    src = requests(spark, sf).select(F.col("id").alias("idx"), "input", "output")
+    res = flat_results(spark, sf).select(F.col("id").alias("idx"), F.col("content").alias("model_output"))
+    return joins.attach_outputs(src, res, "idx")
+
+
+@query("resume_pending", f"WITH {GEN_CTES} SELECT id AS idx, conv_id, turn FROM flat WHERE status != 'ok'")
+def q_resume_pending(spark, sf):
+    """JN-2: inputs whose idx has no answered output yet (what a resumed run must call)."""
+    src = requests(spark, sf).select(F.col("id").alias("idx"), "conv_id", "turn")
+    done = flat_results(spark, sf).filter(F.col("status") == "ok").select(F.col("id").alias("idx"))
+    return joins.resume_pending(src, done, "idx")
+
+
+@query("merge_shards", f"WITH {GEN_CTES} SELECT id AS idx, CAST(id % 4 AS INTEGER) AS shard, status FROM flat")
+def q_merge_shards(spark, sf):
+    """SET-1: outputs of the four strided shards (BAT-6) plus the previous run's outputs
+    (stand-in: the dropped tail, run earlier) in one UNION ALL."""
+    f = flat_results(spark, sf).select(F.col("id").alias("idx"), "status")
+    shards = batching.strided_shard(f, "idx", 4)
+    tail = f.join(shards.select("idx"), "idx", "left_anti").withColumn("shard", F.pmod("idx", F.lit(4)).cast("int"))
+    return joins.merge_shards(shards, tail).select("idx", "shard", "status")
+
+
+@query("result_projection", f"""WITH {GEN_CTES}
+SELECT id AS idx, 'stub-echo' AS generator, input, original_events, output,
+  {strip("coalesce(content, '')")} AS model_output FROM flat""")
+def q_result_projection(spark, sf):
+    """PRJ-10: the inference output row (model output stripped)."""
+    f = flat_results(spark, sf).withColumn("mo", F.coalesce("content", F.lit("")))
+    src = requests(spark, sf).select("id", "input", "original_events", "output")
+    return T.result_projection(f.join(src, "id"), "stub-echo", "id", "input", "original_events", "output", "mo")
+
+
+_SETTINGS_SQL = ", ".join(f"{repr(v).lower() if isinstance(v, bool) else v} AS {k}" for k, v in SETTINGS.items())
+
+
+@query("run_summary", f"""WITH {GEN_CTES}
+SELECT round(sum(elapsed_s), 6) AS total_time, CAST(count(*) AS BIGINT) AS example_numbers,
+  round(sum(elapsed_s) / count(*), 9) AS average_time, CAST(0.4 AS DOUBLE) AS temperature, true AS do_sample,
+  CAST(1024 AS INTEGER) AS max_new_tokens, CAST(40 AS INTEGER) AS top_k, CAST(0.85 AS DOUBLE) AS top_p, CAST(1.05 AS DOUBLE) AS repetition_penalty FROM flat""")
+def q_run_summary(spark, sf):
+    """AGG-1: total/average generation time, example count, the settings actually used."""
+    s = G.run_summary(flat_results(spark, sf), SETTINGS)
+    return s.select(F.round("total_time", 6).alias("total_time"), "example_numbers",
+                    F.round("average_time", 9).alias("average_time"), *SETTINGS.keys())
+
+
+@query("status_counts", f"WITH {GEN_CTES} SELECT status, CAST(count(*) AS BIGINT) AS n FROM flat GROUP BY status")
+def q_status_counts(spark, sf):
+    """AGG-2: requests per final status."""
+    return G.status_counts(flat_results(spark, sf))
+
+
+@query("usage_totals", f"""WITH {GEN_CTES} SELECT model, finish_reason, CAST(count(*) AS BIGINT) AS responses,
+  CAST(sum(prompt_tokens) AS BIGINT) AS prompt_tokens, CAST(sum(completion_tokens) AS BIGINT) AS completion_tokens,
+  CAST(sum(total_tokens) AS BIGINT) AS total_tokens FROM flat WHERE status = 'ok' GROUP BY model, finish_reason""")
+def q_usage_totals(spark, sf):
+    """AGG-3: token usage totals per model and finish reason."""
+    return G.usage_totals(flat_results(spark, sf))
+
+
+@query("empty_user_guard", f"""WITH last AS (SELECT conv_id, arg_max(role, turn) AS role, arg_max(text, turn) AS text,
+  CAST(count(*) AS BIGINT) AS n_messages FROM conversations GROUP BY conv_id)
+SELECT conv_id, n_messages, role AS last_role,
+  CASE WHEN role = 'user' AND length(text) < 150 THEN 'skipped' ELSE 'call' END AS action FROM last""")
+def q_empty_user_guard(spark, sf):
+    """FLT-2: a conversation whose last message is a user message with null content is not
+    sent. Stand-in: user contents under 150 characters arrive as null."""
+    c = inputs.conversations(spark, sf)
+    c = c.withColumn("content", F.when((F.col("role") == "user") & (F.length("text") < 150), F.lit(None))
+                     .otherwise(F.col("text")))
+    last = c.groupBy("conv_id").agg(F.max_by(F.struct("role", "content"), "turn").alias("m"),
+                                    F.count(F.lit(1)).alias("n_messages"))
+    skip = filters.empty_user_guard(F.col("m.role"), F.col("m.content"))
+    return last.select("conv_id", "n_messages", F.col("m.role").alias("last_role"),
+                       F.when(skip, "skipped").otherwise("call").alias("action"))
+
+
+_WRAPPED = "'user' || chr(10) || instruction || chr(10) || 'assistant' || chr(10) || output"
+
+
+@query("last_segment", f"""WITH {IDX_SQL} SELECT idx, {strip(f"string_split({_WRAPPED}, 'assistant')[-1]")} AS answer FROM idxd""")
+def q_last_segment(spark, sf):
+    """INF-5: decoded prompt+answer text -> text after the last 'assistant', stripped."""
+    r = inputs.indexed_records(spark, sf)
+    dec = F.concat(F.lit("user\n"), "input", F.lit("\nassistant\n"), "output")
+    return r.select("idx", G.last_segment(dec).alias("answer"))
+
+
+_THINK = ("CASE turn % 3 WHEN 0 THEN chr(10) || '<think>' || chr(10) || instruction || chr(10) || '</think>' || chr(10) || chr(10) || output "
+          "WHEN 1 THEN output ELSE '<think>a</think>b</think>' || chr(10) || output || chr(10) END")
+
+
+@query("split_reasoning", f"""WITH {PAIRS_SQL}, t AS (SELECT conv_id, turn, {_THINK} AS c FROM pairs),
+s AS (SELECT conv_id, turn, c, CASE WHEN position('</think>' IN c) > 0 THEN
+  substr(c, 1, length(c) - length(string_split(c, '</think>')[-1]) - 8) ELSE '' END AS r,
+  CASE WHEN position('</think>' IN c) > 0 THEN string_split(c, '</think>')[-1] ELSE c END AS a FROM t)
+SELECT conv_id, turn, regexp_replace(r, '^\\n+|\\n+$', '', 'g') AS reasoning, regexp_replace(a, '^\\n+|\\n+$', '', 'g') AS content FROM s""")
+def q_split_reasoning(spark, sf):
+    """INF-6: reasoning before the last ``</think>``, content after; newline-stripped."""
+    r = inputs.sft_records(spark, sf)
+    m = F.pmod("turn", F.lit(3))
+    c = (F.when(m == 0, F.concat(F.lit("\n<think>\n"), "instruction", F.lit("\n</think>\n\n"), "output"))
+         .when(m == 1, F.col("output"))
+         .otherwise(F.concat(F.lit("<think>a</think>b</think>\n"), "output", F.lit("\n"))))
+    reasoning, content = G.split_reasoning(c)
+    return r.select("conv_id", "turn", reasoning.alias("reasoning"), content.alias("content"))
