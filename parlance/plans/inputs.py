@@ -43,3 +43,36 @@ def group_agents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(F.col("c_custkey").alias("pos"), F.col("c_name").alias("name"),
                     F.col("c_mktsegment").alias("description"),
                     (F.col("c_acctbal") < 0).alias("is_human"))
+
+
+
+# Tool names the event types stand for ("search_web" is deliberately not registered).
+EVENT_TOOL = {"view": "get_current_temperature", "click": "get_current_wind_speed", "purchase": "add",
+              "signup": "my_image_gen", "error": "search_web"}
+
+
+def tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tool calls ``(message_id, pos, call_id, type, name, arguments, user_id)`` shaped from
+    ``events``: four consecutive events form one assistant message; the event type names the
+    tool; ``props.k``, ``value`` and ``user_id`` fill the JSON arguments; when ``k % 10 = 7``
+    the arguments text loses its closing brace (malformed JSON)."""
+    e = table(spark, sf_dir, "events")
+    k = F.get_json_object("props", "$.k")
+    kn = k.cast("long")
+    t = F.col("event_type")
+    loc = F.concat(F.lit('{"location": "City '), F.col("user_id").cast("string"), F.lit('"'))
+    unit = F.when(F.pmod(kn, F.lit(2)) == 0, F.lit("celsius")).otherwise(F.lit("fahrenheit"))
+    args = (F.when(t == "purchase", F.concat(F.lit('{"a": '), k, F.lit(', "b": '),
+                                             F.floor("value").cast("string"), F.lit("}")))
+            .when(t == "view", F.when(F.pmod(kn, F.lit(3)) == 0, F.concat(loc, F.lit("}")))
+                  .otherwise(F.concat(loc, F.lit(', "unit": "'), unit, F.lit('"}'))))
+            .when(t == "click", F.concat(loc, F.lit("}")))
+            .when(t == "signup", F.concat(F.lit('{"prompt": "a '), t, F.lit(" scene #"), k,
+                                          F.lit(' ~ sky/sea * 100% \u00fc"}')))
+            .otherwise(F.concat(F.lit('{"query": "event '), F.col("event_id").cast("string"), F.lit('"}'))))
+    args = F.when(F.pmod(kn, F.lit(10)) == 7, F.substring(args, 1, F.length(args) - 1)).otherwise(args)
+    name = F.coalesce(*[F.when(t == et, F.lit(tn)) for et, tn in EVENT_TOOL.items()])
+    return e.select(F.floor(F.col("event_id") / 4).cast("long").alias("message_id"),
+                    F.pmod("event_id", F.lit(4)).cast("int").alias("pos"),
+                    F.concat(F.lit("call_"), F.col("event_id").cast("string")).alias("call_id"),
+                    F.lit("function").alias("type"), name.alias("name"), args.alias("arguments"), "user_id")
