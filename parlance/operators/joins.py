@@ -49,19 +49,3 @@ def attach_documents(requests: DataFrame, documents: DataFrame, key: str,
         "documents", F.coalesce(docs, F.array().cast("array<struct<title:string,text:string>>")))
     return out.withColumn("n_documents", F.size("documents").cast("long")).drop("_d")
 
-
-def first_prefix_match(pieces: DataFrame, piece_key: list[str], piece: str, agents: DataFrame,
-                       name: str = "name", pos: str = "pos") -> DataFrame:
-    """JN-6: for each piece, the first agent (lowest ``pos``) whose name the piece starts with.
-
-    Theta join ``startswith`` rewritten as an exact equi-join: every piece is cut to each
-    distinct agent-name length (a set bounded by the longest name), and the cuts are joined
-    to the names. No nested loop, no broadcast of the agent table. Returns
-    ``piece_key + [name, pos]`` for matched pieces only.
-    """
-    a = agents.groupBy(name).agg(F.min(pos).alias(pos))
-    lengths = a.agg(F.array_sort(F.collect_set(F.length(name)))).scalar()
-    cuts = pieces.select(*piece_key, F.explode(F.transform(
-        lengths, lambda n: F.when(F.length(piece) >= n, F.substring(piece, 1, n)))).alias("_cut"))
-    hits = cuts.filter(F.col("_cut").isNotNull()).join(a.withColumnRenamed(name, "_cut"), "_cut")
-    return hits.groupBy(*piece_key).agg(F.min_by("_cut", pos).alias(name), F.min(pos).alias(pos))

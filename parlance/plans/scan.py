@@ -1,0 +1,39 @@
+"""Running (prefix) aggregates per key that stay parallel when one key is huge.
+
+``sum(x) OVER (PARTITION BY key ORDER BY seq ROWS UNBOUNDED PRECEDING)`` puts every row of a
+key into one task; a key holding a third of the data would serialize the job. Here the order
+column is cut into chunks (``floor(seq / chunk)``):
+
+1. a partial aggregate per ``(key, chunk)`` (map-side combine, one row per chunk);
+2. the exclusive running total over chunks (a window over the small chunk table);
+3. the chunk offsets joined back, plus a running aggregate *within* ``(key, chunk)``.
+
+The result equals the plain window; no task ever sees more than one chunk of one key.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+DEFAULT_CHUNK = 1 << 16
+
+
+def running(df: DataFrame, keys: list[str], seq: str, value: str, out: str, how: str = "sum",
+            chunk: int = DEFAULT_CHUNK) -> DataFrame:
+    """Add ``out`` = running ``how`` (``sum`` or ``max``) of ``value`` over rows of the same
+    ``keys`` with ``seq`` <= this row's (ties: by the window's row order, so ``seq`` should be
+    unique per key)."""
+    agg = {"sum": F.sum, "max": F.max}[how]
+    b = df.withColumn("_sc_chunk", F.floor(F.col(seq) / chunk))
+    per_chunk = b.groupBy(*keys, "_sc_chunk").agg(agg(value).alias("_sc_v"))
+    w_chunks = Window.partitionBy(*keys).orderBy("_sc_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_chunk.select(*keys, "_sc_chunk", agg("_sc_v").over(w_chunks).alias("_sc_off"))
+    joined = b.join(offsets, [*keys, "_sc_chunk"], "inner")
+    w_in = Window.partitionBy(*keys, "_sc_chunk").orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
+    inside = agg(value).over(w_in)
+    if how == "sum":
+        res = F.coalesce(F.col("_sc_off"), F.lit(0)) + inside
+    else:
+        res = F.greatest(F.col("_sc_off"), inside)  # greatest skips nulls
+    return joined.withColumn(out, res).drop("_sc_chunk", "_sc_off")
