@@ -1 +1,107 @@
-"""Registered queries."""
+"""Registered queries: response deltas (STR-1 batch), the streaming render (STR-2), the
+streaming config upsert (STR-3) and the batched pandas map (UDF-2)."""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import functions as F
+
+from parlance.functions.text import WS_CLASS
+from parlance.operators import templates as T
+from parlance.operators.udf import batched_map
+from parlance.plans import inputs, q_chat
+from parlance.plans.q_sft import PAIRS_SQL, SOURCE_SQL, TARGET_SQL
+from parlance.plans.registry import ORACLE, query
+from parlance.plans.sqltext import strip
+from parlance.sources import io
+from parlance.streaming import jobs
+from parlance.streaming.deltas import assemble_deltas
+
+
+def response_deltas(spark, sf):
+    """Deltas ``(response_id, seq, delta, finish_reason, ts)``: each reply cut into 8-character
+    pieces at even ``seq``, a null delta first; ``stop`` on the last piece except when
+    ``conv_id % 6 = 0`` (incomplete); when ``conv_id % 4 = 1`` one more delta follows the end."""
+    c = inputs.conversations(spark, sf).filter(F.col("role") == "assistant")
+    rid = F.concat(F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string"))
+    n = F.ceil(F.length("text") / 8)
+    base_ts = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    ts = lambda sec: base_ts + F.make_dt_interval(F.lit(0), F.col("conv_id"), F.col("turn"), sec)
+    pieces = c.select("conv_id", "turn", "text", rid.alias("response_id"), n.alias("n"),
+                      F.explode(F.sequence(F.lit(0), n - 1)).alias("i"))
+    finished = F.pmod("conv_id", F.lit(6)) != 0
+    real = pieces.select("response_id", (F.col("i") * 2 + 2).alias("seq"),
+                         F.substring("text", F.col("i") * 8 + 1, 8).alias("delta"),
+                         F.when(finished & (F.col("i") == F.col("n") - 1), F.lit("stop")).alias("finish_reason"),
+                         ts(F.col("i") + 1).alias("ts"))
+    heads = c.select(rid.alias("response_id"), F.lit(1).cast("long").alias("seq"), F.lit(None).cast("string").alias("delta"),
+                     F.lit(None).cast("string").alias("finish_reason"), ts(F.lit(0)).alias("ts"))
+    tails = (c.filter((F.pmod("conv_id", F.lit(6)) != 0) & (F.pmod("conv_id", F.lit(4)) == 1))
+             .select(rid.alias("response_id"), (F.ceil(F.length("text") / 8) * 2 + 2).alias("seq"),
+                     F.lit(" IGNORED").alias("delta"), F.lit(None).cast("string").alias("finish_reason"),
+                     ts(F.ceil(F.length("text") / 8) + 1).alias("ts")))
+    return real.unionByName(heads).unionByName(tails)
+
+
+_DELTA_SQL = f"""asst AS (SELECT conv_id, turn, text, conv_id || '-' || turn AS response_id, CAST(ceil(length(text) / 8) AS BIGINT) AS n
+  FROM conversations WHERE role = 'assistant'),
+pc AS (SELECT *, unnest(range(0, n)) AS i FROM asst),
+d AS (SELECT response_id, i * 2 + 2 AS seq, substr(text, CAST(i * 8 + 1 AS BIGINT), 8) AS delta,
+    CASE WHEN conv_id % 6 != 0 AND i = n - 1 THEN 'stop' END AS finish_reason FROM pc
+  UNION ALL SELECT response_id, 1, NULL, NULL FROM asst
+  UNION ALL SELECT response_id, n * 2 + 2, ' IGNORED', NULL FROM asst WHERE conv_id % 6 != 0 AND conv_id % 4 = 1),
+e AS (SELECT response_id, min(seq) FILTER (WHERE finish_reason IS NOT NULL) AS end_seq FROM d GROUP BY 1)"""
+
+
+@query("assemble_deltas", f"""WITH {_DELTA_SQL}
+SELECT response_id, coalesce(string_agg(delta, '' ORDER BY seq) FILTER (WHERE end_seq IS NULL OR seq <= end_seq), '') AS text,
+  CAST(count(*) FILTER (WHERE end_seq IS NULL OR seq <= end_seq) AS INTEGER) AS n_deltas,
+  min(finish_reason) AS finish_reason, CASE WHEN max(end_seq) IS NULL THEN 'incomplete' ELSE 'complete' END AS status
+FROM d JOIN e USING (response_id) GROUP BY response_id""")
+def q_assemble_deltas(spark, sf):
+    """STR-1 (batch): ordered deltas -> text; null deltas add nothing, deltas after the end
+    marker are ignored, no end marker = incomplete."""
+    return assemble_deltas(response_deltas(spark, sf))
+
+
+@query("stream_render", f"WITH {PAIRS_SQL} SELECT conv_id, turn, {SOURCE_SQL} AS source, {TARGET_SQL} AS target FROM pairs")
+def q_stream_render(spark, sf):
+    """STR-2: SFT pairs arrive as four Parquet files; a file-stream query renders prompt and
+    target per record (stateless) into a checkpointed Parquet sink, read back here."""
+    base = io.scratch_path(spark, "stream-render")
+    inputs.sft_records(spark, sf).repartition(4).write.mode("overwrite").parquet(f"{base}/in")
+
+    def render(df):
+        return df.select("conv_id", "turn", T.render_source("instruction").alias("source"),
+                         T.render_target("output").alias("target"))
+    return jobs.stream_render(spark, f"{base}/in", "conv_id bigint, turn bigint, instruction string, output string",
+                              f"{base}/out", f"{base}/ckpt", render)
+
+
+@query("stream_config_upsert", ORACLE["config_upsert"])
+def q_stream_config_upsert(spark, sf):
+    """STR-3: config events arrive as four Parquet files; ``foreachBatch`` folds each
+    micro-batch into a versioned state table; the result equals the batch upsert (CH-3)."""
+    base = io.scratch_path(spark, "stream-config")
+    q_chat.config_events(spark, sf).repartition(4).write.mode("overwrite").parquet(f"{base}/in")
+    ddl = "user_id bigint, seq bigint, kind string, agent string, description string, instructions string"
+    return jobs.stream_config_upsert(spark, f"{base}/in", ddl, f"{base}/state", f"{base}/ckpt",
+                                     "user_id", "seq", "kind", "agent", ["description", "instructions"])
+
+
+def _text_stats(pdf: pd.DataFrame) -> pd.DataFrame:
+    words = pdf["text"].str.split()
+    return pd.DataFrame({"conv_id": pdf["conv_id"], "turn": pdf["turn"],
+                         "n_chars": pdf["text"].str.len().astype("int64"),
+                         "n_words": words.str.len().astype("int64"),
+                         "first_word": words.str[0]})
+
+
+@query("batched_map", f"""SELECT conv_id, turn, CAST(length(text) AS BIGINT) AS n_chars,
+  CAST(len(CASE WHEN {strip('text')} = '' THEN [] ELSE string_split_regex({strip('text')}, '{WS_CLASS}+') END) AS BIGINT) AS n_words,
+  CASE WHEN {strip('text')} = '' THEN NULL ELSE string_split_regex({strip('text')}, '{WS_CLASS}+')[1] END AS first_word FROM conversations""")
+def q_batched_map(spark, sf):
+    """UDF-2: a pandas function over batches of 1000 rows replaces the text columns with
+    character and word counts and the first word."""
+    c = inputs.conversations(spark, sf).select("conv_id", "turn", "text")
+    return batched_map(c, _text_stats, "conv_id bigint, turn bigint, n_chars bigint, n_words bigint, first_word string")
