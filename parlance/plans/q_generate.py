@@ -210,3 +210,31 @@ def q_split_reasoning(spark, sf):
          .otherwise(F.concat(F.lit("<think>a</think>b</think>\n"), "output", F.lit("\n"))))
     reasoning, content = G.split_reasoning(c)
     return r.select("conv_id", "turn", reasoning.alias("reasoning"), content.alias("content"))
+
+
+class ReverseWords:
+    """A user generator factory (UDF-3): the reply is the first eight words of the last user
+    message in reverse order. Any picklable factory with this call shape plugs into INF-1."""
+
+    def __call__(self):
+        def gen(messages, key=None, attempt=1, **params):
+            last = next((m.get("content") or "" for m in reversed(messages) if m.get("role") == "user"), "")
+            content = " ".join(reversed(last.split()[:8]))
+            n_in, n_out = sum(len((m.get("content") or "").split()) for m in messages), len(content.split())
+            return {"id": f"reverse-{key}", "model": "reverse-words", "content": content, "finish_reason": "stop",
+                    "reasoning_content": None,
+                    "usage": {"total_tokens": n_in + n_out, "prompt_tokens": n_in, "completion_tokens": n_out}}
+        return gen
+
+
+def _ws_sql(x: str) -> str:
+    s = strip(x)
+    return f"(CASE WHEN {s} = '' THEN []::VARCHAR[] ELSE string_split_regex({s}, '{WS_CLASS}+') END)"
+
+
+@query("generator_interface", f"""WITH {GEN_CTES} SELECT id, 'ok' AS status, CAST(1 AS INTEGER) AS attempts,
+  'reverse-words' AS model, array_to_string(list_reverse({_ws_sql('input')}[1:8]), ' ') AS content FROM req""")
+def q_generator_interface(spark, sf):
+    """UDF-3: the batch generation job with a user-supplied generator factory."""
+    res = G.generate_batch(requests(spark, sf), ReverseWords(), backoff=NO_WAIT, partitions=8)
+    return G.flatten_response(res).select("id", "status", "attempts", "model", "content")

@@ -115,3 +115,14 @@ def q_sink_responses(spark, sf):
     path = io.scratch_path(spark, "responses")
     io.sink_responses(f, path)
     return spark.read.schema("id bigint, response string").json(path)
+
+
+@query("sink_jsonl", "SELECT conv_id, turn, role, text FROM conversations")
+def q_sink_jsonl(spark, sf):
+    """SNK-1: user turns written as JSON lines (overwrite), then the other turns appended
+    (append mode); the folder read back holds every conversation row once."""
+    c = table(spark, sf, "conversations")
+    path = io.scratch_path(spark, "sink.jsonl")
+    io.sink_jsonl(c.filter(F.col("role") == "user"), path, mode="overwrite")
+    io.sink_jsonl(c.filter(F.col("role") != "user"), path, mode="append")
+    return spark.read.schema(CONV_DDL).json(path)

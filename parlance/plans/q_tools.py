@@ -3,6 +3,8 @@ JN-4). Calls are shaped from ``events`` by ``inputs.tool_calls``."""
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from parlance.operators import tools as TL
@@ -221,3 +223,30 @@ def q_flatten_blocks(spark, sf):
                      F.lit(None).cast("string").alias("follow_up"))
     blocks = F.concat(F.array(first), F.transform("_b", lambda s: s["b"]))
     return per.select("message_id", TL.flatten_blocks(blocks).alias("text"))
+
+
+def extended_registry() -> TL.ToolRegistry:
+    """UDF-1: a user registry = the built-in tools plus ``search_web`` registered by decorator."""
+    reg = TL.ToolRegistry()
+    for t in TL.BUILTIN.tools:
+        reg.register(t.name, t.description, json.loads(t.parameters), t.server)(t.build)
+
+    @reg.register("search_web", "Search the web for a query.",
+                  {"type": "object", "properties": {"query": {"type": "string"}}, "required": ["query"]},
+                  server="user")
+    def _search(args):
+        return F.concat(F.lit("Results for: "), F.try_variant_get(args, "$.query", "string"))
+    return reg
+
+
+_EXT_SQL = (DISPATCH_SQL.replace("CASE WHEN name NOT IN (SELECT name FROM cat) THEN 'unknown_tool'\n    WHEN",
+                                 "CASE WHEN")
+            .replace("    END END AS result", "    WHEN 'search_web' THEN 'Results for: ' || json_extract_string(arguments, '$.query')\n    END END AS result"))
+
+
+@query("register_tool", f"WITH {CALLS_SQL},\n{_catalog_sql()},\n{_EXT_SQL} SELECT call_id, name, status, result FROM res")
+def q_register_tool(spark, sf):
+    """UDF-1: a tool registered at run time (``search_web``) is dispatched like the built-in
+    ones - the calls that were ``unknown_tool`` now evaluate."""
+    d = TL.dispatch_tools(inputs.tool_calls(spark, sf), extended_registry())
+    return d.select("call_id", "name", "status", "result")
