@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parlance.functions.text import WS_CLASS, py_strip
+from parlance.plans.spread import spread
 
 # ---- Fixed values ---------------------------------------------------------------------------
 ARTICLES = ["a", "an", "the"]
@@ -53,19 +54,20 @@ def normalize_tokens(text) -> Column:
 
 
 def ngrams(tokens, n: int, sep: str = " ") -> Column:
-    """Word n-grams of an array (``[]`` when shorter than n)."""
-    t = _c(tokens)
-    return F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(1), F.size(t) - n + 1),
-                                              lambda i: F.array_join(F.slice(t, i, n), sep))
-                  ).otherwise(F.array().cast("array<string>"))
+    """Word n-grams of a token array, in order (``[]`` when shorter than n).
+
+    The tokens (which hold no space) are joined by single spaces and every n-gram is taken by
+    one JVM regex scan: at each token start a lookahead captures ``n`` tokens - no per-gram
+    lambda, so it stays fast on long texts."""
+    joined = F.array_join(_c(tokens), sep)
+    pat = f"(?:^| )(?=([^ ]+(?: [^ ]+){{{n - 1}}})(?: |$))"
+    return F.regexp_extract_all(joined, F.lit(pat), 1)
 
 
 def char_ngrams(text, n: int) -> Column:
-    """Character n-grams of a string (``[]`` when shorter than n)."""
-    s = _c(text)
-    return F.when(F.length(s) >= n, F.transform(F.sequence(F.lit(1), F.length(s) - n + 1),
-                                                lambda i: F.substring(s, i, n))
-                  ).otherwise(F.array().cast("array<string>"))
+    """Character n-grams of a string in order (``[]`` when shorter than n): one regex scan
+    whose lookahead captures the ``n`` characters at every position."""
+    return F.regexp_extract_all(_c(text), F.lit(f"(?s)(?=(.{{{n}}}))"), 1)
 
 
 def _tagged(grams: Column, n: int, side_pred: bool) -> Column:
@@ -79,7 +81,7 @@ def _clipped(df: DataFrame, key: list[str], pred: list[Column], gold: list[Colum
     exploded once per row, then counted with one aggregation by ``(key, n, gram)``."""
     tagged = F.concat(*[_tagged(g, n, True) for n, g in enumerate(pred, 1)],
                       *[_tagged(g, n, False) for n, g in enumerate(gold, 1)])
-    ex = df.select(*key, F.explode(tagged).alias("_e")).select(*key, "_e.*")
+    ex = spread(df, *key).select(*key, F.explode(tagged).alias("_e")).select(*key, "_e.*")
     return ex.groupBy(*key, "n", "gram").agg(F.sum("p").alias("n_pred"), F.sum("g").alias("n_gold"))
 
 

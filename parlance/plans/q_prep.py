@@ -10,6 +10,7 @@ from parlance.plans import inputs, sft
 from parlance.plans.inputs import table
 from parlance.plans.q_sft import PAIRS_SQL, SOURCE_SQL, tok_ctes
 from parlance.plans.registry import query
+from parlance.plans.spread import spread
 from parlance.plans.sqltext import ints, lit, md5_key as md5_sql, tokens as tokens_sql
 
 KEY = ["conv_id", "turn"]
@@ -248,7 +249,7 @@ FROM t""")
 def q_prompt_truncate(spark, sf):
     """TOK-6: document prompts tokenized with stateless hashed ids (V = 50,000) and cut to
     ``max_input_length`` = 1536 tokens, with the truncation flag."""
-    d = table(spark, sf, "documents")
+    d = spread(table(spark, sf, "documents"), "doc_id")
     toks = K.split_tokens(T.render_source("text", with_system=False))
     d = d.select("doc_id", toks.alias("toks"))
     return d.select("doc_id", F.size("toks").cast("long").alias("n_tokens"),

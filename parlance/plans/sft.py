@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from parlance.functions.text import ints_to_text
 from parlance.operators import batching, ordering, templates, tokens
+from parlance.plans.spread import spread
 
 KEY = ["conv_id", "turn"]
 
@@ -29,7 +30,7 @@ def sft_examples(conversations: DataFrame, mode: str = "qwen2", eos: str = templ
 
 def tokenize_examples(examples: DataFrame, max_len: int = 128, vocab: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """TOK-1/2/3: ids cut at ``max_len``, labels with the prompt masked. Returns (rows, vocab)."""
-    tok = examples.select(*KEY,
+    tok = spread(examples, *KEY).select(*KEY,
                           tokens.split_tokens("source").alias("src_tokens"),
                           tokens.split_tokens(F.concat("source", "target")).alias("full_tokens"))
     if vocab is None:
