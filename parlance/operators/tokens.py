@@ -29,8 +29,9 @@ RESERVED_TOKENS = [PAD, EOS, UNK] + CONTROL_TAGS
 CHAT_MARKERS = ["<|im_start|>", "<|im_end|>", "<s>", "[INST]", "[/INST]"]
 # ---------------------------------------------------------------------------------------------
 
-# "<No Retrieval>" holds a space; it is swapped for a space-free placeholder before splitting.
-NO_RETRIEVAL_PLACEHOLDER = "<No\u00a0Retrieval>"
+# "<No Retrieval>" holds a space; it is swapped for a placeholder before splitting whose joining
+# character (U+E000, private use) is not whitespace in Python, Java or RE2.
+NO_RETRIEVAL_PLACEHOLDER = "<No\ue000Retrieval>"
 PAD_ID, EOS_ID, UNK_ID = 0, 1, 2
 FIRST_FREE_ID = len(RESERVED_TOKENS) - 1  # ordinary tokens get FIRST_FREE_ID + rank
 

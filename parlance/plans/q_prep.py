@@ -197,7 +197,7 @@ def q_tokenize_truncate(spark, sf):
     return rows.select(*KEY, F.size("ids").cast("long").alias("n_tokens"), "n_full", ints_to_text("ids").alias("ids"))
 
 
-@query("vocabulary", f"WITH {tok_ctes()} SELECT replace(token, chr(160), ' ') AS token, id, CAST(n AS BIGINT) AS n FROM vocab")
+@query("vocabulary", f"WITH {tok_ctes()} SELECT replace(token, chr(57344), ' ') AS token, id, CAST(n AS BIGINT) AS n FROM vocab")
 def q_vocabulary(spark, sf):
     """TOK-2: reserved ids, then ids by (count desc, token) over every token of the corpus."""
     _, vocab = _rows(spark, sf)
@@ -229,7 +229,7 @@ def q_truncation_report(spark, sf):
 
 @query("decode_tokens", f"""WITH {tok_ctes()},
 d AS (SELECT conv_id, turn, unnest(range(1, len(ids) + 1)) AS pos, unnest(ids) AS id FROM lab)
-SELECT l.conv_id, l.turn, coalesce((SELECT string_agg(replace(v.token, chr(160), ' '), ' ' ORDER BY d.pos) FROM d JOIN vocab v ON v.id = d.id
+SELECT l.conv_id, l.turn, coalesce((SELECT string_agg(replace(v.token, chr(57344), ' '), ' ' ORDER BY d.pos) FROM d JOIN vocab v ON v.id = d.id
    WHERE d.conv_id = l.conv_id AND d.turn = l.turn AND d.id >= 7), '') AS text FROM lab l""")
 def q_decode_tokens(spark, sf):
     """TOK-5: ids -> text via the vocabulary, special tokens skipped."""
@@ -244,7 +244,7 @@ _HASH = "CAST(CAST(('0x' || substr(md5(t), 1, 8)) AS UBIGINT) % 50000 + 7 AS INT
 @query("prompt_truncate", f"""WITH t AS (SELECT doc_id, {tokens_sql(_DOC_PROMPT)} AS toks FROM documents)
 SELECT doc_id, CAST(len(toks) AS BIGINT) AS n_tokens, CAST(least(len(toks), 1536) AS BIGINT) AS n_kept,
   len(toks) > 1536 AS truncated,
-  {ints(f"list_transform(toks[1:1536], lambda t: CASE t WHEN '<pad>' THEN 0 WHEN '</s>' THEN 1 WHEN '<unk>' THEN 2 WHEN '<Retrieval>' THEN 3 WHEN '<No{chr(160)}Retrieval>' THEN 4 WHEN '<Relevant>' THEN 5 WHEN '<Irrelevant>' THEN 6 ELSE {_HASH} END)")} AS ids
+  {ints(f"list_transform(toks[1:1536], lambda t: CASE t WHEN '<pad>' THEN 0 WHEN '</s>' THEN 1 WHEN '<unk>' THEN 2 WHEN '<Retrieval>' THEN 3 WHEN '<No' || chr(57344) || 'Retrieval>' THEN 4 WHEN '<Relevant>' THEN 5 WHEN '<Irrelevant>' THEN 6 ELSE {_HASH} END)")} AS ids
 FROM t""")
 def q_prompt_truncate(spark, sf):
     """TOK-6: document prompts tokenized with stateless hashed ids (V = 50,000) and cut to
