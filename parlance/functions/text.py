@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The characters Python's ``str.strip()`` removes (``str.isspace``), written as a
@@ -71,3 +71,18 @@ def url_quote(c) -> Column:
 def rsplit_dir(c) -> Column:
     """``path.rsplit('/', 1)[0]``."""
     return F.regexp_replace(_c(c), r"/[^/]*$", "")
+
+
+def explode_rows(df: DataFrame, keep: list, arr, value: str, pos: str | None = None) -> DataFrame:
+    """``df.select(*keep, explode(arr))`` (or ``posexplode`` when ``pos`` is named), without
+    moving the work that computes ``arr``.
+
+    For an inner ``explode`` Catalyst infers ``size(arr) > 0`` and pushes that filter down
+    through projections and repartitions, so an expensive ``arr`` (tokens, n-grams) is also
+    evaluated below a ``spread`` exchange, in the few tasks it was meant to avoid. The outer
+    form infers no filter; the one row it emits for an empty or null array (position null)
+    is dropped right after, which leaves exactly ``explode``'s rows.
+    """
+    p = pos or "_xr_pos"
+    out = df.select(*keep, F.posexplode_outer(_c(arr)).alias(p, value)).filter(F.col(p).isNotNull())
+    return out if pos else out.drop(p)

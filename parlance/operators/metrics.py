@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parlance.functions.text import WS_CLASS, py_strip
+from parlance.functions.text import WS_CLASS, explode_rows, py_strip
 from parlance.plans.spread import spread
 
 # ---- Fixed values ---------------------------------------------------------------------------
@@ -81,7 +81,7 @@ def _clipped(df: DataFrame, key: list[str], pred: list[Column], gold: list[Colum
     exploded once per row, then counted with one aggregation by ``(key, n, gram)``."""
     tagged = F.concat(*[_tagged(g, n, True) for n, g in enumerate(pred, 1)],
                       *[_tagged(g, n, False) for n, g in enumerate(gold, 1)])
-    ex = spread(df, *key).select(*key, F.explode(tagged).alias("_e")).select(*key, "_e.*")
+    ex = explode_rows(spread(df, *key), list(key), tagged, "_e").select(*key, "_e.*")
     return ex.groupBy(*key, "n", "gram").agg(F.sum("p").alias("n_pred"), F.sum("g").alias("n_gold"))
 
 

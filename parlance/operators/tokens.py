@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parlance.functions.text import WS_CLASS, py_strip, safe_slice
+from parlance.functions.text import WS_CLASS, explode_rows, py_strip, safe_slice
 from parlance.plans.rank import global_rank
 
 # ---- Fixed values ---------------------------------------------------------------------------
@@ -63,13 +63,22 @@ def reserved_vocabulary(spark) -> DataFrame:
     return spark.createDataFrame(rows, "token string, id int")
 
 
-def build_vocabulary(df: DataFrame, tokens: str) -> DataFrame:
+def build_vocabulary(df: DataFrame, tokens: str, materialize: bool = True) -> DataFrame:
     """TOK-2: ``(token, id, n)``; reserved ids first, then ``FIRST_FREE_ID + rank`` by
-    ``(n desc, token)`` over every (untruncated) token of ``tokens``."""
+    ``(n desc, token)`` over every (untruncated) token of ``tokens``.
+
+    With ``materialize`` (the default) the token counts and the finished vocabulary are written
+    as tables in the shared checkpoint folder: the corpus is tokenized once for the counts, the
+    rank reads the counts table (twice: bucket sizes, then rows), and every later join reads
+    the vocabulary table instead of re-deriving it from the text.
+    """
+    from parlance.sources.io import materialize as write_back
     spark = df.sparkSession
     reserved = reserved_vocabulary(spark)
-    counts = (df.select(F.explode(_c(tokens)).alias("token"))
+    counts = (explode_rows(df, [], _c(tokens), "token")
               .groupBy("token").agg(F.count(F.lit(1)).alias("n")))
+    if materialize:
+        counts = write_back(counts, "vocab-counts")
     ordinary = counts.join(F.broadcast(reserved), "token", "left_anti")
     # Bucket monotone in (n desc, token): (-n, first two characters). The bucket table's size
     # depends on the data, so its join is left to AQE (no forced broadcast).
@@ -78,7 +87,8 @@ def build_vocabulary(df: DataFrame, tokens: str) -> DataFrame:
     ids = ranked.select("token", (F.col("rank") + FIRST_FREE_ID).cast("int").alias("id"), "n")
     res = reserved.join(counts, "token", "left").select(
         "token", "id", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
-    return ids.unionByName(res)
+    vocab = ids.unionByName(res)
+    return write_back(vocab, "vocabulary") if materialize else vocab
 
 
 def hashed_ids(tokens, vocab_size: int) -> Column:
@@ -98,7 +108,7 @@ def encode(df: DataFrame, key: list[str], tokens: str, vocab: DataFrame,
     """TOK-1 ids: ``tokens`` (cut on the right at ``max_len``) -> vocabulary ids; unknown
     tokens map to ``<unk>``. Rows keep all their columns; rows with no tokens get ``[]``."""
     toks = _c(tokens) if max_len is None else F.slice(_c(tokens), 1, max_len)
-    ex = df.select(*key, F.posexplode(toks).alias("_pos", "token"))
+    ex = explode_rows(df, key, toks, "token", "_pos")
     j = ex.join(vocab.select("token", "id"), "token", "left")
     per_row = (j.groupBy(*key)
                .agg(F.array_sort(F.collect_list(F.struct("_pos", F.coalesce("id", F.lit(UNK_ID)).alias("id"))))
@@ -145,7 +155,7 @@ def truncation_report(df: DataFrame, n_full: str, n_source: str, n_supervised: s
 def decode(df: DataFrame, key: list[str], ids: str, vocab: DataFrame, out: str = "text",
            skip_special: bool = True) -> DataFrame:
     """TOK-5: ids -> text joined by spaces, special tokens skipped."""
-    ex = df.select(*key, F.posexplode(ids).alias("_pos", "id"))
+    ex = explode_rows(df, key, ids, "id", "_pos")
     v = vocab.select("id", F.replace("token", F.lit(NO_RETRIEVAL_PLACEHOLDER), F.lit("<No Retrieval>")).alias("token"))
     j = ex.join(v, "id", "left")
     if skip_special:

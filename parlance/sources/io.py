@@ -129,3 +129,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint folder for a written intermediate table."""
     from parlance.session import checkpoint_dir
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet under the shared checkpoint folder and scan it back.
+
+    Used where a derived table feeds several branches of a later plan (Spark would otherwise
+    recompute its whole lineage per branch). The written table cuts the lineage, survives
+    executor loss, and gives AQE exact sizes for its join choices.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
