@@ -16,8 +16,10 @@ Definitions (the scorer itself is not in the reference; the published ones are u
 
 Overlaps are never computed pairwise inside a row: tokens (or n-grams) are exploded to
 ``(idx, gram)`` rows, counted per side with one aggregation, clipped, and summed per ``idx``
-(partial aggregation first) or globally into one row. A very long example is spread over many
-tasks by its grams.
+(partial aggregation first) or globally into one row. Each scorer first spreads its input rows
+by ``idx`` over the shuffle partitions (``plans.spread``), so normalizing, splitting and n-gram
+expansion run after that exchange in parallel, never in the few tasks a small coalesced input
+arrives in.
 """
 
 from __future__ import annotations
@@ -81,14 +83,14 @@ def _clipped(df: DataFrame, key: list[str], pred: list[Column], gold: list[Colum
     exploded once per row, then counted with one aggregation by ``(key, n, gram)``."""
     tagged = F.concat(*[_tagged(g, n, True) for n, g in enumerate(pred, 1)],
                       *[_tagged(g, n, False) for n, g in enumerate(gold, 1)])
-    ex = explode_rows(spread(df, *key), list(key), tagged, "_e").select(*key, "_e.*")
+    ex = explode_rows(df, list(key), tagged, "_e").select(*key, "_e.*")
     return ex.groupBy(*key, "n", "gram").agg(F.sum("p").alias("n_pred"), F.sum("g").alias("n_gold"))
 
 
 def token_overlap(df: DataFrame, idx: str, pred: str, gold: str) -> DataFrame:
     """Per example: ``idx, pred_len, gold_len, common, exact_match, precision, recall, f1``
     on normalized tokens. ``pred`` / ``gold`` are text columns."""
-    toks = df.select(idx, normalize_tokens(pred).alias("_pt"), normalize_tokens(gold).alias("_gt"))
+    toks = spread(df, idx).select(idx, normalize_tokens(pred).alias("_pt"), normalize_tokens(gold).alias("_gt"))
     common = (_clipped(toks, [idx], [F.col("_pt")], [F.col("_gt")])
               .groupBy(idx).agg(F.sum(F.least("n_pred", "n_gold")).alias("common")))
     base = toks.select(idx, F.size("_pt").alias("pred_len"), F.size("_gt").alias("gold_len"),
@@ -121,7 +123,7 @@ def _order_stats(df: DataFrame, idx: str, pred_grams: list[Column], gold_grams:
 
 def corpus_bleu(df: DataFrame, idx: str, pred: str, gold: str, order: int = BLEU_ORDER) -> DataFrame:
     """AGG-8 BLEU: one row ``(bleu, bp, sys_len, ref_len, p1..p4)``."""
-    t = df.select(idx, ws_tokens(pred).alias("_p"), ws_tokens(gold).alias("_g"))
+    t = spread(df, idx).select(idx, ws_tokens(pred).alias("_p"), ws_tokens(gold).alias("_g"))
     stats = _order_stats(t, idx, [ngrams("_p", n) for n in range(1, order + 1)],
                          [ngrams("_g", n) for n in range(1, order + 1)])
     # Lengths ride along as order 0, so one global aggregate finishes (no join of one-row sides).
@@ -160,7 +162,7 @@ def corpus_bleu(df: DataFrame, idx: str, pred: str, gold: str, order: int = BLEU
 def corpus_chrf(df: DataFrame, idx: str, pred: str, gold: str, order: int = CHRF_ORDER,
                 beta: float = CHRF_BETA) -> DataFrame:
     """AGG-8 chrF: one row ``(chrf, char_precision, char_recall)``."""
-    t = df.select(idx, F.regexp_replace(_c(pred), WS_CLASS, "").alias("_p"),
+    t = spread(df, idx).select(idx, F.regexp_replace(_c(pred), WS_CLASS, "").alias("_p"),
                   F.regexp_replace(_c(gold), WS_CLASS, "").alias("_g"))
     stats = _order_stats(t, idx, [char_ngrams("_p", n) for n in range(1, order + 1)],
                          [char_ngrams("_g", n) for n in range(1, order + 1)])

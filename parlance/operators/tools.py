@@ -231,11 +231,16 @@ def dispatch_tools(calls: DataFrame, registry: ToolRegistry = BUILTIN, name: str
     """TL-6: evaluate every call. ``status``: ``unknown_tool``, ``bad_arguments`` (not JSON),
     ``ok``; ``result`` is the tool's text, null unless ok."""
     known = F.col(name).isin(sorted({t.name for t in registry.tools}))
-    args = parse_tool_args(arguments)
+    # The arguments are parsed once, in their own projection: status and every tool branch
+    # read the parsed value (Catalyst keeps a non-cheap column referenced several times
+    # instead of inlining a copy of the parse into each use).
+    parsed = calls.withColumn("_args", parse_tool_args(arguments))
+    args = F.col("_args")
     status = (F.when(~F.coalesce(known, F.lit(False)), "unknown_tool")
               .when(args.isNull(), "bad_arguments").otherwise("ok"))
-    return (calls.withColumn("status", status)
-            .withColumn("result", F.when(F.col("status") == "ok", registry.dispatch(F.col(name), args))))
+    return (parsed.withColumn("status", status)
+            .withColumn("result", F.when(F.col("status") == "ok", registry.dispatch(F.col(name), args)))
+            .drop("_args"))
 
 
 def tool_messages(results: DataFrame, call_id: str = "call_id", content: str = "result") -> DataFrame:

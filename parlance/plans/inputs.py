@@ -56,8 +56,13 @@ def tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     ``events``: four consecutive events form one assistant message; the event type names the
     tool; ``props.k``, ``value`` and ``user_id`` fill the JSON arguments; when ``k % 10 = 7``
     the arguments text loses its closing brace (malformed JSON)."""
-    e = table(spark, sf_dir, "events")
-    k = F.get_json_object("props", "$.k")
+    from parlance.plans.spread import spread
+    # Spread by message first: the per-call work downstream (argument parsing, dispatch) runs
+    # over all shuffle partitions, and the per-message groupings reuse this partitioning.
+    e = spread(table(spark, sf_dir, "events")
+               .withColumn("message_id", F.floor(F.col("event_id") / 4).cast("long")), "message_id")
+    e = e.withColumn("_k", F.get_json_object("props", "$.k"))
+    k = F.col("_k")
     kn = k.cast("long")
     t = F.col("event_type")
     loc = F.concat(F.lit('{"location": "City '), F.col("user_id").cast("string"), F.lit('"'))
@@ -72,7 +77,7 @@ def tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
             .otherwise(F.concat(F.lit('{"query": "event '), F.col("event_id").cast("string"), F.lit('"}'))))
     args = F.when(F.pmod(kn, F.lit(10)) == 7, F.substring(args, 1, F.length(args) - 1)).otherwise(args)
     name = F.coalesce(*[F.when(t == et, F.lit(tn)) for et, tn in EVENT_TOOL.items()])
-    return e.select(F.floor(F.col("event_id") / 4).cast("long").alias("message_id"),
+    return e.select("message_id",
                     F.pmod("event_id", F.lit(4)).cast("int").alias("pos"),
                     F.concat(F.lit("call_"), F.col("event_id").cast("string")).alias("call_id"),
                     F.lit("function").alias("type"), name.alias("name"), args.alias("arguments"), "user_id")
