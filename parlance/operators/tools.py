@@ -244,9 +244,13 @@ def dispatch_tools(calls: DataFrame, registry: ToolRegistry = BUILTIN, name: str
 
 
 def tool_messages(results: DataFrame, call_id: str = "call_id", content: str = "result") -> DataFrame:
-    """Tool reply messages ``{role: tool, content, tool_call_id}`` of answered calls."""
-    return results.filter(F.col(content).isNotNull()).select(
-        F.col(call_id).alias("tool_call_id"), F.col(content).alias("content"))
+    """Tool reply messages ``{role: tool, content, tool_call_id}``, one per evaluated call;
+    ``content`` is null for a call that got no answer (unknown tool, bad arguments).
+
+    Unanswered calls are kept rather than filtered out: a filter on the result would be pushed
+    by Catalyst into the scan with the whole dispatch expression substituted, evaluating every
+    tool twice. Joined by ``attach_tool_results`` the outcome is the same (content null)."""
+    return results.select(F.col(call_id).alias("tool_call_id"), F.col(content).alias("content"))
 
 
 def attach_tool_results(calls: DataFrame, replies: DataFrame, key: str, call_id: str = "call_id",

@@ -45,3 +45,43 @@ def test_rank_has_no_single_partition_exchange_over_rows(spark, entry_module):
     # ...and it sits over the per-bucket counts, not over rows
     below = plan.split("Exchange SinglePartition")[1][:600] if singles else ""
     assert not singles or "_rk_n" in below or "_rk_bucket" in below
+
+
+def _below_first_repartition(df):
+    """Optimized logical plan text under the first ``RepartitionByExpression`` (a spread)."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan
+    return plan.split("RepartitionByExpression", 1)[1]
+
+
+def test_tokenizing_stays_above_the_spread_exchange(spark):
+    """explode_rows keeps Catalyst from inferring ``size(tokens) > 0`` and pushing the whole
+    tokenization below the spread (where it would run again, in the scan's few tasks)."""
+    from pyspark.sql import functions as F
+    from parlance.functions.text import explode_rows
+    from parlance.operators import tokens as K
+    from parlance.plans.spread import spread
+    df = spark.createDataFrame([(1, "a b <|im_end|> c"), (2, "")], "k long, t string")
+    tok = spread(df, "k").select("k", K.split_tokens("t").alias("toks"))
+    out = explode_rows(tok, ["k"], "toks", "token")
+    assert "regexp_replace" not in _below_first_repartition(out)
+    assert sorted(tuple(r) for r in out.collect()) == [(1, "<|im_end|>"), (1, "a"), (1, "b"), (1, "c")]
+    # the inner explode would push it down - the reason for the helper
+    bad = tok.select("k", F.explode("toks").alias("token"))
+    assert "regexp_replace" in _below_first_repartition(bad)
+
+
+def test_tool_dispatch_not_pushed_into_scan(spark, entry_module):
+    """The tool replies carry no filter on the result, so the dispatch CASE is evaluated once,
+    after the exchange, and never as a scan-side data filter."""
+    df = entry_module.queries()["tool_turn_messages"](spark, SF_SMALL)
+    old = spark.conf.get("spark.sql.debug.maxToStringFields")
+    spark.conf.set("spark.sql.debug.maxToStringFields", "100000")  # print whole expressions
+    try:
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.debug.maxToStringFields", old)
+    parse = "parseJson"  # try_parse_json after Catalyst replaces it
+    assert parse in plan
+    filters = [line for line in plan.split("\n") if line.lstrip(" :+-").startswith("Filter")]
+    assert not any(parse in line for line in filters)
