@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parlance.functions.text import WS_CLASS, explode_rows, py_strip
+from parlance.functions.text import WS_CLASS, explode_rows
 from parlance.plans.spread import spread
 
 # ---- Fixed values ---------------------------------------------------------------------------
@@ -44,9 +44,9 @@ def _c(c) -> Column:
 
 
 def ws_tokens(text) -> Column:
-    """``str.split()``: whitespace tokens, ``[]`` for a blank text."""
-    t = py_strip(_c(text))
-    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, WS_CLASS + "+"))
+    """``str.split()``: whitespace tokens, ``[]`` for a blank text (a split on whitespace runs
+    leaves empty strings only at the ends; they are removed instead of stripping first)."""
+    return F.array_remove(F.split(_c(text), WS_CLASS + "+"), "")
 
 
 def normalize_tokens(text) -> Column:

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parlance.functions.text import WS_CLASS, explode_rows, py_strip, safe_slice
+from parlance.functions.text import WS_CLASS, explode_rows, safe_slice
 from parlance.plans.rank import global_rank
 
 # ---- Fixed values ---------------------------------------------------------------------------
@@ -42,7 +42,21 @@ def _java_quote(tok: str) -> str:
 
 _SPACED = [NO_RETRIEVAL_PLACEHOLDER if t == "<No Retrieval>" else t
            for t in CHAT_MARKERS + RESERVED_TOKENS]
-SPECIAL_RE = "(" + "|".join(_java_quote(t) for t in sorted(_SPACED, key=len, reverse=True)) + ")"
+
+
+def _factored(tokens: list[str]) -> str:
+    """One capturing group matching any of ``tokens``, the alternatives grouped by first
+    character (``<(?:pad>|unk>|...)|\\[(?:INST\\]|...)``): at most positions of a text the
+    match fails on one character test instead of trying every alternative. Longest first
+    inside each group; valid in Java regex and RE2."""
+    groups: dict[str, list[str]] = {}
+    for t in sorted(tokens, key=len, reverse=True):
+        groups.setdefault(t[0], []).append(t[1:])
+    return "(" + "|".join(_java_quote(first) + "(?:" + "|".join(_java_quote(r) for r in rest) + ")"
+                          for first, rest in groups.items()) + ")"
+
+
+SPECIAL_RE = _factored(_SPACED)
 SPLIT_RE = WS_CLASS + "+"
 
 
@@ -51,10 +65,14 @@ def _c(c) -> Column:
 
 
 def split_tokens(text) -> Column:
-    """Whitespace tokens with every special token spaced out (``str.split()`` semantics)."""
+    """Whitespace tokens with every special token spaced out (``str.split()`` semantics).
+
+    Splitting on whitespace runs leaves an empty string only at an end (leading or trailing
+    whitespace, or an empty text); removing empty strings gives ``str.split()`` without a
+    separate strip pass over the text."""
     t = F.replace(_c(text), F.lit("<No Retrieval>"), F.lit(NO_RETRIEVAL_PLACEHOLDER))
-    t = py_strip(F.regexp_replace(t, SPECIAL_RE, " $1 "))
-    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, SPLIT_RE))
+    t = F.regexp_replace(t, SPECIAL_RE, " $1 ")
+    return F.array_remove(F.split(t, SPLIT_RE), "")
 
 
 def reserved_vocabulary(spark) -> DataFrame:

@@ -255,7 +255,7 @@ def q_prompt_truncate(spark, sf):
     return d.select("doc_id", F.size("toks").cast("long").alias("n_tokens"),
                     F.least(F.size("toks"), F.lit(1536)).cast("long").alias("n_kept"),
                     (F.size("toks") > 1536).alias("truncated"),
-                    ints_to_text(K.truncate(K.hashed_ids("toks", 50000), 1536)).alias("ids"))
+                    ints_to_text(K.hashed_ids(K.truncate("toks", 1536), 50000)).alias("ids"))
 
 
 _TAGGED = ("CASE turn % 5 WHEN 0 THEN '<Retrieval>' || text WHEN 1 THEN text || ' <No Retrieval>' "
