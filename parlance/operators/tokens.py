@@ -6,7 +6,7 @@ ranked by ``(count desc, token)``. All steps are Spark SQL expressions or shuffl
 
 * splitting is a projection (no UDF);
 * the vocabulary is ``explode -> groupBy(token).count`` (map-side partial counts) and a
-  distributed global rank (``plans.rank``);
+  distributed global rank over sampled ranges (``plans.rank.range_rank``);
 * ids are attached by an equi-join on the token, so a vocabulary of any size works; when it
   is small AQE measures it and broadcasts it. Hot tokens on the big side are split by AQE's
   skew join.
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parlance.functions.text import WS_CLASS, explode_rows, safe_slice
-from parlance.plans.rank import global_rank
+from parlance.plans.rank import range_rank
 
 # ---- Fixed values ---------------------------------------------------------------------------
 IGNORE_INDEX = -100
@@ -81,32 +81,28 @@ def reserved_vocabulary(spark) -> DataFrame:
     return spark.createDataFrame(rows, "token string, id int")
 
 
-def build_vocabulary(df: DataFrame, tokens: str, materialize: bool = True) -> DataFrame:
+def build_vocabulary(df: DataFrame, tokens: str) -> DataFrame:
     """TOK-2: ``(token, id, n)``; reserved ids first, then ``FIRST_FREE_ID + rank`` by
     ``(n desc, token)`` over every (untruncated) token of ``tokens``.
 
-    With ``materialize`` (the default) the token counts and the finished vocabulary are written
-    as tables in the shared checkpoint folder: the corpus is tokenized once for the counts, the
-    rank reads the counts table (twice: bucket sizes, then rows), and every later join reads
-    the vocabulary table instead of re-deriving it from the text.
+    The token counts and the finished vocabulary are written as tables in the shared checkpoint
+    folder: the corpus is tokenized once for the counts, the rank reads the counts table, and
+    every later join reads the vocabulary table instead of re-deriving it from the text.
+    ``(n desc, token)`` is unique but has no even bucket (most tokens share n = 1 and one
+    prefix may hold a third of them), so the rank cuts its ranges by sampling
+    (``plans.rank.range_rank``).
     """
-    from parlance.sources.io import materialize as write_back
+    from parlance.sources.io import materialize
     spark = df.sparkSession
     reserved = reserved_vocabulary(spark)
-    counts = (explode_rows(df, [], _c(tokens), "token")
-              .groupBy("token").agg(F.count(F.lit(1)).alias("n")))
-    if materialize:
-        counts = write_back(counts, "vocab-counts")
+    counts = materialize(explode_rows(df, [], _c(tokens), "token")
+                         .groupBy("token").agg(F.count(F.lit(1)).alias("n")), "vocab-counts")
     ordinary = counts.join(F.broadcast(reserved), "token", "left_anti")
-    # Bucket monotone in (n desc, token): (-n, first two characters). The bucket table's size
-    # depends on the data, so its join is left to AQE (no forced broadcast).
-    bucket = F.struct((-F.col("n")).alias("nn"), F.substring("token", 1, 2).alias("p"))
-    ranked = global_rank(ordinary, [F.col("n").desc(), F.col("token")], bucket, "rank")
+    ranked = range_rank(ordinary, [F.col("n").desc(), F.col("token")], "rank")
     ids = ranked.select("token", (F.col("rank") + FIRST_FREE_ID).cast("int").alias("id"), "n")
     res = reserved.join(counts, "token", "left").select(
         "token", "id", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
-    vocab = ids.unionByName(res)
-    return write_back(vocab, "vocabulary") if materialize else vocab
+    return materialize(ids.unionByName(res), "vocabulary")
 
 
 def hashed_ids(tokens, vocab_size: int) -> Column:

@@ -3,7 +3,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from parlance.operators import batching as B, ordering
-from parlance.plans.rank import global_rank, md5_rank
+from parlance.plans.rank import global_rank, md5_rank, range_rank
 from tests.conftest import rows
 
 
@@ -70,3 +70,18 @@ def test_pad_then_unpad_identity(spark, seqs):
     for r in out:
         assert len(r.ids) == width
         assert [x for x, m in zip(r.ids, r.attention_mask) if m] == seqs[r.k]
+
+
+def test_range_rank_with_a_hot_bucket(spark):
+    """A third of the rows share count 1 and one two-character prefix (the vocabulary's worst
+    case). Ranks equal a brute-force sort, and no sampled range is hot."""
+    rows_ = ([(f"ht{i:05d}", 1) for i in range(3000)] + [(f"w{i:05d}", 1 + i % 7) for i in range(6000)])
+    df = spark.createDataFrame(rows_, "token string, n long").repartition(5)
+    out = range_rank(df, [F.col("n").desc(), F.col("token")], "rank", partitions=8)
+    got = sorted((r["rank"], r["token"]) for r in out.collect())
+    want = sorted(rows_, key=lambda t: (-t[1], t[0]))
+    assert [t for _, t in got] == [t for t, _ in want]
+    assert [k for k, _ in got] == list(range(1, len(rows_) + 1))
+    sizes = (df.repartitionByRange(8, F.col("n").desc(), F.col("token"))
+             .groupBy(F.spark_partition_id().alias("p")).count().collect())
+    assert max(r["count"] for r in sizes) < 2 * len(rows_) / 8
