@@ -85,3 +85,25 @@ def test_tool_dispatch_not_pushed_into_scan(spark, entry_module):
     assert parse in plan
     filters = [line for line in plan.split("\n") if line.lstrip(" :+-").startswith("Filter")]
     assert not any(parse in line for line in filters)
+
+
+def test_pandas_map_queries_run_from_any_working_directory(tmp_dir):
+    """The driver may import __spark_entry__ from elsewhere: the Python workers must still
+    import the package (shipped with addPyFile), or every mapInPandas step fails."""
+    import os
+    import subprocess
+    import sys
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    script = f"""
+import importlib.util
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+spec = importlib.util.spec_from_file_location("entry_mod", "{root}/__spark_entry__.py")
+E = importlib.util.module_from_spec(spec); spec.loader.exec_module(E)
+print("ROWS", E.queries()["generate_batch"](spark, "{SF_SMALL}").count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", script], cwd=tmp_dir, env=env, capture_output=True,
+                         text=True, timeout=600)
+    assert "ROWS" in out.stdout, out.stderr[-2000:]
+    assert int(out.stdout.split("ROWS")[1].split()[0]) > 0
