@@ -72,19 +72,28 @@ def char_ngrams(text, n: int) -> Column:
     return F.regexp_extract_all(_c(text), F.lit(f"(?s)(?=(.{{{n}}}))"), 1)
 
 
-def _tagged(grams: Column, n: int, side_pred: bool) -> Column:
-    return F.transform(grams, lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram"),
-                                                 F.lit(1 if side_pred else 0).alias("p"),
-                                                 F.lit(0 if side_pred else 1).alias("g")))
+def word_order(gram: Column) -> Column:
+    """Order of a word n-gram: its tokens hold no whitespace and are joined by single spaces."""
+    return (F.length(gram) - F.length(F.replace(gram, F.lit(" "), F.lit(""))) + 1).cast("int")
 
 
-def _clipped(df: DataFrame, key: list[str], pred: list[Column], gold: list[Column]) -> DataFrame:
-    """``(key..., n, gram, n_pred, n_gold)``: every order's grams of both sides are tagged and
-    exploded once per row, then counted with one aggregation by ``(key, n, gram)``."""
-    tagged = F.concat(*[_tagged(g, n, True) for n, g in enumerate(pred, 1)],
-                      *[_tagged(g, n, False) for n, g in enumerate(gold, 1)])
-    ex = explode_rows(df, list(key), tagged, "_e").select(*key, "_e.*")
-    return ex.groupBy(*key, "n", "gram").agg(F.sum("p").alias("n_pred"), F.sum("g").alias("n_gold"))
+def char_order(gram: Column) -> Column:
+    """Order of a character n-gram: its length."""
+    return F.length(gram).cast("int")
+
+
+def _clipped(df: DataFrame, key: list[str], pred: list[Column], gold: list[Column],
+             order_of=word_order) -> DataFrame:
+    """``(key..., n, gram, n_pred, n_gold)``: the grams of every order are concatenated per
+    side and tagged 1 (prediction) or 0 (gold) by zipping with a repeated tag - no per-element
+    lambda - then exploded once per row and counted with one aggregation by ``(key, gram)``.
+    A gram belongs to exactly one order, so ``n`` is read off the gram (``order_of``)."""
+    def tag(grams: Column, p: int) -> Column:
+        return F.arrays_zip(grams.alias("gram"), F.array_repeat(F.lit(p), F.size(grams)).alias("p"))
+    tagged = F.concat(tag(F.concat(*pred), 1), tag(F.concat(*gold), 0))
+    ex = explode_rows(df, list(key), tagged, "_e").select(*key, "_e.gram", "_e.p")
+    counts = ex.groupBy(*key, "gram").agg(F.sum("p").alias("n_pred"), F.sum(1 - F.col("p")).alias("n_gold"))
+    return counts.withColumn("n", order_of(F.col("gram")))
 
 
 def token_overlap(df: DataFrame, idx: str, pred: str, gold: str) -> DataFrame:
@@ -114,9 +123,10 @@ def qa_summary(scores: DataFrame) -> DataFrame:
                       F.avg("f1").alias("token_f1"), F.avg("pred_len").alias("avg_length"))
 
 
-def _order_stats(df: DataFrame, idx: str, pred_grams: list[Column], gold_grams: list[Column]) -> DataFrame:
+def _order_stats(df: DataFrame, idx: str, pred_grams: list[Column], gold_grams: list[Column],
+                 order_of=word_order) -> DataFrame:
     """Corpus sums per order ``n``: ``(n, hyp, ref, match)``."""
-    clipped = _clipped(df, [idx], pred_grams, gold_grams)
+    clipped = _clipped(df, [idx], pred_grams, gold_grams, order_of)
     return clipped.groupBy("n").agg(F.sum("n_pred").alias("hyp"), F.sum("n_gold").alias("ref"),
                                     F.sum(F.least("n_pred", "n_gold")).alias("match"))
 
@@ -165,7 +175,7 @@ def corpus_chrf(df: DataFrame, idx: str, pred: str, gold: str, order: int = CHRF
     t = spread(df, idx).select(idx, F.regexp_replace(_c(pred), WS_CLASS, "").alias("_p"),
                   F.regexp_replace(_c(gold), WS_CLASS, "").alias("_g"))
     stats = _order_stats(t, idx, [char_ngrams("_p", n) for n in range(1, order + 1)],
-                         [char_ngrams("_g", n) for n in range(1, order + 1)])
+                         [char_ngrams("_g", n) for n in range(1, order + 1)], char_order)
     per = stats.filter((F.col("hyp") > 0) & (F.col("ref") > 0)).select(
         (F.col("match") / F.col("hyp")).alias("p"), (F.col("match") / F.col("ref")).alias("r"))
     avg = per.agg(F.avg("p").alias("P"), F.avg("r").alias("R"))

@@ -91,3 +91,17 @@ def test_char_and_word_ngrams(spark):
         M.ngrams(F.array(F.lit("x")), 2).alias("none"))
     r = df.first()
     assert r.c == ["abc", "bcd"] and r.w == ["x y", "y z"] and r.none == []
+
+
+def test_gram_order_read_off_the_gram(spark):
+    from pyspark.sql import functions as F
+    from parlance.operators import metrics as M
+    df = spark.createDataFrame([("a b c", "xy z")], "w string, c string")
+    r = df.select(M.word_order(F.col("w")).alias("w"), M.char_order(F.col("c")).alias("c")).first()
+    assert (r["w"], r["c"]) == (3, 4)
+    # every order's grams of one side, counted by gram: a gram lands in exactly one order
+    t = df.select(F.lit(0).alias("idx"), M.ws_tokens("w").alias("p"), M.ws_tokens("w").alias("g"))
+    got = M._clipped(t, ["idx"], [M.ngrams("p", n) for n in (1, 2, 3)], [M.ngrams("g", n) for n in (1, 2)])
+    rows = sorted((r["n"], r["gram"], r["n_pred"], r["n_gold"]) for r in got.collect())
+    assert rows == [(1, "a", 1, 1), (1, "b", 1, 1), (1, "c", 1, 1), (2, "a b", 1, 1), (2, "b c", 1, 1),
+                    (3, "a b c", 1, 0)]
