@@ -43,7 +43,7 @@ def safe_slice(arr, start, length) -> Column:
 
 def ints_to_text(arr, sep: str = " ") -> Column:
     """Join an int array into text (oracle-friendly rendering of id/label/mask arrays)."""
-    return F.array_join(F.transform(_c(arr), lambda x: x.cast("string")), sep)
+    return F.array_join(_c(arr).cast("array<string>"), sep)
 
 
 def md5_key(*parts, seed=None) -> Column:

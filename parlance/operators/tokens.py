@@ -128,7 +128,7 @@ def encode(df: DataFrame, key: list[str], tokens: str, vocab: DataFrame,
                .agg(F.array_sort(F.collect_list(F.struct("_pos", F.coalesce("id", F.lit(UNK_ID)).alias("id"))))
                     .alias("_ids")))
     res = df.join(per_row, key, "left")
-    return res.withColumn(out, F.coalesce(F.transform("_ids", lambda s: s["id"]),
+    return res.withColumn(out, F.coalesce(F.col("_ids.id"),
                                           F.array().cast("array<int>"))).drop("_ids")
 
 
@@ -140,7 +140,7 @@ def label_mask(ids, source_len) -> Column:
 
 
 def supervised_count(labels) -> Column:
-    return F.size(F.filter(_c(labels), lambda x: x != IGNORE_INDEX))
+    return F.size(F.array_remove(_c(labels), IGNORE_INDEX))
 
 
 def truncate(ids, max_len: int) -> Column:
@@ -176,7 +176,7 @@ def decode(df: DataFrame, key: list[str], ids: str, vocab: DataFrame, out: str =
         j = j.filter(F.col("id") >= len(RESERVED_TOKENS))
     per_row = j.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("_pos", "token"))).alias("_t"))
     res = df.join(per_row, key, "left")
-    return res.withColumn(out, F.coalesce(F.array_join(F.transform("_t", lambda s: s["token"]), " "),
+    return res.withColumn(out, F.coalesce(F.array_join(F.col("_t.token"), " "),
                                           F.lit(""))).drop("_t")
 
 
