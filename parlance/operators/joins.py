@@ -7,7 +7,7 @@ AQE may still switch to a broadcast after measuring the materialized side.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_BROADCAST_ROWS = 100_000
@@ -41,10 +41,14 @@ def attach_documents(requests: DataFrame, documents: DataFrame, key: str,
     ``documents(request_id, pos, title, text)`` and ``n_documents``. ``max_documents`` keeps
     the first N by ``pos`` (a prompt-size option of the caller; default: all)."""
     d = documents.select(F.col(request_key).alias(key), "pos", "title", "text")
+    if max_documents is not None:
+        # Cut before collecting: Catalyst turns ``row_number() <= N`` into a WindowGroupLimit
+        # that also runs before the shuffle, so a request with a huge share of the documents
+        # sends at most N rows per task and its list is bounded by N.
+        w = Window.partitionBy(key).orderBy("pos")
+        d = d.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= max_documents).drop("_rn")
     per = (d.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "title", "text"))).alias("_d")))
     docs = F.transform("_d", lambda s: F.struct(s["title"].alias("title"), s["text"].alias("text")))
-    if max_documents is not None:
-        docs = F.slice(docs, 1, max_documents)
     out = requests.join(per, key, "left").withColumn(
         "documents", F.coalesce(docs, F.array().cast("array<struct<title:string,text:string>>")))
     return out.withColumn("n_documents", F.size("documents").cast("long")).drop("_d")

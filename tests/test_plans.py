@@ -107,3 +107,16 @@ print("ROWS", E.queries()["generate_batch"](spark, "{SF_SMALL}").count())
                          text=True, timeout=600)
     assert "ROWS" in out.stdout, out.stderr[-2000:]
     assert int(out.stdout.split("ROWS")[1].split()[0]) > 0
+
+
+def test_capped_documents_are_cut_before_collecting(spark):
+    """PRJ-11 with a cap: a request holding most documents keeps its first N by pos, and the
+    cut runs as a WindowGroupLimit (partial before the shuffle), not after collect_list."""
+    from parlance.operators.joins import attach_documents
+    req = spark.createDataFrame([(1,), (2,), (3,)], "rid long")
+    docs = spark.createDataFrame([(1, p, f"t{p}", f"x{p}") for p in range(500)] + [(2, 5, "a", "b"), (2, 1, "c", "d")],
+                                 "request_id long, pos int, title string, text string").repartition(4)
+    out = attach_documents(req, docs, "rid", max_documents=3)
+    got = sorted((r["rid"], r["n_documents"], [d["title"] for d in r["documents"]]) for r in out.collect())
+    assert got == [(1, 3, ["t0", "t1", "t2"]), (2, 2, ["c", "a"]), (3, 0, [])]
+    assert "WindowGroupLimit" in _plan(out)
