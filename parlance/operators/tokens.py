@@ -118,15 +118,28 @@ def hashed_ids(tokens, vocab_size: int) -> Column:
 
 
 def encode(df: DataFrame, key: list[str], tokens: str, vocab: DataFrame,
-           max_len: int | None = None, out: str = "ids") -> DataFrame:
+           max_len: int | None = None, out: str = "ids", carry: list[str] | None = None) -> DataFrame:
     """TOK-1 ids: ``tokens`` (cut on the right at ``max_len``) -> vocabulary ids; unknown
-    tokens map to ``<unk>``. Rows keep all their columns; rows with no tokens get ``[]``."""
+    tokens map to ``<unk>``; rows with no tokens get ``[]``.
+
+    Without ``carry`` the rows keep all their columns (the ids are joined back by ``key``).
+    With ``carry`` (small per-row columns such as lengths) those ride along the explode and the
+    result is ``key + carry + [out]`` straight from the regrouping: no join back, so the
+    tokens are not computed a second time for the other side of such a join, and with a
+    broadcast vocabulary the regrouping reuses the rows' partitioning by ``key``.
+    """
     toks = _c(tokens) if max_len is None else F.slice(_c(tokens), 1, max_len)
+    vid = F.struct("_pos", F.coalesce("id", F.lit(UNK_ID)).alias("id"))
+    if carry is not None:
+        # outer explode: a row without tokens keeps one null row (no inferred size filter either)
+        ex = df.select(*key, *carry, F.posexplode_outer(toks).alias("_pos", "token"))
+        j = ex.join(vocab.select("token", "id"), "token", "left")
+        per_row = j.groupBy(*key, *carry).agg(
+            F.array_sort(F.collect_list(F.when(F.col("_pos").isNotNull(), vid))).alias("_ids"))
+        return per_row.select(*key, *carry, F.col("_ids.id").alias(out))
     ex = explode_rows(df, key, toks, "token", "_pos")
     j = ex.join(vocab.select("token", "id"), "token", "left")
-    per_row = (j.groupBy(*key)
-               .agg(F.array_sort(F.collect_list(F.struct("_pos", F.coalesce("id", F.lit(UNK_ID)).alias("id"))))
-                    .alias("_ids")))
+    per_row = j.groupBy(*key).agg(F.array_sort(F.collect_list(vid)).alias("_ids"))
     res = df.join(per_row, key, "left")
     return res.withColumn(out, F.coalesce(F.col("_ids.id"),
                                           F.array().cast("array<int>"))).drop("_ids")

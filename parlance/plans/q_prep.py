@@ -279,9 +279,10 @@ def q_control_tags(spark, sf):
 
 # ---- BAT ------------------------------------------------------------------------------------
 def _batched(spark, sf):
-    rows, _ = _rows(spark, sf)
-    ranked = ordering.seeded_shuffle(rows, KEY, 42, "rank")
-    return batching.assign_batches(ranked, "rank", 8)
+    ex = sft.sft_examples(inputs.conversations(spark, sf))
+    ranked = ordering.seeded_shuffle(ex, KEY, 42, "rank")
+    rows, _ = sft.tokenize_examples(ranked, 128, sft.vocabulary_of(ex), carry=["rank"])
+    return batching.assign_batches(rows, "rank", 8)
 
 
 _BATCH_CTE = f"""WITH {tok_ctes()},

@@ -28,28 +28,42 @@ def sft_examples(conversations: DataFrame, mode: str = "qwen2", eos: str = templ
                         templates.render_target("output", mode, eos).alias("target"))
 
 
-def tokenize_examples(examples: DataFrame, max_len: int = 128, vocab: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """TOK-1/2/3: ids cut at ``max_len``, labels with the prompt masked. Returns (rows, vocab)."""
-    tok = spread(examples, *KEY).select(*KEY,
-                          tokens.split_tokens("source").alias("src_tokens"),
-                          tokens.split_tokens(F.concat("source", "target")).alias("full_tokens"))
+def tokenize_examples(examples: DataFrame, max_len: int = 128, vocab: DataFrame | None = None,
+                      carry: list[str] | tuple = ()) -> tuple[DataFrame, DataFrame]:
+    """TOK-1/2/3: ids cut at ``max_len``, labels with the prompt masked. Returns (rows, vocab)
+    with rows ``KEY + carry + [ids, labels, n_full, n_source]``.
+
+    ``carry`` names small per-example columns (e.g. a rank computed on the examples) to keep:
+    a row's tokens are computed once, and steps that only need the keys (such as a rank's
+    bucket counts) run on the examples instead of on tokenized rows."""
+    carry = list(carry)
+    tok = spread(examples, *KEY).select(*KEY, *carry,
+                                        tokens.split_tokens("source").alias("src_tokens"),
+                                        tokens.split_tokens(F.concat("source", "target")).alias("full_tokens"))
     if vocab is None:
         vocab = tokens.build_vocabulary(tok, "full_tokens")
-    enc = tokens.encode(tok, KEY, "full_tokens", vocab, max_len, "ids")
-    src_len = F.least(F.size("src_tokens"), F.lit(max_len))
-    out = (enc.withColumn("labels", tokens.label_mask("ids", src_len))
-           .withColumn("n_full", F.size("full_tokens").cast("long"))
-           .withColumn("n_source", F.size("src_tokens").cast("long"))
-           .drop("src_tokens", "full_tokens"))
+    sized = tok.select(*KEY, *carry, "full_tokens", F.size("full_tokens").cast("long").alias("n_full"),
+                       F.size("src_tokens").cast("long").alias("n_source"))
+    enc = tokens.encode(sized, KEY, "full_tokens", vocab, max_len, "ids", carry=[*carry, "n_full", "n_source"])
+    src_len = F.least(F.col("n_source").cast("int"), F.lit(max_len))
+    out = enc.select(*KEY, *carry, "ids", tokens.label_mask("ids", src_len).alias("labels"), "n_full", "n_source")
     return out, vocab
 
 
+def vocabulary_of(examples: DataFrame) -> DataFrame:
+    """TOK-2 over the examples' full text (source + target), independent of any order taken on
+    them."""
+    tok = spread(examples, *KEY).select(tokens.split_tokens(F.concat("source", "target")).alias("full_tokens"))
+    return tokens.build_vocabulary(tok, "full_tokens")
+
+
 def sft_batches(conversations: DataFrame, max_len: int = 128, seed: int = 42, batch_size: int = 8,
                 mode: str = "qwen2", pad_id: int = tokens.PAD_ID) -> DataFrame:
+    # The seeded order depends on the keys only, so it is taken on the examples and carried.
     examples = sft_examples(conversations, mode)
-    rows, _ = tokenize_examples(examples, max_len)
-    ranked = ordering.seeded_shuffle(rows, KEY, seed, "rank")
-    batched = (batching.assign_batches(ranked, "rank", batch_size)
+    ranked = ordering.seeded_shuffle(examples, KEY, seed, "rank")
+    rows, _ = tokenize_examples(ranked, max_len, vocabulary_of(examples), carry=["rank"])
+    batched = (batching.assign_batches(rows, "rank", batch_size)
                .withColumn("n_tokens", F.size("ids").cast("long")))
     padded = batching.pad_batch(batched, "ids", "labels", "batch_id", pad_id)
     return padded.select(
