@@ -120,3 +120,11 @@ def test_capped_documents_are_cut_before_collecting(spark):
     got = sorted((r["rid"], r["n_documents"], [d["title"] for d in r["documents"]]) for r in out.collect())
     assert got == [(1, 3, ["t0", "t1", "t2"]), (2, 2, ["c", "a"]), (3, 0, [])]
     assert "WindowGroupLimit" in _plan(out)
+
+
+def test_flagship_tokenizes_once(spark, entry_module):
+    """The vocabulary is a written table; the main job explodes the tokens once (no join back
+    of the ids to the tokenized rows, and the seeded order is taken on the examples)."""
+    df = entry_module.queries()["sft_batches"](spark, SF_SMALL)
+    plan = _plan(df)
+    assert plan.count("Generate") == 1
