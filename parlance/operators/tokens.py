@@ -180,10 +180,25 @@ def truncation_report(df: DataFrame, n_full: str, n_source: str, n_supervised: s
 
 
 def decode(df: DataFrame, key: list[str], ids: str, vocab: DataFrame, out: str = "text",
-           skip_special: bool = True) -> DataFrame:
-    """TOK-5: ids -> text joined by spaces, special tokens skipped."""
-    ex = explode_rows(df, key, ids, "id", "_pos")
+           skip_special: bool = True, carry: list[str] | None = None) -> DataFrame:
+    """TOK-5: ids -> text joined by spaces, special tokens skipped.
+
+    Without ``carry`` the rows keep all their columns (the text is joined back by ``key``);
+    with ``carry`` the result is ``key + carry + [out]`` straight from the regrouping, so the
+    rows (often a whole tokenizing plan) are not computed a second time for a join back."""
     v = vocab.select("id", F.replace("token", F.lit(NO_RETRIEVAL_PLACEHOLDER), F.lit("<No Retrieval>")).alias("token"))
+    if carry is not None:
+        # outer explode keeps rows without ids; skipped and padding rows become nulls, which
+        # collect_list drops
+        ex = df.select(*key, *carry, F.posexplode_outer(_c(ids)).alias("_pos", "id"))
+        keep = F.col("_pos").isNotNull()
+        if skip_special:
+            keep = keep & (F.col("id") >= len(RESERVED_TOKENS))
+        j = ex.join(v, "id", "left")
+        per_row = j.groupBy(*key, *carry).agg(
+            F.array_sort(F.collect_list(F.when(keep, F.struct("_pos", "token")))).alias("_t"))
+        return per_row.select(*key, *carry, F.array_join(F.col("_t.token"), " ").alias(out))
+    ex = explode_rows(df, key, ids, "id", "_pos")
     j = ex.join(v, "id", "left")
     if skip_special:
         j = j.filter(F.col("id") >= len(RESERVED_TOKENS))

@@ -234,7 +234,7 @@ SELECT l.conv_id, l.turn, coalesce((SELECT string_agg(replace(v.token, chr(57344
 def q_decode_tokens(spark, sf):
     """TOK-5: ids -> text via the vocabulary, special tokens skipped."""
     rows, vocab = _rows(spark, sf)
-    return K.decode(rows.select(*KEY, "ids"), KEY, "ids", vocab, "text").select(*KEY, "text")
+    return K.decode(rows.select(*KEY, "ids"), KEY, "ids", vocab, "text", carry=[]).select(*KEY, "text")
 
 
 _DOC_PROMPT = f"{lit('<|im_start|>user' + chr(10))} || text || {lit('<|im_end|>' + chr(10) + '<|im_start|>assistant' + chr(10))}"
