@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import chat_format, ngram_join, packing, quality_rules, token_files
+from parlance.llm import chat_format, ngram_join, packing, quality_rules, suffix_dedup, token_files
 from parlance.llm.common import prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,6 +92,12 @@ def op5(spark, sf_dir):
     return packing.pack(packing.token_pieces(table(spark, sf_dir, "documents"), "word_bpe_49k.json"))
 
 
+@query("op6_suffix_dedup")
+def op6(spark, sf_dir):
+    """What stays of every document without byte strings of 200 that start elsewhere too."""
+    return suffix_dedup.digests(table(spark, sf_dir, "documents"))
+
+
 @query("op8_token_files")
 def op8(spark, sf_dir):
     """Every document's place, length and checksum, read back from the bit-packed files."""
