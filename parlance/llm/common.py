@@ -30,6 +30,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+_NO_ID = -(1 << 63)
+
+
+def id_in(c: str = "doc_id") -> Column:
+    """A long id without nulls, so that pandas keeps it whole (null: the least long)."""
+    return F.coalesce(F.col(c).cast("long"), F.lit(_NO_ID)).alias(c)
+
+
+def id_out(c: str = "doc_id") -> Column:
+    return F.when(F.col(c) != _NO_ID, F.col(c)).alias(c)
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once: it becomes a lambda variable, so nested
     lambdas read it instead of carrying a copy of its expression."""

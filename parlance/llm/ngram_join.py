@@ -26,7 +26,7 @@ doc_id. Shingles and sets are identified by 64-bit hashes. Extra columns are ign
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import exp
 
 import numpy as np
@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parlance.llm.common import materialize
+from parlance.llm.common import id_in, id_out, materialize
 from parlance.llm.components import components
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -134,9 +134,10 @@ def set_table(docs: DataFrame, n: int) -> DataFrame:
                 sk.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
             sk = np.array(sk, np.int64).reshape(-1, 8)
             yield pdf.assign(n=size, sid=pd.array(sid, "Int64"), **{c: sk[:, i] for i, c in enumerate(SKETCH)})
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    d = docs.select(id_in(), F.col("text").cast("string").alias("text"))
     d = d.select("doc_id", F.xxhash64("text").alias("tid"), "text")
-    return d.mapInPandas(run, "doc_id long, tid long, n long, sid long, " + ", ".join(f"{c} long" for c in SKETCH))
+    return d.mapInPandas(run, "doc_id long, tid long, n long, sid long, " + ", ".join(f"{c} long" for c in SKETCH)
+                         ).withColumn("doc_id", id_out())
 
 
 def index_rows(docs: DataFrame, n: int, bands: Bands) -> DataFrame:
@@ -227,9 +228,11 @@ def _star(shared: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             .select(F.col("sid").alias("a"), F.col("centre").alias("b")))
 
 
-def _across(shared: DataFrame, sets: DataFrame, comp: DataFrame, percent: int, nearest: bool) -> DataFrame:
-    """Pairs that share a key, lie in different components and pass the filters: all of them, or
-    for each set the nearest in each key. A key's sets are compared block by block."""
+def across(shared: DataFrame, sets: DataFrame, comp: DataFrame, near: Callable, sketch: list[str], nearest: bool) -> DataFrame:
+    """Pairs of ``shared(key, sid)`` that share a key, lie in different components and pass
+    ``near(differing sketch bits, n, n)``: all of them, or for each set the nearest in each key.
+    A key's sets are compared block by block; pairs within a key's largest component are never
+    formed."""
     m = shared.distinct().join(comp.withColumnRenamed("id", "sid"), "sid", "left").select(
         "key", "sid", F.coalesce("component", "sid").alias("component"))
     open_ = m.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("sid").alias("g")).where("lo <> hi")
@@ -238,7 +241,7 @@ def _across(shared: DataFrame, sets: DataFrame, comp: DataFrame, percent: int, n
     m = m.withColumn("own", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
     m = m.select("key", "sid", "component", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     m = m.select("key", "sid", "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    m = m.join(sets.select("sid", "n", *SKETCH), "sid")
+    m = m.join(sets.select("sid", "n", *sketch), "sid")
     m = m.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def group(g: pd.DataFrame) -> pd.DataFrame | None:
@@ -247,16 +250,14 @@ def _across(shared: DataFrame, sets: DataFrame, comp: DataFrame, percent: int, n
         names, idx, count = np.unique(comp, return_inverse=True, return_counts=True)
         if len(names) < 2:
             return None
-        sk = g[SKETCH].to_numpy()
+        sk = np.ascontiguousarray(g[sketch].to_numpy()).view(np.uint64)  # bitwise_count takes absolute values
         out = []
         few = np.flatnonzero(idx != count.argmax())  # pairs within the largest component are settled
         for x in np.array_split(few, max(1, len(few) * len(sid) // 2_000_000)):
             d = np.zeros((len(x), len(sid)), np.int32)
-            for c in range(8):
+            for c in range(len(sketch)):
                 d += np.bitwise_count(sk[x, c][:, None] ^ sk[:, c][None, :])
-            both = n[x][:, None] + n[None, :]
-            ok = (comp[x][:, None] != comp[None, :]) & (d * (100 + percent) <= both * (100 - percent)) & \
-                (percent * np.maximum(n[x][:, None], n[None, :]) <= 100 * np.minimum(n[x][:, None], n[None, :]))
+            ok = (comp[x][:, None] != comp[None, :]) & near(d, n[x][:, None], n[None, :])
             if nearest:
                 best = np.where(ok, d, 1 << 20).argmin(1)
                 hit = ok[np.arange(len(x)), best]
@@ -281,7 +282,7 @@ def _across(shared: DataFrame, sets: DataFrame, comp: DataFrame, percent: int, n
             held = pdf.iloc[starts[-1]:]
         if held is not None and (p := group(held)) is not None:
             yield p
-    cols = ["key", "i", "j", "sid", "component", "n", *SKETCH]
+    cols = ["key", "i", "j", "sid", "component", "n", *sketch]
     return m.select(*cols).mapInPandas(run, "a long, b long").distinct()
 
 
@@ -300,9 +301,12 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     shared = materialize(shared_keys(index_rows(docs, n, bands)), "shared-keys")
     check = Verifier(docs, sets, n, percent)
     links = check.links(_star(shared, sets, percent))
+
+    def near(d, a, b):
+        return (d * (100 + percent) <= (a + b) * (100 - percent)) & (percent * np.maximum(a, b) <= 100 * np.minimum(a, b))
     for nearest in (True, False):
         comp = materialize(components(links), "components")
-        links = links.unionAll(check.links(_across(shared, sets, comp, percent, nearest)))
+        links = links.unionAll(check.links(across(shared, sets, comp, near, SKETCH, nearest)))
     comp = components(links)
     part = sets.join(comp.withColumnRenamed("id", "sid"), "sid", "left").select("sid", F.coalesce("component", "sid").alias("c"), "least")
     part = materialize(part, "parts")

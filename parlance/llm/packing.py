@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parlance.llm.common import encoder, materialize
+from parlance.llm.common import encoder, id_in, id_out, materialize
 
 CAPACITY = 2048
 
@@ -107,10 +107,9 @@ def token_pieces(docs: DataFrame, vocab_file: str, end_id: int = 0, capacity: in
                     n = len(b) // 4
                     rows.append((doc, i, a // 4, n, zlib.crc32(b), part, seen[n]))
                     seen[n] += 1
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "part", "k"])
-            yield out.astype({"doc_id": "Int64"})
+            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "part", "k"])
 
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    d = docs.select(id_in(), F.col("text").cast("string").alias("text"))
     return d.mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long, part int, k long")
 
 
@@ -136,5 +135,6 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
                 j = num - p["first"][i]
                 yield pdf.assign(sequence_id=p["base"][i] + j // p["k"][i], offset=p["at"][i] + j % p["k"][i] * n)
 
-    return numbered.mapInPandas(
+    placed = numbered.mapInPandas(
         run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return placed.withColumn("doc_id", id_out())

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import chat_format, ngram_join, packing, quality_rules, suffix_dedup, token_files
+from parlance.llm import chat_format, line_dedup, ngram_join, packing, quality_rules, suffix_dedup, token_files
 from parlance.llm.common import prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,6 +98,12 @@ def op6(spark, sf_dir):
     return suffix_dedup.digests(table(spark, sf_dir, "documents"))
 
 
+@query("op7_line_dedup")
+def op7(spark, sf_dir):
+    """Every document without lines that are equal or nearly equal to an earlier line."""
+    return line_dedup.report(table(spark, sf_dir, "documents"))
+
+
 @query("op8_token_files")
 def op8(spark, sf_dir):
     """Every document's place, length and checksum, read back from the bit-packed files."""

@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parlance.llm.common import materialize
+from parlance.llm.common import id_in, id_out, materialize
 from parlance.llm.ngram_join import mix
 
 LENGTH, GRAM = 200, 8
@@ -281,11 +281,10 @@ def digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             for doc, text, found in zip(pdf["doc_id"].tolist(), pdf["text"].tolist(), pdf["spans"]):
                 raw, kept, runs = _kept(text, found)
                 rows.append((doc, len(raw), len(raw) - len(kept), len(runs), hashlib.sha256(kept).hexdigest()))
-            out = pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-            yield out.astype({"doc_id": "Int64"})
-    d = _with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), length)
+            yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+    d = _with_spans(docs.select(id_in(), "text"), length)
     return d.select("row.doc_id", "text", "spans").mapInPandas(
-        run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+        run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string").withColumn("doc_id", id_out())
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:

@@ -10,7 +10,8 @@ block holds ``block`` ids (the last fewer) and starts on a byte, so ids ``a .. b
 their blocks alone. A document's ids lie in one file; a file is closed at ``FILE_IDS`` ids.
 
 Defined results: a null or empty text is its end id alone; equal doc_ids are ordered by text,
-null doc_ids come first; an empty table writes no file; extra columns are ignored.
+null doc_ids come first (in the
+files: the least long); an empty table writes no file; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm.common import encoder, parallelism
+from parlance.llm.common import encoder, id_in, id_out, parallelism
 from parlance.sources.io import scratch_path
 
 MAGIC, BLOCK = b"PBT1", 4096
@@ -101,7 +102,7 @@ def write_tokens(docs: DataFrame, out: str, vocab_file: str, vocab: int, end_id:
                     yield close()
                     held, ids, starts, size, file, start = [], [], [], 0, file + 1, start + size
                 held.append(raw + tail)
-                ids.append(None if pd.isna(doc) else int(doc))
+                ids.append(doc)
                 starts.append(size)
                 size += n
         if held:
@@ -109,7 +110,7 @@ def write_tokens(docs: DataFrame, out: str, vocab_file: str, vocab: int, end_id:
 
     spark = docs.sparkSession
     n = partitions or parallelism(spark)
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    d = docs.select(id_in(), F.col("text").cast("string").alias("text"))
     (d.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
      .mapInPandas(run, SCHEMA).write.mode("overwrite").parquet(out))
 
@@ -122,7 +123,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
             for part, start, docs, at, data in zip(pdf["part"], pdf["start"], pdf["doc_ids"], pdf["doc_starts"], pdf["data"]):
                 ids = read_file(data).astype("<u4")
                 at = np.append(np.asarray(at, np.int64), len(ids))
-                yield pd.DataFrame({"part": part, "doc_id": pd.array(docs, "Int64"), "rel": start + at[:-1],
+                yield pd.DataFrame({"part": part, "doc_id": docs, "rel": start + at[:-1],
                                     "n_tokens": np.diff(at),
                                     "ids_crc32": [zlib.crc32(ids[a:b]) for a, b in zip(at[:-1], at[1:])]})
 
@@ -135,7 +136,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     rows = files.select("part", "start", "doc_ids", "doc_starts", "data").mapInPandas(
         run, "part int, doc_id long, rel long, n_tokens long, ids_crc32 long")
     return rows.join(offsets, "part").select(
-        "doc_id", (F.col("base") + F.col("rel")).alias("start"), "n_tokens", "ids_crc32")
+        id_out(), (F.col("base") + F.col("rel")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def token_table(docs: DataFrame, vocab_file: str, vocab: int, end_id: int) -> DataFrame:
