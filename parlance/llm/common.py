@@ -62,51 +62,111 @@ _WIDE_SPACE = re.compile("[" + "".join(map(chr, (
 _SPACED = re.compile(rb" ?[^\s]+|\s+(?!\S)|\s+")
 
 
+#: ASCII symbols at the end of a chunk.
+_TAIL = re.compile(rb"[!-/:-@\[-`{-~]+$")
+
+
 class ChunkEncoder:
     """Whole texts to ids, equal to ``Tokenizer.encode(text, add_special_tokens=False)``.
 
     Neither vocabulary has a token across white space, so a text's ids are those of its chunks
     (``words``: runs of non-space; otherwise runs with the one space before them), and chunks
-    are encoded once per worker. The memory of known chunks is emptied at ``limit`` entries, so
-    it stays bounded. Texts in which the chunk rule may not hold (a special token's string, wide
-    white space) are encoded whole.
+    are encoded once as long as the worker remembers them. It remembers the chunks met since the
+    last two times that ``limit`` new ones had come in, so rare chunks pass and memory stays
+    bounded. Texts in which the chunk rule may not hold (a special token's string, wide white
+    space) are encoded whole.
     """
 
-    def __init__(self, path: str, words: bool, limit: int = 200_000):
+    def __init__(self, path: str, words: bool, limit: int = 150_000):
         import os
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(tokenizer_path(path))
         self.words, self.limit = words, limit
-        self.known: dict[bytes, bytes] = {}
+        self.new: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        # encoded by itself beside any chunk, as it has no letter and ends at white space
+        self.mark = b"\x01" if words else b"\n"
+        self.between = b" \x01 " if words else b"\n"
+        self.mark_id, = self.tok.encode(self.mark.decode(), add_special_tokens=False).ids
         self.special = [a.content.encode() for a in self.tok.get_added_tokens_decoder().values()]
 
     def _pack(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes()
-                for e in self.tok.encode_batch(texts, add_special_tokens=False)]
+                for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _parts(self, chunk: bytes) -> tuple[bytes, ...]:
+        """A chunk as word and the symbols after it, which no token joins to a letter or digit."""
+        m = _TAIL.search(chunk)
+        if m and m.start() and (last := chunk[:m.start()].decode()[-1]).isalpha() | (last.isascii() and last.isdigit()):
+            core = chunk[:m.start()]
+            return core.lower() if self.words else core, m.group()
+        return (chunk.lower() if self.words else chunk,)
+
+    def _learn(self, chunks: set[bytes]) -> None:
+        """Put the chunks' ids into ``new``, from ``old`` or by the tokenizer, many at a time."""
+        new, old = self.new, self.old
+        made, need = {}, set()
+        for c in chunks:
+            if (v := old.get(c)) is not None:
+                new[c] = v
+            else:
+                made[c] = p = self._parts(c)
+                need.update(p)
+        todo = []
+        for c in need:
+            if c not in new:
+                if (v := old.get(c)) is not None:
+                    new[c] = v
+                else:
+                    todo.append(c)
+        alone = [c for c in todo if self.mark in c or c.isspace()]
+        new.update(zip(alone, self._pack([c.decode() for c in alone])))
+        if alone:
+            todo = [c for c in todo if c not in new]
+        if todo:
+            # many at once, told apart by the mark's one id
+            texts = [self.between.join(todo[i:i + 500]).decode() for i in range(0, len(todo), 500)]
+            some = iter(todo)
+            for e in self.tok.encode_batch_fast(texts, add_special_tokens=False):
+                ids = np.array(e.ids, "<u4")
+                raw, at = ids.tobytes(), 0
+                for end in np.flatnonzero(ids == self.mark_id).tolist():
+                    new[next(some)] = raw[at:4 * end]
+                    at = 4 * end + 4
+                new[next(some)] = raw[at:]
+        for c, p in made.items():
+            new[c] = b"".join([new[x] for x in p])
 
     def batch(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text (null: none)."""
-        known = self.known
-        if len(known) > self.limit:
-            known.clear()
         out: list[bytes] = []
+        held, size = [], 0
         for text in texts:
-            if not text:
-                out.append(b"")
-                continue
-            raw = text.encode()
+            held.append(text)
+            size += len(text or "")
+            if size > 2_000_000:
+                out += self._some(held)
+                held, size = [], 0
+        return out + self._some(held)
+
+    def _some(self, texts: list[str | None]) -> list[bytes]:
+        if len(self.new) > self.limit:
+            self.new, self.old = {}, self.new
+        known, cut, whole = self.new, [], []
+        for i, text in enumerate(texts):
+            raw = (text or "").encode()
             if any(s in raw for s in self.special) or \
-                    (not self.words and len(raw) != len(text) and _WIDE_SPACE.search(text)):
-                out.append(self._pack([text])[0])
-                continue
-            chunks = raw.split() if self.words else _SPACED.findall(raw)
-            try:
-                out.append(b"".join([known[c] for c in chunks]))
-            except KeyError:
-                new = [c for c in set(chunks) if c not in known]
-                known.update(zip(new, self._pack([c.decode() for c in new])))
-                out.append(b"".join([known[c] for c in chunks]))
+                    (not self.words and len(raw) != len(text or "") and _WIDE_SPACE.search(text)):
+                whole.append(i)
+                raw = b""
+            cut.append(raw.split() if self.words else _SPACED.findall(raw))
+        if missing := {c for chunks in cut for c in chunks if c not in known}:
+            self._learn(missing)
+        get = known.__getitem__
+        out = [b"".join(map(get, chunks)) for chunks in cut]
+        for i in whole:
+            out[i] = self._pack([texts[i]])[0]
         return out
 
 
