@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import chat_format, line_dedup, ngram_join, packing, quality_rules, suffix_dedup, token_files
+from parlance.llm import ann, chat_format, line_dedup, ngram_join, packing, quality_rules, suffix_dedup, token_files
 from parlance.llm.common import prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,6 +55,13 @@ def op2(spark, sf_dir):
         "doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), "component_id")
 
 
+@query("op3_nn_descent")
+def op3(spark, sf_dir):
+    """The 20 nearest found of every vector whose vec_id is divisible by 20, among all others."""
+    v = ann.valid_vectors(table(spark, sf_dir, "embeddings"))
+    return ann.search(v, v.where(F.col("id") % 20 == 0).select("id"))
+
+
 OP4_SQL = r"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
