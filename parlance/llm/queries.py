@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import ann, chat_format, line_dedup, ngram_join, packing, quality_rules, suffix_dedup, token_files
-from parlance.llm.common import prepare, table
+from parlance.llm import ann, chat_format, line_dedup, ngram_join, packing, quality_rules, sentencepiece_scan, suffix_dedup, token_files, token_rollup
+from parlance.llm.common import materialize, prepare, table
+from parlance.sources.io import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -115,3 +116,30 @@ def op7(spark, sf_dir):
 def op8(spark, sf_dir):
     """Every document's place, length and checksum, read back from the bit-packed files."""
     return token_files.token_table(table(spark, sf_dir, "documents"), "byte_bpe_50k.json", 50257, 2)
+
+
+@query("op9_token_rollup")
+def op9(spark, sf_dir):
+    """Totals after three batches over all documents: every document inserted with its byte-BPE
+    count, documents labelled toxic deleted, all but English documents recounted by word BPE; the
+    first batch is delivered twice and counts once."""
+    docs = table(spark, sf_dir, "documents")
+    counts = materialize(token_rollup.count_tokens(docs, "byte_bpe_50k.json", False), "token-counts")
+    toxic = table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id").distinct()
+    other = "coalesce(lang, '') <> 'en'"
+    again = token_rollup.count_tokens(docs.where(other).join(toxic, "doc_id", "left_anti"), "word_bpe_49k.json", True, "n_new")
+    old = counts.where(other).join(toxic, "doc_id", "left_anti")
+    store = token_rollup.create(spark, scratch_path(spark, "rollup"))
+    load = token_rollup.inserts(counts, "byte_bpe_50k")
+    token_rollup.commit(store, "load", load)
+    token_rollup.commit(store, "withdrawn", token_rollup.deletes(counts.join(toxic, "doc_id", "left_semi"), "byte_bpe_50k"))
+    new = token_rollup.inserts(again, "word_bpe_49k", "n_new")
+    token_rollup.commit(store, "recount", token_rollup.deletes(old, "byte_bpe_50k").unionByName(new))
+    token_rollup.commit(store, "load", load)
+    return token_rollup.rollup(spark, store)
+
+
+@query("op10_sentencepiece_scan")
+def op10(spark, sf_dir):
+    """Every document's ids by the model's merges and by the best path over its pieces."""
+    return sentencepiece_scan.digests(sentencepiece_scan.encode(table(spark, sf_dir, "documents"), "piece_bpe_32k.model"))
