@@ -68,11 +68,6 @@ def url_quote(c) -> Column:
     return F.replace(e, F.lit("*"), F.lit("%2A"))
 
 
-def rsplit_dir(c) -> Column:
-    """``path.rsplit('/', 1)[0]``."""
-    return F.regexp_replace(_c(c), r"/[^/]*$", "")
-
-
 def explode_rows(df: DataFrame, keep: list, arr, value: str, pos: str | None = None) -> DataFrame:
     """``df.select(*keep, explode(arr))`` (or ``posexplode`` when ``pos`` is named), without
     moving the work that computes ``arr``.

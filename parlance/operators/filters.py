@@ -22,12 +22,6 @@ def empty_user_guard(last_role, last_content) -> Column:
     return F.coalesce((r == "user") & c.isNull(), F.lit(False))
 
 
-def last_message(messages) -> Column:
-    """Last element of a message array, or null for an empty/null array."""
-    m = F.col(messages) if isinstance(messages, str) else messages
-    return F.try_element_at(m, F.lit(-1))
-
-
 def human_agents(agents: DataFrame, flag: str = "is_human") -> DataFrame:
     """FLT-3: human participants only (a null flag is not human)."""
     return agents.filter(F.coalesce(F.col(flag), F.lit(False)))

@@ -6,22 +6,24 @@ row. The response dict has the chat-response shape (``id, model, content, finish
 reasoning_content, usage{total_tokens, prompt_tokens, completion_tokens}``) and may carry
 ``latency_s`` (server-side timing); otherwise wall-clock time is recorded.
 
-Parallelism comes from partitions (``mapInPandas``), not threads. Every input row leaves with a
-``status`` in ``ok, skipped, filtered, exhausted`` - never dropped (INF-2, INF-4). Calls are
-not idempotent, so ``generate_resumable`` writes results keyed by ``id`` to a table and
-resumes with an anti join (JN-2): a retried task or a rerun only calls pending rows.
+Parallelism comes from partitions (``mapInPandas``) and, for a model server, from ``concurrency``
+calls at a time inside a task. Every input row leaves with a ``status`` in ``ok, skipped,
+filtered, exhausted`` - never dropped (INF-2, INF-4). Calls are not idempotent and a lazy plan
+may run more than once, so results are written to a table and read from there:
+``generate_resumable`` commits it range by range and calls only rows without a final result.
 """
 
 from __future__ import annotations
 
-import hashlib
 import json
 import random
 import re
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,99 +34,82 @@ RESPONSE_DDL = ("struct<id:string,model:string,content:string,finish_reason:stri
                 "reasoning_content:string,usage:struct<total_tokens:bigint,prompt_tokens:bigint,"
                 "completion_tokens:bigint>,latency_s:double>")
 RESULT_SCHEMA = "id bigint, status string, attempts int, error string, elapsed_s double, raw_response string"
-STATUSES = ("ok", "skipped", "filtered", "exhausted")
+#: Results that a resumed run does not call again; ``exhausted`` rows are pending.
+FINAL = ("ok", "skipped", "filtered")
 
 _FILTER_RE = re.compile(CONTENT_FILTER_PATTERN)
 
 
-class EchoGenerator:
-    """Deterministic local generator for tests and benchmarks (not a model).
-
-    Reply: ``"Echo: "`` + the first 40 characters of the last user message. Usage counts
-    whitespace words. A fault plan keyed by ``md5("<key>:<attempt>")`` makes some attempts fail:
-    the first two hex-digit-derived percent buckets below ``filter_pct`` raise a content-filter
-    error, those below ``filter_pct + transient_pct`` a transient rate-limit error.
-    Latency is simulated as 1 ms per word and reported as ``latency_s``.
-    """
-
-    def __init__(self, model: str = "stub-echo", filter_pct: int = 10, transient_pct: int = 30,
-                 prefix_chars: int = 40):
-        self.model = model
-        self.filter_pct = filter_pct
-        self.transient_pct = transient_pct
-        self.prefix_chars = prefix_chars
-
-    def __call__(self):  # factory protocol: build one generator per task
-        return self._generate
-
-    @staticmethod
-    def fault_bucket(key, attempt: int) -> int:
-        return int(hashlib.md5(f"{key}:{attempt}".encode()).hexdigest()[:8], 16) % 100
-
-    def _generate(self, messages: list[dict], key=None, attempt: int = 1, **params) -> dict:
-        h = self.fault_bucket(key, attempt)
-        if h < self.filter_pct:
-            raise RuntimeError("InvalidRequestError: content is unsafe, so it was filtered")
-        if h < self.filter_pct + self.transient_pct:
-            raise RuntimeError("RateLimitError: too many requests")
-        last_user = next((m.get("content") or "" for m in reversed(messages) if m.get("role") == "user"), "")
-        content = "Echo: " + last_user[: self.prefix_chars]
-        prompt_tokens = sum(len((m.get("content") or "").split()) for m in messages)
-        completion_tokens = len(content.split())
-        return {"id": f"{self.model}-{key}-{attempt}", "model": self.model, "content": content,
-                "finish_reason": "stop", "reasoning_content": None,
-                "usage": {"total_tokens": prompt_tokens + completion_tokens,
-                          "prompt_tokens": prompt_tokens, "completion_tokens": completion_tokens},
-                "latency_s": 0.001 * (prompt_tokens + completion_tokens)}
-
-
 def call_with_retry(gen: Callable, messages: list[dict], key, max_try: int = 3,
                     backoff: tuple[float, float] = (10.0, 12.0), **params) -> tuple:
     """INF-2: up to ``max_try`` attempts; a content-filter error is terminal; other errors wait
     ``backoff`` seconds and retry. Returns ``(status, attempts, error, response, elapsed_s)``."""
-    last = None
+    last, spent = None, 0.0
     for attempt in range(1, max_try + 1):
         t0 = time.perf_counter()
         try:
             resp = gen(messages, key=key, attempt=attempt, **params)
             elapsed = resp.get("latency_s")
-            return "ok", attempt, None, resp, float(elapsed if elapsed is not None else time.perf_counter() - t0)
+            spent += float(elapsed if elapsed is not None else time.perf_counter() - t0)
+            return "ok", attempt, None, resp, spent
         except Exception as e:  # noqa: BLE001 - any failure is recorded on the row
-            last = f"Error: {e}, exception type: {type(e).__name__}"
+            spent += time.perf_counter() - t0
+            last = f"{type(e).__name__}: {e}"
             if _FILTER_RE.search(last):
-                return "filtered", attempt, last, None, 0.0
+                return "filtered", attempt, last, None, spent
             if attempt < max_try and backoff[1] > 0:
                 time.sleep(random.uniform(*backoff))
-    return "exhausted", max_try, last, None, 0.0
+    return "exhausted", max_try, last, None, spent
+
+
+def resolve_attempts(log: DataFrame, id_col: str = "id", attempt: str = "attempt", error: str = "error",
+                     max_try: int = 3) -> DataFrame:
+    """INF-2 over a table of attempts: ``id, status, attempts, error``. The first attempt that
+    answered (null error) or was filtered ends a row; ``max_try`` failures exhaust it; fewer leave
+    it ``pending``. Attempts after the end do not count."""
+    ends = F.col(error).isNull() | F.col(error).rlike(CONTENT_FILTER_PATTERN)
+    tries = log.where(F.col(attempt) <= max_try).withColumn("_last", F.struct(F.col(attempt).alias("n"), F.col(error).alias("e")))
+    per = tries.groupBy(id_col).agg(F.min(F.when(ends, F.col("_last"))).alias("_end"), F.max("_last").alias("_late"))
+    at = F.coalesce("_end", "_late")
+    status = (F.when(F.col("_end").isNotNull(), F.when(F.col("_end.e").isNull(), "ok").otherwise("filtered"))
+              .when(F.col("_late.n") >= max_try, "exhausted").otherwise("pending"))
+    return per.select(id_col, status.alias("status"), at["n"].cast("int").alias("attempts"), at["e"].alias("error"))
 
 
 def generate_batch(requests: DataFrame, factory: Callable, id_col: str = "id", messages: str = "messages",
                    params: dict | None = None, max_try: int = 3, backoff: tuple[float, float] = (10.0, 12.0),
-                   partitions: int | None = None) -> DataFrame:
+                   partitions: int | None = None, params_col: str | None = None, concurrency: int = 1) -> DataFrame:
     """INF-1: one call per request row (``messages`` = array<struct<role,content>>).
 
     FLT-2 rows (last message a user message with null content) are ``skipped`` without a call.
     Output: ``id, status, attempts, error, elapsed_s, raw_response`` (JSON text; parse with
-    ``flatten_response``). ``partitions`` round-robins requests to spread slow calls.
+    ``flatten_response``). Requests are dealt round-robin to ``partitions`` tasks (by default four
+    per core of the cluster), because calls are slow and rows small. ``params_col`` names a column
+    of JSON text with a request's own parameters, which go over ``params``; ``concurrency`` calls
+    run at a time in a task.
     """
     params = dict(params or {})
-    src = requests.select(F.col(id_col).cast("long").alias("id"), F.to_json(messages).alias("_msgs"))
-    if partitions:
-        src = src.repartition(partitions)
+    own = F.col(params_col) if params_col else F.lit(None).cast("string")
+    src = requests.select(F.col(id_col).cast("long").alias("id"), F.to_json(messages).alias("_msgs"), own.alias("_params"))
+    src = src.repartition(partitions or 4 * requests.sparkSession.sparkContext.defaultParallelism)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         gen = factory()
-        for pdf in batches:
-            out = []
-            for key, msgs_json in zip(pdf["id"], pdf["_msgs"]):
-                msgs = json.loads(msgs_json) if msgs_json else []
-                if not msgs or (msgs[-1].get("role") == "user" and msgs[-1].get("content") is None):
-                    out.append((key, "skipped", 0, None, 0.0, None))
-                    continue
-                status, attempts, err, resp, el = call_with_retry(gen, msgs, key, max_try, backoff, **params)
-                out.append((key, status, attempts, err, el,
-                            None if resp is None else json.dumps(resp, ensure_ascii=False)))
-            yield pd.DataFrame(out, columns=["id", "status", "attempts", "error", "elapsed_s", "raw_response"])
+
+        def one(row) -> tuple:
+            key, msgs_json, own_json = row
+            msgs = json.loads(msgs_json) if msgs_json else []
+            if not msgs or (msgs[-1].get("role") == "user" and msgs[-1].get("content") is None):
+                return key, "skipped", 0, None, 0.0, None
+            kw = params | (json.loads(own_json) if own_json else {})
+            status, attempts, err, resp, el = call_with_retry(gen, msgs, key, max_try, backoff, **kw)
+            return key, status, attempts, err, el, None if resp is None else json.dumps(resp, ensure_ascii=False)
+
+        with ThreadPoolExecutor(concurrency) as pool:
+            for pdf in batches:
+                rows = zip(pdf["id"], pdf["_msgs"], pdf["_params"])
+                out = list(pool.map(one, rows) if concurrency > 1 else map(one, rows))
+                yield pd.DataFrame(out, columns=["id", "status", "attempts", "error", "elapsed_s", "raw_response"])
 
     return src.mapInPandas(run, RESULT_SCHEMA)
 
@@ -142,21 +127,33 @@ def flatten_response(results: DataFrame, raw: str = "raw_response") -> DataFrame
         F.col("_r.usage.total_tokens").alias("total_tokens"))
 
 
+def _stored(spark, out_path: str) -> DataFrame | None:
+    try:
+        return spark.read.schema(RESULT_SCHEMA).parquet(out_path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def generate_resumable(requests: DataFrame, factory: Callable, out_path: str, id_col: str = "id",
-                       messages: str = "messages", **kw) -> DataFrame:
-    """INF-1 + JN-2 + SNK: generate only rows without a stored final result, append them to
-    ``out_path`` (a table in the shared checkpoint folder), and read the table back, keeping
-    one row per id (first by attempts). Killing and rerunning gives the same table."""
+                       messages: str = "messages", ranges: int = 8, **kw) -> DataFrame:
+    """INF-1 + JN-2 + SNK: generate the rows without a final result (``FINAL``), append them to
+    ``out_path`` and read the table back, one row per id (``ok`` first, then fewest attempts).
+
+    Rows are called and committed in ``ranges`` parts by a hash of the id, so a job that dies
+    loses at most the calls of the part it was in; a rerun calls only what is pending."""
     spark = requests.sparkSession
-    try:
-        done = spark.read.parquet(out_path)
-        pending = requests.join(done.select(F.col("id").alias(id_col)), id_col, "left_anti")
-    except Exception:  # noqa: BLE001 - no table yet
-        pending = requests
-    generate_batch(pending, factory, id_col, messages, **kw).write.mode("append").parquet(out_path)
-    stored = spark.read.parquet(out_path)
-    return stored.groupBy("id").agg(F.min_by(F.struct(*[c for c in stored.columns if c != "id"]),
-                                             F.col("attempts")).alias("r")).select("id", "r.*")
+    part = F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(ranges))
+    for r in range(ranges):
+        todo = requests.where(part == r)
+        done = _stored(spark, out_path)
+        if done is not None:
+            todo = todo.join(done.where(F.col("status").isin(*FINAL)).select(F.col("id").alias(id_col)), id_col, "left_anti")
+        generate_batch(todo, factory, id_col, messages, **kw).write.mode("append").parquet(out_path)
+    stored = _stored(spark, out_path)
+    order = F.struct((F.col("status") != "ok").alias("a"), (~F.col("status").isin(*FINAL)).alias("b"), "attempts")
+    return stored.groupBy("id").agg(F.min_by(F.struct(*[c for c in stored.columns if c != "id"]), order).alias("r")).select("id", "r.*")
 
 
 def last_segment(text, marker: str = "assistant") -> Column:

@@ -1,8 +1,6 @@
 """Lookups and merges expressed as joins (JN-*, SET-1).
 
-Equi-joins are left to Catalyst/AQE: a side is broadcast only when it is proven small, either
-by construction or by ``bounded_broadcast`` (a capped count) - otherwise a shuffle join runs and
-AQE may still switch to a broadcast after measuring the materialized side.
+Equi-joins are left to Catalyst/AQE, which broadcasts a side only after measuring it.
 """
 
 from __future__ import annotations
@@ -10,16 +8,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BROADCAST_ROWS = 100_000
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` only if it has at most ``max_rows`` rows (checked with a capped count
-    that stops after ``max_rows + 1`` rows); otherwise return it unchanged."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def attach_outputs(sources: DataFrame, results: DataFrame, idx: str = "idx") -> DataFrame:
     """JN-1: result ``j`` onto source row ``j`` - by an explicit index, never by position."""
     return sources.join(results, idx, "left")

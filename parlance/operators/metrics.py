@@ -164,7 +164,9 @@ def corpus_bleu(df: DataFrame, idx: str, pred: str, gold: str, order: int = BLEU
         tot = tot + F.when(alive, lg).otherwise(0.0)
     sys_len, ref_len = F.col("sys_len"), F.col("ref_len")
     bp = F.when(sys_len >= ref_len, F.lit(1.0)).when(sys_len == 0, F.lit(0.0)).otherwise(F.exp(1 - ref_len / sys_len))
-    bleu = F.when(eff == 0, F.lit(0.0)).otherwise(bp * F.exp(tot / eff))
+    # without a matching word, or without n-grams of some order, there is no score
+    none = (eff < order) | (F.coalesce(F.col("s1.match"), F.lit(0)) == 0)
+    bleu = F.when(none, F.lit(0.0)).otherwise(bp * F.exp(tot / eff))
     return j.select(bleu.alias("bleu"), bp.alias("bp"), sys_len.cast("long").alias("sys_len"),
                     ref_len.cast("long").alias("ref_len"), *[p.alias(f"p{n}") for n, p in enumerate(precs, 1)])
 

@@ -24,9 +24,3 @@ def first_n(df: DataFrame, n: int, idx: str = "idx") -> DataFrame:
     """ORD-3: the first ``n`` examples by ``idx`` (TakeOrderedAndProject: per-task top-n, then
     a merge of n rows per task)."""
     return df.orderBy(idx).limit(n)
-
-
-def top_k_items(arr, k: int = 5) -> Column:
-    """ORD-4: the first ``k`` items of an array (``periods[:5]``)."""
-    c = F.col(arr) if isinstance(arr, str) else arr
-    return F.slice(c, 1, k)

@@ -63,11 +63,12 @@ def alert_reports(requests: DataFrame, docs: DataFrame, key: str = "state") -> D
 
 
 def format_period(p: Column) -> Column:
-    """One forecast period (GEO-3)."""
+    """One forecast period (GEO-3); a null field reads ``None``."""
     i = PERIOD_INDENT
-    return F.concat(F.lit(f"\n{i}"), p["name"], F.lit(f":\n{i}Temperature: "), p["temperature"].cast("string"),
-                    F.lit("°"), p["temperatureUnit"], F.lit(f"\n{i}Wind: "), p["windSpeed"], F.lit(" "),
-                    p["windDirection"], F.lit(f"\n{i}Forecast: "), p["detailedForecast"], F.lit(f"\n{i}"))
+    f = lambda name: F.coalesce(p[name].cast("string"), F.lit(PYTHON_NONE))
+    return F.concat(F.lit(f"\n{i}"), f("name"), F.lit(f":\n{i}Temperature: "), f("temperature"),
+                    F.lit("°"), f("temperatureUnit"), F.lit(f"\n{i}Wind: "), f("windSpeed"), F.lit(" "),
+                    f("windDirection"), F.lit(f"\n{i}Forecast: "), f("detailedForecast"), F.lit(f"\n{i}"))
 
 
 def top_periods(periods, k: int = PERIODS_SHOWN) -> Column:

@@ -68,6 +68,24 @@ class ToolRegistry:
         return spark.createDataFrame(
             rows, "server_pos int, server string, name string, description string, parameters string")
 
+    def accepts(self, name: Column, args: Column) -> Column:
+        """Whether the arguments hold every required property of the named tool with its type (a
+        whole number for ``integer``)."""
+        expr, seen = None, set()
+        for t in self._tools:
+            if t.name in seen:
+                continue
+            seen.add(t.name)
+            schema, ok = json.loads(t.parameters), F.lit(True)
+            for key in schema.get("required", []):
+                kind = schema.get("properties", {}).get(key, {}).get("type")
+                if kind == "integer":
+                    ok = ok & F.coalesce(_arg(args, key, "bigint").cast("double") == _arg(args, key, "double"), F.lit(False))
+                else:
+                    ok = ok & _arg(args, key, "double" if kind == "number" else "string").isNotNull()
+            expr = F.when(name == t.name, ok) if expr is None else expr.when(name == t.name, ok)
+        return F.coalesce(expr, F.lit(True)) if expr is not None else F.lit(True)
+
     def dispatch(self, name: Column, args: Column) -> Column:
         """TL-6: the result text of every call, ``null`` for an unknown name. The first
         registration of a name wins (server order)."""
@@ -89,23 +107,23 @@ def _arg(args: Column, key: str, dtype: str = "string") -> Column:
 # ---- The reference's tools, as Column builders -------------------------------------------------
 BUILTIN = ToolRegistry()
 
-_LOCATION = {"type": "string", "description": "The location to get the temperature for."}
+_LOCATION = {"type": "string", "description": "Name of the place."}
 
 
-@BUILTIN.register("add", "Add two numbers",
+@BUILTIN.register("add", "Sum of two whole numbers",
                   {"type": "object", "properties": {"a": {"type": "integer", "title": "A"},
                                                     "b": {"type": "integer", "title": "B"}},
                    "required": ["a", "b"]}, server="mcp")
 def _add(args: Column) -> Column:
-    return (_arg(args, "a", "bigint") + _arg(args, "b", "bigint")).cast("string")
+    return F.try_add(_arg(args, "a", "bigint"), _arg(args, "b", "bigint")).cast("string")
 
 
 @BUILTIN.register("get_current_temperature",
-                  "Get the current temperature at a location.",
+                  "Temperature now at a place.",
                   {"type": "object", "properties": {
                       "location": _LOCATION,
                       "unit": {"type": "string", "enum": ["celsius", "fahrenheit"], "default": "celsius",
-                               "description": "The unit to return the temperature in."}},
+                               "description": "Scale of the answer."}},
                    "required": ["location"]}, server="mcp")
 def _temperature(args: Column) -> Column:
     return F.to_json(F.struct(_arg(args, "location").alias("location"),
@@ -114,7 +132,7 @@ def _temperature(args: Column) -> Column:
 
 
 @BUILTIN.register("get_current_wind_speed",
-                  "Get the current wind speed in km/h at a given location.",
+                  "Wind speed now at a place, in km/h.",
                   {"type": "object", "properties": {"location": _LOCATION}, "required": ["location"]},
                   server="functions")
 def _wind(args: Column) -> Column:
@@ -124,10 +142,10 @@ def _wind(args: Column) -> Column:
 
 # Same name on a second server: the first registration (server "mcp") serves calls.
 @BUILTIN.register("get_current_temperature",
-                  "Get the current temperature at a location.",
+                  "Temperature now at a place.",
                   {"type": "object", "properties": {
                       "location": {"type": "string",
-                                   "description": 'The location, in the format "City, Country"'},
+                                   "description": 'Place as "City, Country"'},
                       "unit": {"type": "string", "enum": ["celsius", "fahrenheit"]}},
                    "required": ["location", "unit"]}, server="functions")
 def _temperature2(args: Column) -> Column:
@@ -135,10 +153,9 @@ def _temperature2(args: Column) -> Column:
 
 
 @BUILTIN.register("my_image_gen",
-                  "AI painting (image generation) service, input text description, and return the "
-                  "image URL drawn based on text information.",
+                  "Paints a picture from words and gives the address of the image.",
                   {"type": "object", "properties": {"prompt": {
-                      "type": "string", "description": "Detailed description of the desired image content, in English"}},
+                      "type": "string", "description": "What the picture should show, in English"}},
                    "required": ["prompt"]}, server="agent")
 def _image(args: Column) -> Column:
     return image_url_json(_arg(args, "prompt"))
@@ -150,17 +167,6 @@ def image_url_json(prompt: Column, base: str = IMAGE_URL_BASE) -> Column:
 
 
 # ---- Catalog shapes ------------------------------------------------------------------------------
-def function_shape(name="name", description="description", parameters="parameters") -> Column:
-    """TL-1: ``{"type": "function", "function": {name, description, parameters}}``."""
-    return F.struct(F.lit("function").alias("type"),
-                    F.struct(F.col(name).alias("name"), F.col(description).alias("description"),
-                             F.parse_json(F.col(parameters)).alias("parameters")).alias("function"))
-
-
-def block_shape(name="name", description="description", parameters="parameters") -> Column:
-    """TL-2: ``{name, description, input_schema}``."""
-    return F.struct(F.col(name).alias("name"), F.col(description).alias("description"),
-                    F.parse_json(F.col(parameters)).alias("input_schema"))
 
 
 def unique_catalog(catalog: DataFrame) -> DataFrame:
@@ -173,8 +179,7 @@ def unique_catalog(catalog: DataFrame) -> DataFrame:
 def tools_per_request(calls: DataFrame, catalog: DataFrame, request: str, shape: str = "function") -> DataFrame:
     """TL-1 / TL-2 per request: the definitions of the tools a request may use (the distinct
     known names among its calls), sorted by name, as one JSON array."""
-    from parlance.operators.joins import bounded_broadcast
-    cat = bounded_broadcast(unique_catalog(catalog))
+    cat = unique_catalog(catalog)
     used = calls.select(request, "name").distinct().join(cat, "name", "inner")
     # Sort plain strings (VARIANT has no order), then shape each entry.
     per = used.groupBy(request).agg(
@@ -219,17 +224,16 @@ def parse_tool_args(arguments) -> Column:
 
 def route_tool_calls(calls: DataFrame, catalog: DataFrame, name: str = "name") -> DataFrame:
     """JN-4: each call's tool by name (first server wins); ``status`` ``routed`` or
-    ``unknown_tool``. The catalog side is broadcast only after its size is checked."""
-    from parlance.operators.joins import bounded_broadcast
-    cat = bounded_broadcast(unique_catalog(catalog).select(F.col("name").alias(name), "server"))
+    ``unknown_tool``."""
+    cat = unique_catalog(catalog).select(F.col("name").alias(name), "server")
     out = calls.join(cat, name, "left")
     return out.withColumn("route_status", F.when(F.col("server").isNull(), "unknown_tool").otherwise("routed"))
 
 
 def dispatch_tools(calls: DataFrame, registry: ToolRegistry = BUILTIN, name: str = "name",
                    arguments: str = "arguments") -> DataFrame:
-    """TL-6: evaluate every call. ``status``: ``unknown_tool``, ``bad_arguments`` (not JSON),
-    ``ok``; ``result`` is the tool's text, null unless ok."""
+    """TL-6: evaluate every call. ``status``: ``unknown_tool``, ``bad_arguments`` (not JSON, a required
+    argument missing or of another type, or no result), ``ok``; ``result`` is the tool's text, null unless ok."""
     known = F.col(name).isin(sorted({t.name for t in registry.tools}))
     # The arguments are parsed once, in their own projection: status and every tool branch
     # read the parsed value (Catalyst keeps a non-cheap column referenced several times
@@ -237,10 +241,12 @@ def dispatch_tools(calls: DataFrame, registry: ToolRegistry = BUILTIN, name: str
     parsed = calls.withColumn("_args", parse_tool_args(arguments))
     args = F.col("_args")
     status = (F.when(~F.coalesce(known, F.lit(False)), "unknown_tool")
-              .when(args.isNull(), "bad_arguments").otherwise("ok"))
-    return (parsed.withColumn("status", status)
-            .withColumn("result", F.when(F.col("status") == "ok", registry.dispatch(F.col(name), args)))
-            .drop("_args"))
+              .when(args.isNull() | ~registry.accepts(F.col(name), args), "bad_arguments").otherwise("ok"))
+    done = (parsed.withColumn("status", status)
+            .withColumn("result", F.when(F.col("status") == "ok", registry.dispatch(F.col(name), args))))
+    # a tool that cannot answer (an overflow, say) had bad arguments
+    return done.withColumn("status", F.when((F.col("status") == "ok") & F.col("result").isNull(), "bad_arguments")
+                           .otherwise(F.col("status"))).drop("_args")
 
 
 def tool_messages(results: DataFrame, call_id: str = "call_id", content: str = "result") -> DataFrame:
@@ -283,11 +289,12 @@ def tool_turn_messages(prior: Column, assistant_content: Column, calls: Column,
 def flatten_blocks(blocks) -> Column:
     """TL-8: content blocks -> text lines: a text block's text; a tool_use block's
     ``[Calling tool N with args A]`` line followed by the text of the response that came after
-    that call. Lines joined by newline (null parts skipped)."""
+    that call. Lines joined by newline (null texts skipped; a null name or input reads ``None``)."""
     b = F.col(blocks) if isinstance(blocks, str) else blocks
     lines = F.transform(b, lambda x: F.when(
         x["type"] == "text", F.array(x["text"])).when(
         x["type"] == "tool_use",
-        F.array(F.concat(F.lit("[Calling tool "), x["name"], F.lit(" with args "), x["input"], F.lit("]")),
+        F.array(F.concat(F.lit("[Calling tool "), F.coalesce(x["name"], F.lit("None")), F.lit(" with args "),
+                         F.coalesce(x["input"], F.lit("None")), F.lit("]")),
                 x["follow_up"])).otherwise(F.array().cast("array<string>")))
     return F.array_join(F.flatten(lines), "\n")

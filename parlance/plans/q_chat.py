@@ -43,8 +43,9 @@ def mention_texts(spark, sf) -> DataFrame:
     """Messages ``(conv_id, turn, content)`` with ``@`` mentions of customer-named agents:
     none, one, two with a repeat, or a leading name plus an unknown ``@Nobody``."""
     c = inputs.conversations(spark, sf)
-    a = _agent_name(F.pmod(F.col("conv_id") * 7 + F.col("turn"), F.lit(150)))
-    b = _agent_name(F.pmod(F.col("conv_id") * 13 + F.col("turn") * 3, F.lit(150)))
+    n = inputs.group_agents(spark, sf).agg(F.count(F.lit(1))).scalar()
+    a = _agent_name(F.pmod(F.col("conv_id") * 7 + F.col("turn"), n))
+    b = _agent_name(F.pmod(F.col("conv_id") * 13 + F.col("turn") * 3, n))
     m = F.pmod("turn", F.lit(4))
     content = (F.when(m == 0, F.col("text"))
                .when(m == 1, F.concat(F.lit("@"), a, F.lit(" "), "text"))
@@ -58,9 +59,9 @@ def _name_sql(x: str) -> str:
 
 
 _MT_SQL = f"""mt AS (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN text
-    WHEN 1 THEN '@' || {_name_sql('(conv_id * 7 + turn) % 150')} || ' ' || text
-    WHEN 2 THEN 'Hi @' || {_name_sql('(conv_id * 7 + turn) % 150')} || ' and @' || {_name_sql('(conv_id * 13 + turn * 3) % 150')} || ', ' || text || ' @' || {_name_sql('(conv_id * 7 + turn) % 150')}
-    ELSE {_name_sql('(conv_id * 13 + turn * 3) % 150')} || ' says @Nobody ' || text END AS content FROM conversations),
+    WHEN 1 THEN '@' || {_name_sql('(conv_id * 7 + turn) % (SELECT count(*) FROM customer)')} || ' ' || text
+    WHEN 2 THEN 'Hi @' || {_name_sql('(conv_id * 7 + turn) % (SELECT count(*) FROM customer)')} || ' and @' || {_name_sql('(conv_id * 13 + turn * 3) % (SELECT count(*) FROM customer)')} || ', ' || text || ' @' || {_name_sql('(conv_id * 7 + turn) % (SELECT count(*) FROM customer)')}
+    ELSE {_name_sql('(conv_id * 13 + turn * 3) % (SELECT count(*) FROM customer)')} || ' says @Nobody ' || text END AS content FROM conversations),
 agents AS (SELECT c_custkey AS pos, c_name AS name FROM customer),
 pieces AS (SELECT conv_id, turn, unnest(range(len(string_split(content, '@')))) AS pp, unnest(string_split(content, '@')) AS piece
   FROM mt WHERE contains(content, '@')),
@@ -170,13 +171,15 @@ def config_events(spark, sf) -> DataFrame:
 l AS (SELECT user_id, agent, min(seq) AS f, arg_max(description, seq) AS description, arg_max(instructions, seq) AS instructions
   FROM e WHERE kind = 'role_config' GROUP BY ALL),
 bg AS (SELECT user_id, arg_max(description, seq) AS background FROM e WHERE kind = 'background' GROUP BY ALL)
-SELECT l.user_id, CAST(row_number() OVER (PARTITION BY l.user_id ORDER BY f, agent) - 1 AS INTEGER) AS pos, agent AS name,
-  description, instructions, bg.background FROM l LEFT JOIN bg USING (user_id)""")
+SELECT user_id, pos, name, description, instructions, background FROM (
+  SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY f, agent) - 1 AS INTEGER) AS pos, agent AS name,
+    description, instructions FROM l) FULL JOIN bg USING (user_id)""")
 def q_config_upsert(spark, sf):
-    """CH-3: agents replaced in place or appended by config events; last background wins."""
+    """CH-3: agents replaced in place or appended by config events; last background wins; a group
+    that has only a background keeps it (agent fields null)."""
     agents, bg = CV.config_upsert(config_events(spark, sf), "user_id", "seq", "kind", "agent",
                                   ["description", "instructions"])
-    return agents.join(bg, "user_id", "left")
+    return agents.join(bg, "user_id", "full_outer")
 
 
 @query("human_name", """SELECT c_nationkey, c_mktsegment, coalesce(arg_min(c_name, c_custkey) FILTER (WHERE c_acctbal < -500), 'user') AS human_name

@@ -1,5 +1,5 @@
-"""Registered queries: batch generation with the deterministic local generator (INF-*, JN-1/2,
-SET-1, PRJ-10, FLT-2, FLT-4, AGG-1..3)."""
+"""Registered queries: batch generation (INF-*, JN-1/2, SET-1, PRJ-10, FLT-2) with a user's generator,
+and reports over stored results (INF-2..4, FLT-4, AGG-1..3), which ``events`` stand in for."""
 
 from __future__ import annotations
 
@@ -12,42 +12,41 @@ from parlance.plans.q_prep import IDX_SQL
 from parlance.plans.q_sft import PAIRS_SQL
 from parlance.plans.registry import query
 from parlance.plans.sqltext import strip
+from parlance.sources.io import materialize
 
-STUB = G.EchoGenerator()
 NO_WAIT = (0.0, 0.0)
 SETTINGS = {"temperature": 0.4, "do_sample": True, "max_new_tokens": 1024, "top_k": 40, "top_p": 0.85,
             "repetition_penalty": 1.05}
 
 
-def _wc(x: str) -> str:
-    s = strip(x)
-    return f"(CASE WHEN {s} = '' THEN 0 ELSE len(string_split_regex({s}, '{WS_CLASS}+')) END)"
+class ReverseWords:
+    """A user's generator factory (UDF-3): the reply is the words of the last user message in
+    reverse order. Any picklable factory with this call shape plugs into INF-1."""
 
+    def __call__(self):
+        def gen(messages, key=None, attempt=1, **params):
+            last = next((m.get("content") or "" for m in reversed(messages) if m.get("role") == "user"), "")
+            content = " ".join(reversed(last.split()))
+            n_in, n_out = sum(len((m.get("content") or "").split()) for m in messages), len(content.split())
+            return {"id": f"reverse-{key}", "model": params.get("model", "reverse-words"), "content": content, "finish_reason": "stop",
+                    "reasoning_content": None,
+                    "usage": {"total_tokens": n_in + n_out, "prompt_tokens": n_in, "completion_tokens": n_out}}
+        return gen
 
-def _h(a: int) -> str:
-    return f"CAST(('0x' || substr(md5(CAST(id AS VARCHAR) || ':{a}'), 1, 8)) AS UBIGINT) % 100"
+
+def _ws_sql(x: str) -> str:
+    s = strip(x)
+    return f"(CASE WHEN {s} = '' THEN []::VARCHAR[] ELSE string_split_regex({s}, '{WS_CLASS}+') END)"
 
 
 _SYS = T.DEFAULT_SYSTEM_INFERENCE
 GEN_CTES = f"""{IDX_SQL},
 req AS (SELECT idx AS id, conv_id, turn, input, output, original_events FROM (
   SELECT *, CAST(to_json({{'conv_id': conv_id, 'turn': turn}}) AS VARCHAR) AS original_events, instruction AS input FROM idxd)),
-hh AS (SELECT *, {_h(1)} AS h1, {_h(2)} AS h2, {_h(3)} AS h3 FROM req),
-st AS (SELECT *,
-  CASE WHEN h1 < 10 THEN 'filtered' WHEN h1 >= 40 THEN 'ok' WHEN h2 < 10 THEN 'filtered' WHEN h2 >= 40 THEN 'ok'
-       WHEN h3 < 10 THEN 'filtered' WHEN h3 >= 40 THEN 'ok' ELSE 'exhausted' END AS status,
-  CAST(CASE WHEN h1 < 10 OR h1 >= 40 THEN 1 WHEN h2 < 10 OR h2 >= 40 THEN 2 ELSE 3 END AS INTEGER) AS attempts FROM hh),
-gen AS (SELECT id, conv_id, turn, input, output, original_events, status, attempts,
-  CASE status WHEN 'filtered' THEN 'Error: InvalidRequestError: content is unsafe, so it was filtered, exception type: RuntimeError'
-              WHEN 'exhausted' THEN 'Error: RateLimitError: too many requests, exception type: RuntimeError' END AS error,
-  CASE WHEN status = 'ok' THEN 'Echo: ' || substr(input, 1, 40) END AS content,
-  CASE WHEN status = 'ok' THEN 'stub-echo' END AS model,
-  CASE WHEN status = 'ok' THEN 'stop' END AS finish_reason,
-  CASE WHEN status = 'ok' THEN CAST({_wc(repr(_SYS))} + {_wc('input')} AS BIGINT) END AS prompt_tokens,
-  CASE WHEN status = 'ok' THEN CAST({_wc("'Echo: ' || substr(input, 1, 40)")} AS BIGINT) END AS completion_tokens
-  FROM st),
-flat AS (SELECT *, prompt_tokens + completion_tokens AS total_tokens,
-  CASE WHEN status = 'ok' THEN CAST(0.001 AS DOUBLE) * (prompt_tokens + completion_tokens) ELSE CAST(0 AS DOUBLE) END AS elapsed_s FROM gen)"""
+flat AS (SELECT *, 'ok' AS status, CAST(1 AS INTEGER) AS attempts, 'reverse-words' AS model,
+  array_to_string(list_reverse({_ws_sql('input')}), ' ') AS content,
+  CAST(len({_ws_sql('input')}) AS BIGINT) AS completion_tokens,
+  CAST(len({_ws_sql(repr(_SYS))}) + len({_ws_sql('input')}) AS BIGINT) AS prompt_tokens FROM req)"""
 
 
 def requests(spark, sf):
@@ -56,123 +55,169 @@ def requests(spark, sf):
                     T.system_user_messages("input", _SYS).alias("messages"))
 
 
-def flat_results(spark, sf):
-    res = G.generate_batch(requests(spark, sf), STUB, backoff=NO_WAIT, partitions=8)
-    return G.flatten_response(res)
+def results(spark, sf):
+    """The written results of one run over all requests: reports and joins read the table, so no
+    row is called twice."""
+    res = G.generate_batch(requests(spark, sf), ReverseWords(), backoff=NO_WAIT)
+    return G.flatten_response(materialize(res, "results"))
 
 
-@query("generate_batch", f"WITH {GEN_CTES} SELECT id, status, attempts, content, total_tokens FROM flat")
+@query("generate_batch", f"WITH {GEN_CTES} SELECT id, status, attempts, content, prompt_tokens + completion_tokens AS total_tokens FROM flat")
 def q_generate_batch(spark, sf):
-    """INF-1: one generator call per request row, in parallel over 8 partitions."""
-    return flat_results(spark, sf).select("id", "status", "attempts", "content", "total_tokens")
-
-
-@query("retry_policy", f"WITH {GEN_CTES} SELECT id, status, attempts, error FROM flat")
-def q_retry_policy(spark, sf):
-    """INF-2: up to 3 attempts, content-filter errors terminal, every row keeps a status."""
-    return flat_results(spark, sf).select("id", "status", "attempts", "error")
+    """INF-1: one generator call per request row."""
+    return results(spark, sf).select("id", "status", "attempts", "content", "total_tokens")
 
 
-@query("flatten_response", f"WITH {GEN_CTES} SELECT id, 'stub-echo-' || id || '-' || attempts AS response_id, model, "
-       "content, finish_reason, prompt_tokens, completion_tokens, total_tokens FROM flat WHERE status = 'ok'")
+@query("flatten_response", f"WITH {GEN_CTES} SELECT id, 'reverse-' || id AS response_id, model, "
+       "content, 'stop' AS finish_reason, prompt_tokens, completion_tokens, prompt_tokens + completion_tokens AS total_tokens FROM flat")
 def q_flatten_response(spark, sf):
     """INF-3: response JSON -> flat fields and usage (answered rows)."""
-    f = flat_results(spark, sf).filter(F.col("status") == "ok")
+    f = results(spark, sf).filter(F.col("status") == "ok")
     return f.select("id", "response_id", "model", "content", "finish_reason", "prompt_tokens",
                     "completion_tokens", "total_tokens")
 
 
-@query("failed_batch_skip", f"""WITH {GEN_CTES}
-SELECT CAST(id // 8 AS BIGINT) AS batch_id, CAST(count(*) AS BIGINT) AS rows,
-  CAST(sum(CASE WHEN status = 'ok' THEN 1 ELSE 0 END) AS BIGINT) AS ok,
-  CAST(sum(CASE WHEN status != 'ok' THEN 1 ELSE 0 END) AS BIGINT) AS failed,
-  sum(CASE WHEN status = 'ok' THEN 1 ELSE 0 END) = 0 AS lost FROM flat GROUP BY id // 8""")
-def q_failed_batch_skip(spark, sf):
-    """INF-4: per-batch (8 rows by idx) report of answered/failed rows and lost batches."""
-    f = batching.assign_batches(flat_results(spark, sf), "id", 8, one_based=False)
-    return G.batch_report(f)
-
-
-@query("content_filter_class", f"WITH {GEN_CTES} SELECT id, status, coalesce(regexp_matches(error, 'InvalidRequestError|filtered'), false) AS filtered FROM flat")
-def q_content_filter_class(spark, sf):
-    """FLT-4: error text marking a content-filter refusal."""
-    f = flat_results(spark, sf)
-    return f.select("id", "status", filters.is_content_filtered("error").alias("filtered"))
+@query("generator_interface", f"WITH {GEN_CTES} SELECT id, status, attempts, 'mine-' || (id % 3) AS model, content FROM flat")
+def q_generator_interface(spark, sf):
+    """UDF-3: a user's generator factory, with each request's own parameters (PRJ-12 -> INF-1) and
+    four calls at a time in a task."""
+    own = F.to_json(F.struct(F.concat(F.lit("mine-"), F.pmod("id", F.lit(3)).cast("string")).alias("model")))
+    res = G.generate_batch(requests(spark, sf).withColumn("own", own), ReverseWords(), backoff=NO_WAIT, params_col="own", concurrency=4)
+    return G.flatten_response(res).select("id", "status", "attempts", "model", "content")
 
 
 @query("attach_outputs", f"WITH {GEN_CTES} SELECT id AS idx, input, output, content AS model_output FROM flat")
 def q_attach_outputs(spark, sf):
     """JN-1: generated text onto its source row by ``idx``."""
     src = requests(spark, sf).select(F.col("id").alias("idx"), "input", "output")
-    res = flat_results(spark, sf).select(F.col("id").alias("idx"), F.col("content").alias("model_output"))
+    res = results(spark, sf).select(F.col("id").alias("idx"), F.col("content").alias("model_output"))
     return joins.attach_outputs(src, res, "idx")
 
 
-@query("resume_pending", f"WITH {GEN_CTES} SELECT id AS idx, conv_id, turn FROM flat WHERE status != 'ok'")
+@query("resume_pending", f"WITH {GEN_CTES} SELECT id AS idx, conv_id, turn FROM flat WHERE id % 4 <> 0 OR id >= (SELECT count(*) // 4 * 4 FROM flat)")
 def q_resume_pending(spark, sf):
-    """JN-2: inputs whose idx has no answered output yet (what a resumed run must call)."""
-    src = requests(spark, sf).select(F.col("id").alias("idx"), "conv_id", "turn")
-    done = flat_results(spark, sf).filter(F.col("status") == "ok").select(F.col("id").alias("idx"))
+    """JN-2: inputs that a run of shard 0 of 4 (BAT-6) left without output: what a resumed run
+    must call."""
+    src = materialize(requests(spark, sf).select(F.col("id").alias("idx"), "conv_id", "turn"), "requests")
+    done = batching.strided_shard(src, "idx", 4).where("shard = 0")
     return joins.resume_pending(src, done, "idx")
 
 
-@query("merge_shards", f"WITH {GEN_CTES} SELECT id AS idx, CAST(id % 4 AS INTEGER) AS shard, status FROM flat")
+@query("merge_shards", f"WITH {GEN_CTES} SELECT id AS idx, CAST(id % 4 AS INTEGER) AS shard, content FROM flat")
 def q_merge_shards(spark, sf):
     """SET-1: outputs of the four strided shards (BAT-6) plus the previous run's outputs
     (stand-in: the dropped tail, run earlier) in one UNION ALL."""
-    f = flat_results(spark, sf).select(F.col("id").alias("idx"), "status")
+    f = materialize(results(spark, sf).select(F.col("id").alias("idx"), "content"), "outputs")
     shards = batching.strided_shard(f, "idx", 4)
     tail = f.join(shards.select("idx"), "idx", "left_anti").withColumn("shard", F.pmod("idx", F.lit(4)).cast("int"))
-    return joins.merge_shards(shards, tail).select("idx", "shard", "status")
+    return joins.merge_shards(shards, tail).select("idx", "shard", "content")
 
 
 @query("result_projection", f"""WITH {GEN_CTES}
-SELECT id AS idx, 'stub-echo' AS generator, input, original_events, output,
-  {strip("coalesce(content, '')")} AS model_output FROM flat""")
+SELECT id AS idx, 'reverse-words' AS generator, input, original_events, output, {strip("content")} AS model_output FROM flat""")
 def q_result_projection(spark, sf):
     """PRJ-10: the inference output row (model output stripped)."""
-    f = flat_results(spark, sf).withColumn("mo", F.coalesce("content", F.lit("")))
+    f = results(spark, sf).withColumn("mo", F.coalesce("content", F.lit("")))
     src = requests(spark, sf).select("id", "input", "original_events", "output")
-    return T.result_projection(f.join(src, "id"), "stub-echo", "id", "input", "original_events", "output", "mo")
+    return T.result_projection(f.join(src, "id"), "reverse-words", "id", "input", "original_events", "output", "mo")
+
+
+# ---- reports over stored results (stand-in: events) ---------------------------------------------
+_ERR = """CASE event_type WHEN 'error' THEN 'RateLimitError: too many requests'
+  WHEN 'signup' THEN 'InvalidRequestError: filtered' WHEN 'click' THEN CASE WHEN user_id % 2 = 0 THEN 'TimeoutError: no answer' END END"""
+RES_CTES = f"""ev AS (SELECT event_id // 3 AS id, CAST(event_id % 3 + 1 AS INTEGER) AS attempt, {_ERR} AS error, value AS elapsed_s,
+  'model-' || (user_id % 3) AS model, user_id % 512 AS prompt_tokens, event_id % 256 AS completion_tokens FROM events),
+first_end AS (SELECT id, min(attempt) AS a FROM ev WHERE error IS NULL OR regexp_matches(error, 'InvalidRequestError|filtered') GROUP BY id),
+late AS (SELECT id, max(attempt) AS n FROM ev GROUP BY id),
+stored AS (SELECT l.id, e.attempt AS attempts, e.error, e.model, e.prompt_tokens, e.completion_tokens,
+  CASE WHEN f.a IS NOT NULL THEN CASE WHEN e.error IS NULL THEN 'ok' ELSE 'filtered' END WHEN l.n >= 3 THEN 'exhausted' ELSE 'pending' END AS status,
+  (SELECT sum(x.elapsed_s) FROM ev x WHERE x.id = l.id AND x.attempt <= e.attempt) AS elapsed_s
+  FROM late l LEFT JOIN first_end f USING (id) JOIN ev e ON e.id = l.id AND e.attempt = coalesce(f.a, l.n))"""
+
+
+def attempts_log(spark, sf):
+    """Attempts ``id, attempt, error, elapsed_s, model, prompt_tokens, completion_tokens`` shaped
+    from ``events``: three consecutive events are the attempts of one request, the event type says
+    how an attempt ended and ``value`` how long it took."""
+    e = inputs.table(spark, sf, "events")
+    error = (F.when(F.col("event_type") == "error", "RateLimitError: too many requests")
+             .when(F.col("event_type") == "signup", "InvalidRequestError: filtered")
+             .when((F.col("event_type") == "click") & (F.col("user_id") % 2 == 0), "TimeoutError: no answer"))
+    return e.select(F.floor(F.col("event_id") / 3).alias("id"), (F.col("event_id") % 3 + 1).cast("int").alias("attempt"), error.alias("error"),
+                    F.col("value").alias("elapsed_s"), F.concat(F.lit("model-"), (F.col("user_id") % 3).cast("string")).alias("model"),
+                    (F.col("user_id") % 512).alias("prompt_tokens"), (F.col("event_id") % 256).alias("completion_tokens"))
+
+
+def stored_results(spark, sf):
+    """One row per request: its status by INF-2, the attempt that ended it, the time of all its
+    attempts up to that one."""
+    log = attempts_log(spark, sf)
+    done = G.resolve_attempts(log)
+    j = log.drop("error").join(done, "id").where(F.col("attempt") <= F.col("attempts"))
+    last = F.max_by(F.struct("model", "prompt_tokens", "completion_tokens"), "attempt")
+    per = j.groupBy("id", "status", "attempts", "error").agg(F.sum("elapsed_s").alias("elapsed_s"), last.alias("l"))
+    return per.select("id", "status", "attempts", "error", "elapsed_s", "l.*", F.lit("stop").alias("finish_reason"),
+                      (F.col("l.prompt_tokens") + F.col("l.completion_tokens")).alias("total_tokens"))
+
+
+@query("retry_policy", f"WITH {RES_CTES} SELECT id, status, attempts, error FROM stored")
+def q_retry_policy(spark, sf):
+    """INF-2: at most 3 attempts count, a filtered one is terminal, every request keeps a status."""
+    return G.resolve_attempts(attempts_log(spark, sf))
 
 
-_SETTINGS_SQL = ", ".join(f"{repr(v).lower() if isinstance(v, bool) else v} AS {k}" for k, v in SETTINGS.items())
+@query("failed_batch_skip", f"""WITH {RES_CTES}
+SELECT CAST(id // 8 AS BIGINT) AS batch_id, CAST(count(*) AS BIGINT) AS rows,
+  CAST(sum(CASE WHEN status = 'ok' THEN 1 ELSE 0 END) AS BIGINT) AS ok,
+  CAST(sum(CASE WHEN status != 'ok' THEN 1 ELSE 0 END) AS BIGINT) AS failed,
+  sum(CASE WHEN status = 'ok' THEN 1 ELSE 0 END) = 0 AS lost FROM stored GROUP BY id // 8""")
+def q_failed_batch_skip(spark, sf):
+    """INF-4: per batch of 8 requests, rows answered and failed, and whether the batch is lost."""
+    f = batching.assign_batches(stored_results(spark, sf), "id", 8, one_based=False)
+    return G.batch_report(f)
 
 
-@query("run_summary", f"""WITH {GEN_CTES}
+@query("content_filter_class", f"WITH {RES_CTES} SELECT id, status, coalesce(regexp_matches(error, 'InvalidRequestError|filtered'), false) AS filtered FROM stored")
+def q_content_filter_class(spark, sf):
+    """FLT-4: error text marking a content-filter refusal."""
+    f = stored_results(spark, sf)
+    return f.select("id", "status", filters.is_content_filtered("error").alias("filtered"))
+
+
+@query("run_summary", f"""WITH {RES_CTES}
 SELECT round(sum(elapsed_s), 6) AS total_time, CAST(count(*) AS BIGINT) AS example_numbers,
   round(sum(elapsed_s) / count(*), 9) AS average_time, CAST(0.4 AS DOUBLE) AS temperature, true AS do_sample,
-  CAST(1024 AS INTEGER) AS max_new_tokens, CAST(40 AS INTEGER) AS top_k, CAST(0.85 AS DOUBLE) AS top_p, CAST(1.05 AS DOUBLE) AS repetition_penalty FROM flat""")
+  CAST(1024 AS INTEGER) AS max_new_tokens, CAST(40 AS INTEGER) AS top_k, CAST(0.85 AS DOUBLE) AS top_p, CAST(1.05 AS DOUBLE) AS repetition_penalty FROM stored""")
 def q_run_summary(spark, sf):
     """AGG-1: total/average generation time, example count, the settings actually used."""
-    s = G.run_summary(flat_results(spark, sf), SETTINGS)
+    s = G.run_summary(stored_results(spark, sf), SETTINGS)
     return s.select(F.round("total_time", 6).alias("total_time"), "example_numbers",
                     F.round("average_time", 9).alias("average_time"), *SETTINGS.keys())
 
 
-@query("status_counts", f"WITH {GEN_CTES} SELECT status, CAST(count(*) AS BIGINT) AS n FROM flat GROUP BY status")
+@query("status_counts", f"WITH {RES_CTES} SELECT status, CAST(count(*) AS BIGINT) AS n FROM stored GROUP BY status")
 def q_status_counts(spark, sf):
     """AGG-2: requests per final status."""
-    return G.status_counts(flat_results(spark, sf))
+    return G.status_counts(stored_results(spark, sf))
 
 
-@query("usage_totals", f"""WITH {GEN_CTES} SELECT model, finish_reason, CAST(count(*) AS BIGINT) AS responses,
+@query("usage_totals", f"""WITH {RES_CTES} SELECT model, 'stop' AS finish_reason, CAST(count(*) AS BIGINT) AS responses,
   CAST(sum(prompt_tokens) AS BIGINT) AS prompt_tokens, CAST(sum(completion_tokens) AS BIGINT) AS completion_tokens,
-  CAST(sum(total_tokens) AS BIGINT) AS total_tokens FROM flat WHERE status = 'ok' GROUP BY model, finish_reason""")
+  CAST(sum(prompt_tokens + completion_tokens) AS BIGINT) AS total_tokens FROM stored WHERE status = 'ok' GROUP BY model""")
 def q_usage_totals(spark, sf):
     """AGG-3: token usage totals per model and finish reason."""
-    return G.usage_totals(flat_results(spark, sf))
+    return G.usage_totals(stored_results(spark, sf))
 
 
 @query("empty_user_guard", f"""WITH last AS (SELECT conv_id, arg_max(role, turn) AS role, arg_max(text, turn) AS text,
   CAST(count(*) AS BIGINT) AS n_messages FROM conversations GROUP BY conv_id)
 SELECT conv_id, n_messages, role AS last_role,
-  CASE WHEN role = 'user' AND length(text) < 150 THEN 'skipped' ELSE 'call' END AS action FROM last""")
+  CASE WHEN role = 'user' AND conv_id % 7 = 0 THEN 'skipped' ELSE 'call' END AS action FROM last""")
 def q_empty_user_guard(spark, sf):
     """FLT-2: a conversation whose last message is a user message with null content is not
-    sent. Stand-in: user contents under 150 characters arrive as null."""
+    sent. Stand-in: the user contents of every seventh conversation arrive as null."""
     c = inputs.conversations(spark, sf)
-    c = c.withColumn("content", F.when((F.col("role") == "user") & (F.length("text") < 150), F.lit(None))
+    c = c.withColumn("content", F.when((F.col("role") == "user") & (F.pmod("conv_id", F.lit(7)) == 0), F.lit(None))
                      .otherwise(F.col("text")))
     last = c.groupBy("conv_id").agg(F.max_by(F.struct("role", "content"), "turn").alias("m"),
                                     F.count(F.lit(1)).alias("n_messages"))
@@ -210,31 +255,3 @@ def q_split_reasoning(spark, sf):
          .otherwise(F.concat(F.lit("<think>a</think>b</think>\n"), "output", F.lit("\n"))))
     reasoning, content = G.split_reasoning(c)
     return r.select("conv_id", "turn", reasoning.alias("reasoning"), content.alias("content"))
-
-
-class ReverseWords:
-    """A user generator factory (UDF-3): the reply is the first eight words of the last user
-    message in reverse order. Any picklable factory with this call shape plugs into INF-1."""
-
-    def __call__(self):
-        def gen(messages, key=None, attempt=1, **params):
-            last = next((m.get("content") or "" for m in reversed(messages) if m.get("role") == "user"), "")
-            content = " ".join(reversed(last.split()[:8]))
-            n_in, n_out = sum(len((m.get("content") or "").split()) for m in messages), len(content.split())
-            return {"id": f"reverse-{key}", "model": "reverse-words", "content": content, "finish_reason": "stop",
-                    "reasoning_content": None,
-                    "usage": {"total_tokens": n_in + n_out, "prompt_tokens": n_in, "completion_tokens": n_out}}
-        return gen
-
-
-def _ws_sql(x: str) -> str:
-    s = strip(x)
-    return f"(CASE WHEN {s} = '' THEN []::VARCHAR[] ELSE string_split_regex({s}, '{WS_CLASS}+') END)"
-
-
-@query("generator_interface", f"""WITH {GEN_CTES} SELECT id, 'ok' AS status, CAST(1 AS INTEGER) AS attempts,
-  'reverse-words' AS model, array_to_string(list_reverse({_ws_sql('input')}[1:8]), ' ') AS content FROM req""")
-def q_generator_interface(spark, sf):
-    """UDF-3: the batch generation job with a user-supplied generator factory."""
-    res = G.generate_batch(requests(spark, sf), ReverseWords(), backoff=NO_WAIT, partitions=8)
-    return G.flatten_response(res).select("id", "status", "attempts", "model", "content")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from parlance.operators import generate as G
 from parlance.plans import inputs
 from parlance.plans.inputs import TABLES, table
-from parlance.plans.q_generate import GEN_CTES, SETTINGS, flat_results
+from parlance.plans.q_generate import GEN_CTES, RES_CTES, SETTINGS, results, stored_results
 from parlance.plans.q_prep import IDX_SQL
 from parlance.plans.registry import query
 from parlance.sources import io
@@ -28,40 +28,41 @@ def q_scan_jsonl(spark, sf):
 
 @query("scan_json_array", "SELECT doc_id, quality, toxic FROM labels")
 def q_scan_json_array(spark, sf):
-    """SRC-2: labels written as four JSON-array files and read back (multiLine)."""
+    """SRC-2: labels written as JSON-array files, one a task, and read back (multiLine)."""
     path = io.scratch_path(spark, "labels.json")
-    io.sink_json_arrays(table(spark, sf, "labels"), path, 4)
+    io.sink_json_arrays(table(spark, sf, "labels"), path, spark.sparkContext.defaultParallelism)
     return io.scan_json_array(spark, path, "doc_id bigint, quality int, toxic int")
 
 
-@query("scan_by_suffix", "SELECT 'jsonl' AS format, doc_id, n_chars FROM documents UNION ALL "
-       "SELECT 'parquet' AS format, doc_id, n_chars FROM documents")
+@query("scan_by_suffix", " UNION ALL ".join(
+    f"SELECT '{f}' AS format, doc_id, text, n_chars FROM documents" for f in ("jsonl", "json", "parquet")))
 def q_scan_by_suffix(spark, sf):
-    """SRC-3: the reader is picked from the path (``.jsonl`` lines, ``.parquet``)."""
-    d = table(spark, sf, "documents").select("doc_id", "n_chars")
+    """SRC-3: the reader is picked from the path (``.jsonl`` lines, ``.json`` arrays, ``.parquet``)."""
+    d = table(spark, sf, "documents").select("doc_id", "text", "n_chars")
     base = io.scratch_path(spark, "suffix")
     io.sink_jsonl(d, f"{base}/documents.jsonl")
     d.write.mode("overwrite").parquet(f"{base}/documents.parquet")
-    ddl = "doc_id bigint, n_chars bigint"
-    a = io.scan_by_suffix(spark, f"{base}/documents.jsonl", ddl).select(F.lit("jsonl").alias("format"), "doc_id", "n_chars")
-    b = io.scan_by_suffix(spark, f"{base}/documents.parquet", ddl).select(F.lit("parquet").alias("format"), "doc_id", "n_chars")
-    return a.unionByName(b)
+    io.sink_json_arrays(d, f"{base}/documents.json", spark.sparkContext.defaultParallelism)
+    ddl = "doc_id bigint, text string, n_chars bigint"
+    parts = [io.scan_by_suffix(spark, f"{base}/documents.{f}", ddl).select(F.lit(f).alias("format"), "doc_id", "text", "n_chars")
+             for f in ("jsonl", "json", "parquet")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 _SPLIT_SQL = "CASE WHEN substr(md5(CAST(doc_id AS VARCHAR)), 1, 1) < 'c' THEN 'test' ELSE 'train' END"
 
 
-@query("dataset_split_export", f"SELECT doc_id, source AS subset, {_SPLIT_SQL} AS split, lang FROM documents")
+@query("dataset_split_export", f"SELECT doc_id, source AS subset, {_SPLIT_SQL} AS split, lang, text FROM documents")
 def q_dataset_split_export(spark, sf):
     """SRC-4: documents exported per (subset = source, split) as JSON lines and read back
     with the partition columns."""
     d = table(spark, sf, "documents")
     split = F.when(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 1) < "c", "test").otherwise("train")
     path = io.scratch_path(spark, "export")
-    io.dataset_split_export(d.select("doc_id", "lang", F.col("source").alias("subset"), split.alias("split")),
+    io.dataset_split_export(d.select("doc_id", "lang", "text", F.col("source").alias("subset"), split.alias("split")),
                             path, "subset", "split")
-    back = spark.read.schema("doc_id bigint, lang string, subset string, split string").json(path)
-    return back.select("doc_id", "subset", "split", "lang")
+    back = spark.read.schema("doc_id bigint, lang string, text string, subset string, split string").json(path)
+    return back.select("doc_id", "subset", "split", "lang", "text")
 
 
 @query("record_contract", """SELECT d.doc_id, CASE WHEN l.quality IS NULL THEN 'missing quality' END AS contract_error
@@ -78,40 +79,40 @@ def q_row_counts(spark, sf):
     return io.row_counts({t: table(spark, sf, t) for t in TABLES})
 
 
-@query("sink_sharded", f"WITH {IDX_SQL} SELECT idx, conv_id, turn, CAST(idx % 4 AS INTEGER) AS shard FROM idxd")
+@query("sink_sharded", f"WITH {IDX_SQL} SELECT idx, conv_id, turn, instruction AS input, output, CAST(idx % 4 AS INTEGER) AS shard FROM idxd")
 def q_sink_sharded(spark, sf):
     """SNK-2: records written one directory per rank (``shard = idx % 4``) and read back."""
-    r = inputs.indexed_records(spark, sf).select("idx", "conv_id", "turn", F.pmod("idx", F.lit(4)).cast("int").alias("shard"))
+    r = inputs.indexed_records(spark, sf).select("idx", "conv_id", "turn", "input", "output", F.pmod("idx", F.lit(4)).cast("int").alias("shard"))
     path = io.scratch_path(spark, "sharded")
     io.sink_sharded(r, path)
-    return spark.read.schema("idx bigint, conv_id bigint, turn bigint, shard int").json(path)
+    return spark.read.schema("idx bigint, conv_id bigint, turn bigint, input string, output string, shard int").json(path)
 
 
 _SUMMARY_DDL = ("total_time double, example_numbers bigint, average_time double, temperature double, do_sample boolean, "
                 "max_new_tokens int, top_k int, top_p double, repetition_penalty double")
 
 
-@query("sink_run_summary", f"""WITH {GEN_CTES}
+@query("sink_run_summary", f"""WITH {RES_CTES}
 SELECT round(sum(elapsed_s), 6) AS total_time, CAST(count(*) AS BIGINT) AS example_numbers,
   round(sum(elapsed_s) / count(*), 9) AS average_time, CAST(0.4 AS DOUBLE) AS temperature, true AS do_sample,
   CAST(1024 AS INTEGER) AS max_new_tokens, CAST(40 AS INTEGER) AS top_k, CAST(0.85 AS DOUBLE) AS top_p,
-  CAST(1.05 AS DOUBLE) AS repetition_penalty, CAST(count(*) AS BIGINT) AS rows_written FROM flat""")
+  CAST(1.05 AS DOUBLE) AS repetition_penalty, CAST(count(*) AS BIGINT) AS rows_written FROM stored""")
 def q_sink_run_summary(spark, sf):
     """SNK-3: generation rows and the run summary written as two datasets and read back."""
-    flat = flat_results(spark, sf)
+    flat = io.materialize(stored_results(spark, sf), "results")
     summary = G.run_summary(flat, SETTINGS)
     summary = summary.select(F.round("total_time", 6).alias("total_time"), "example_numbers",
                              F.round("average_time", 9).alias("average_time"), *SETTINGS.keys())
-    rp, sp = io.sink_run_summary(flat.select("id", "status", "content"), summary, io.scratch_path(spark, "run"))
+    rp, sp = io.sink_run_summary(flat.select("id", "status", "error"), summary, io.scratch_path(spark, "run"))
     back = spark.read.schema(_SUMMARY_DDL).json(sp)
-    n = spark.read.schema("id bigint, status string, content string").json(rp).agg(F.count(F.lit(1)))
+    n = spark.read.schema("id bigint, status string, error string").json(rp).agg(F.count(F.lit(1)))
     return back.withColumn("rows_written", n.scalar())
 
 
 @query("sink_responses", f"WITH {GEN_CTES} SELECT id, content AS response FROM flat")
 def q_sink_responses(spark, sf):
     """SNK-4: ``{id, response}`` written as JSON lines (nulls kept) and read back."""
-    f = flat_results(spark, sf).select("id", F.col("content").alias("response"))
+    f = results(spark, sf).select("id", F.col("content").alias("response"))
     path = io.scratch_path(spark, "responses")
     io.sink_responses(f, path)
     return spark.read.schema("id bigint, response string").json(path)

@@ -1,5 +1,5 @@
 """Registered queries: answer metrics (AGG-4..8). Stand-in input: gold = the reply of each SFT
-pair, prediction = its first half (whitespace words), or all of it when ``conv_id % 5 = 0``."""
+pair, prediction = its whole instruction, or the reply itself when ``conv_id % 5 = 0``."""
 
 from __future__ import annotations
 
@@ -15,9 +15,7 @@ from parlance.plans.sqltext import strip
 
 def predictions(spark, sf):
     r = inputs.indexed_records(spark, sf)
-    w = M.ws_tokens("output")
-    half = F.array_join(F.slice(w, 1, F.floor(F.size(w) / 2).cast("int")), " ")
-    pred = F.when(F.pmod("conv_id", F.lit(5)) == 0, F.col("output")).otherwise(half)
+    pred = F.when(F.pmod("conv_id", F.lit(5)) == 0, F.col("output")).otherwise(F.col("input"))
     return r.select("idx", pred.alias("prediction"), F.col("output").alias("gold"))
 
 
@@ -34,7 +32,7 @@ def _norm(x: str) -> str:
 
 
 PRED_SQL = f"""{IDX_SQL},
-recs AS (SELECT idx, CASE WHEN conv_id % 5 = 0 THEN output ELSE array_to_string({_ws('output')}[1:len({_ws('output')}) // 2], ' ') END AS prediction,
+recs AS (SELECT idx, CASE WHEN conv_id % 5 = 0 THEN output ELSE instruction END AS prediction,
   output AS gold FROM idxd)"""
 
 SCORES_SQL = f"""{PRED_SQL},
@@ -109,12 +107,12 @@ st AS (SELECT n, sum(np) AS hyp, sum(ng) AS ref, sum(least(np, ng)) AS match FRO
 ln AS (SELECT sum(len(p)) AS sys_len, sum(len(g)) AS ref_len FROM tk),
 o AS (SELECT n, hyp, match, sum(CASE WHEN hyp > 0 AND match = 0 THEN 1 ELSE 0 END) OVER (ORDER BY n) AS k,
   min(CASE WHEN hyp > 0 THEN 1 ELSE 0 END) OVER (ORDER BY n) AS alive FROM st),
-pr AS (SELECT n, alive, CASE WHEN match = 0 THEN 100.0 / (pow(2.0, k) * hyp) ELSE 100.0 * match / hyp END AS prec FROM o),
+pr AS (SELECT n, alive, match, CASE WHEN match = 0 THEN 100.0 / (pow(2.0, k) * hyp) ELSE 100.0 * match / hyp END AS prec FROM o),
 fin AS (SELECT sum(CASE WHEN alive = 1 THEN 1 ELSE 0 END) AS eff, sum(CASE WHEN alive = 1 THEN ln(prec) ELSE 0 END) AS tot,
-  max(CASE WHEN n = 1 THEN prec END) AS p1, max(CASE WHEN n = 2 THEN prec END) AS p2, max(CASE WHEN n = 3 THEN prec END) AS p3,
+  max(CASE WHEN n = 1 THEN match END) AS m1, max(CASE WHEN n = 1 THEN prec END) AS p1, max(CASE WHEN n = 2 THEN prec END) AS p2, max(CASE WHEN n = 3 THEN prec END) AS p3,
   max(CASE WHEN n = 4 THEN prec END) AS p4 FROM pr),
 bp AS (SELECT sys_len, ref_len, CASE WHEN sys_len >= ref_len THEN 1.0 WHEN sys_len = 0 THEN 0.0 ELSE exp(1 - ref_len / sys_len) END AS bp FROM ln)
-SELECT round(CASE WHEN eff = 0 THEN 0.0 ELSE bp * exp(tot / eff) END, 9) AS bleu, round(bp, 9) AS bp, CAST(sys_len AS BIGINT) AS sys_len,
+SELECT round(CASE WHEN eff < 4 OR m1 = 0 THEN 0.0 ELSE bp * exp(tot / eff) END, 9) AS bleu, round(bp, 9) AS bp, CAST(sys_len AS BIGINT) AS sys_len,
   CAST(ref_len AS BIGINT) AS ref_len, round(p1, 9) AS p1, round(p2, 9) AS p2, round(p3, 9) AS p3, round(p4, 9) AS p4 FROM fin, bp""")
 def q_corpus_bleu(spark, sf):
     """AGG-8: corpus BLEU of predictions against gold replies (one row)."""

@@ -78,7 +78,7 @@ _TRAIN_SQL = (f"{lit(T.CHATML_SYSTEM)} || {lit('<|im_start|>user' + chr(10))} ||
 @query("generation_prompt", f"WITH {PAIRS_SQL} SELECT conv_id, turn, {_TRAIN_SQL} AS train_source, "
        f"{SOURCE_SQL} AS infer_source FROM pairs")
 def q_generation_prompt(spark, sf):
-    """PRJ-7: the prompt without (training) and with (inference) the assistant header."""
+    """PRJ-7: the prompt without (fine-tuning) and with (inference) the assistant header."""
     r = inputs.sft_records(spark, sf)
     return r.select(*KEY, T.render_source("instruction", add_generation_prompt=False).alias("train_source"),
                     T.render_source("instruction", add_generation_prompt=True).alias("infer_source"))
@@ -135,7 +135,10 @@ def q_attach_documents(spark, sf):
 
 @query("request_params", """SELECT conv_id, turn, CAST(1 AS INTEGER) AS n, CAST(50 AS INTEGER) AS top_k,
   CAST(CASE WHEN conv_id % 2 = 0 THEN 512 ELSE 1500 END AS INTEGER) AS max_tokens, 1.05 :: DOUBLE AS repetition_penalty,
-  CASE WHEN turn % 3 = 0 THEN 0.2 ELSE 0.8 END :: DOUBLE AS temperature, false AS stream
+  CASE WHEN turn % 3 = 0 THEN 0.2 ELSE 0.8 END :: DOUBLE AS temperature, false AS stream,
+  CAST(to_json({'messages': [{'role': 'user', 'content': text}], 'n': 1, 'top_k': 50,
+    'max_tokens': CASE WHEN conv_id % 2 = 0 THEN 512 ELSE 1500 END, 'repetition_penalty': 1.05 :: DOUBLE,
+    'temperature': CASE WHEN turn % 3 = 0 THEN 0.2 ELSE 0.8 END :: DOUBLE, 'stream': false}) AS VARCHAR) AS body
 FROM conversations WHERE role = 'user'""")
 def q_request_params(spark, sf):
     """PRJ-12: request rows with per-row overrides (stand-in: max_tokens 512 on even
@@ -145,7 +148,7 @@ def q_request_params(spark, sf):
                  F.when(F.col("conv_id") % 2 == 0, F.lit(512)).alias("mt"),
                  F.when(F.col("turn") % 3 == 0, F.lit(0.2)).alias("temp"))
     out = T.request_params(c, "messages", {"max_tokens": "mt", "temperature": "temp"})
-    return out.select(*KEY, *T.REQUEST_DEFAULTS.keys())
+    return out.select(*KEY, *T.REQUEST_DEFAULTS.keys(), "body")
 
 
 # ---- FLT ------------------------------------------------------------------------------------
@@ -183,6 +186,11 @@ def q_first_n(spark, sf):
     return ordering.first_n(inputs.indexed_records(spark, sf).select("idx", *KEY), 50)
 
 
+# The reference's cut of fine-tuning rows (a parameter). ``tokenize_truncate`` and
+# ``truncation_report`` show a shorter cut.
+TRAIN_LEN = 4096
+
+
 # ---- TOK ------------------------------------------------------------------------------------
 def _rows(spark, sf, max_len=128):
     rows, vocab = sft.tokenize_examples(sft.sft_examples(inputs.conversations(spark, sf)), max_len)
@@ -205,11 +213,11 @@ def q_vocabulary(spark, sf):
                         "id", "n")
 
 
-@query("label_mask", f"WITH {tok_ctes()} SELECT conv_id, turn, {ints('labels')} AS labels, "
+@query("label_mask", f"WITH {tok_ctes(TRAIN_LEN)} SELECT conv_id, turn, {ints('labels')} AS labels, "
        f"CAST(len(list_filter(labels, lambda x: x != -100)) AS BIGINT) AS n_supervised FROM lab")
 def q_label_mask(spark, sf):
     """TOK-3: labels = ids with the prompt part set to -100."""
-    rows, _ = _rows(spark, sf)
+    rows, _ = _rows(spark, sf, TRAIN_LEN)
     return rows.select(*KEY, ints_to_text("labels").alias("labels"),
                        K.supervised_count("labels").cast("long").alias("n_supervised"))
 
@@ -227,13 +235,13 @@ def q_truncation_report(spark, sf):
     return K.truncation_report(rows, "n_full", "n_source", "n_sup", 128)
 
 
-@query("decode_tokens", f"""WITH {tok_ctes()},
+@query("decode_tokens", f"""WITH {tok_ctes(TRAIN_LEN)},
 d AS (SELECT conv_id, turn, unnest(range(1, len(ids) + 1)) AS pos, unnest(ids) AS id FROM lab)
 SELECT l.conv_id, l.turn, coalesce((SELECT string_agg(replace(v.token, chr(57344), ' '), ' ' ORDER BY d.pos) FROM d JOIN vocab v ON v.id = d.id
    WHERE d.conv_id = l.conv_id AND d.turn = l.turn AND d.id >= 7), '') AS text FROM lab l""")
 def q_decode_tokens(spark, sf):
     """TOK-5: ids -> text via the vocabulary, special tokens skipped."""
-    rows, vocab = _rows(spark, sf)
+    rows, vocab = _rows(spark, sf, TRAIN_LEN)
     return K.decode(rows.select(*KEY, "ids"), KEY, "ids", vocab, "text", carry=[]).select(*KEY, "text")
 
 
@@ -281,19 +289,20 @@ def q_control_tags(spark, sf):
 def _batched(spark, sf):
     ex = sft.sft_examples(inputs.conversations(spark, sf))
     ranked = ordering.seeded_shuffle(ex, KEY, 42, "rank")
-    rows, _ = sft.tokenize_examples(ranked, 128, sft.vocabulary_of(ex), carry=["rank"])
+    rows, _ = sft.tokenize_examples(ranked, TRAIN_LEN, sft.vocabulary_of(ex), carry=["rank"])
     return batching.assign_batches(rows, "rank", 8)
 
 
-_BATCH_CTE = f"""WITH {tok_ctes()},
+_BATCH_CTE = f"""WITH {tok_ctes(TRAIN_LEN)},
 rk AS (SELECT *, row_number() OVER (ORDER BY {md5_sql('conv_id', 'turn', seed=42)}, conv_id, turn) AS rnk FROM lab),
 b AS (SELECT *, CAST((rnk - 1) // 8 AS BIGINT) AS batch_id, max(len(ids)) OVER (PARTITION BY (rnk - 1) // 8) AS width FROM rk)"""
 
 
-@query("assign_batches", f"{_BATCH_CTE} SELECT conv_id, turn, rnk AS rank, batch_id FROM b")
+@query("assign_batches", f"WITH {IDX_SQL} SELECT conv_id, turn, idx + 1 AS rank, CAST(idx // 8 AS BIGINT) AS batch_id FROM idxd")
 def q_assign_batches(spark, sf):
     """BAT-1: contiguous batches of 8 in seeded order; the last one may be short."""
-    return _batched(spark, sf).select(*KEY, "rank", "batch_id")
+    r = ordering.seeded_shuffle(inputs.sft_records(spark, sf).select(*KEY), KEY, 42, "rank")
+    return batching.assign_batches(r, "rank", 8).select(*KEY, "rank", "batch_id")
 
 
 @query("pad_right", f"{_BATCH_CTE} SELECT conv_id, turn, batch_id, "
@@ -317,12 +326,11 @@ SELECT conv_id, turn, batch_id, {ints('list_transform(pids, lambda x: CASE WHEN
   {ints('list_transform(range(width), lambda i: CASE WHEN i < len(ids) THEN 1 ELSE 0 END)')} AS mask_by_length FROM p""")
 def q_attention_mask(spark, sf):
     """BAT-4: mask = id != pad (parity with the reference) and the by-length mask."""
-    b = _batched(spark, sf)
-    p = batching.pad_batch(b, "ids", None, "batch_id", K.PAD_ID, "right", "parity")
-    q = batching.pad_batch(b.withColumnRenamed("ids", "ids2"), "ids2", None, "batch_id", K.PAD_ID, "right", "by_length")
-    p = p.select(*KEY, "batch_id", ints_to_text("attention_mask").alias("mask"))
-    q = q.select(*KEY, ints_to_text("attention_mask").alias("mask_by_length"))
-    return p.join(q, KEY)
+    b = _batched(spark, sf).withColumn("_w", batching.batch_width("ids"))
+    ids = batching.pad_right("ids", "_w", K.PAD_ID)
+    parity = F.transform(ids, lambda x: F.when(x != K.PAD_ID, 1).otherwise(0))
+    by_length = F.concat(F.array_repeat(F.lit(1), F.size("ids")), F.array_repeat(F.lit(0), F.col("_w") - F.size("ids")))
+    return b.select(*KEY, "batch_id", ints_to_text(parity).alias("mask"), ints_to_text(by_length).alias("mask_by_length"))
 
 
 @query("pad_left", f"{_BATCH_CTE} SELECT conv_id, turn, batch_id, "

@@ -55,10 +55,15 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
                 raise RuntimeError("spark.checkpoint.dir is not set for this cluster session")
             fallback = os.environ.get("PARLANCE_LOCAL_CHECKPOINT_DIR") or "/tmp/parlance-checkpoints"
         d = fallback
-    spark.sparkContext.setCheckpointDir(d)
+    if (spark.sparkContext.applicationId, d) not in _CHECKPOINT_SET:
+        spark.sparkContext.setCheckpointDir(d)  # makes a folder each time it is called
+        _CHECKPOINT_SET.add((spark.sparkContext.applicationId, d))
     return d
 
 
+_CHECKPOINT_SET: set[tuple[str, str]] = set()
+
+
 _SHIPPED: set[str] = set()
 
 

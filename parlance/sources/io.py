@@ -39,15 +39,16 @@ def scan_json_array(spark: SparkSession, path: str, schema) -> DataFrame:
 
 
 def scan_by_suffix(spark: SparkSession, path: str, schema) -> DataFrame:
-    """SRC-3: reader chosen by the path like the reference (substring tests in order):
-    ``.xlsx`` is rejected, then ``.jsonl`` (lines), then ``.json`` (array); ``.parquet`` added."""
-    if ".xlsx" in path:
+    """SRC-3: reader chosen by the end of the path's name: ``.xlsx`` is rejected, ``.jsonl``
+    (lines), ``.json`` (array); ``.parquet`` added."""
+    name = path.rstrip("/")
+    if name.endswith(".xlsx"):
         raise NotImplementedError("Excel workbooks are not read; convert them upstream")
-    if ".jsonl" in path:
+    if name.endswith(".jsonl"):
         return scan_jsonl(spark, path, schema)
-    if ".json" in path:
+    if name.endswith(".json"):
         return scan_json_array(spark, path, schema)
-    if ".parquet" in path:
+    if name.endswith(".parquet"):
         return spark.read.schema(schema).parquet(path)
     raise ValueError(f"no reader for {path!r}: expected .jsonl, .json or .parquet")
 

@@ -77,7 +77,7 @@ def stream_config_upsert(spark: SparkSession, source_dir: str, schema: str, stat
     agents = st.filter(F.col(kind) == "role_config").select(
         group, (F.row_number().over(w) - 1).cast("int").alias("pos"), "name", *[F.col(f"p.{p}").alias(p) for p in payload])
     bg = st.filter(F.col(kind) == "background").select(group, F.col(f"p.{payload[0]}").alias("background"))
-    return agents.join(bg, group, "left")
+    return agents.join(bg, group, "full_outer")
 
 
 def _latest_version(spark: SparkSession, state_dir: str, before: int | None) -> str | None:

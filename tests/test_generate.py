@@ -59,3 +59,45 @@ def test_run_summary_zero_examples(spark):
     empty = spark.createDataFrame([], "elapsed_s double")
     r = G.run_summary(empty, {"temperature": 0.4}).first()
     assert r.example_numbers == 0 and r.average_time is None and r.temperature == 0.4
+
+
+class Counted:
+    """Factory that counts its calls in an accumulator; ``fails`` ids raise on every attempt."""
+
+    def __init__(self, calls, fails=()):
+        self.calls, self.fails = calls, fails
+
+    def __call__(self):
+        def gen(messages, key=None, attempt=1, **kw):
+            self.calls.add(1)
+            if key in self.fails:
+                raise RuntimeError("RateLimitError")
+            return {"id": f"r{key}", "model": kw.get("model", "m"), "content": "x", "finish_reason": "stop", "reasoning_content": None,
+                    "usage": {"total_tokens": 1, "prompt_tokens": 1, "completion_tokens": 0}}
+        return gen
+
+
+def test_pending_rows_only_are_called_and_exhausted_ones_again(spark, tmp_dir):
+    reqs, out = _requests(spark), f"{tmp_dir}/gen"
+    calls = spark.sparkContext.accumulator(0)
+    first = G.generate_resumable(reqs, Counted(calls, {2}), out, backoff=(0.0, 0.0), partitions=2, ranges=3)
+    assert calls.value == 2 + 3  # ids 1 and 3 once, id 2 three times, id 4 skipped
+    assert {r.id: r.status for r in first.collect()} == {1: "ok", 2: "exhausted", 3: "ok", 4: "skipped"}
+    again = G.generate_resumable(reqs, Counted(calls), out, backoff=(0.0, 0.0), partitions=2, ranges=3)
+    assert calls.value == 6
+    assert {r.id: r.status for r in again.collect()} == {1: "ok", 2: "ok", 3: "ok", 4: "skipped"}
+    assert again.count() == 4 and calls.value == 6  # reading the table calls nothing
+
+
+def test_own_parameters_and_concurrency(spark):
+    calls = spark.sparkContext.accumulator(0)
+    reqs = _requests(spark).selectExpr("*", "concat('{\"model\":\"m', id, '\"}') as own")
+    res = G.generate_batch(reqs, Counted(calls), params={"model": "all"}, params_col="own", concurrency=3, partitions=1)
+    assert {r.id: r.model for r in G.flatten_response(res).collect()} == {1: "m1", 2: "m2", 3: "m3", 4: None}
+
+
+def test_resolve_attempts(spark):
+    log = spark.createDataFrame([(1, 1, "RateLimitError"), (1, 2, None), (1, 3, "late"), (2, 1, "filtered"), (2, 2, None),
+                                 (3, 1, "a"), (3, 2, "b"), (3, 3, "c"), (3, 4, None), (4, 1, "a")], "id long, attempt int, error string")
+    got = {r.id: tuple(r)[1:] for r in G.resolve_attempts(log).collect()}
+    assert got == {1: ("ok", 2, None), 2: ("filtered", 1, "filtered"), 3: ("exhausted", 3, "c"), 4: ("pending", 1, "a")}

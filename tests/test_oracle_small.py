@@ -6,8 +6,9 @@ from tests.conftest import SF_SMALL
 from tests.oracle_check import compare, duck
 
 import __spark_entry__ as E
+from parlance.plans.registry import ORACLE
 
-NAMES = sorted(E.oracle_sql())
+NAMES = sorted(ORACLE)
 
 
 @pytest.fixture(scope="module")

@@ -22,7 +22,9 @@ def test_entry_runs(spark, entry_module):
 
 
 def test_every_query_has_an_oracle(entry_module):
-    assert set(entry_module.queries()) == set(entry_module.oracle_sql())
+    from parlance.plans.registry import ORACLE, QUERIES
+    assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(entry_module.queries()) and set(ORACLE) <= set(entry_module.oracle_sql())
 
 
 NO_PYTHON = ["sft_batches", "chatml_source", "tokenize_truncate", "label_mask", "pad_right", "attention_mask",

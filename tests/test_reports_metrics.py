@@ -105,3 +105,25 @@ def test_gram_order_read_off_the_gram(spark):
     rows = sorted((r["n"], r["gram"], r["n_pred"], r["n_gold"]) for r in got.collect())
     assert rows == [(1, "a", 1, 1), (1, "b", 1, 1), (1, "c", 1, 1), (2, "a b", 1, 1), (2, "b c", 1, 1),
                     (3, "a b c", 1, 0)]
+
+
+def test_bleu_without_matches_or_orders_is_zero(spark):
+    from parlance.operators import metrics as M
+    none = spark.createDataFrame([(1, "a b c d e", "v w x y z")], "idx long, p string, g string")
+    assert M.corpus_bleu(none, "idx", "p", "g").first().bleu == 0.0
+    short = spark.createDataFrame([(1, "a b", "a b")], "idx long, p string, g string")
+    assert M.corpus_bleu(short, "idx", "p", "g").first().bleu == 0.0
+    same = spark.createDataFrame([(1, "a b c d e", "a b c d e")], "idx long, p string, g string")
+    assert abs(M.corpus_bleu(same, "idx", "p", "g").first().bleu - 100.0) < 1e-9
+
+
+def test_null_fields_read_none(spark):
+    from pyspark.sql import functions as F
+
+    from parlance.operators import reports, tools
+    p = spark.sql("select named_struct('name', 'Now', 'temperature', cast(null as int), 'temperatureUnit', 'F', 'windSpeed', '5', "
+                  "'windDirection', 'N', 'detailedForecast', 'x') as p")
+    assert "Temperature: None" in p.select(reports.format_period(F.col("p"))).first()[0]
+    b = spark.createDataFrame([([("tool_use", None, "t", None, "after")],)],
+                              "b array<struct<type:string,text:string,name:string,input:string,follow_up:string>>")
+    assert b.select(tools.flatten_blocks("b")).first()[0] == "[Calling tool t with args None]\nafter"

@@ -83,3 +83,14 @@ def test_user_registered_tool(spark):
     assert TL.dispatch_tools(calls, reg).first().result == "HEY"
     cat = reg.catalog(spark).first()
     assert json.loads(cat.parameters) == {"properties": {"t": {"type": "string"}}, "type": "object"}
+
+
+def test_arguments_are_checked_against_the_schema(spark):
+    from parlance.operators import tools as TL
+    cases = {"sum": ("add", '{"a": 1, "b": 2}'), "missing": ("add", '{"a": 1}'), "part": ("add", '{"a": 1.5, "b": 2}'),
+             "list": ("add", "[1, 2]"), "over": ("add", '{"a": 9223372036854775807, "b": 1}'), "words": ("add", '{"a": "x", "b": 2}'),
+             "where": ("get_current_temperature", "{}"), "unknown": ("nope", "{}"), "broken": ("add", '{"a": 1')}
+    df = spark.createDataFrame([(k, *v) for k, v in cases.items()], "k string, name string, arguments string")
+    got = {r.k: (r.status, r.result) for r in TL.dispatch_tools(df).collect()}
+    assert got.pop("sum") == ("ok", "3") and got.pop("unknown") == ("unknown_tool", None)
+    assert set(got.values()) == {("bad_arguments", None)}
