@@ -1 +1 @@
-"""Operators of a large training-data pipeline. Nothing else in ``parlance`` imports this package."""
+"""Operators of a large corpus pipeline. Nothing else in ``parlance`` imports this package."""

@@ -1,4 +1,4 @@
-"""Chat formatting: every assistant turn becomes one training example whose context is all turns
+"""Chat formatting: every assistant turn becomes one example whose context is all turns
 before it and whose only trainable text is that reply.
 
 Template of a turn: ``<|im_start|>role\\ntext<|im_end|>\\n``. Control strings inside a role or

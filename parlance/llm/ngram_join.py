@@ -207,7 +207,6 @@ class Verifier:
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """The pairs ``(a, b)`` that are links, written."""
-        pairs = materialize(pairs, "pairs")
         v = self._fetch(pairs)
         both = (pairs.join(v.select(F.col("sid").alias("a"), F.col("shingles").alias("sa")), "a")
                 .join(v.select(F.col("sid").alias("b"), F.col("shingles").alias("sb")), "b"))
@@ -244,48 +243,96 @@ def across(shared: DataFrame, sets: DataFrame, comp: DataFrame, near: Callable,
     m = m.join(sets.select("sid", "n", *sketch), "sid")
     m = m.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
-    def group(g: pd.DataFrame) -> pd.DataFrame | None:
-        g = g.drop_duplicates("sid")
-        sid, comp, n = g["sid"].to_numpy(), g["component"].to_numpy(), g["n"].to_numpy()
-        names, idx, count = np.unique(comp, return_inverse=True, return_counts=True)
-        if len(names) < 2:
-            return None
-        sk = np.ascontiguousarray(g[sketch].to_numpy()).view(np.uint64)  # bitwise_count takes absolute values
-        out = []
-        few = np.flatnonzero(idx != count.argmax())  # pairs within the largest component are settled
+    def differ(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return sum(np.bitwise_count(a[..., c] ^ b[..., c]).astype(np.int32) for c in range(a.shape[-1]))
+
+    def small(gid, sid, comp, n, sk) -> list[np.ndarray]:
+        """Rows (group, set, set, differing bits) of many small groups at once: every row against
+        the one before it, the second before it, and so on."""
+        out, live, shift = [], np.arange(len(gid)), 1
+        while len(live := live[live >= shift]) and len(live := live[gid[live] == gid[live - shift]]):
+            a, b = live, live - shift
+            ok = comp[a] != comp[b]
+            a, b = a[ok], b[ok]
+            d = differ(sk[a], sk[b])
+            ok = near(d, n[a], n[b])
+            a, b, d = a[ok], b[ok], d[ok]
+            out += [np.stack([gid[a], sid[a], sid[b], d]), np.stack([gid[a], sid[b], sid[a], d])]
+            shift += 1
+        return out
+
+    def large(gid, sid, comp, n, sk) -> list[np.ndarray]:
+        """The same for one group, without the pairs within its largest component."""
+        _, idx, count = np.unique(comp, return_inverse=True, return_counts=True)
+        few, out = np.flatnonzero(idx != count.argmax()), []
         for x in np.array_split(few, max(1, len(few) * len(sid) // 2_000_000)):
-            d = np.zeros((len(x), len(sid)), np.int32)
-            for c in range(len(sketch)):
-                d += np.bitwise_count(sk[x, c][:, None] ^ sk[:, c][None, :])
+            d = differ(sk[x][:, None], sk[None])
             ok = (comp[x][:, None] != comp[None, :]) & near(d, n[x][:, None], n[None, :])
             if nearest:
                 best = np.where(ok, d, 1 << 20).argmin(1)
-                hit = ok[np.arange(len(x)), best]
-                out.append(np.stack([sid[x[hit]], sid[best[hit]]]))
-            else:
-                a, b = np.nonzero(ok)
-                out.append(np.stack([sid[x[a]], sid[b]]))
-        p = np.concatenate(out, 1)
-        return pd.DataFrame({"a": p.min(0), "b": p.max(0)}).drop_duplicates() if p.size else None
+                keep = np.zeros_like(ok)
+                keep[np.arange(len(x)), best] = True
+                ok &= keep
+            a, b = np.nonzero(ok)
+            out.append(np.stack([np.full(len(a), gid), sid[x[a]], sid[b], d[a, b]]))
+        return out
+
+    def meet(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        """Whole groups, ordered."""
+        at = pdf[["key", "i", "j"]].to_numpy()
+        gid = np.r_[0, np.cumsum((at[1:] != at[:-1]).any(1))]
+        cols = [pdf[c].to_numpy() for c in ("sid", "component", "n")]
+        cols.append(np.ascontiguousarray(pdf[sketch].to_numpy()).view(np.uint64))  # bitwise_count takes absolute values
+        size = np.bincount(gid)
+        some = size[gid] <= 64
+        out = small(gid[some], *[c[some] for c in cols])
+        for g in np.flatnonzero(size > 64):
+            a, b = np.searchsorted(gid, [g, g + 1])
+            out += large(g, *[c[a:b] for c in cols])
+        p = np.concatenate(out, 1) if out else np.zeros((4, 0), np.int64)
+        if nearest and p.size:
+            p = p[:, np.lexsort((p[2], p[3], p[1], p[0]))]
+            p = p[:, np.r_[True, (p[:2, 1:] != p[:2, :-1]).any(0)]]
+        if p.size:
+            yield pd.DataFrame({"a": p[1:3].min(0), "b": p[1:3].max(0)}).drop_duplicates()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: pd.DataFrame | None = None
+        held: list[pd.DataFrame] = []  # of the group that may go on
+        group = ["key", "i", "j"]
         for pdf in batches:
-            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
             if not len(pdf):
                 continue
-            cut = pdf[["key", "i", "j"]].to_numpy()
-            starts = np.flatnonzero(np.r_[True, (cut[1:] != cut[:-1]).any(1)])
-            for a, b in zip(starts[:-1], starts[1:]):
-                if (p := group(pdf.iloc[a:b])) is not None:
-                    yield p
-            held = pdf.iloc[starts[-1]:]
-        if held is not None and (p := group(held)) is not None:
-            yield p
+            last = tuple(pdf[group].iloc[-1])
+            if held and last == tuple(pdf[group].iloc[0]) == tuple(held[-1][group].iloc[-1]):
+                held.append(pdf)
+                continue
+            pdf = pd.concat([*held, pdf])
+            open_ = (pdf[group] == last).all(axis=1).to_numpy()
+            if not open_.all():
+                yield from meet(pdf[~open_])
+            held = [pdf[open_]]
+        if held:
+            yield from meet(pd.concat(held))
     cols = ["key", "i", "j", "sid", "component", "n", *sketch]
     return m.select(*cols).mapInPandas(run, "a long, b long").distinct()
 
 
+def link_rounds(shared: DataFrame, sets: DataFrame, links: DataFrame, near: Callable, sketch: list[str],
+                verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Components of ``links`` and of all links between sets that share a key: first the nearest
+    pairs across components, then all that are left across."""
+    comp = materialize(components(links), "components")
+    for nearest in (True, False):
+        pairs = materialize(across(shared, sets, comp, near, sketch, nearest), "pairs")
+        if pairs.isEmpty():
+            break
+        new = verify(pairs)
+        if not new.isEmpty():
+            links = links.unionAll(new)
+            comp = materialize(components(links), "components")
+    return comp
+
+
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id, tid`` per row of ``docs`` (``tid``: hash of its text)."""
     d = materialize(set_table(docs, n), "shingle-sets")
@@ -300,14 +347,11 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     bands.allocate({r["k"]: r["c"] for r in per})
     shared = materialize(shared_keys(index_rows(docs, n, bands)), "shared-keys")
     check = Verifier(docs, sets, n, percent)
-    links = check.links(_star(shared, sets, percent))
+    links = check.links(materialize(_star(shared, sets, percent), "pairs"))
 
     def near(d, a, b):
         return (d * (100 + percent) <= (a + b) * (100 - percent)) & (percent * np.maximum(a, b) <= 100 * np.minimum(a, b))
-    for nearest in (True, False):
-        comp = materialize(components(links), "components")
-        links = links.unionAll(check.links(across(shared, sets, comp, near, SKETCH, nearest)))
-    comp = components(links)
+    comp = link_rounds(shared, sets, links, near, SKETCH, check.links)
     part = sets.join(comp.withColumnRenamed("id", "sid"), "sid", "left").select("sid", F.coalesce("component", "sid").alias("c"), "least")
     part = materialize(part, "parts")
     named = part.join(part.groupBy("c").agg(F.min("least").alias("component_id")), "c").select("sid", "component_id")
