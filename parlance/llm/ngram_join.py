@@ -367,9 +367,12 @@ def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     rows = c.groupBy("component_id", "doc_id", "tid").agg(F.count("n_shingles").alias("c"))
     keep = rows.groupBy("component_id").agg(F.min(F.struct("doc_id", "tid", "c")).alias("f")).select(
         F.col("f.doc_id").alias("keep_id"), F.col("f.tid").alias("keep_tid"), (F.col("f.c") > 1).alias("again"))
+    keep = materialize(keep, "kept")
     row = docs.select(F.struct(*[F.col(f"`{x}`") for x in docs.columns]).alias("row"),
                       F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("t"))
     row = row.select("row", "id", F.xxhash64("t").alias("h"), F.coalesce("t", F.lit("")).rlike(r"[^ \t-\r]").alias("worded"))
     kept = row.join(keep, F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("h") == F.col("keep_tid")), "left")
     once = kept.where("not worded or not again").select("row.*")
+    if keep.where("again").isEmpty():  # no row that repeats in full stays
+        return once
     return once.unionByName(kept.where("worded and again").dropDuplicates(["id", "h"]).select("row.*"))
