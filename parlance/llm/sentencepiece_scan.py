@@ -56,17 +56,26 @@ class Model:
         self.bpe, self.prefix = m.trainer_spec.model_type == _BPE, m.normalizer_spec.add_dummy_prefix
         if not self.bpe and m.trainer_spec.model_type != _UNIGRAM:
             raise ValueError("only unigram and BPE models are read")
-        self.lib = sentencepiece.SentencePieceProcessor(model_proto=raw) if self.bpe else None
+        m.normalizer_spec.add_dummy_prefix = False  # parts of an escaped text are encoded as they are
+        self.lib = sentencepiece.SentencePieceProcessor(model_proto=m.SerializeToString()) if self.bpe else None
         self.piece = {p.piece: (float(p.score), i) for i, p in enumerate(m.pieces) if p.type in (_NORMAL, _USER)}
         self.byte = {int(p.piece[3:5], 16): i for i, p in enumerate(m.pieces) if p.type == _BYTE}
         self.bytes_of = [bytes([int(p.piece[3:5], 16)]) if p.type == _BYTE else p.piece.encode() if p.type in (_NORMAL, _USER) else b""
                          for p in m.pieces]
         self.unknown = next((i for i, p in enumerate(m.pieces) if p.type == _UNKNOWN), 0)
-        self.prefixes = {p[:i] for p in self.piece for i in range(1, len(p) + 1)}
+        self.trie: dict = {}
+        for p, got in self.piece.items():
+            node = self.trie
+            for c in p:
+                node = node.setdefault(c, {})
+            node[""] = got
+        # no path and no merge crosses a place between two characters that no piece holds side by side
+        self.inner = {p[i:i + 2] for p in self.piece for i in range(len(p) - 1)}
         self.longest = max(map(len, self.piece), default=1)
         self.penalty = min((s for s, _ in self.piece.values()), default=0.0) - _UNKNOWN_PENALTY
         # a word's start (a space after another character) is never inside a piece
-        self.words = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.piece)
+        self.words = not any(x[0] != SPACE and x[1] == SPACE for x in self.inner)
+        self.unit_re = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+" if self.words else "(?s).+")
         self.limit, self.new, self.old = limit, {}, {}
 
     def escaped(self, text: str | None) -> str:
@@ -74,19 +83,16 @@ class Model:
             return ""
         return (SPACE if self.prefix else "") + text.replace(" ", SPACE)
 
-    def units(self, text: str) -> list[str]:
-        return re.findall(f"{SPACE}*[^{SPACE}]+|{SPACE}+", text) if self.words else [text]
-
     def arcs(self, text: str, i: int) -> list[tuple[int, float, int]]:
         """``(end, score, id)`` of the pieces that start at ``i`` (id -1: a character without one)."""
-        out, single = [], False
-        for j in range(i + 1, min(len(text), i + self.longest) + 1):
-            p = text[i:j]
-            if p not in self.prefixes:
+        out, node, single = [], self.trie, False
+        for j in range(i, min(len(text), i + self.longest)):
+            node = node.get(text[j])
+            if node is None:
                 break
-            if (got := self.piece.get(p)) is not None:
-                out.append((j, *got))
-                single |= j == i + 1
+            if (got := node.get("")) is not None:
+                out.append((j + 1, *got))
+                single |= j == i
         if not single:
             out.append((i + 1, self.penalty, -1))
         return out
@@ -98,44 +104,80 @@ class Model:
 
     def best(self, text: str, start: int, end: int) -> tuple[float, list[int]]:
         """Best path over ``text[start:end]``."""
-        score, back = [_LOW] * (end - start + 1), [None] * (end - start + 1)
+        n, root, longest = end - start, self.trie, self.longest
+        score, back, piece = [_LOW] * (n + 1), [-1] * (n + 1), [-1] * (n + 1)
         score[0] = 0.0
-        for i in range(start, end):
-            s = score[i - start]
+        for i in range(n):
+            s = score[i]
             if s == _LOW:
                 continue
-            for j, x, id_ in self.arcs(text, i):
-                if j <= end and s + x > score[j - start]:
-                    score[j - start], back[j - start] = s + x, (i, id_)
-        ids, at = [], end
-        while at > start:
-            if back[at - start] is None:
+            node, j, single = root, i, False
+            for c in text[start + i:min(end, start + i + longest)]:
+                node = node.get(c)
+                if node is None:
+                    break
+                j += 1
+                got = node.get("")
+                if got is not None:
+                    if s + got[0] > score[j]:
+                        score[j], back[j], piece[j] = s + got[0], i, got[1]
+                    single |= j == i + 1
+            if not single and s + self.penalty > score[i + 1]:
+                score[i + 1], back[i + 1], piece[i + 1] = s + self.penalty, i, -1
+        out, at = [], n
+        while at > 0:
+            if back[at] < 0:
                 return _LOW, []
-            i, id_ = back[at - start]
-            ids.append(self.spell(text, i, at, id_))
-            at = i
-        return score[-1], [x for part in reversed(ids) for x in part]
-
-    def unit(self, u: str) -> tuple[float, bytes, bytes]:
-        """Score and packed ids of a unit's best path, and its ids by merges (or the path again)."""
-        if (v := self.new.get(u)) is None:
-            if (v := self.old.get(u)) is None:
-                s, ids = self.best(u, 0, len(u))
-                own = self.lib.encode(u[1:].replace(SPACE, " ") if self.prefix else u.replace(SPACE, " ")) if self.bpe else ids
-                v = (s, np.array(ids, "<u4").tobytes(), np.array(own, "<u4").tobytes())
-            if len(u) <= 64:
-                if len(self.new) > self.limit:
-                    self.new, self.old = {}, self.new
-                self.new[u] = v
-        return v
-
-    def solve(self, text: str) -> tuple[float, bytes, bytes]:
-        """Score and packed ids of the best path of an escaped text, and its ids by merges."""
-        known, parts = self.new, []
-        for u in self.units(text):
-            parts.append(known.get(u) or self.unit(u))
-            known = self.new
-        return sum([p[0] for p in parts]), b"".join([p[1] for p in parts]), b"".join([p[2] for p in parts])
+            out.append((back[at], at, piece[at]))
+            at = back[at]
+        ids = []
+        for i, j, id_ in reversed(out):
+            ids += [id_] if id_ >= 0 else self.spell(text, start + i, start + j, id_)
+        return score[-1], ids
+
+    def _learn(self, units: set[str]) -> None:
+        """Solve units part by part and remember them: score, packed ids of the best path, ids by
+        merges (or the path again), whether both spell the unit."""
+        if len(self.new) > self.limit:
+            self.new, self.old = {}, self.new
+        new, old, made, todo = self.new, self.old, {}, set()
+        for u in units:
+            if u in new:
+                continue
+            if (v := old.get(u)) is not None:
+                new[u] = v
+                continue
+            cut = [0, *(i for i in range(1, len(u)) if u[i - 1:i + 1] not in self.inner), len(u)]
+            made[u] = parts = [u[a:b] for a, b in zip(cut, cut[1:])]
+            todo.update(p for p in parts if p not in new)
+        todo = list(todo)
+        own = self.lib.encode(todo, num_threads=1) if self.bpe and todo else [None] * len(todo)
+        for p, merged in zip(todo, own):
+            score, path = self.best(p, 0, len(p))
+            merged, raw = path if merged is None else merged, p.encode()
+            new[p] = (score, np.array(path, "<u4").tobytes(), np.array(merged, "<u4").tobytes(),
+                      self.spelled(path) == raw and self.spelled(merged) == raw)
+        for u, parts in made.items():
+            if len(parts) > 1:
+                got = [new[p] for p in parts]
+                new[u] = (sum(g[0] for g in got), b"".join([g[1] for g in got]), b"".join([g[2] for g in got]), all(g[3] for g in got))
+
+    def solve(self, text: str) -> tuple[float, bytes, bytes, bool]:
+        """Of an escaped text: score and packed ids of its best path, its ids by merges, and
+        whether both spell it."""
+        units = self.unit_re.findall(text)
+        try:
+            parts = [self.new[u] for u in units]
+        except KeyError:
+            self._learn({u for u in units if u not in self.new})
+            if not all(u in self.new for u in units):  # a generation ended meanwhile
+                self._learn(set(units))
+            parts = [self.new[u] for u in units]
+        return (sum([p[0] for p in parts]), b"".join([p[1] for p in parts]), b"".join([p[2] for p in parts]),
+                all([p[3] for p in parts]))
+
+    def spelled(self, ids) -> bytes:
+        return b"".join(map(self.bytes_of.__getitem__, ids))
 
     # chunks: text is the chunk and up to ``longest - 1`` characters after it
 
@@ -204,8 +246,7 @@ class Model:
 
     def decode(self, ids) -> str:
         """The text of ids: byte pieces joined, spaces restored, the added first space dropped."""
-        out = b"".join(map(self.bytes_of.__getitem__, ids))
-        text = out.decode("utf-8", "replace").replace(SPACE, " ")
+        text = self.spelled(ids).decode("utf-8", "replace").replace(SPACE, " ")
         return text[1:] if self.prefix and text[:1] == " " else text
 
 
@@ -287,12 +328,13 @@ def encode(docs: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
             own, best, same = [], [], []
             for text, got in zip(pdf["text"].tolist(), pdf["path"].tolist()):
                 t = m.escaped(text)
-                _, p, o = m.solve(t) if got is None or m.bpe else (0, b"", b"")
-                p = p if got is None else bytes(got)
-                o = o if m.bpe else p
-                own.append(o)
+                _, p, o, spells = m.solve(t)
+                if got is not None:
+                    p = bytes(got)
+                    spells = spells and m.decode(np.frombuffer(p, "<u4").tolist()) == text
+                own.append(o if m.bpe else p)
                 best.append(p)
-                same.append(all(m.decode(np.frombuffer(x, "<u4").tolist()) == (text or "") for x in {o, p}))
+                same.append(spells)
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": own, "path": best, "decoded": same})
     paths = scan(d.where(giant).select("tid", "text").dropDuplicates(["tid"]), path, chunk)
     rows = d.where(~giant).select("doc_id", "text", F.lit(None).cast("binary").alias("path")).unionByName(
