@@ -135,6 +135,24 @@ def test_triggers_belong_to_the_string():
         assert suffix_dedup.trigger_of(a + s + a[:50], 200)[len(a)] - len(a) == suffix_dedup.trigger_of(s, 200)[0]
 
 
+def test_edit_distance_bound():
+    r = random.Random(7)
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+    for _ in range(2000):
+        a, b = ("".join(r.choices("abé", k=r.randrange(0, 14))) for _ in "ab")
+        d = distance(a, b)
+        for most in (0, 1, d - 1, d, d + 1):
+            assert line_dedup.within(a, b, most) == (d <= most)
+
+
 def test_line_dedup_keeps_one_of_each_group(docs):
     base = [" ".join(random.Random(i).choices(WORDS, k=40)) for i in range(12)]
     near = [b + "." for b in base[:4]] + [b.upper() for b in base[4:8]] + [b + " Q" for b in base[8:]]
