@@ -120,23 +120,43 @@ class Bands:
         return np.unique(np.concatenate(out))
 
 
-def set_table(docs: DataFrame, n: int) -> DataFrame:
+def wide_sketch(s: np.ndarray, percent: int) -> bytes | None:
+    """Parity sketch of about three times as many bits as linked sets of this size may differ in, where
+    512 bits are too few to tell sets apart. A power of two, so sketches fold onto each other."""
+    bits = 1 << max(0, (6 * len(s) * (100 - percent) // (100 + percent)).bit_length())
+    if bits <= 512:
+        return None
+    at = (mix(s ^ np.uint64(0x589965CC75374CC3)) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def wide_differ(a: bytes | None, b: bytes | None) -> int:
+    """Least number of shingles in which two sets differ, by their wide sketches."""
+    if a is None or b is None:
+        return 0
+    size = min(len(a), len(b))
+    x, y = (np.bitwise_xor.reduce(np.frombuffer(z, np.uint64).reshape(-1, size // 8), axis=0) for z in (a, b))
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def set_table(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """``doc_id, tid`` (hash of the text), ``n``, ``sid`` (hash of the set; null if empty) and the
-    sketch per row of ``docs``."""
+    sketches per row of ``docs``."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            size, sid, sk = [], [], []
+            size, sid, sk, wide = [], [], [], []
             for text in pdf.pop("text").tolist():
                 s = shingle_set(text, n)
                 size.append(len(s))
                 sid.append(int.from_bytes(xxhash.xxh3_64_digest(s.tobytes()), "big", signed=True) if len(s) else None)
                 odd = np.bincount((mix(s ^ np.uint64(0x8EBC6AF09C88C6E3)) >> np.uint64(55)).astype(np.int64), minlength=512) & 1
                 sk.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+                wide.append(wide_sketch(s, percent))
             sk = np.array(sk, np.int64).reshape(-1, 8)
-            yield pdf.assign(n=size, sid=pd.array(sid, "Int64"), **{c: sk[:, i] for i, c in enumerate(SKETCH)})
+            yield pdf.assign(n=size, sid=pd.array(sid, "Int64"), wide=pd.Series(wide, index=pdf.index, dtype=object), **{c: sk[:, i] for i, c in enumerate(SKETCH)})
     d = docs.select(id_in(), F.col("text").cast("string").alias("text"))
     d = d.select("doc_id", F.xxhash64("text").alias("tid"), "text")
-    return d.mapInPandas(run, "doc_id long, tid long, n long, sid long, " + ", ".join(f"{c} long" for c in SKETCH)
+    return d.mapInPandas(run, "doc_id long, tid long, n long, sid long, wide binary, " + ", ".join(f"{c} long" for c in SKETCH)
                          ).withColumn("doc_id", id_out())
 
 
@@ -240,7 +260,8 @@ def across(shared: DataFrame, sets: DataFrame, comp: DataFrame, near: Callable,
     m = m.withColumn("own", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
     m = m.select("key", "sid", "component", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     m = m.select("key", "sid", "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    m = m.join(sets.select("sid", "n", *sketch), "sid")
+    wide = F.col("wide") if "wide" in sets.columns else F.lit(None).cast("binary").alias("wide")
+    m = m.join(sets.select("sid", "n", wide, *sketch), "sid")
     m = m.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def differ(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -261,16 +282,15 @@ def across(shared: DataFrame, sets: DataFrame, comp: DataFrame, near: Callable,
             shift += 1
         return out
 
-    def large(gid, sid, comp, n, sk) -> list[np.ndarray]:
+    def large(gid, sid, comp, n, sk, all_: bool) -> list[np.ndarray]:
         """The same for one group, without the pairs within its largest component."""
         _, idx, count = np.unique(comp, return_inverse=True, return_counts=True)
         few, out = np.flatnonzero(idx != count.argmax()), []
         for x in np.array_split(few, max(1, len(few) * len(sid) // 2_000_000)):
             d = differ(sk[x][:, None], sk[None])
             ok = (comp[x][:, None] != comp[None, :]) & near(d, n[x][:, None], n[None, :])
-            if nearest:
-                best = np.where(ok, d, 1 << 20).argmin(1)
-                keep = np.zeros_like(ok)
+            if not all_:  # the nearest is enough
+                best, keep = np.where(ok, d, 1 << 20).argmin(1), np.zeros_like(ok)
                 keep[np.arange(len(x)), best] = True
                 ok &= keep
             a, b = np.nonzero(ok)
@@ -288,8 +308,21 @@ def across(shared: DataFrame, sets: DataFrame, comp: DataFrame, near: Callable,
         out = small(gid[some], *[c[some] for c in cols])
         for g in np.flatnonzero(size > 64):
             a, b = np.searchsorted(gid, [g, g + 1])
-            out += large(g, *[c[a:b] for c in cols])
+            out += large(g, *[c[a:b] for c in cols], all_=not nearest or bool(pdf["wide"].iloc[a:b].notna().any()))
         p = np.concatenate(out, 1) if out else np.zeros((4, 0), np.int64)
+        has = pdf["wide"].notna().to_numpy()
+        if p.size and has.any():
+            wide_of = dict(zip(pdf["sid"].to_numpy()[has].tolist(), pdf["wide"].to_numpy()[has]))
+            size_of = dict(zip(cols[0].tolist(), cols[2].tolist()))
+            seen: dict[tuple[int, int], bool] = {}
+            ok = np.ones(p.shape[1], bool)
+            for k, (a, b) in enumerate(zip(p[1].tolist(), p[2].tolist())):
+                if a in wide_of and b in wide_of:
+                    pair = (a, b) if a < b else (b, a)
+                    if pair not in seen:
+                        seen[pair] = bool(near(wide_differ(wide_of[a], wide_of[b]), size_of[a], size_of[b]))
+                    ok[k] = seen[pair]
+            p = p[:, ok]
         if nearest and p.size:
             p = p[:, np.lexsort((p[2], p[3], p[1], p[0]))]
             p = p[:, np.r_[True, (p[:2, 1:] != p[:2, :-1]).any(0)]]
@@ -313,7 +346,7 @@ def across(shared: DataFrame, sets: DataFrame, comp: DataFrame, near: Callable,
             held = [pdf[open_]]
         if held:
             yield from meet(pd.concat(held))
-    cols = ["key", "i", "j", "sid", "component", "n", *sketch]
+    cols = ["key", "i", "j", "sid", "component", "n", "wide", *sketch]
     return m.select(*cols).mapInPandas(run, "a long, b long").distinct()
 
 
@@ -335,10 +368,11 @@ def link_rounds(shared: DataFrame, sets: DataFrame, links: DataFrame, near: Call
 
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id, tid`` per row of ``docs`` (``tid``: hash of its text)."""
-    d = materialize(set_table(docs, n), "shingle-sets")
+    d = materialize(set_table(docs, n, percent), "shingle-sets")
     sets = materialize(d.where("sid is not null").groupBy("sid").agg(
         F.min(F.struct("doc_id", "tid")).alias("rep"), F.min("doc_id").alias("least"), F.count("tid").alias("copies"),
-        F.first("n").alias("n"), *[F.first(c).alias(c) for c in SKETCH]), "distinct-sets")
+        F.first("n").alias("n"), F.first("wide").alias("wide"), *[F.first(c).alias(c) for c in SKETCH]), "distinct-sets")
+    d = d.drop("wide", *SKETCH)
     largest = sets.agg(F.max("n")).first()[0] or 0
     bands = Bands(percent, largest)
     # sets per band: at most one row a band, some hundreds for any size of text

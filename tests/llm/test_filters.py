@@ -81,6 +81,18 @@ def test_pigeonhole_meets_every_link():
     assert any(d for _, d in bands.segments)
 
 
+def test_wide_sketch_is_a_lower_bound():
+    r = np.random.default_rng(8)
+    for _ in range(100):
+        a = np.unique(r.integers(0, 2 ** 63, r.integers(900, 6000)).astype(np.uint64))
+        b = np.unique(np.r_[a[r.random(len(a)) > r.random() * 0.4], r.integers(0, 2 ** 63, r.integers(0, 900)).astype(np.uint64)])
+        x, y = (ngram_join.wide_sketch(s, 80) for s in (a, b))
+        assert x is not None and ngram_join.wide_differ(x, y) <= len(np.setxor1d(a, b))
+    c = np.unique(r.integers(0, 2 ** 63, 3000).astype(np.uint64))
+    d = np.unique(r.integers(0, 2 ** 63, 3000).astype(np.uint64))
+    assert ngram_join.wide_differ(*(ngram_join.wide_sketch(s, 80) for s in (c, d))) > 6000 * 20 // 180
+
+
 def test_across_in_blocks(llm, monkeypatch):
     """A key with more sets than a block holds still compares all of them."""
     monkeypatch.setattr(ngram_join, "BLOCK", 3)
