@@ -45,7 +45,7 @@ _UNKNOWN_PENALTY = 10.0
 class Model:
     """Pieces, scores and the path solver of a model file whose normalizer is the identity."""
 
-    def __init__(self, path: str, limit: int = 150_000):
+    def __init__(self, path: str, limit: int = 200_000):
         import sentencepiece
         from sentencepiece import sentencepiece_model_pb2 as pb
         raw = open(tokenizer_path(path), "rb").read()
@@ -63,12 +63,13 @@ class Model:
         self.bytes_of = [bytes([int(p.piece[3:5], 16)]) if p.type == _BYTE else p.piece.encode() if p.type in (_NORMAL, _USER) else b""
                          for p in m.pieces]
         self.unknown = next((i for i, p in enumerate(m.pieces) if p.type == _UNKNOWN), 0)
-        self.trie: dict = {}
+        # a node: its children by character, and the piece that ends there
+        self.trie: list = [{}, None]
         for p, got in self.piece.items():
             node = self.trie
             for c in p:
-                node = node.setdefault(c, {})
-            node[""] = got
+                node = node[0].setdefault(c, [{}, None])
+            node[1] = got
         # no path and no merge crosses a place between two characters that no piece holds side by side
         self.inner = {p[i:i + 2] for p in self.piece for i in range(len(p) - 1)}
         self.longest = max(map(len, self.piece), default=1)
@@ -87,10 +88,10 @@ class Model:
         """``(end, score, id)`` of the pieces that start at ``i`` (id -1: a character without one)."""
         out, node, single = [], self.trie, False
         for j in range(i, min(len(text), i + self.longest)):
-            node = node.get(text[j])
+            node = node[0].get(text[j])
             if node is None:
                 break
-            if (got := node.get("")) is not None:
+            if (got := node[1]) is not None:
                 out.append((j + 1, *got))
                 single |= j == i
         if not single:
@@ -104,24 +105,25 @@ class Model:
 
     def best(self, text: str, start: int, end: int) -> tuple[float, list[int]]:
         """Best path over ``text[start:end]``."""
-        n, root, longest = end - start, self.trie, self.longest
+        n, root, longest = end - start, self.trie[0], self.longest
         score, back, piece = [_LOW] * (n + 1), [-1] * (n + 1), [-1] * (n + 1)
         score[0] = 0.0
         for i in range(n):
             s = score[i]
             if s == _LOW:
                 continue
-            node, j, single = root, i, False
+            below, j, single = root, i, False
             for c in text[start + i:min(end, start + i + longest)]:
-                node = node.get(c)
+                node = below.get(c)
                 if node is None:
                     break
                 j += 1
-                got = node.get("")
+                below, got = node
                 if got is not None:
-                    if s + got[0] > score[j]:
-                        score[j], back[j], piece[j] = s + got[0], i, got[1]
-                    single |= j == i + 1
+                    if (x := s + got[0]) > score[j]:
+                        score[j], back[j], piece[j] = x, i, got[1]
+                    if j == i + 1:
+                        single = True
             if not single and s + self.penalty > score[i + 1]:
                 score[i + 1], back[i + 1], piece[i + 1] = s + self.penalty, i, -1
         out, at = [], n
