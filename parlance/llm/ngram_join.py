@@ -367,7 +367,8 @@ def link_rounds(shared: DataFrame, sets: DataFrame, links: DataFrame, near: Call
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """``doc_id, n_shingles, component_id, tid`` per row of ``docs`` (``tid``: hash of its text)."""
+    """``doc_id, n_shingles, component_id, tid, component`` per row of ``docs`` (``tid``: hash of its
+    text; ``component``: a hash that tells components apart whatever their doc_ids, null if empty)."""
     d = materialize(set_table(docs, n, percent), "shingle-sets")
     sets = materialize(d.where("sid is not null").groupBy("sid").agg(
         F.min(F.struct("doc_id", "tid")).alias("rep"), F.min("doc_id").alias("least"), F.count("tid").alias("copies"),
@@ -388,18 +389,18 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     comp = link_rounds(shared, sets, links, near, SKETCH, check.links)
     part = sets.join(comp.withColumnRenamed("id", "sid"), "sid", "left").select("sid", F.coalesce("component", "sid").alias("c"), "least")
     part = materialize(part, "parts")
-    named = part.join(part.groupBy("c").agg(F.min("least").alias("component_id")), "c").select("sid", "component_id")
+    named = part.join(part.groupBy("c").agg(F.min("least").alias("component_id")), "c").select("sid", "component_id", F.col("c").alias("component"))
     return d.join(named, "sid", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
-        F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "tid")
+        F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "tid", "component")
 
 
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` without near copies: of each component the row with the least doc_id
     (then text hash) stays; of fully repeated rows one stays. Texts without words stay."""
     c = jaccard_components(docs, n, percent).where("n_shingles > 0")
-    rows = c.groupBy("component_id", "doc_id", "tid").agg(F.count("n_shingles").alias("c"))
-    keep = rows.groupBy("component_id").agg(F.min(F.struct("doc_id", "tid", "c")).alias("f")).select(
+    rows = c.groupBy("component", "doc_id", "tid").agg(F.count("n_shingles").alias("c"))
+    keep = rows.groupBy("component").agg(F.min(F.struct("doc_id", "tid", "c")).alias("f")).select(
         F.col("f.doc_id").alias("keep_id"), F.col("f.tid").alias("keep_tid"), (F.col("f.c") > 1).alias("again"))
     keep = materialize(keep, "kept")
     row = docs.select(F.struct(*[F.col(f"`{x}`") for x in docs.columns]).alias("row"),

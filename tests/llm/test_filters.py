@@ -66,6 +66,24 @@ def test_ngram_components_equal_all_pairs(docs, n, percent):
     assert len(links) > 20
 
 
+def test_keep_one_equals_all_pairs_under_null_and_repeated_ids(docs):
+    """Unlike texts stay, whatever ids they share."""
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, t) for i, t in texts(9, 90)] + [(None, None), (7, ""), (7, " ")]
+    sets = {k: shingles(t, 5) for k, (_, t) in enumerate(rows)}
+    links = [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b]
+             and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    group = union(links, sets)
+    size = collections.Counter(group[k] for k in sets if sets[k])
+    got = [(r.doc_id, r.text) for r in ngram_join.keep_one(docs(rows), 5, 80).collect()]
+    assert len([x for x in got if not shingles(x[1], 5)]) == 3
+    of = {(i, t): group[k] for k, (i, t) in enumerate(rows) if sets[k]}
+    worded = [x for x in got if shingles(x[1], 5)]
+    assert sorted(of[x] for x in worded) == sorted(size)
+    least = {g: min(-1 if i is None else i for k, (i, _) in enumerate(rows) if sets[k] and group[k] == g) for g in size}
+    assert all((-1 if i is None else i) == least[of[i, t]] for i, t in worded)
+    assert len({of[x] for x in worded if x[0] is None}) > 5 and len({of[x] for x in worded if x[0] == 7}) > 5
+
+
 def test_pigeonhole_meets_every_link():
     """Linked sets share an index key under any allocation, also with weight-2 segments."""
     r = np.random.default_rng(5)
