@@ -279,3 +279,11 @@ def test_near_lines_are_found_at_any_length(docs):
         rows = [(0, "\n".join(map(" ".join, first))), (1, "\n".join(map(" ".join, other)))]
         got = {x.doc_id: x.n_removed for x in line_dedup.report(docs(rows)).collect()}
         assert got[0] == 0 and got[1] >= least, (words, got)
+
+
+def test_lines_of_any_length_and_script_are_grouped_when_equal(docs):
+    long = "".join(chr(0x4E00 + random.Random(5).randrange(3000) + i) for i in range(60))
+    rows = [(0, f"ok\n\n----\n\n{long}\nไทย\nthree short words"), (1, f"OK.\n\n----\n\n{long[:30]}字{long[30:]}\nไทย\nthree  short words\n===="),
+            (None, "three short words")]
+    got = {x.doc_id: x.kept_text for x in line_dedup.report(docs(rows)).collect()}
+    assert got == {0: f"ok\n\n----\n\n{long}\nไทย", 1: "\n\n====", None: "three short words"}
