@@ -287,3 +287,21 @@ def test_lines_of_any_length_and_script_are_grouped_when_equal(docs):
             (None, "three short words")]
     got = {x.doc_id: x.kept_text for x in line_dedup.report(docs(rows)).collect()}
     assert got == {0: f"ok\n\n----\n\n{long}\nไทย", 1: "\n\n====", None: "three short words"}
+
+
+def test_a_block_of_near_copies_is_dealt_out(docs, llm, monkeypatch):
+    """A block above ``HOT`` is compared in parts, and its near copies are one group all the same."""
+    monkeypatch.setattr(line_dedup, "HOT", 40)
+    monkeypatch.setattr(line_dedup, "HUBS", 4)
+    r = random.Random(3)
+    base = [r.choice(WORDS) for _ in range(60)]
+    lines = []
+    for i in range(300):
+        x = list(base)
+        x[r.randrange(60)] = f"v{chr(97 + i % 26)}{chr(97 + i // 26)}"
+        lines.append(" ".join(x))
+    found, shared = line_dedup.block_neighbours(line_dedup.line_table(docs([(0, "\n".join(lines))])).withColumnRenamed("lid", "sid"))
+    assert found.count() <= 300 * 16 * 2 * 8  # a row's nearest in each part, not all pairs (300 * 299 / 2 a block)
+    assert shared.groupBy("key").count().where("count > 40").count() >= 1
+    got = line_dedup.report(docs([(i, t) for i, t in enumerate(lines)])).where("n_removed = 1").count()
+    assert got >= 297
