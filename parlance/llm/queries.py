@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import ann, chat_format, line_dedup, ngram_join, packing, quality_rules, sentencepiece_scan, suffix_dedup, token_files, token_rollup
+from parlance.llm import (
+    ann, centroids, chat_format, line_dedup, ngram_join, packing, quality_rules, sentencepiece_scan, sharding, suffix_dedup,
+    token_files, token_rollup, whitening)
 from parlance.llm.common import materialize, prepare, table
 from parlance.sources.io import scratch_path
 
@@ -143,3 +145,103 @@ def op9(spark, sf_dir):
 def op10(spark, sf_dir):
     """Every document's ids by the model's merges and by the best path over its pieces."""
     return sentencepiece_scan.digests(sentencepiece_scan.encode(table(spark, sf_dir, "documents"), "piece_bpe_32k.model"))
+
+
+OP11_SQL = """
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id, embedding) AS r, vec_id,
+         list_transform(embedding, lambda c: CAST(floor(64 * CAST(c AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda c: c IS NOT NULL AND isfinite(c) AND abs(64 * CAST(c AS DOUBLE)) < 134217728)) = 64),
+c0 AS MATERIALIZED (
+  SELECT CAST(row_number() OVER (ORDER BY sha256('1:' || CAST(vec_id AS VARCHAR)) NULLS LAST, x) - 1 AS INTEGER) AS k, x
+  FROM v QUALIFY k < 16),
+"""
+OP11_ROUND = """
+d{i} AS MATERIALIZED (
+  SELECT r, k, list_sum(list_transform(list_zip(v.x, c.x), lambda p: CAST((p[1] - p[2]) * (p[1] - p[2]) AS HUGEINT))) AS d
+  FROM v CROSS JOIN c{i} c),
+a{i} AS MATERIALIZED (SELECT r, arg_min(k, (d, k)) AS k, min(d) AS d FROM d{i} GROUP BY r),"""
+OP11_MOVE = """
+e{i} AS (SELECT a.k, unnest(v.x) AS x, unnest(range(64)) AS j FROM a{i} a JOIN v USING (r)),
+s{i} AS (SELECT k, j, CAST(sum(x) AS HUGEINT) AS s, CAST(count(*) AS HUGEINT) AS n FROM e{i} GROUP BY k, j),
+m{i} AS (SELECT k, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY j) AS x FROM s{i} GROUP BY k),
+c{j} AS MATERIALIZED (SELECT c.k, coalesce(m.x, c.x) AS x FROM c{i} c LEFT JOIN m{i} m USING (k)),"""
+OP11_SQL += "".join(OP11_ROUND.format(i=i) + OP11_MOVE.format(i=i, j=i + 1) for i in range(3)) + OP11_ROUND.format(i=3) + """
+t AS (SELECT k, CAST(sum(d) AS BIGINT) AS ci FROM a3 GROUP BY k)
+SELECT vec_id, a.k AS cluster, CAST(a.d AS BIGINT) AS distance, ci AS cluster_inertia,
+       CAST((SELECT sum(ci) FROM t) AS BIGINT) AS inertia, sha256(array_to_string(c.x, ',')) AS centroid_sha256
+FROM a3 a JOIN v USING (r) JOIN t USING (k) JOIN c3 c USING (k)
+"""
+
+
+@query("op11_centroid_clustering", OP11_SQL)
+def op11(spark, sf_dir):
+    """Every vector's cluster after three rounds of 16 centroids."""
+    return centroids.report(centroids.integer_vectors(table(spark, sf_dir, "embeddings"))).drop("n_exact")
+
+
+#: The 64-bit hash of a key and a shard's number, and the checksum, written out in 128-bit integers.
+_TURN = "(({0}::UHUGEINT * {1}) % 18446744073709551616)::UBIGINT"
+_ROTL = "xor((({0}::UHUGEINT << {1}) % 18446744073709551616)::UBIGINT, {0} >> {2})"
+
+
+#: The checksum's step for byte ``b``: a table entry is the sum (xor) of those of its index's bits.
+_CRC_STEP = "c >> 8"
+for _bit in range(8):
+    _entry = 1 << _bit
+    for _ in range(8):
+        _entry = _entry >> 1 ^ (_entry & 1) * 0xEDB88320
+    _CRC_STEP = f"xor({_CRC_STEP}, ((xor(c, b) >> {_bit}) & 1) * {_entry}::UBIGINT)"
+
+
+def _hash_steps(name: str, source: str, keep: str, value: str, seed: str) -> str:
+    """CTEs that add ``name``: the 64-bit hash of the long ``value`` from the hash ``seed``."""
+    step = [("a", _TURN.format(value, "14029467366897019727")), ("b", _ROTL.format("a", 31, 33)),
+            ("c", f"xor((({seed}::UHUGEINT + 2870177450012600269) % 18446744073709551616)::UBIGINT, {_TURN.format('b', '11400714785074694791')})"),
+            ("d", _ROTL.format("c", 27, 37)),
+            ("e", "((d::UHUGEINT * 11400714785074694791 + 9650029242287828579) % 18446744073709551616)::UBIGINT"),
+            ("f", _TURN.format("xor(e, e >> 33)", "14029467366897019727")),
+            ("g", _TURN.format("xor(f, f >> 29)", "1609587929392839161")), (name, "xor(g, g >> 32)")]
+    sql, last = "", source
+    for i, (c, e) in enumerate(step):
+        cols = keep if i == 0 else "*"
+        extra = f", {seed} AS seed" if i == 0 else ""
+        sql += f"{name}{i} AS (SELECT {cols}{extra}, {e if i != 2 else e.replace(seed + '::', 'seed::')} AS {c} FROM {last}),\n"
+        last = f"{name}{i}"
+    return sql
+
+
+OP12_SQL = f"""
+WITH bytes AS (
+  SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS size, hex(encode(coalesce(text, ''))) AS h FROM documents),
+crc AS (
+  SELECT doc_id, size, xor(4294967295::UBIGINT, list_reduce(
+    list_transform(regexp_extract_all(h, '..'), lambda x: ('0x' || x)::UBIGINT),
+    lambda c, b: {_CRC_STEP}, 4294967295::UBIGINT)) AS text_crc32
+  FROM bytes),
+key AS (SELECT *, (CASE WHEN doc_id < 0 THEN doc_id::HUGEINT + 18446744073709551616 ELSE doc_id END)::UBIGINT AS u FROM crc),
+{_hash_steps("h1", "key", "*", "u", "42::UBIGINT")}pair AS (
+  SELECT doc_id, size, text_crc32, CASE WHEN doc_id IS NULL THEN 42::UBIGINT ELSE h1 END AS h1, i::UBIGINT AS i, row_number() OVER () AS r
+  FROM h17, range(41) t(i)),
+{_hash_steps("h2", "pair", "doc_id, size, text_crc32, i", "i", "h1")}drawn AS (
+  SELECT *, -ln(((h2 >> 11)::DOUBLE + 0.5) * power(2::DOUBLE, -53)) AS x FROM h27),
+placed AS (
+  SELECT doc_id, size, text_crc32, arg_min(i, x) FILTER (i < 40) AS shard, arg_min(i, x) AS grown FROM drawn GROUP BY ALL)
+SELECT doc_id, size + 16 AS size, text_crc32::BIGINT AS text_crc32, 'key' AS law, shard::INTEGER AS shard,
+       row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS slot,
+       grown::INTEGER AS grown_shard, shard::INTEGER // 20 AS region, shard::INTEGER // 5 AS rack
+FROM placed
+"""
+
+
+@query("op12_weighted_hash_tree", OP12_SQL)
+def op12(spark, sf_dir):
+    """Every document's shard of 40 by law ``key``, its slot, and its shard of 41."""
+    return sharding.report(table(spark, sf_dir, "documents"))
+
+
+@query("op13_whitening")
+def op13(spark, sf_dir):
+    """Every vector along the four leading components of the distinct integer vectors, whitened."""
+    return whitening.whiten(whitening.integer_vectors(table(spark, sf_dir, "embeddings")))
