@@ -67,11 +67,14 @@ def pad_batch(df: DataFrame, ids: str = "ids", labels: str | None = "labels",
 
 
 def strided_shard(df: DataFrame, index: str, world: int, keep_tail: bool = False,
-                  out: str = "shard") -> DataFrame:
+                  out: str = "shard", n: int | None = None) -> DataFrame:
     """BAT-6: rank r takes rows ``i*W + r`` (0-based ``index``); the last ``n % W`` rows are
-    dropped like the reference unless ``keep_tail``. ``n`` is a one-row global count."""
+    dropped like the reference unless ``keep_tail``. ``n``: the number of rows where it is known (a
+    rank index has it); else ``df`` is counted, which runs its plan once more."""
     res = df.withColumn(out, F.pmod(F.col(index), F.lit(world)).cast("int"))
     if keep_tail:
         return res
-    n = df.agg(F.count(F.lit(1))).scalar()  # scalar subquery: one value, no row fan-out
-    return res.filter(F.col(index) < F.floor(n / world) * world)
+    if n is not None:
+        return res.filter(F.col(index) < n // world * world)
+    total = df.agg(F.count(F.lit(1))).scalar()  # scalar subquery: one value, no row fan-out
+    return res.filter(F.col(index) < F.floor(total / world) * world)

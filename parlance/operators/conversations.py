@@ -1,8 +1,8 @@
 """Conversations and group chat (WIN-*, CH-*, JN-6).
 
 Long-form tables are canonical: one row per message with an explicit order key. Running state
-(segments, the end of a chat) is a chunked prefix scan (``plans.scan``) so one very long chat
-does not land in one task; lists are rebuilt with ``array_sort(collect_list(struct(pos, ...)))``
+(segments, the end of a chat) is a prefix scan over sampled ranges (``plans.ranges``) so one very
+long chat does not land in one task; lists are rebuilt with ``array_sort(collect_list(struct(pos, ...)))``
 so the result never depends on partitioning.
 """
 
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parlance.functions.text import py_strip
-from parlance.plans.scan import running
+from parlance.plans.ranges import running
 
 # ---- Fixed values ---------------------------------------------------------------------------
 QUIT_WORD = "quit"
@@ -30,14 +30,15 @@ def _c(c) -> Column:
 
 
 def chat_segments(lines: DataFrame, user: str = "user_id", seq: str = "seq", query: str = "query",
-                  mode: str = "prefix", chunk: int | None = None) -> DataFrame:
+                  mode: str = "prefix", partitions: int | None = None) -> DataFrame:
     """WIN-1: input lines of each user -> ``(user, seq, segment, new_topic, text)``.
 
     Each line is stripped; the first line whose lower case is ``quit`` ends the user's chat
     (it and everything after are dropped). A line starting with ``new`` resets the history:
     its segment number goes up by one and its text becomes ``line[4:]`` stripped. ``mode``
     ``prefix`` matches any line beginning ``new`` (``news`` too, like the reference); ``word``
-    only ``new`` alone or followed by whitespace.
+    only ``new`` alone or followed by whitespace. Both running values come from one pass over sampled
+    ranges of ``(user, seq)``, whatever numbers ``seq`` holds.
     """
     q = py_strip(query)
     if mode == "prefix":
@@ -49,9 +50,7 @@ def chat_segments(lines: DataFrame, user: str = "user_id", seq: str = "seq", que
     base = lines.select(user, seq, q.alias("_q"),
                         F.when(F.lower(q) == QUIT_WORD, 1).otherwise(0).alias("_quit"),
                         F.when(is_new, 1).otherwise(0).alias("_new"))
-    kw = {"chunk": chunk} if chunk else {}
-    s = running(base, [user], seq, "_quit", "_ended", "max", **kw)
-    s = running(s.filter(F.col("_ended") == 0), [user], seq, "_new", "segment", "sum", **kw)
+    s = running(base, [user], [seq], {"_ended": ("_quit", "max"), "segment": ("_new", "sum")}, partitions).filter("_ended = 0")
     text = F.when(F.col("_new") == 1, py_strip(F.substring(F.col("_q"), 5, 1 << 30))).otherwise(F.col("_q"))
     return s.select(user, seq, F.col("segment").cast("long").alias("segment"),
                     (F.col("_new") == 1).alias("new_topic"), text.alias("text"))

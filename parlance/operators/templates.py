@@ -1,4 +1,4 @@
-"""Chat records and prompt templates (PRJ-*): pure projections, no shuffle, no UDF."""
+"""Chat records and prompt templates (PRJ-*): projections without a UDF; only pairs need a shuffle."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parlance.functions.text import py_strip
+from parlance.plans.ranges import next_row
 
 # ---- Fixed values (must equal the reference's strings) -----------------------------------
 CHATML_SYSTEM = "<|im_start|>system\nYou are a helpful assistant<|im_end|>\n"
@@ -103,18 +104,17 @@ def render_turn(instruction, output) -> Column:
 
 def conversation_pairs(conversations: DataFrame, key: str = "conv_id", turn: str = "turn",
                        role: str = "role", text: str = "text") -> DataFrame:
-    """PRJ-1: every user turn directly followed by an assistant turn -> (instruction, output).
+    """PRJ-1: every user turn whose next existing turn is an assistant's -> (instruction, output).
 
-    ``turn`` is the enumerate position inside the conversation (the canonical long form), so
-    "directly followed" is the row at ``turn + 1``. An equi-join on ``(key, turn)`` partitions
-    on both columns, so one very long conversation is spread over many tasks (a
-    ``lead() OVER (PARTITION BY key)`` window would put it in one).
+    Turn numbers may have gaps. The next row is found over sampled ranges of ``(key, turn)`` with the
+    first row of the next range carried over, so a long conversation is spread over tasks (a
+    ``lead() OVER (PARTITION BY key)`` window would put it in one). Of rows with equal key and turn
+    the order is that of role and text.
     """
     c = conversations.select(key, turn, role, text)
-    users = c.filter(F.col(role) == "user").select(key, turn, F.col(text).alias("instruction"))
-    replies = c.filter(F.col(role) == "assistant").select(
-        key, (F.col(turn) - 1).alias(turn), F.col(text).alias("output"))
-    return users.join(replies, [key, turn], "inner")
+    n = next_row(c, [key], [turn], [role, text], tie=[role, text])
+    pair = (F.col(role) == "user") & (F.col(f"_next.{role}") == "assistant")
+    return n.filter(pair).select(key, turn, F.col(text).alias("instruction"), F.col(f"_next.{text}").alias("output"))
 
 
 def chatml_multi_turn(pairs: DataFrame, key: str = "conv_id", turn: str = "turn") -> DataFrame:

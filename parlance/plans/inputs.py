@@ -37,6 +37,12 @@ def indexed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.to_json(F.struct("conv_id", "turn")).alias("original_events"), "output")
 
 
+def record_index(spark: SparkSession, sf_dir: str):
+    """``indexed_records`` written once, bucketed by ``idx``, and their number."""
+    from parlance.plans.rank import rank_index
+    return rank_index(indexed_records(spark, sf_dir), "idx", "records")
+
+
 def group_agents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Group-chat agents (``pos, name, description, is_human``) shaped from ``customer``."""
     c = table(spark, sf_dir, "customer")

@@ -10,9 +10,10 @@ from parlance.operators import filters, generate as G, joins, templates as T, ba
 from parlance.plans import inputs
 from parlance.plans.q_prep import IDX_SQL
 from parlance.plans.q_sft import PAIRS_SQL
+from parlance.plans.rank import rank_index
 from parlance.plans.registry import query
 from parlance.plans.sqltext import strip
-from parlance.sources.io import materialize
+from parlance.sources.io import materialize, scratch_path
 
 NO_WAIT = (0.0, 0.0)
 SETTINGS = {"temperature": 0.4, "do_sample": True, "max_new_tokens": 1024, "top_k": 40, "top_p": 0.85,
@@ -49,19 +50,29 @@ flat AS (SELECT *, 'ok' AS status, CAST(1 AS INTEGER) AS attempts, 'reverse-word
   CAST(len({_ws_sql(repr(_SYS))}) + len({_ws_sql('input')}) AS BIGINT) AS prompt_tokens FROM req)"""
 
 
-def requests(spark, sf):
-    r = inputs.indexed_records(spark, sf)
+def requests(spark, sf, records=None):
+    """Requests of the indexed records, or of a rank index's table."""
+    r = inputs.indexed_records(spark, sf) if records is None else records
     return r.select(F.col("idx").alias("id"), "conv_id", "turn", "input", "output", "original_events",
                     T.system_user_messages("input", _SYS).alias("messages"))
 
 
-def results(spark, sf):
+def results(spark, sf, **settings):
     """The written results of one run over all requests: reports and joins read the table, so no
     row is called twice."""
-    res = G.generate_batch(requests(spark, sf), ReverseWords(), backoff=NO_WAIT)
+    res = G.generate_batch(requests(spark, sf), ReverseWords(), backoff=NO_WAIT, **settings)
     return G.flatten_response(materialize(res, "results"))
 
 
+def answered(spark, sf):
+    """Requests and their written results, both bucketed by the same index, so that they are joined
+    where they lie."""
+    ix = inputs.record_index(spark, sf)
+    req = requests(spark, sf, ix.table)
+    res = rank_index(G.generate_batch(req, ReverseWords(), backoff=NO_WAIT), "id", "results")
+    return req, G.flatten_response(res.table)
+
+
 @query("generate_batch", f"WITH {GEN_CTES} SELECT id, status, attempts, content, prompt_tokens + completion_tokens AS total_tokens FROM flat")
 def q_generate_batch(spark, sf):
     """INF-1: one generator call per request row."""
@@ -80,18 +91,21 @@ def q_flatten_response(spark, sf):
 @query("generator_interface", f"WITH {GEN_CTES} SELECT id, status, attempts, 'mine-' || (id % 3) AS model, content FROM flat")
 def q_generator_interface(spark, sf):
     """UDF-3: a user's generator factory, with each request's own parameters (PRJ-12 -> INF-1) and
-    four calls at a time in a task."""
+    four calls at a time in a task; results are committed in ranges, and a rerun into the same
+    folder would call only rows without one."""
     own = F.to_json(F.struct(F.concat(F.lit("mine-"), F.pmod("id", F.lit(3)).cast("string")).alias("model")))
-    res = G.generate_batch(requests(spark, sf).withColumn("own", own), ReverseWords(), backoff=NO_WAIT, params_col="own", concurrency=4)
+    req = requests(spark, sf, inputs.record_index(spark, sf).table)
+    res = G.generate_resumable(req.withColumn("own", own), ReverseWords(), scratch_path(spark, "generated"), ranges=4,
+                               backoff=NO_WAIT, params_col="own", concurrency=4)
     return G.flatten_response(res).select("id", "status", "attempts", "model", "content")
 
 
 @query("attach_outputs", f"WITH {GEN_CTES} SELECT id AS idx, input, output, content AS model_output FROM flat")
 def q_attach_outputs(spark, sf):
     """JN-1: generated text onto its source row by ``idx``."""
-    src = requests(spark, sf).select(F.col("id").alias("idx"), "input", "output")
-    res = results(spark, sf).select(F.col("id").alias("idx"), F.col("content").alias("model_output"))
-    return joins.attach_outputs(src, res, "idx")
+    req, res = answered(spark, sf)
+    out = joins.attach_outputs(req.select("id", "input", "output"), res.select("id", F.col("content").alias("model_output")), "id")
+    return out.withColumnRenamed("id", "idx")
 
 
 @query("resume_pending", f"WITH {GEN_CTES} SELECT id AS idx, conv_id, turn FROM flat WHERE id % 4 <> 0 OR id >= (SELECT count(*) // 4 * 4 FROM flat)")
@@ -117,9 +131,9 @@ def q_merge_shards(spark, sf):
 SELECT id AS idx, 'reverse-words' AS generator, input, original_events, output, {strip("content")} AS model_output FROM flat""")
 def q_result_projection(spark, sf):
     """PRJ-10: the inference output row (model output stripped)."""
-    f = results(spark, sf).withColumn("mo", F.coalesce("content", F.lit("")))
-    src = requests(spark, sf).select("id", "input", "original_events", "output")
-    return T.result_projection(f.join(src, "id"), "reverse-words", "id", "input", "original_events", "output", "mo")
+    req, res = answered(spark, sf)
+    f = res.withColumn("mo", F.coalesce("content", F.lit("")))
+    return T.result_projection(f.join(req.select("id", "input", "original_events", "output"), "id"), "reverse-words", "id", "input", "original_events", "output", "mo")
 
 
 # ---- reports over stored results (stand-in: events) ---------------------------------------------

@@ -9,6 +9,7 @@ from parlance.operators import batching, ordering, templates as T, tokens as K
 from parlance.plans import inputs, sft
 from parlance.plans.inputs import table
 from parlance.plans.q_sft import PAIRS_SQL, SOURCE_SQL, tok_ctes
+from parlance.plans.rank import rank_index
 from parlance.plans.registry import query
 from parlance.plans.spread import spread
 from parlance.plans.sqltext import ints, lit, md5_key as md5_sql, tokens as tokens_sql
@@ -93,9 +94,9 @@ SELECT CAST(to_json([{{'role': 'user', 'content': prompt}}]) AS VARCHAR) AS prom
 def q_preference_triples(spark, sf):
     """PRJ-8: (prompt, chosen, rejected) as message arrays; other columns dropped. Stand-in
     input: chosen = the reply, rejected = the reply of the next pair in seeded order."""
-    r = inputs.indexed_records(spark, sf)
-    n = r.agg(F.count(F.lit(1))).scalar()
-    nxt = r.select(F.pmod(F.col("idx") - 1, n).alias("idx"), F.col("output").alias("rejected"))
+    ix = inputs.record_index(spark, sf)
+    r = ix.table
+    nxt = r.select(F.pmod(F.col("idx") - 1, F.lit(max(ix.n, 1))).alias("idx"), F.col("output").alias("rejected"))
     trip = r.join(nxt, "idx").select(F.col("input").alias("prompt"), F.col("output").alias("chosen"), "rejected",
                                      "conv_id", "turn")
     out = T.preference_triples(trip)
@@ -192,9 +193,14 @@ TRAIN_LEN = 4096
 
 
 # ---- TOK ------------------------------------------------------------------------------------
+def _tokens(spark, sf):
+    return sft.token_table(sft.sft_examples(inputs.conversations(spark, sf)))
+
+
 def _rows(spark, sf, max_len=128):
-    rows, vocab = sft.tokenize_examples(sft.sft_examples(inputs.conversations(spark, sf)), max_len)
-    return rows, vocab
+    tok = _tokens(spark, sf)
+    vocab = K.build_vocabulary(tok, "full_tokens")
+    return sft.encoded(tok, vocab, max_len), vocab
 
 
 @query("tokenize_truncate", f"WITH {tok_ctes()} SELECT conv_id, turn, CAST(len(ids) AS BIGINT) AS n_tokens, "
@@ -208,7 +214,7 @@ def q_tokenize_truncate(spark, sf):
 @query("vocabulary", f"WITH {tok_ctes()} SELECT replace(token, chr(57344), ' ') AS token, id, CAST(n AS BIGINT) AS n FROM vocab")
 def q_vocabulary(spark, sf):
     """TOK-2: reserved ids, then ids by (count desc, token) over every token of the corpus."""
-    _, vocab = _rows(spark, sf)
+    vocab = K.build_vocabulary(_tokens(spark, sf), "full_tokens")
     return vocab.select(F.replace("token", F.lit(K.NO_RETRIEVAL_PLACEHOLDER), F.lit("<No Retrieval>")).alias("token"),
                         "id", "n")
 
@@ -229,10 +235,11 @@ SELECT CAST(count(*) AS BIGINT) AS rows, CAST(sum(CASE WHEN sup = 0 THEN 1 ELSE
   CAST(sum(CASE WHEN n_full >= 128 THEN 1 ELSE 0 END) AS BIGINT) AS at_cap,
   quantile_cont(n_full, 0.5) AS median_len, quantile_cont(n_full, 0.9) AS p90_len, CAST(max(n_full) AS BIGINT) AS max_len FROM s""")
 def q_truncation_report(spark, sf):
-    """TOK-4: what the 128-token cut costs: rows without supervision, lost eos, quantiles."""
-    rows, _ = _rows(spark, sf)
-    rows = rows.withColumn("n_sup", K.supervised_count("labels"))
-    return K.truncation_report(rows, "n_full", "n_source", "n_sup", 128)
+    """TOK-4: what the 128-token cut costs: rows without supervision, lost eos, quantiles. Lengths
+    are enough for it: no vocabulary, no ids."""
+    rows = sft.lengths(sft.sft_examples(inputs.conversations(spark, sf)))
+    kept = F.least("n_full", F.lit(128))
+    return K.truncation_report(rows.withColumn("n_sup", kept - F.least("n_source", kept)), "n_full", "n_source", "n_sup", 128)
 
 
 @query("decode_tokens", f"""WITH {tok_ctes(TRAIN_LEN)},
@@ -287,10 +294,7 @@ def q_control_tags(spark, sf):
 
 # ---- BAT ------------------------------------------------------------------------------------
 def _batched(spark, sf):
-    ex = sft.sft_examples(inputs.conversations(spark, sf))
-    ranked = ordering.seeded_shuffle(ex, KEY, 42, "rank")
-    rows, _ = sft.tokenize_examples(ranked, TRAIN_LEN, sft.vocabulary_of(ex), carry=["rank"])
-    return batching.assign_batches(rows, "rank", 8)
+    return sft.ordered_batches(inputs.conversations(spark, sf), TRAIN_LEN)
 
 
 _BATCH_CTE = f"""WITH {tok_ctes(TRAIN_LEN)},
@@ -345,5 +349,5 @@ def q_pad_left(spark, sf):
        f"WHERE idx < (SELECT count(*) // 4 * 4 FROM idxd)")
 def q_strided_shard(spark, sf):
     """BAT-6: world size 4, rank r takes idx r, r+4, ...; the n % 4 tail is dropped."""
-    r = inputs.indexed_records(spark, sf).select("idx", *KEY)
-    return batching.strided_shard(r, "idx", 4)
+    ix = rank_index(inputs.indexed_records(spark, sf).select("idx", *KEY), "idx")
+    return batching.strided_shard(ix.table, "idx", 4, n=ix.n)

@@ -26,9 +26,13 @@ _reserved = ", ".join(f"('{NO_RETRIEVAL_PLACEHOLDER if t == '<No Retrieval>' els
                       for i, t in enumerate(RESERVED_TOKENS))
 
 
-def tok_ctes(max_len: int = 128) -> str:
+LLAMA2_SOURCE_SQL = f"'<s>[INST] ' || {lit(T.INST_SYSTEM)} || instruction || ' [/INST]'"
+LLAMA2_TARGET_SQL = "' ' || output || ' </s>'"
+
+
+def tok_ctes(max_len: int = 128, source: str = SOURCE_SQL, target: str = TARGET_SQL) -> str:
     return f"""{PAIRS_SQL},
-recs AS (SELECT conv_id, turn, {SOURCE_SQL} AS src, {TARGET_SQL} AS tgt FROM pairs),
+recs AS (SELECT conv_id, turn, {source} AS src, {target} AS tgt FROM pairs),
 tok AS (SELECT conv_id, turn, {tokens('src')} AS st, {tokens('src || tgt')} AS ft FROM recs),
 reserved AS (SELECT * FROM (VALUES {_reserved}) r(token, id)),
 counts AS (SELECT token, count(*) AS n FROM (SELECT unnest(ft) AS token FROM tok) GROUP BY token),
@@ -46,7 +50,8 @@ lab AS (SELECT conv_id, turn, ids, n_full, n_source,
                list_concat(list_resize([]::INTEGER[], m, -100), ids[m + 1:]) AS labels FROM enc)"""
 
 
-SFT_BATCHES_SQL = f"""WITH {tok_ctes(128)},
+def batches_sql(ctes: str) -> str:
+    return f"""WITH {ctes},
 rk AS (SELECT *, row_number() OVER (ORDER BY {md5_key('conv_id', 'turn', seed=42)}, conv_id, turn) AS rnk FROM lab),
 b AS (SELECT *, CAST((rnk - 1) // 8 AS BIGINT) AS batch_id FROM rk),
 w AS (SELECT *, max(len(ids)) OVER (PARTITION BY batch_id) AS width FROM b),
@@ -60,8 +65,20 @@ SELECT conv_id, turn, batch_id, n_tokens, n_supervised, {ints('pids')} AS ids, {
 FROM p"""
 
 
-@query("sft_batches", SFT_BATCHES_SQL)
+@query("sft_batches", batches_sql(tok_ctes(128)))
 def q_sft_batches(spark, sf_dir):
     """conversations -> pairs -> ChatML -> tokens/vocabulary -> masked labels -> seeded
     shuffle -> batches of 8 -> right padding and attention mask."""
     return sft.sft_batches(table(spark, sf_dir, "conversations"))
+
+
+@query("sft_batches_4096", batches_sql(tok_ctes(4096)))
+def q_sft_batches_4096(spark, sf_dir):
+    """The same at the training length, 4096 tokens."""
+    return sft.sft_batches(table(spark, sf_dir, "conversations"), 4096)
+
+
+@query("sft_batches_llama2", batches_sql(tok_ctes(4096, LLAMA2_SOURCE_SQL, LLAMA2_TARGET_SQL)))
+def q_sft_batches_llama2(spark, sf_dir):
+    """The same in the instruction form with a system block, at 4096 tokens."""
+    return sft.sft_batches(table(spark, sf_dir, "conversations"), 4096, mode="llama2")

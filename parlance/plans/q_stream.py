@@ -1,9 +1,10 @@
-"""Registered queries: response deltas (STR-1 batch), the streaming render (STR-2), the
+"""Registered queries: response deltas (STR-1, batch and stream), the streaming render (STR-2), the
 streaming config upsert (STR-3) and the batched pandas map (UDF-2)."""
 
 from __future__ import annotations
 
 import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parlance.functions.text import WS_CLASS
@@ -14,8 +15,14 @@ from parlance.plans.q_sft import PAIRS_SQL, SOURCE_SQL, TARGET_SQL
 from parlance.plans.registry import ORACLE, query
 from parlance.plans.sqltext import strip
 from parlance.sources import io
+from parlance.sources.io import materialize
 from parlance.streaming import jobs
-from parlance.streaming.deltas import assemble_deltas
+from parlance.streaming.deltas import assemble_delta_files, assemble_deltas
+
+
+def _quarter(spark) -> int:
+    """Files of a micro-batch: a quarter of the shuffle's partitions, so that many tasks read it."""
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)
 
 
 def response_deltas(spark, sf):
@@ -43,13 +50,14 @@ def response_deltas(spark, sf):
     return real.unionByName(heads).unionByName(tails)
 
 
-_DELTA_SQL = f"""asst AS (SELECT conv_id, turn, text, conv_id || '-' || turn AS response_id, CAST(ceil(length(text) / 8) AS BIGINT) AS n
+_DELTA_ROWS_SQL = """asst AS (SELECT conv_id, turn, text, conv_id || '-' || turn AS response_id, CAST(ceil(length(text) / 8) AS BIGINT) AS n
   FROM conversations WHERE role = 'assistant'),
 pc AS (SELECT *, unnest(range(0, n)) AS i FROM asst),
 d AS (SELECT response_id, i * 2 + 2 AS seq, substr(text, CAST(i * 8 + 1 AS BIGINT), 8) AS delta,
     CASE WHEN conv_id % 6 != 0 AND i = n - 1 THEN 'stop' END AS finish_reason FROM pc
   UNION ALL SELECT response_id, 1, NULL, NULL FROM asst
-  UNION ALL SELECT response_id, n * 2 + 2, ' IGNORED', NULL FROM asst WHERE conv_id % 6 != 0 AND conv_id % 4 = 1),
+  UNION ALL SELECT response_id, n * 2 + 2, ' IGNORED', NULL FROM asst WHERE conv_id % 6 != 0 AND conv_id % 4 = 1)"""
+_DELTA_SQL = f"""{_DELTA_ROWS_SQL},
 e AS (SELECT response_id, min(seq) FILTER (WHERE finish_reason IS NOT NULL) AS end_seq FROM d GROUP BY 1)"""
 
 
@@ -64,29 +72,84 @@ def q_assemble_deltas(spark, sf):
     return assemble_deltas(response_deltas(spark, sf))
 
 
+#: Arrival steps of the delta stream, and seconds after which a silent response is closed.
+STEPS, GAP_S = 5, 30
+_OFFSET = "(conv_id * 3600 + turn * 60 + CAST(seq // 2 AS BIGINT))"
+_LATE = f"(conv_id % 10 = 3 AND seq = 4 AND {_OFFSET} < w - {GAP_S})"
+
+
+def delta_arrivals(spark, sf) -> tuple[DataFrame, int]:
+    """The deltas with the step in which they arrive, and a step's length in seconds. Steps follow
+    event time, but for responses with ``conv_id % 10 = 7`` every other piece comes one step late
+    (within the delay of one step), and for ``% 10 = 3`` the second piece of responses of the first
+    step comes in the last one, long after the watermark."""
+    d = response_deltas(spark, sf)
+    ids = F.split("response_id", "-")
+    d = d.select("*", ids[0].cast("long").alias("conv_id"), ids[1].cast("long").alias("turn")).withColumn("o", F.expr(
+        "conv_id * 3600 + turn * 60 + seq div 2"))
+    d = materialize(d, "deltas")
+    w = d.agg(F.coalesce(F.max("o"), F.lit(0))).first()[0] // STEPS + 1
+    late = F.expr(f"conv_id % 10 = 3 AND seq = 4 AND o < {w - GAP_S}")
+    held = F.expr("conv_id % 10 = 7 AND seq % 4 = 0")
+    own = F.floor(F.col("o") / w).cast("int")
+    step = F.when(late, STEPS - 1).when(held, F.least(own + 1, F.lit(STEPS - 1))).otherwise(own)
+    return d.withColumn("step", step), w
+
+
+@query("assemble_deltas_stream", f"""WITH {_DELTA_ROWS_SQL},
+k AS (SELECT *, CAST(split_part(response_id, '-', 1) AS BIGINT) AS conv_id, CAST(split_part(response_id, '-', 2) AS BIGINT) AS turn FROM d),
+w AS (SELECT coalesce(max({_OFFSET}), 0) // {STEPS} + 1 AS w FROM k),
+t AS (SELECT * FROM k, w WHERE NOT {_LATE}),
+n AS (SELECT count(*) AS late FROM k, w WHERE {_LATE}),
+e AS (SELECT response_id, min(seq) FILTER (WHERE finish_reason IS NOT NULL) AS end_seq FROM t GROUP BY 1)
+SELECT response_id, coalesce(string_agg(delta, '' ORDER BY seq) FILTER (WHERE end_seq IS NULL OR seq <= end_seq), '') AS text,
+  CAST(count(*) FILTER (WHERE end_seq IS NULL OR seq <= end_seq) AS INTEGER) AS n_deltas,
+  min(finish_reason) AS finish_reason, CASE WHEN max(end_seq) IS NULL THEN 'incomplete' ELSE 'complete' END AS status,
+  max(late) AS n_late FROM t JOIN e USING (response_id), n GROUP BY response_id""")
+def q_assemble_deltas_stream(spark, sf):
+    """STR-1 (stream): delta files in order of arrival, some out of order and some too late. Responses
+    are closed by the watermark, one step behind; ``n_late`` is the number of dropped deltas. A
+    delta of a far later response ends the input, so that every response before it is closed."""
+    arrivals, w = delta_arrivals(spark, sf)
+    base = io.scratch_path(spark, "stream-deltas")
+    files = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // STEPS)
+    cols = ["response_id", "seq", "delta", "finish_reason", "ts"]
+    last = F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(w * STEPS * 10))
+    closer = spark.range(1).select(F.lit("closer").alias("response_id"), F.lit(1).cast("long").alias("seq"), F.lit("").alias("delta"),
+                                   F.lit(None).cast("string").alias("finish_reason"), last.alias("ts"))
+    for i in range(STEPS + 1):  # in order: a file stream takes files by their age
+        part = arrivals.where(F.col("step") == i).select(*cols) if i < STEPS else closer
+        part.repartition(files if i < STEPS else 1).write.parquet(f"{base}/in/{i}")
+    got, stats = assemble_delta_files(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt", f"{GAP_S} seconds", f"{w} seconds", files)
+    return got.select("response_id", "text", "n_deltas", "finish_reason", "status",
+                      F.lit(sum(stats.dropped.values())).cast("long").alias("n_late"))
+
+
 @query("stream_render", f"WITH {PAIRS_SQL} SELECT conv_id, turn, {SOURCE_SQL} AS source, {TARGET_SQL} AS target FROM pairs")
 def q_stream_render(spark, sf):
-    """STR-2: SFT pairs arrive as four Parquet files; a file-stream query renders prompt and
-    target per record (stateless) into a checkpointed Parquet sink, read back here."""
+    """STR-2: SFT pairs arrive as Parquet files, a quarter of them a micro-batch; a file-stream query
+    renders prompt and target per record (stateless) into a checkpointed Parquet sink, read back here."""
     base = io.scratch_path(spark, "stream-render")
-    inputs.sft_records(spark, sf).repartition(4).write.mode("overwrite").parquet(f"{base}/in")
+    files = _quarter(spark)
+    inputs.sft_records(spark, sf).repartition(4 * files).write.mode("overwrite").parquet(f"{base}/in")
 
     def render(df):
         return df.select("conv_id", "turn", T.render_source("instruction").alias("source"),
                          T.render_target("output").alias("target"))
     return jobs.stream_render(spark, f"{base}/in", "conv_id bigint, turn bigint, instruction string, output string",
-                              f"{base}/out", f"{base}/ckpt", render)
+                              f"{base}/out", f"{base}/ckpt", render, files)
 
 
 @query("stream_config_upsert", ORACLE["config_upsert"])
 def q_stream_config_upsert(spark, sf):
-    """STR-3: config events arrive as four Parquet files; ``foreachBatch`` folds each
-    micro-batch into a versioned state table; the result equals the batch upsert (CH-3)."""
+    """STR-3: config events arrive as Parquet files, a quarter of them a micro-batch; ``foreachBatch``
+    folds each into state kept by group; the result equals the batch upsert (CH-3)."""
     base = io.scratch_path(spark, "stream-config")
-    q_chat.config_events(spark, sf).repartition(4).write.mode("overwrite").parquet(f"{base}/in")
+    files = _quarter(spark)
+    q_chat.config_events(spark, sf).repartition(4 * files).write.mode("overwrite").parquet(f"{base}/in")
     ddl = "user_id bigint, seq bigint, kind string, agent string, description string, instructions string"
     return jobs.stream_config_upsert(spark, f"{base}/in", ddl, f"{base}/state", f"{base}/ckpt",
-                                     "user_id", "seq", "kind", "agent", ["description", "instructions"])
+                                     "user_id", "seq", "kind", "agent", ["description", "instructions"], files)
 
 
 def _text_stats(pdf: pd.DataFrame) -> pd.DataFrame:

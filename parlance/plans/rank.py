@@ -16,6 +16,8 @@ turns it into a broadcast when the materialized side is measured to be small.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,3 +86,20 @@ def range_rank(df: DataFrame, order: list[Column], rank_col: str = "rank",
     return (ranged.join(offsets, "_rr_part", "inner")
             .withColumn(rank_col, (F.col("_rr_off") + F.row_number().over(w_in)).cast("long"))
             .drop("_rr_part", "_rr_off"))
+
+
+@dataclass(frozen=True)
+class RankIndex:
+    """Ranked rows written once, bucketed by the rank, and their number."""
+    table: DataFrame
+    n: int
+
+
+def rank_index(ranked: DataFrame, rank_col: str, name: str = "rank-index", partitions: int | None = None) -> RankIndex:
+    """Write a ranked plan once, dealt and bucketed by its rank. What needs the rank again (a join by
+    rank, the next row in order, the number of rows) reads this table: joins by rank find it dealt
+    already, and the count is read from its files' footers, so no plan ranks twice."""
+    from parlance.sources.io import materialize_buckets
+    n = partitions or int(ranked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    table = materialize_buckets(ranked.repartition(n, rank_col), name, [rank_col], n)
+    return RankIndex(table, table.count())

@@ -142,3 +142,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def materialize_buckets(df: DataFrame, name: str, by: list[str], buckets: int, sort: list[str] | None = None) -> DataFrame:
+    """``materialize`` as a table bucketed by ``by``: reads of it are dealt by ``by`` already, so windows,
+    aggregates and joins on those columns need no exchange of it. Deal ``df`` by the same columns
+    and number before, or each task writes a file for every bucket. The table's files lie under the
+    shared checkpoint folder; its name lives in the session's catalog."""
+    path = scratch_path(df.sparkSession, name)
+    table = "parlance_" + path.rsplit("/", 1)[1].replace("-", "_")
+    w = df.write.mode("overwrite").format("parquet").option("path", path).bucketBy(buckets, *by)
+    (w.sortBy(*sort) if sort else w).saveAsTable(table)
+    return df.sparkSession.table(table)

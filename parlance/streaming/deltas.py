@@ -7,15 +7,19 @@ the response and later deltas are ignored; a response without one is ``incomplet
 Stream policy (ours; the reference's caller discards streamed results): a response is one
 event-time session per ``response_id`` (``session_window(ts, gap)``); it is emitted in append
 mode once the watermark (``max ts - delay``) passes the session's end; deltas later than the
-watermark are dropped and counted by Spark (``numRowsDroppedByWatermark``). The group of one
-response is bounded by the generation cap (``max_tokens``), so collecting it is safe.
+watermark are dropped and counted by Spark (``numRowsDroppedByWatermark``; it counts after the
+partial aggregate, so late deltas of one response with one timestamp count once). The group of one
+response is bounded by the generation cap (``max_tokens``), so collecting it is safe, and state holds
+the open responses only.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parlance.streaming.jobs import StreamStats, run_available
+
 DELTA_DDL = "response_id string, seq bigint, delta string, finish_reason string, ts timestamp"
 
 
@@ -55,3 +59,16 @@ def assemble_deltas_stream(deltas: DataFrame, gap: str = "30 seconds", delay: st
                       _assemble(F.col("_parts"), F.col("_end")).alias("text"),
                       F.size(kept).alias("n_deltas"), F.col("_finish").alias("finish_reason"),
                       F.when(F.col("_end").isNull(), "incomplete").otherwise("complete").alias("status"))
+
+
+def assemble_delta_files(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint: str, gap: str = "30 seconds",
+                         delay: str = "1 minute", files_per_trigger: int = 1) -> tuple[DataFrame, StreamStats]:
+    """STR-1 as a job: delta files in order of arrival -> responses in a checkpointed Parquet sink, read
+    back, and what was read and dropped. A response whose session the watermark has not passed yet
+    stays in state and comes with a later run of the same checkpoint."""
+    src = (spark.readStream.schema(DELTA_DDL).option("maxFilesPerTrigger", files_per_trigger)
+           .option("recursiveFileLookup", True).parquet(source_dir))
+    out = assemble_deltas_stream(src, gap, delay)
+    stats = run_available(lambda: out.writeStream.format("parquet").outputMode("append")
+                          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start(sink_dir))
+    return spark.read.schema(out.schema).parquet(sink_dir), stats

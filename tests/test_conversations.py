@@ -2,7 +2,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from parlance.operators import conversations as CV
-from parlance.plans.scan import running
+from parlance.plans.ranges import running
 from tests.conftest import rows
 
 
@@ -18,12 +18,12 @@ def test_chat_segments_markers(spark):
     assert word[3] == (3, 1, "news today")
 
 
-def test_chunked_scan_equals_window(spark):
+def test_running_equals_window(spark):
     df = spark.createDataFrame([(u, s, (s * 7 + u) % 3) for u in range(3) for s in range(50)], "u long, s long, v long")
     w = Window.partitionBy("u").orderBy("s").rowsBetween(Window.unboundedPreceding, 0)
     for how, agg in (("sum", F.sum), ("max", F.max)):
         want = rows(df.select("u", "s", agg("v").over(w).alias("r")))
-        got = rows(running(df, ["u"], "s", "v", "r", how, chunk=4), "u", "s", "r")
+        got = rows(running(df, ["u"], ["s"], {"r": ("v", how)}, 4), "u", "s", "r")
         assert got == want
 
 

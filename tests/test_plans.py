@@ -38,15 +38,13 @@ def test_no_python_udf_in_sql_operators(spark, entry_module, name):
 
 
 def test_rank_has_no_single_partition_exchange_over_rows(spark, entry_module):
-    """The only one-partition window is over the bucket-count table (bounded by 16^4 rows)."""
+    """One-partition windows run over the bucket-count table (bounded by 16^4 rows) and over the
+    table of range heads of PRJ-1 (a row per range), never over rows."""
     df = entry_module.queries()["seeded_shuffle"](spark, SF_SMALL)
     df.collect()
     plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
-    singles = [line for line in plan.split("\n") if "Exchange SinglePartition" in line]
-    assert len(singles) <= 1
-    # ...and it sits over the per-bucket counts, not over rows
-    below = plan.split("Exchange SinglePartition")[1][:600] if singles else ""
-    assert not singles or "_rk_n" in below or "_rk_bucket" in below
+    below = [part[:600] for part in plan.split("Exchange SinglePartition")[1:]]
+    assert below and all("HashAggregate(keys=[_rk_bucket" in b or "SortAggregate(key=[_part" in b for b in below)
 
 
 def _below_first_repartition(df):
