@@ -214,7 +214,8 @@ def q_tokenize_truncate(spark, sf):
 @query("vocabulary", f"WITH {tok_ctes()} SELECT replace(token, chr(57344), ' ') AS token, id, CAST(n AS BIGINT) AS n FROM vocab")
 def q_vocabulary(spark, sf):
     """TOK-2: reserved ids, then ids by (count desc, token) over every token of the corpus."""
-    vocab = K.build_vocabulary(_tokens(spark, sf), "full_tokens")
+    ex = sft.sft_examples(inputs.conversations(spark, sf))
+    vocab = K.build_vocabulary(ex.select(K.split_tokens(F.concat("source", "target")).alias("full_tokens")), "full_tokens")
     return vocab.select(F.replace("token", F.lit(K.NO_RETRIEVAL_PLACEHOLDER), F.lit("<No Retrieval>")).alias("token"),
                         "id", "n")
 

@@ -85,26 +85,45 @@ def test_corpus_chrf_identical_is_100(spark):
     assert math.isclose(r.chrf, 100.0)
 
 
-def test_char_and_word_ngrams(spark):
-    df = spark.createDataFrame([("ab c",)], "s string").select(
-        M.char_ngrams(F.lit("abcd"), 3).alias("c"), M.ngrams(F.array(F.lit("x"), F.lit("y"), F.lit("z")), 2).alias("w"),
-        M.ngrams(F.array(F.lit("x")), 2).alias("none"))
-    r = df.first()
-    assert r.c == ["abc", "bcd"] and r.w == ["x y", "y z"] and r.none == []
-
-
-def test_gram_order_read_off_the_gram(spark):
-    from pyspark.sql import functions as F
-    from parlance.operators import metrics as M
-    df = spark.createDataFrame([("a b c", "xy z")], "w string, c string")
-    r = df.select(M.word_order(F.col("w")).alias("w"), M.char_order(F.col("c")).alias("c")).first()
-    assert (r["w"], r["c"]) == (3, 4)
-    # every order's grams of one side, counted by gram: a gram lands in exactly one order
-    t = df.select(F.lit(0).alias("idx"), M.ws_tokens("w").alias("p"), M.ws_tokens("w").alias("g"))
-    got = M._clipped(t, ["idx"], [M.ngrams("p", n) for n in (1, 2, 3)], [M.ngrams("g", n) for n in (1, 2)])
-    rows = sorted((r["n"], r["gram"], r["n_pred"], r["n_gold"]) for r in got.collect())
-    assert rows == [(1, "a", 1, 1), (1, "b", 1, 1), (1, "c", 1, 1), (2, "a b", 1, 1), (2, "b c", 1, 1),
-                    (3, "a b c", 1, 0)]
+def test_gram_sums_equal_counters(spark, monkeypatch):
+    import random
+    from collections import Counter
+    rnd = random.Random(6)
+    word = lambda: "".join(rnd.choice("abé😀") for _ in range(rnd.randrange(1, 3)))
+    text = lambda: " ".join(word() for _ in range(rnd.choice([0, 1, 2, 5, 40])))
+    data = [(i, text(), text()) for i in range(50)] + [(50, None, "a b"), (51, "a b", None), (52, "", "")]
+    df = spark.createDataFrame(data, "idx long, p string, g string").repartition(3)
+
+    def want(sym, order):
+        out = []
+        for n in range(1, order + 1):
+            c = [[Counter(tuple(s[i:i + n]) for i in range(len(s) - n + 1)) for s in (sym(p or ""), sym(g or ""))] for _, p, g in data]
+            out += [sum(sum(a.values()) for a, _ in c), sum(sum(b.values()) for _, b in c), sum(sum((a & b).values()) for a, b in c)]
+        return out
+    for limit in (1 << 20, 7):
+        monkeypatch.setattr(M, "_TOGETHER", limit)
+        w = M._order_sums(df.select(M.ws_tokens("p").alias("_p"), M.ws_tokens("g").alias("_g")), 4, True).first()
+        assert list(w)[2:] == want(str.split, 4) and (w.sys_len, w.ref_len) == (w.hyp1, w.ref1)
+        c = M._order_sums(df.select(F.col("p").alias("_p"), F.col("g").alias("_g")), 6, False).first()
+        assert list(c)[2:] == want(list, 6)
+
+
+def test_matches_equal_counters(spark):
+    import random
+    from collections import Counter
+    rnd = random.Random(4)
+    data = [(i, [rnd.choice("abcdé😀") for _ in range(rnd.randrange(12))], [rnd.choice("abce😀") for _ in range(rnd.randrange(12))])
+            for i in range(60)] + [(60, [], []), (61, ["x"] * 500, ["x"] * 300 + ["y"])]
+    df = spark.createDataFrame(data, "i long, p array<string>, g array<string>")
+    got = dict(rows(df.select("i", M.matches("p", "g").alias("m")), "i", "m"))
+    assert got == {i: sum((Counter(p) & Counter(g)).values()) for i, p, g in data}
+
+
+def test_metric_plans_send_no_grams(spark):
+    df = spark.createDataFrame([(1, "a b c a", "a c b"), (2, "", "x")], "idx long, p string, g string")
+    for out in (M.token_overlap(df, "idx", "p", "g"), M.corpus_bleu(df, "idx", "p", "g"), M.corpus_chrf(df, "idx", "p", "g")):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Generate" not in plan and "Join" not in plan
 
 
 def test_bleu_without_matches_or_orders_is_zero(spark):
