@@ -3,6 +3,11 @@
 Documents are stored tables (the reference fetches them over HTTP): alerts per state with
 ``features: array<struct<properties: map<string,string>>>`` - a map, so an absent key and an
 explicit null stay different - and point / forecast documents joined by key.
+
+Documents come in two forms. In the nested form a document is a row with an array. In the long form
+its features or periods are rows by document key and position, which is the form for large documents:
+no plan then gathers a document's rows; a report takes its first few periods by a group limit, and an
+alert report, whose text holds every alert by definition, is put together from finished pieces.
 """
 
 from __future__ import annotations
@@ -10,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parlance.plans.ranges import first_k, joined_text, running
+
 # ---- Fixed values (must equal the reference's strings) ----------------------------------------
 ALERT_FIELDS = [("Event", "event", "Unknown"), ("Area", "areaDesc", "Unknown"),
                 ("Severity", "severity", "Unknown"),
@@ -62,6 +69,23 @@ def alert_reports(requests: DataFrame, docs: DataFrame, key: str = "state") -> D
     return requests.join(d, key, "left").withColumn("report", alert_report(d, key)).drop("features")
 
 
+def numbered_alerts(features: DataFrame, key: str = "state", order: str = "seq", props: str = "properties") -> DataFrame:
+    """GEO-1, long form: ``(key, pos, alert)`` of every feature row; ``pos`` counts from 0 in ``order``, over
+    sampled ranges, so a key with most features is spread."""
+    one = features.select(key, order, F.lit(1).cast("long").alias("_one"), format_alert(props).alias("alert"))
+    return running(one, [key], [order], {"_n": ("_one", "sum")}).select(key, (F.col("_n") - 1).cast("int").alias("pos"), "alert")
+
+
+def alert_reports_long(requests: DataFrame, documents: DataFrame, features: DataFrame, key: str = "state",
+                       order: str = "seq", props: str = "properties") -> DataFrame:
+    """GEO-2, long form: ``documents(key, has_features)``, ``features(key, order, properties)``."""
+    texts = joined_text(features.select(key, order, format_alert(props).alias("_a")), [key], [order], "_a", REPORT_SEPARATOR, "_body")
+    j = requests.join(documents.select(key, F.col("has_features").alias("_has")), key, "left").join(texts, key, "left")
+    has = F.coalesce("_has", F.lit(False))
+    report = F.when(~has, F.lit(NO_ALERTS_DOCUMENT)).otherwise(F.coalesce("_body", F.lit(EMPTY_ALERTS)))
+    return j.withColumn("report", report).drop("_has", "_body")
+
+
 def format_period(p: Column) -> Column:
     """One forecast period (GEO-3); a null field reads ``None``."""
     i = PERIOD_INDENT
@@ -96,3 +120,37 @@ def forecast_report(looked_up: DataFrame) -> Column:
     s = F.col("lookup_status")
     return (F.when(s == "no_point", F.lit(NO_POINT)).when(s == "no_forecast", F.lit(NO_FORECAST))
             .otherwise(F.coalesce(body, F.lit(""))))
+
+
+def period_counts(periods: DataFrame, key: str = "forecast") -> DataFrame:
+    """Long form: ``(key, n_periods)`` of every document that has periods, by a partial count."""
+    return periods.groupBy(key).agg(F.count(F.lit(1)).cast("int").alias("n_periods"))
+
+
+def point_forecast_counts(requests: DataFrame, points: DataFrame, counts: DataFrame,
+                          lat: str = "latitude", lon: str = "longitude") -> DataFrame:
+    """JN-5, long form: adds ``forecast, n_periods, lookup_status``; ``counts(forecast, n_periods)`` has a row
+    for each forecast document (0 for one without periods)."""
+    pts = points.select(lat, lon, F.col("forecast"), F.lit(True).alias("_has_point"))
+    j = requests.join(pts, [lat, lon], "left").join(counts.select("forecast", "n_periods"), "forecast", "left")
+    status = (F.when(F.col("_has_point").isNull(), "no_point")
+              .when(F.col("n_periods").isNull(), "no_forecast").otherwise("ok"))
+    return j.withColumn("lookup_status", status).drop("_has_point")
+
+
+def shown_periods(periods: DataFrame, order: list[str], text: Column, sep: str, key: str = "forecast",
+                  k: int = PERIODS_SHOWN, out: str = "shown") -> DataFrame:
+    """ORD-4, long form: ``(key, out)``: ``text`` of a document's first ``k`` periods, joined. A group limit
+    goes before the list, so no list is longer than ``k``."""
+    first = first_k(periods.select(key, *order, text.alias("_t")), [key], order, k)
+    return (first.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_rn", "_t"))).alias("_l"))
+            .select(key, F.array_join(F.col("_l._t"), sep).alias(out)))
+
+
+def forecast_reports(looked_up: DataFrame, periods: DataFrame, order: list[str], period: str = "period") -> DataFrame:
+    """GEO-3, long form: ``looked_up`` (of ``point_forecast_counts``) with its ``report``."""
+    body = shown_periods(periods, order, format_period(F.col(period)), REPORT_SEPARATOR, out="_body")
+    s = F.col("lookup_status")
+    report = (F.when(s == "no_point", F.lit(NO_POINT)).when(s == "no_forecast", F.lit(NO_FORECAST))
+              .otherwise(F.coalesce("_body", F.lit(""))))
+    return looked_up.join(body, "forecast", "left").withColumn("report", report).drop("_body")

@@ -214,32 +214,24 @@ def q_user_message_parts(spark, sf):
 _ABSENT = "\u0000absent"
 
 
-def alert_documents(spark, sf) -> DataFrame:
-    """Alert documents per state (= ``user_id``) from that user's events; no document for
-    ``user_id % 10 = 0``, no ``features`` key for ``% 10 = 1``, an empty list for ``% 10 = 2``.
-    ``description`` is absent when ``k % 4 = 0`` and null when ``k % 4 = 1``; ``instruction``
+def alert_tables(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Alert documents per state (= ``user_id``) and their features, a row each, from the state's
+    events; no document for ``user_id % 10 = 0``, no features key for ``% 10 = 1``, an empty list for
+    ``% 10 = 2``. ``description`` is absent when ``k % 4 = 0`` and null when ``k % 4 = 1``; ``instruction``
     absent when ``k % 3 = 0``."""
-    e = inputs.table(spark, sf, "events")
-    k = F.get_json_object("props", "$.k").cast("long")
-    raw = F.struct("event_id", "event_type", k.alias("k"), "value")
-    feats = (e.filter(F.pmod("user_id", F.lit(10)) != 0)
-             .groupBy(F.col("user_id").alias("state"))
-             .agg(F.array_sort(F.collect_list(raw)).alias("_f")))
-
-    def props(x):
-        kk = x["k"]
-        desc = (F.when(F.pmod(kk, F.lit(4)) == 0, F.lit(_ABSENT)).when(F.pmod(kk, F.lit(4)) == 1, F.lit(None))
-                .otherwise(F.concat(F.lit("Value "), kk.cast("string"))))
-        inst = F.when(F.pmod(kk, F.lit(3)) == 0, F.lit(_ABSENT)).otherwise(F.lit("Stay safe"))
-        return F.map_filter(F.create_map(
-            F.lit("event"), x["event_type"], F.lit("areaDesc"), F.concat(F.lit("Zone "), kk.cast("string")),
-            F.lit("severity"), F.when(x["value"] > 100, "Severe").otherwise("Minor"),
-            F.lit("description"), desc, F.lit("instruction"), inst),
-            lambda _k, v: F.coalesce(v != _ABSENT, F.lit(True)))
-    r = F.pmod("state", F.lit(10))
-    f = F.transform("_f", lambda x: F.struct(props(x).alias("properties")))
-    return feats.select("state", F.when(r == 1, F.lit(None)).when(r == 2, F.array().cast(
-        "array<struct<properties:map<string,string>>>")).otherwise(f).alias("features"))
+    e = inputs.table(spark, sf, "events").select(F.col("user_id").alias("state"), F.col("event_id").alias("seq"), "event_type",
+                                                 F.get_json_object("props", "$.k").cast("long").alias("k"), "value")
+    r, k = F.pmod("state", F.lit(10)), F.col("k")
+    desc = (F.when(F.pmod(k, F.lit(4)) == 0, F.lit(_ABSENT)).when(F.pmod(k, F.lit(4)) == 1, F.lit(None))
+            .otherwise(F.concat(F.lit("Value "), k.cast("string"))))
+    inst = F.when(F.pmod(k, F.lit(3)) == 0, F.lit(_ABSENT)).otherwise(F.lit("Stay safe"))
+    props = F.map_filter(F.create_map(
+        F.lit("event"), F.col("event_type"), F.lit("areaDesc"), F.concat(F.lit("Zone "), k.cast("string")),
+        F.lit("severity"), F.when(F.col("value") > 100, "Severe").otherwise("Minor"),
+        F.lit("description"), desc, F.lit("instruction"), inst),
+        lambda _k, v: F.coalesce(v != _ABSENT, F.lit(True)))
+    documents = e.select("state").distinct().where(r != 0).select("state", (r != 1).alias("has_features"))
+    return documents, e.where(~r.isin(0, 1, 2)).select("state", "seq", props.alias("properties"))
 
 
 _ALERT_SQL = """ae AS (SELECT user_id AS state, event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, event_type, value FROM events
@@ -254,9 +246,7 @@ al AS (SELECT state, event_id, chr(10) || '        Event: ' || event_type || chr
 FROM al WHERE state % 10 NOT IN (1, 2)""")
 def q_format_alerts(spark, sf):
     """GEO-1: each alert feature as five lines; absent keys take defaults, nulls print None."""
-    d = alert_documents(spark, sf)
-    ex = d.select("state", F.posexplode("features").alias("pos", "f"))
-    return ex.select("state", "pos", R.format_alert(F.col("f.properties")).alias("alert"))
+    return R.numbered_alerts(alert_tables(spark, sf)[1])
 
 
 @query("alert_report", f"""WITH {_ALERT_SQL}, st AS (SELECT DISTINCT user_id AS state FROM events),
@@ -266,31 +256,27 @@ SELECT s.state, CASE WHEN s.state % 10 IN (0, 1) THEN {lit(R.NO_ALERTS_DOCUMENT)
 def q_alert_report(spark, sf):
     """GEO-2: every state's report; missing document / features and empty lists -> sentinels."""
     states = inputs.table(spark, sf, "events").select(F.col("user_id").alias("state")).distinct()
-    return R.alert_reports(states, alert_documents(spark, sf), "state")
+    return R.alert_reports_long(states, *alert_tables(spark, sf))
 
 
 def forecast_inputs(spark, sf):
-    """Requests ``(latitude, longitude)`` per user; point rows except ``user_id % 7 = 0``;
-    forecast documents (periods = the user's events in time order) except ``% 11 = 0``."""
+    """Requests ``(latitude, longitude)`` per user; point rows except ``user_id % 7 = 0``; forecast
+    periods, a row each (the user's events in time order), except ``% 11 = 0``."""
     e = inputs.table(spark, sf, "events")
     k = F.get_json_object("props", "$.k")
     lat, lon = (F.col("user_id") * 0.5).alias("latitude"), (-F.col("user_id") * 0.25).alias("longitude")
     users = e.select("user_id").distinct()
-    req = users.select(lat, lon)
-    points = users.filter(F.pmod("user_id", F.lit(7)) != 0).select(
-        lat, lon, F.concat(F.lit("grid/"), F.col("user_id").cast("string")).alias("forecast"))
+    grid = F.concat(F.lit("grid/"), F.col("user_id").cast("string")).alias("forecast")
     period = F.struct(F.concat(F.lit("Period "), F.col("event_id").cast("string")).alias("name"),
                       F.floor("value").cast("int").alias("temperature"), F.lit("F").alias("temperatureUnit"),
                       F.concat(k, F.lit(" mph")).alias("windSpeed"),
                       F.upper(F.substring("event_type", 1, 1)).alias("windDirection"),
                       F.concat("event_type", F.lit(" expected")).alias("detailedForecast"))
-    fc = (e.filter(F.pmod("user_id", F.lit(11)) != 0)
-          .groupBy(F.concat(F.lit("grid/"), F.col("user_id").cast("string")).alias("forecast"))
-          .agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", period.alias("p")))).alias("_p"))
-          .select("forecast", F.transform("_p", lambda s: s["p"]).alias("periods")))
-    return req, points, fc
+    periods = e.filter(F.pmod("user_id", F.lit(11)) != 0).select(grid, "ts", "event_id", period.alias("period"))
+    return users.select(lat, lon), users.filter(F.pmod("user_id", F.lit(7)) != 0).select(lat, lon, grid), periods
 
 
+_IN_TIME = ["ts", "event_id"]
 _FC_SQL = """u AS (SELECT DISTINCT user_id FROM events),
 req AS (SELECT user_id, CAST(user_id * 0.5 AS DOUBLE) AS latitude, CAST(-user_id * 0.25 AS DOUBLE) AS longitude FROM u),
 per AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn, count(*) OVER (PARTITION BY user_id) AS n,
@@ -305,10 +291,9 @@ SELECT r.latitude, r.longitude, CASE WHEN r.user_id % 7 != 0 THEN 'grid/' || r.u
   CAST(CASE WHEN r.user_id % 7 != 0 THEN np.n END AS INTEGER) AS n_periods FROM req r LEFT JOIN np USING (user_id)""")
 def q_point_forecast_lookup(spark, sf):
     """JN-5: location -> grid point -> forecast document, by two left joins."""
-    req, points, fc = forecast_inputs(spark, sf)
-    j = R.point_forecast_lookup(req, points, fc)
-    return j.select("latitude", "longitude", "forecast", "lookup_status",
-                    F.when(F.col("periods").isNotNull(), F.size("periods")).alias("n_periods"))
+    req, points, periods = forecast_inputs(spark, sf)
+    j = R.point_forecast_counts(req, points, R.period_counts(periods))
+    return j.select("latitude", "longitude", "forecast", "lookup_status", "n_periods")
 
 
 @query("forecast_report", f"""WITH {_FC_SQL}, rep AS (SELECT user_id, string_agg(txt, chr(10) || '---' || chr(10) ORDER BY rn) AS body
@@ -317,15 +302,15 @@ SELECT r.latitude, r.longitude, CASE WHEN r.user_id % 7 = 0 THEN {lit(R.NO_POINT
   ELSE body END AS report FROM req r LEFT JOIN rep USING (user_id)""")
 def q_forecast_report(spark, sf):
     """GEO-3: the first five periods of each location's forecast, formatted and joined."""
-    req, points, fc = forecast_inputs(spark, sf)
-    j = R.point_forecast_lookup(req, points, fc)
-    return j.select("latitude", "longitude", R.forecast_report(j).alias("report"))
+    req, points, periods = forecast_inputs(spark, sf)
+    j = R.point_forecast_counts(req, points, R.period_counts(periods))
+    return R.forecast_reports(j, periods, _IN_TIME).select("latitude", "longitude", "report")
 
 
 @query("top_k_periods", f"""WITH {_FC_SQL} SELECT 'grid/' || user_id AS forecast, CAST(max(n) AS INTEGER) AS n_periods,
   string_agg(pname, ',' ORDER BY rn) FILTER (WHERE rn <= 5) AS first_periods FROM per GROUP BY user_id""")
 def q_top_k_periods(spark, sf):
-    """ORD-4: the first five periods of every forecast document."""
-    _, _, fc = forecast_inputs(spark, sf)
-    return fc.select("forecast", F.size("periods").alias("n_periods"),
-                     F.array_join(F.transform(R.top_periods("periods"), lambda p: p["name"]), ",").alias("first_periods"))
+    """ORD-4: the first five periods of every forecast document, and how many it has."""
+    _, _, periods = forecast_inputs(spark, sf)
+    shown = R.shown_periods(periods, _IN_TIME, F.col("period.name"), ",", out="first_periods")
+    return R.period_counts(periods).join(shown, "forecast")

@@ -79,3 +79,22 @@ def running(df: DataFrame, keys: list[str], order: list[str], values: dict[str,
     for o, (_, h) in values.items():
         x = x.withColumn(o, merge[h](F.when(goes_on, F.col(f"_c_{o}")), F.col(o)))
     return x.drop(PART, "_first", "_before", *[f"_c_{o}" for o in values])
+
+
+def joined_text(df: DataFrame, keys: list[str], order: list[str], text: str, sep: str, out: str = "text",
+                partitions: int | None = None) -> DataFrame:
+    """``keys, out``: the texts of a key joined in ``order``. Each range joins its rows, many tasks for a
+    large key, and a key's row gathers one finished piece a range, not its rows."""
+    r = in_ranges(df.select(*keys, *order, text), [*keys, *order], "joined-text", partitions)
+    piece = F.array_join(F.col("_l._t"), sep)
+    per = (r.groupBy(PART, *keys).agg(F.sort_array(F.collect_list(F.struct(*order, F.coalesce(text, F.lit("")).alias("_t")))).alias("_l"))
+           .select(PART, *keys, piece.alias("_piece")))
+    whole = per.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(PART, "_piece"))).alias("_p"))
+    return whole.select(*keys, F.array_join(F.col("_p._piece"), sep).alias(out))
+
+
+def first_k(df: DataFrame, keys: list[str], order: list[str], k: int, out: str = "_rn") -> DataFrame:
+    """The first ``k`` rows of every key with their number from 1. Spark limits groups before the
+    shuffle too (``WindowGroupLimit``), so a task sends ``k`` rows of a key at most."""
+    n = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return df.withColumn(out, n).where(F.col(out) <= k)

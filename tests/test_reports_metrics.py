@@ -146,3 +146,31 @@ def test_null_fields_read_none(spark):
     b = spark.createDataFrame([([("tool_use", None, "t", None, "after")],)],
                               "b array<struct<type:string,text:string,name:string,input:string,follow_up:string>>")
     assert b.select(tools.flatten_blocks("b")).first()[0] == "[Calling tool t with args None]\nafter"
+
+
+def test_long_form_equals_nested_form(spark):
+    prop = lambda i: {"event": f"e{i}"} if i % 3 else {"event": None, "severity": "x"}
+    feats = [(k, 10 * i, prop(i)) for k, n in (("a", 300), ("b", 2), ("c", 0)) for i in range(n)]
+    f = spark.createDataFrame(feats[::-1], "state string, seq long, properties map<string,string>")
+    d = spark.createDataFrame([("a", True), ("b", True), ("c", True), ("d", False)], "state string, has_features boolean")
+    req = spark.createDataFrame([(x,) for x in "abcde"], "state string")
+    nested = spark.createDataFrame(
+        [(k, None if k == "d" else [{"properties": p} for q, _, p in feats if q == k]) for k in "abcd"],
+        "state string, features array<struct<properties:map<string,string>>>")
+    want = rows(R.alert_reports(req, nested), "state", "report")
+    got = R.alert_reports_long(req, d, f)
+    assert rows(got, "state", "report") == want
+    num = rows(R.numbered_alerts(f), "state", "pos", "alert")
+    ex = nested.select("state", F.posexplode("features").alias("pos", "f"))
+    assert num == rows(ex.select("state", "pos", R.format_alert(F.col("f.properties")).alias("alert")))
+
+
+def test_forecast_rows_are_limited_before_the_list(spark):
+    p = spark.createDataFrame([("g", i, f"n{i}") for i in range(50, 0, -1)] + [("h", 1, None)], "forecast string, t long, name string")
+    shown = R.shown_periods(p, ["t"], F.coalesce("name", F.lit("-")), ",")
+    assert rows(shown) == [("g", "n1,n2,n3,n4,n5"), ("h", "-")]
+    assert "WindowGroupLimit" in shown._jdf.queryExecution().executedPlan().toString()
+    req = spark.createDataFrame([(1.0, 2.0), (3.0, 4.0), (5.0, 6.0)], "latitude double, longitude double")
+    pts = spark.createDataFrame([(1.0, 2.0, "g"), (3.0, 4.0, "none")], "latitude double, longitude double, forecast string")
+    j = R.point_forecast_counts(req, pts, R.period_counts(p))
+    assert rows(j, "latitude", "lookup_status", "n_periods") == [(1.0, "ok", 50), (3.0, "no_forecast", None), (5.0, "no_point", None)]
