@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from parlance.functions.text import py_strip
 from parlance.plans.ranges import running
+from parlance.sources.io import materialize
 
 # ---- Fixed values ---------------------------------------------------------------------------
 QUIT_WORD = "quit"
@@ -56,18 +57,56 @@ def chat_segments(lines: DataFrame, user: str = "user_id", seq: str = "seq", que
                     (F.col("_new") == 1).alias("new_topic"), text.alias("text"))
 
 
+#: Messages of a stored prefix block.
+PREFIX_BLOCK = 64
+
+
+def prefix_blocks(df: DataFrame, keys: list[str], order: str, role: str, content: str, block: int = PREFIX_BLOCK) -> DataFrame:
+    """WIN-2, stored form: every message once. A row holds ``block`` consecutive messages of a chat:
+    ``(keys, _b, msgs, rows)`` with the block's number, its messages and the input rows they came from.
+    The history of the chat's row ``i`` is blocks ``0 .. i div block``, cut after ``i mod block`` more
+    messages. Rows are numbered over sampled ranges, so a long chat is spread from the start."""
+    msg = F.struct(_c(role).alias("role"), _c(content).alias("content"))
+    d = df.select(*keys, F.col(order).alias("_o"), F.lit(1).cast("long").alias("_one"), msg.alias("_m"), F.struct(*df.columns).alias("_r"))
+    n = running(d, keys, ["_o"], {"_n": ("_one", "sum")}).withColumn("_i", F.col("_n") - 1)
+    per = n.groupBy(*keys, F.floor(F.col("_i") / block).cast("int").alias("_b")).agg(
+        F.array_sort(F.collect_list(F.struct("_i", "_m", "_r"))).alias("_l"))
+    return materialize(per.select(*keys, "_b", F.col("_l._m").alias("msgs"), F.col("_l._r").alias("rows")), "prefix-blocks")
+
+
+def expand_history(blocks: DataFrame, keys: list[str], system: str | None = DEFAULT_SYSTEM, block: int = PREFIX_BLOCK) -> DataFrame:
+    """The input rows with ``messages``, from stored blocks. A block asks for the blocks before it, and its
+    rows are cut from what comes back: a message travels once for every later block, not for every
+    later row, and each block of a long chat is a group of its own."""
+    b = blocks.select(*keys, "_b", "msgs").alias("b")
+    asks = blocks.select(*keys, F.col("_b").alias("_for"), F.explode(F.sequence(F.lit(0), F.col("_b"))).alias("_b")).alias("a")
+    on = F.col("a._b") == F.col("b._b")
+    for c in [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]:
+        on = on & c
+    sent = asks.join(b, on).select(*[F.col(f"a.{k}").alias(k) for k in keys], F.col("a._for").alias("_b"),
+                                   F.struct(F.col("a._b").alias("n"), F.col("b.msgs").alias("m")).alias("_s"))
+    whole = sent.groupBy(*keys, "_b").agg(F.array_sort(F.collect_list("_s")).alias("_s")).alias("w")
+    own = blocks.select(*keys, "_b", "rows").alias("o")
+    on = F.col("w._b") == F.col("o._b")
+    for c in [F.col(f"w.{k}").eqNullSafe(F.col(f"o.{k}")) for k in keys]:
+        on = on & c
+    out = whole.join(own, on).select(F.col("w._b").alias("_b"), F.flatten(F.col("w._s.m")).alias("_all"),
+                                     F.posexplode("o.rows").alias("_p", "_r"))
+    hist = F.slice("_all", 1, F.col("_b") * block + F.col("_p") + 1)
+    if system is not None:
+        hist = F.concat(F.array(F.struct(F.lit("system").alias("role"), F.lit(system).alias("content"))), hist)
+    return out.select("_r.*", hist.alias("messages"))
+
+
 def prefix_history(df: DataFrame, keys: list[str], order: str, role: str, content: str,
-                   system: str | None = DEFAULT_SYSTEM) -> DataFrame:
+                   system: str | None = DEFAULT_SYSTEM, block: int = PREFIX_BLOCK) -> DataFrame:
     """WIN-2: the message list sent at each row = the default system message, then every
     message of the same ``keys`` (e.g. user and segment) up to and including this row.
 
     The output of a chat of n turns holds n(n+1)/2 messages by definition; ``keys`` should
-    include the segment so a reset really empties the history."""
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    hist = F.collect_list(F.struct(_c(role).alias("role"), _c(content).alias("content"))).over(w)
-    if system is not None:
-        hist = F.concat(F.array(F.struct(F.lit("system").alias("role"), F.lit(system).alias("content"))), hist)
-    return df.withColumn("messages", hist)
+    include the segment so a reset really empties the history. Messages are stored once in blocks
+    and the lists are only made at the end. ``(keys, order)`` should identify a row."""
+    return expand_history(prefix_blocks(df, keys, order, role, content, block), keys, system, block)
 
 
 def append_assistant(messages, content, text_only: bool = True) -> Column:

@@ -28,9 +28,9 @@ def q_scan_jsonl(spark, sf):
 
 @query("scan_json_array", "SELECT doc_id, quality, toxic FROM labels")
 def q_scan_json_array(spark, sf):
-    """SRC-2: labels written as JSON-array files, one a task, and read back (multiLine)."""
+    """SRC-2: labels written as one JSON-array file and read back in byte ranges by many tasks."""
     path = io.scratch_path(spark, "labels.json")
-    io.sink_json_arrays(table(spark, sf, "labels"), path, spark.sparkContext.defaultParallelism)
+    io.sink_json_arrays(table(spark, sf, "labels"), path, 1)
     return io.scan_json_array(spark, path, "doc_id bigint, quality int, toxic int")
 
 

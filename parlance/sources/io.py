@@ -1,8 +1,7 @@
 """Scans and sinks (SRC-*, SNK-*) with declared schemas - never inferred.
 
-JSON lines are splittable and scale; a file holding one JSON array (``multiLine``) is read by
-one task per file, so large inputs should be converted once to Parquet (``to_parquet``).
-Writes go to shared storage; scratch tables live under ``spark.checkpoint.dir``.
+JSON lines are splittable and scale; a file holding one JSON array is cut into byte ranges by a
+parallel pass over it. Writes go to shared storage; scratch tables live under ``spark.checkpoint.dir``.
 """
 
 from __future__ import annotations
@@ -33,9 +32,16 @@ def scan_jsonl(spark: SparkSession, path: str, schema, strict: bool = False) ->
     return r.option("columnNameOfCorruptRecord", CORRUPT).schema(_with_corrupt(schema, spark)).json(path)
 
 
-def scan_json_array(spark: SparkSession, path: str, schema) -> DataFrame:
-    """SRC-2: every file is one JSON array of records (``multiLine``; one task per file)."""
-    return spark.read.option("multiLine", True).schema(schema).json(path)
+def scan_json_array(spark: SparkSession, path: str, schema, range_bytes: int | None = None) -> DataFrame:
+    """SRC-2: every file is one JSON array of records. Plain files are cut into byte ranges and read by
+    many tasks (``sources.json_array``); compressed ones, and stores that only Spark reads, go through
+    Spark's own reader, one task a file."""
+    from parlance.sources.json_array import read_records, splittable
+    files = splittable(path)
+    if files is None:
+        return spark.read.option("multiLine", True).schema(schema).json(path)
+    schema = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
+    return read_records(spark, files, range_bytes).select(F.from_json("value", schema).alias("r")).select("r.*")
 
 
 def scan_by_suffix(spark: SparkSession, path: str, schema) -> DataFrame:
