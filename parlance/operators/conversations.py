@@ -115,6 +115,14 @@ def append_assistant(messages, content, text_only: bool = True) -> Column:
     return F.array_append(_c(messages), F.struct(F.lit("assistant").alias("role"), c.alias("content")))
 
 
+def append_response(messages, response: Column) -> Column:
+    """WIN-3, whole responses: append ``{"role": "assistant", "content": <the response>}``. Contents are
+    texts and objects side by side, so every content becomes a ``VARIANT`` (an object's fields in
+    alphabetic order when printed)."""
+    said = F.transform(_c(messages), lambda m: F.struct(m["role"].alias("role"), m["content"].cast("variant").alias("content")))
+    return F.array_append(said, F.struct(F.lit("assistant").alias("role"), F.to_variant_object(response).alias("content")))
+
+
 def first_prefix_match(pieces: DataFrame, piece_key: list[str], piece: str, agents: DataFrame,
                        name: str = "name", pos: str = "pos") -> DataFrame:
     """JN-6: for each piece, the first agent (lowest ``pos``) whose name the piece starts with.

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parlance.functions.text import url_quote
+from parlance.operators.templates import DEFAULT_SYSTEM_TOOL_CHAT
 
 # ---- Fixed values ---------------------------------------------------------------------------
 TOOL_LINE = "[Calling tool {name} with args {args}]"
@@ -260,15 +261,29 @@ def tool_messages(results: DataFrame, call_id: str = "call_id", content: str = "
 
 
 def attach_tool_results(calls: DataFrame, replies: DataFrame, key: str, call_id: str = "call_id",
-                        pos: str = "pos") -> DataFrame:
+                        pos: str = "pos", call: Column | None = None, carry: list[Column] | None = None) -> DataFrame:
     """JN-3: the tool messages of each assistant message, in call order, joined to their calls
-    by ``tool_call_id`` (left join: a call without a reply gets content null)."""
+    by ``tool_call_id`` (left join: a call without a reply gets content null). ``call``: a call's
+    columns as a struct, returned in the same order as ``calls``; ``carry``: further aggregates of a
+    message's rows, so that one grouping serves the whole turn."""
     j = calls.join(replies.withColumnRenamed("tool_call_id", call_id), call_id, "left")
     msg = F.struct(F.lit("tool").alias("role"), F.col("content"), F.col(call_id).alias("tool_call_id"))
-    per = j.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), msg.alias("m")))).alias("_m"),
+    parts = [F.col(pos).alias("p"), msg.alias("m")] + ([call.alias("c")] if call is not None else [])
+    per = j.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*parts))).alias("_m"),
                              F.count(F.lit(1)).alias("n_calls"),
-                             F.count("content").alias("n_results"))
-    return per.select(key, "n_calls", "n_results", F.transform("_m", lambda s: s["m"]).alias("tool_messages"))
+                             F.count("content").alias("n_results"), *(carry or []))
+    out = per.withColumn("tool_messages", F.col("_m.m"))
+    return (out.withColumn("calls", F.col("_m.c")) if call is not None else out).drop("_m")
+
+
+def opening_messages(question: Column, earlier: Column | None = None, system: str = DEFAULT_SYSTEM_TOOL_CHAT) -> Column:
+    """The messages a tool conversation's turn begins with: without earlier ones the default system
+    message and the question, else the earlier ones and the question."""
+    user = F.struct(F.lit("user").alias("role"), question.alias("content"))
+    fresh = F.array(F.struct(F.lit("system").alias("role"), F.lit(system).alias("content")), user)
+    if earlier is None:
+        return fresh
+    return F.when(F.coalesce(F.size(earlier), F.lit(0)) <= 0, fresh).otherwise(F.array_append(earlier, user))
 
 
 def tool_turn_messages(prior: Column, assistant_content: Column, calls: Column, tool_msgs: Column) -> Column:

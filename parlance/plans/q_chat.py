@@ -104,6 +104,23 @@ def q_append_assistant(spark, sf):
     return r.select("conv_id", "turn", F.to_json(CV.append_assistant(msgs, reply, text_only=True)).alias("messages"))
 
 
+@query("append_response", f"""WITH pairs AS (SELECT conv_id, turn, text AS instruction, nxt AS output FROM (
+    SELECT conv_id, turn, role, text, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS nrole,
+           lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM conversations) WHERE role = 'user' AND nrole = 'assistant')
+SELECT conv_id, turn, '[' || CAST(to_json({{'role': 'system', 'content': {lit(CV.DEFAULT_SYSTEM)}}}) AS VARCHAR) || ',' ||
+  CAST(to_json({{'role': 'user', 'content': instruction}}) AS VARCHAR) || ',' || CAST(to_json({{'role': 'assistant', 'content':
+  {{'content': output, 'finish_reason': 'stop', 'tool_calls': NULL::VARCHAR, 'usage': {{'completion_tokens': length(output), 'prompt_tokens': length(instruction)}}}}}}) AS VARCHAR)
+  || ']' AS messages FROM pairs""")
+def q_append_response(spark, sf):
+    """WIN-3: the whole response object appended as the assistant message's content."""
+    r = inputs.sft_records(spark, sf)
+    usage = F.struct(F.length("output").alias("completion_tokens"), F.length("instruction").alias("prompt_tokens"))
+    resp = F.struct(F.col("output").alias("content"), F.lit("stop").alias("finish_reason"),
+                    F.lit(None).cast("string").alias("tool_calls"), usage.alias("usage"))
+    msgs = CV.append_response(T.system_user_messages("instruction", CV.DEFAULT_SYSTEM), resp)
+    return r.select("conv_id", "turn", F.to_json(msgs).alias("messages"))
+
+
 # ---- JN-6 / CH -----------------------------------------------------------------------------------
 @query("mention_match", f"WITH {_MT_SQL} SELECT conv_id, turn, CAST(pp AS INTEGER) AS piece_pos, name, pos FROM hit")
 def q_mention_match(spark, sf):

@@ -339,11 +339,12 @@ def q_attention_mask(spark, sf):
 
 
 @query("pad_left", f"{_BATCH_CTE} SELECT conv_id, turn, batch_id, "
-       f"{ints('list_concat(list_resize([]::INTEGER[], width - len(ids), 0), ids)')} AS ids FROM b")
+       f"{ints('list_concat(list_resize([]::INTEGER[], width - len(ids), 0), ids)')} AS ids, "
+       f"{ints('list_transform(range(width), lambda i: CASE WHEN i >= width - len(ids) THEN 1 ELSE 0 END)')} AS mask FROM b")
 def q_pad_left(spark, sf):
-    """BAT-5: ids left-padded for generation."""
-    b = _batched(spark, sf).withColumn("_w", batching.batch_width("ids"))
-    return b.select(*KEY, "batch_id", ints_to_text(batching.pad_left("ids", "_w", K.PAD_ID)).alias("ids"))
+    """BAT-5: ids left-padded for generation, and the mask of their real positions."""
+    b = batching.pad_batch(_batched(spark, sf).select(*KEY, "batch_id", "ids"), labels=None, pad_id=K.PAD_ID, side="left", mask_mode="by_length")
+    return b.select(*KEY, "batch_id", ints_to_text("ids").alias("ids"), ints_to_text("attention_mask").alias("mask"))
 
 
 @query("strided_shard", f"WITH {IDX_SQL} SELECT idx, conv_id, turn, CAST(idx % 4 AS INTEGER) AS shard FROM idxd "

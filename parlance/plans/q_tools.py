@@ -186,25 +186,21 @@ def q_attach_tool_results(spark, sf):
 m AS (SELECT message_id, list({{'id': call_id, 'type': type, 'name': name, 'arguments': arguments}} ORDER BY pos) AS tc,
   list({{'role': 'tool', 'content': CASE WHEN status = 'ok' THEN result END, 'tool_calls': NULL::STRUCT(id VARCHAR, type VARCHAR, name VARCHAR, arguments VARCHAR)[], 'tool_call_id': call_id}} ORDER BY pos) AS tm,
   min(user_id) AS uid FROM res GROUP BY message_id)
-SELECT message_id, CAST(2 + len(tm) AS INTEGER) AS n_messages, CAST(to_json(list_concat(
-  [{{'role': 'user', 'content': 'What happened for user ' || uid || '?', 'tool_calls': NULL::STRUCT(id VARCHAR, type VARCHAR, name VARCHAR, arguments VARCHAR)[], 'tool_call_id': NULL::VARCHAR}},
+SELECT message_id, CAST(3 + len(tm) AS INTEGER) AS n_messages, CAST(to_json(list_concat(
+  [{{'role': 'system', 'content': {lit(TL.DEFAULT_SYSTEM_TOOL_CHAT)}, 'tool_calls': NULL::STRUCT(id VARCHAR, type VARCHAR, name VARCHAR, arguments VARCHAR)[], 'tool_call_id': NULL::VARCHAR}},
+   {{'role': 'user', 'content': 'What happened for user ' || uid || '?', 'tool_calls': NULL::STRUCT(id VARCHAR, type VARCHAR, name VARCHAR, arguments VARCHAR)[], 'tool_call_id': NULL::VARCHAR}},
    {{'role': 'assistant', 'content': NULL::VARCHAR, 'tool_calls': tc, 'tool_call_id': NULL::VARCHAR}}], tm)) AS VARCHAR) AS messages FROM m""")
 def q_tool_turn_messages(spark, sf):
-    """TL-7: the user question, the assistant message carrying its calls, then one tool
-    message per call in call order (one round)."""
+    """TL-7: the default system message, the user question, the assistant message carrying its
+    calls, then one tool message per call in call order (one round)."""
     d = _dispatched(spark, sf)
-    calls = d.select("message_id", "pos", "call_id", "type", "name", "arguments")
-    att = TL.attach_tool_results(calls, TL.tool_messages(d), "message_id")
-    per = (d.groupBy("message_id")
-           .agg(F.array_sort(F.collect_list(F.struct("pos", F.struct(F.col("call_id").alias("id"), "type", "name",
-                                                                    "arguments").alias("c")))).alias("_c"),
-                F.min("user_id").alias("uid")))
-    j = per.join(att, "message_id")
-    prior = F.array(F.struct(F.lit("user").alias("role"),
-                             F.concat(F.lit("What happened for user "), F.col("uid").cast("string"), F.lit("?")).alias("content")))
-    msgs = TL.tool_turn_messages(prior, F.lit(None).cast("string"), F.transform("_c", lambda s: s["c"]), F.col("tool_messages"))
-    return j.select("message_id", F.size(msgs).alias("n_messages"),
-                    F.to_json(msgs, {"ignoreNullFields": "false"}).alias("messages"))
+    call = F.struct(F.col("call_id").alias("id"), "type", "name", "arguments")
+    att = TL.attach_tool_results(d.select("message_id", "pos", "call_id", "type", "name", "arguments", "user_id"), TL.tool_messages(d),
+                                 "message_id", call=call, carry=[F.min("user_id").alias("uid")])
+    prior = TL.opening_messages(F.concat(F.lit("What happened for user "), F.col("uid").cast("string"), F.lit("?")))
+    msgs = TL.tool_turn_messages(prior, F.lit(None).cast("string"), F.col("calls"), F.col("tool_messages"))
+    return att.select("message_id", F.size(msgs).alias("n_messages"),
+                      F.to_json(msgs, {"ignoreNullFields": "false"}).alias("messages"))
 
 
 @query("flatten_blocks", f"""WITH {TOOL_CTES}

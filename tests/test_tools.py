@@ -94,3 +94,11 @@ def test_arguments_are_checked_against_the_schema(spark):
     got = {r.k: (r.status, r.result) for r in TL.dispatch_tools(df).collect()}
     assert got.pop("sum") == ("ok", "3") and got.pop("unknown") == ("unknown_tool", None)
     assert set(got.values()) == {("bad_arguments", None)}
+
+
+def test_a_turn_opens_with_the_default_system_message(spark):
+    df = spark.createDataFrame([(1, "q", None), (2, "q", []), (3, "q", [("user", "a"), ("assistant", "b")])],
+                               "k long, q string, m array<struct<role:string,content:string>>")
+    got = {r.k: [tuple(x) for x in r.o] for r in df.select("k", TL.opening_messages(F.col("q"), F.col("m")).alias("o")).collect()}
+    fresh = [("system", TL.DEFAULT_SYSTEM_TOOL_CHAT), ("user", "q")]
+    assert got == {1: fresh, 2: fresh, 3: [("user", "a"), ("assistant", "b"), ("user", "q")]}
