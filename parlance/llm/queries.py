@@ -124,18 +124,18 @@ def op8(spark, sf_dir):
 def op9(spark, sf_dir):
     """Totals after three batches over all documents: every document inserted with its byte-BPE
     count, documents labelled toxic deleted, all but English documents recounted by word BPE; the
-    first batch is delivered twice and counts once."""
+    first batch is delivered twice and counts once. Both counts come from one pass over the texts."""
     docs = table(spark, sf_dir, "documents")
-    counts = materialize(token_rollup.count_tokens(docs, "byte_bpe_50k.json", False), "token-counts")
-    toxic = table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id").distinct()
     other = "coalesce(lang, '') <> 'en'"
-    again = token_rollup.count_tokens(docs.where(other).join(toxic, "doc_id", "left_anti"), "word_bpe_49k.json", True, "n_new")
+    counts = materialize(token_rollup.count_each(docs, [
+        ("n_tokens", "byte_bpe_50k.json", False, None), ("n_new", "word_bpe_49k.json", True, F.expr(other))]), "token-counts")
+    toxic = table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id").distinct()
     old = counts.where(other).join(toxic, "doc_id", "left_anti")
     store = token_rollup.create(spark, scratch_path(spark, "rollup"))
     load = token_rollup.inserts(counts, "byte_bpe_50k")
     token_rollup.commit(store, "load", load)
     token_rollup.commit(store, "withdrawn", token_rollup.deletes(counts.join(toxic, "doc_id", "left_semi"), "byte_bpe_50k"))
-    new = token_rollup.inserts(again, "word_bpe_49k", "n_new")
+    new = token_rollup.inserts(old, "word_bpe_49k", "n_new")
     token_rollup.commit(store, "recount", token_rollup.deletes(old, "byte_bpe_50k").unionByName(new))
     token_rollup.commit(store, "load", load)
     return token_rollup.rollup(spark, store)

@@ -18,7 +18,7 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parlance.llm.common import encoder, id_in, id_out
@@ -27,16 +27,29 @@ KEYS = ["source", "lang", "tokenizer"]
 TOTALS = "batch string, attempt string, source string, lang string, tokenizer string, n_docs long, n_tokens long"
 
 
-def count_tokens(docs: DataFrame, vocab_file: str, words: bool, name: str = "n_tokens") -> DataFrame:
-    """``doc_id, source, lang`` and the ids of each text (null: none)."""
+def count_each(docs: DataFrame, counts: list[tuple[str, str, bool, Column | None]]) -> DataFrame:
+    """``doc_id, source, lang`` and a count of ids per entry ``(name, vocabulary file, words, condition)``,
+    all in one pass over the texts (a null text has none). Where a condition is given and does not
+    hold, the text is not encoded and the count is null."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoder(vocab_file, words)
+        encs = [encoder(path, words) for _, path, words, _ in counts]
         for pdf in batches:
             text = pdf.pop("text").tolist()
-            yield pdf.assign(**{name: [len(x) // 4 for x in enc.batch(text)]})
+            for (name, *_), enc in zip(counts, encs):
+                on = pdf[name].tolist()
+                got = iter(enc.batch([t for t, k in zip(text, on) if k]))
+                pdf[name] = pd.array([len(next(got)) // 4 if k else None for k in on], "Int64")
+            yield pdf
+    on = [F.lit(True) if c is None else F.coalesce(c, F.lit(False)) for _, _, _, c in counts]
     d = docs.select(id_in(), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"),
-                    F.col("text").cast("string").alias("text"))
-    return d.mapInPandas(run, f"doc_id long, source string, lang string, {name} long").withColumn("doc_id", id_out())
+                    *[c.alias(name) for (name, *_), c in zip(counts, on)], F.col("text").cast("string").alias("text"))
+    return d.mapInPandas(run, "doc_id long, source string, lang string, " + ", ".join(f"{n} long" for n, *_ in counts)).withColumn(
+        "doc_id", id_out())
+
+
+def count_tokens(docs: DataFrame, vocab_file: str, words: bool, name: str = "n_tokens") -> DataFrame:
+    """``doc_id, source, lang`` and the ids of each text (null: none)."""
+    return count_each(docs, [(name, vocab_file, words, None)])
 
 
 def inserts(rows: DataFrame, tokenizer: str, tokens: str = "n_tokens") -> DataFrame:

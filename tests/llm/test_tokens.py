@@ -170,6 +170,27 @@ def test_rollup(docs, llm, tmp_dir):
     assert sorted(r.n_tokens for r in got) == sorted(len(ids_of(tok, t)) for _, t in ODD)
 
 
+@pytest.mark.parametrize("empty", [False, True])
+def test_rollup_query_equals_brute_force(llm, tmp_dir, empty):
+    from parlance.llm.queries import QUERIES
+    langs, sources = ["en", "fr", None, ""], ["a", None, "b"]
+    rows = [] if empty else [(i, t, langs[k % 4], sources[k % 3], 0) for k, (i, t) in enumerate(ODD + texts(3, 30))]
+    labels = [] if empty else [(i, 1, k % 4 == 0) for k, (i, *_) in enumerate(rows)] + [(12345, 0, True)]
+    llm.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_dir}/documents.parquet")
+    llm.createDataFrame([(i, q, int(t)) for i, q, t in labels], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_dir}/labels.parquet")
+    toxic = {i for i, _, t in labels if t and i is not None}
+    tok = {n: Tokenizer.from_file(tokenizer_path(f"{n}.json")) for n in ("byte_bpe_50k", "word_bpe_49k")}
+    want = collections.defaultdict(lambda: [0, 0])
+    for i, t, lang, source, _ in rows:
+        if i not in toxic:
+            name = "byte_bpe_50k" if lang == "en" else "word_bpe_49k"
+            w = want[source, lang, name]
+            w[0] += 1
+            w[1] += len(ids_of(tok[name], t))
+    got = {(r.source, r.lang, r.tokenizer): [r.n_docs, r.n_tokens] for r in QUERIES["op9_token_rollup"](llm, tmp_dir).collect()}
+    assert got == dict(want)
+
+
 @pytest.fixture(scope="module")
 def models(tmp_path_factory):
     """The given model, and its pieces and scores as a unigram model."""
