@@ -31,11 +31,13 @@ def count_each(docs: DataFrame, counts: list[tuple[str, str, bool, Column | None
     """``doc_id, source, lang`` and a count of ids per entry ``(name, vocabulary file, words, condition)``,
     all in one pass over the texts (a null text has none). Where a condition is given and does not
     hold, the text is not encoded and the count is null."""
+    files = [(name, path, words) for name, path, words, _ in counts]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encs = [encoder(path, words) for _, path, words, _ in counts]
+        encs = [(name, encoder(path, words)) for name, path, words in files]
         for pdf in batches:
             text = pdf.pop("text").tolist()
-            for (name, *_), enc in zip(counts, encs):
+            for name, enc in encs:
                 on = pdf[name].tolist()
                 got = iter(enc.batch([t for t, k in zip(text, on) if k]))
                 pdf[name] = pd.array([len(next(got)) // 4 if k else None for k in on], "Int64")
