@@ -25,7 +25,7 @@ MIN_WORDS, MAX_REPEAT_PCT = 50, 50
 BINS = 32
 MAX_RULES, MAX_CONDITIONS = 12, 4
 #: A rule is kept if at least this share of the held-out rows it rejects are bad, and at least
-#: this share of all bad training rows is newly covered.
+#: this share of all bad rows that rules grow on is newly covered.
 MIN_PRECISION, MIN_SHARE = 0.9, 0.005
 
 
@@ -199,11 +199,11 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with all their columns: the learned list is
-    applied to each row's own text, so nothing is joined back."""
-    stats = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_stats(F.col("text")).alias("s"))
-    stats = materialize(stats.select("doc_id", "s.*"), "text-stats")
-    rules = learn(stats, labels.select("doc_id", "quality"))
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text_stats(F.col("text")).alias("s"))
-    judged = row.select("row", "s.*")
-    return judged.where(~base_failed() & (decision(rules) == 0)).select("row.*")
+    """The rows of ``docs`` that the rules keep, with all their columns. Rows are written once with
+    their statistics: the rules are learned from the written statistics and applied to the same
+    table, so no text is measured twice and nothing is joined back."""
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+                      F.col("doc_id").cast("long").alias("doc_id"), text_stats(F.col("text")).alias("s"))
+    measured = materialize(row.select("row", "doc_id", "s.*"), "text-stats")
+    rules = learn(measured.drop("row"), labels.select("doc_id", "quality"))
+    return measured.where(~base_failed() & (decision(rules) == 0)).select("row.*")
