@@ -29,7 +29,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parlance.llm.common import let
+from parlance.llm.common import let, materialize
 from parlance.plans.rank import range_rank
 
 #: Shards of a rack and racks of a region, unless a tree is given.
@@ -112,7 +112,8 @@ def report(docs: DataFrame, shards: int = 40) -> DataFrame:
     light = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                         (F.coalesce(F.octet_length(raw), F.lit(0)) + OVERHEAD).cast("long").alias("size"),
                         F.coalesce(F.crc32(raw), F.lit(0)).cast("long").alias("text_crc32"))
-    placed = assign(light, even_tree(shards), even_tree(shards + 1))
+    # written before the ranges are sampled, so that texts are read once
+    placed = assign(materialize(light, "sizes"), even_tree(shards), even_tree(shards + 1))
     # a number of its own for every row, so that rows equal in all else don't fill one range
     own = F.xxhash64(F.monotonically_increasing_id()).alias("own")
     order = [F.col(c) for c in ("shard", "doc_id", "text_crc32", "size", "own")]
