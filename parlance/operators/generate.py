@@ -10,7 +10,8 @@ Parallelism comes from partitions (``mapInPandas``) and, for a model server, fro
 calls at a time inside a task. Every input row leaves with a ``status`` in ``ok, skipped,
 filtered, exhausted`` - never dropped (INF-2, INF-4). Calls are not idempotent and a lazy plan
 may run more than once, so results are written to a table and read from there:
-``generate_resumable`` commits it range by range and calls only rows without a final result.
+``generate_resumable`` commits it range by range or batch by batch and calls only rows without a
+final result.
 """
 
 from __future__ import annotations
@@ -137,21 +138,36 @@ def _stored(spark, out_path: str) -> DataFrame | None:
 
 
 def generate_resumable(requests: DataFrame, factory: Callable, out_path: str, id_col: str = "id",
-                       messages: str = "messages", ranges: int = 8, **kw) -> DataFrame:
+                       messages: str = "messages", ranges: int = 8, commit: str = "range", **kw) -> DataFrame:
     """INF-1 + JN-2 + SNK: generate the rows without a final result (``FINAL``), append them to
     ``out_path`` and read the table back, one row per id (``ok`` first, then fewest attempts).
 
-    Rows are called and committed in ``ranges`` parts by a hash of the id, so a job that dies
-    loses at most the calls of the part it was in; a rerun calls only what is pending."""
+    ``commit="range"``: rows are called and committed in ``ranges`` parts by a hash of the id, by Spark's
+    writer into any store it writes; a job that dies loses at most the calls of the part it was in.
+    ``commit="task"``: one job whose tasks publish each batch of results when it is made
+    (``sources.task_commit``), into a store that pyarrow opens too; what was published is never called
+    again. Either way a rerun calls only what is pending."""
     spark = requests.sparkSession
-    part = F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(ranges))
-    for r in range(ranges):
-        todo = requests.where(part == r)
+
+    def pending(todo: DataFrame) -> DataFrame:
         done = _stored(spark, out_path)
-        if done is not None:
-            todo = todo.join(done.where(F.col("status").isin(*FINAL)).select(F.col("id").alias(id_col)), id_col, "left_anti")
-        generate_batch(todo, factory, id_col, messages, **kw).write.mode("append").parquet(out_path)
+        if done is None:
+            return todo
+        return todo.join(done.where(F.col("status").isin(*FINAL)).select(F.col("id").alias(id_col)).distinct(), id_col, "left_anti")
+
+    if commit == "task":
+        from parlance.sources.task_commit import register
+        res = generate_batch(pending(requests), factory, id_col, messages, **kw)
+        res.write.format(register(spark)).mode("append").save(out_path)
+    elif commit == "range":
+        part = F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(ranges))
+        for r in range(ranges):
+            generate_batch(pending(requests.where(part == r)), factory, id_col, messages, **kw).write.mode("append").parquet(out_path)
+    else:
+        raise ValueError(f"unknown commit {commit!r}")
     stored = _stored(spark, out_path)
+    if stored is None:  # nothing to publish, nothing stored before
+        return spark.createDataFrame([], RESULT_SCHEMA)
     order = F.struct((F.col("status") != "ok").alias("a"), (~F.col("status").isin(*FINAL)).alias("b"), "attempts")
     return stored.groupBy("id").agg(F.min_by(F.struct(*[c for c in stored.columns if c != "id"]), order).alias("r")).select("id", "r.*")
 

@@ -117,6 +117,25 @@ def hashed_ids(tokens, vocab_size: int) -> Column:
          + FIRST_FREE_ID + 1).cast("int")))
 
 
+#: Most frequent tokens that are looked up without a shuffle.
+HOT_TOKENS = 4096
+
+
+def look_up(df: DataFrame, table: DataFrame, by: str, hot: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """``df`` left-joined to a vocabulary's ``token, id`` on ``by``, in two parts that together hold every row.
+
+    Ids go by falling frequency, so the reserved ones and the next ``hot`` hold most occurrences, a
+    marker that stands in every row included. That table is at most ``hot`` rows and a few long and is
+    broadcast behind that bound; its tokens never meet in a shuffle. What it does not hold, the long
+    tail without a heavy hitter, is joined to the rest of the vocabulary as Spark sees fit."""
+    other = "id" if by == "token" else "token"
+    first = F.col("id") <= FIRST_FREE_ID + (HOT_TOKENS if hot is None else hot)
+    near = df.join(F.broadcast(table.where(first).select("token", "id")), by, "left")
+    tail = near.where(F.col(other).isNull() & F.col(by).isNotNull()).drop(other)
+    return (near.where(F.col(other).isNotNull() | F.col(by).isNull()),
+            tail.join(table.where(~first).select("token", "id"), by, "left"))
+
+
 def encode(df: DataFrame, key: list[str], tokens: str, vocab: DataFrame,
            max_len: int | None = None, out: str = "ids", carry: list[str] | None = None) -> DataFrame:
     """TOK-1 ids: ``tokens`` (cut on the right at ``max_len``) -> vocabulary ids; unknown
@@ -133,12 +152,13 @@ def encode(df: DataFrame, key: list[str], tokens: str, vocab: DataFrame,
     if carry is not None:
         # outer explode: a row without tokens keeps one null row (no inferred size filter either)
         ex = df.select(*key, *carry, F.posexplode_outer(toks).alias("_pos", "token"))
-        j = ex.join(vocab.select("token", "id"), "token", "left")
+        near, tail = look_up(ex, vocab, "token")
+        j = near.unionByName(tail)
         per_row = j.groupBy(*key, *carry).agg(
             F.array_sort(F.collect_list(F.when(F.col("_pos").isNotNull(), vid))).alias("_ids"))
         return per_row.select(*key, *carry, F.col("_ids.id").alias(out))
-    ex = explode_rows(df, key, toks, "token", "_pos")
-    j = ex.join(vocab.select("token", "id"), "token", "left")
+    near, tail = look_up(explode_rows(df, key, toks, "token", "_pos"), vocab, "token")
+    j = near.unionByName(tail)
     per_row = j.groupBy(*key).agg(F.array_sort(F.collect_list(vid)).alias("_ids"))
     res = df.join(per_row, key, "left")
     return res.withColumn(out, F.coalesce(F.col("_ids.id"),
@@ -194,12 +214,13 @@ def decode(df: DataFrame, key: list[str], ids: str, vocab: DataFrame, out: str =
         keep = F.col("_pos").isNotNull()
         if skip_special:
             keep = keep & (F.col("id") >= len(RESERVED_TOKENS))
-        j = ex.join(v, "id", "left")
+        near, tail = look_up(ex, v, "id")
+        j = near.unionByName(tail)
         per_row = j.groupBy(*key, *carry).agg(
             F.array_sort(F.collect_list(F.when(keep, F.struct("_pos", "token")))).alias("_t"))
         return per_row.select(*key, *carry, F.array_join(F.col("_t.token"), " ").alias(out))
-    ex = explode_rows(df, key, ids, "id", "_pos")
-    j = ex.join(v, "id", "left")
+    near, tail = look_up(explode_rows(df, key, ids, "id", "_pos"), v, "id")
+    j = near.unionByName(tail)
     if skip_special:
         j = j.filter(F.col("id") >= len(RESERVED_TOKENS))
     per_row = j.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("_pos", "token"))).alias("_t"))

@@ -14,6 +14,7 @@ from parlance.plans.rank import rank_index
 from parlance.plans.registry import query
 from parlance.plans.sqltext import strip
 from parlance.sources.io import materialize, scratch_path
+from parlance.sources.json_array import can_open
 
 NO_WAIT = (0.0, 0.0)
 SETTINGS = {"temperature": 0.4, "do_sample": True, "max_new_tokens": 1024, "top_k": 40, "top_p": 0.85,
@@ -91,11 +92,12 @@ def q_flatten_response(spark, sf):
 @query("generator_interface", f"WITH {GEN_CTES} SELECT id, status, attempts, 'mine-' || (id % 3) AS model, content FROM flat")
 def q_generator_interface(spark, sf):
     """UDF-3: a user's generator factory, with each request's own parameters (PRJ-12 -> INF-1) and
-    four calls at a time in a task; results are committed in ranges, and a rerun into the same
-    folder would call only rows without one."""
+    four calls at a time in a task; results are published as tasks make them (in ranges where the
+    store is open to Spark only), and a rerun into the same folder would call only rows without one."""
     own = F.to_json(F.struct(F.concat(F.lit("mine-"), F.pmod("id", F.lit(3)).cast("string")).alias("model")))
     req = requests(spark, sf, inputs.record_index(spark, sf).table)
-    res = G.generate_resumable(req.withColumn("own", own), ReverseWords(), scratch_path(spark, "generated"), ranges=4,
+    out = scratch_path(spark, "generated")
+    res = G.generate_resumable(req.withColumn("own", own), ReverseWords(), out, commit="task" if can_open(out) else "range",
                                backoff=NO_WAIT, params_col="own", concurrency=4)
     return G.flatten_response(res).select("id", "status", "attempts", "model", "content")
 

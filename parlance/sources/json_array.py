@@ -33,7 +33,8 @@ _REST = re.compile(rb'(?:[^"\\]|\\.)*"', re.DOTALL)
 _TOKEN = re.compile(rb'"(?:[^"\\]|\\.)*"|[\[\]{}]', re.DOTALL)
 
 
-def _open(path: str):
+def open_store(path: str):
+    """The file system of a path or address, and the path inside it."""
     if "://" in path or path.startswith("file:"):
         store, inner = fs.FileSystem.from_uri(path)
     else:
@@ -41,10 +42,20 @@ def _open(path: str):
     return store, inner
 
 
+def can_open(path: str) -> bool:
+    """Whether pyarrow knows the store of a path (it need not exist)."""
+    try:
+        store, inner = open_store(path)
+        store.get_file_info(inner)
+    except (ValueError, OSError):
+        return False
+    return True
+
+
 def splittable(path: str) -> list[tuple[str, int]] | None:
     """``(path, bytes)`` of the files under ``path``; None where they are compressed or can't be opened here."""
     try:
-        store, inner = _open(path)
+        store, inner = open_store(path)
         info = store.get_file_info(inner)
     except (ValueError, OSError):
         return None
@@ -169,7 +180,7 @@ def read_records(spark: SparkSession, files: list[tuple[str, int]], range_bytes:
         for pdf in batches:
             out = []
             for i, path, a, b in zip(pdf["i"], pdf["path"], pdf["start"], pdf["stop"]):
-                store, inner = _open(path)
+                store, inner = open_store(path)
                 with store.open_input_file(inner) as f:
                     f.seek(a)
                     raw = f.read(b - a)
@@ -190,7 +201,7 @@ def read_records(spark: SparkSession, files: list[tuple[str, int]], range_bytes:
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for r in pdf.itertuples(index=False):
-                store, inner = _open(r.path)
+                store, inner = open_store(r.path)
                 with store.open_input_file(inner) as f:
                     held, n = [], 0
                     for t in records(f, r.size, r.start, r.stop, r.state, r.depth):

@@ -89,6 +89,46 @@ def test_pending_rows_only_are_called_and_exhausted_ones_again(spark, tmp_dir):
     assert again.count() == 4 and calls.value == 6  # reading the table calls nothing
 
 
+class Logged:
+    """Factory that leaves a file for every call; its process dies at the call of ``dies``."""
+
+    def __init__(self, log, dies=None):
+        self.log, self.dies = log, dies
+
+    def __call__(self):
+        import os
+        import uuid
+
+        def gen(messages, key=None, attempt=1, **kw):
+            open(f"{self.log}/{key}-{uuid.uuid4().hex}", "w").close()
+            if key == self.dies:
+                os._exit(1)
+            return {"id": f"r{key}", "model": "m", "content": f"c{key}", "finish_reason": "stop", "reasoning_content": None,
+                    "usage": {"total_tokens": 1, "prompt_tokens": 1, "completion_tokens": 0}}
+        return gen
+
+
+def test_a_killed_run_repeats_no_published_call(spark, tmp_dir):
+    import collections
+    import os
+    import pytest
+    for d in ("log", "again"):
+        os.mkdir(f"{tmp_dir}/{d}")
+    out = f"{tmp_dir}/gen"
+    reqs = spark.range(200).selectExpr("id", "array(named_struct('role', 'user', 'content', cast(id as string))) as messages")
+    calls = lambda d: collections.Counter(int(f.split("-")[0]) for f in os.listdir(f"{tmp_dir}/{d}"))
+    with pytest.raises(Exception):
+        G.generate_resumable(reqs.coalesce(1), Logged(f"{tmp_dir}/log", 150), out, commit="task", partitions=40)
+    stored = {r.id for r in spark.read.schema(G.RESULT_SCHEMA).parquet(out).collect()} if os.path.isdir(out) else set()
+    assert stored and 150 not in stored and stored <= set(calls("log"))
+    got = G.generate_resumable(reqs, Logged(f"{tmp_dir}/again"), out, commit="task", partitions=4)
+    assert {r.id: r.status for r in got.collect()} == dict.fromkeys(range(200), "ok")
+    assert set(calls("again")) == set(range(200)) - stored and max(calls("again").values()) == 1
+    assert G.generate_resumable(reqs.limit(0), Logged(f"{tmp_dir}/again"), f"{tmp_dir}/none", commit="task").count() == 0
+    with pytest.raises(ValueError):
+        G.generate_resumable(reqs, Logged("x"), out, commit="job")
+
+
 def test_own_parameters_and_concurrency(spark):
     calls = spark.sparkContext.accumulator(0)
     reqs = _requests(spark).selectExpr("*", "concat('{\"model\":\"m', id, '\"}') as own")

@@ -62,3 +62,25 @@ def test_label_mask_length_property(spark, ids, m):
     assert len(lab) == len(ids)
     k = min(m, len(ids))
     assert lab == [-100] * k + ids[k:]
+
+
+def test_markers_and_frequent_tokens_do_not_meet_in_a_shuffle(spark):
+    toks = [(i, ["</s>"] * 30 + ["the"] * 10 + [f"t{i}", f"u{i % 7}"]) for i in range(60)] + [(60, []), (61, ["never seen"])]
+    df = spark.createDataFrame(toks, "k long, toks array<string>")
+    vocab = K.build_vocabulary(df.where("k < 61"), "toks")
+    ex = df.select("k", F.posexplode_outer("toks").alias("_pos", "token"))
+    near, tail = K.look_up(ex, vocab, "token", hot=8)  # the, u0..u6
+    assert {r.token for r in tail.select("token").distinct().collect()} == {f"t{i}" for i in range(60)} | {"never seen"}
+    assert near.count() + tail.count() == 60 * 42 + 2
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning(token" not in plan
+    ids = {r.token: r.id for r in vocab.collect()}
+    for hot in (0, 8, 4096):
+        K.HOT_TOKENS, old = hot, K.HOT_TOKENS
+        try:
+            got = {r.k: r.ids for r in K.encode(df, ["k"], "toks", vocab, carry=[]).collect()}
+            assert got == {k: [ids.get(t, K.UNK_ID) for t in x] for k, x in toks}
+            back = {r.k: r.text for r in K.decode(K.encode(df, ["k"], "toks", vocab, carry=[]), ["k"], "ids", vocab, carry=[]).collect()}
+            assert back[3] == " ".join(["the"] * 10 + ["t3", "u3"]) and back[60] == back[61] == ""
+        finally:
+            K.HOT_TOKENS = old
