@@ -94,19 +94,23 @@ class KeyedState:
         """The rows, with their ``bucket``; none before the first merge."""
         return self._stored(self.table, f"{self.columns}, bucket int")
 
-    def ready(self) -> int:
-        """Number of the last batch whose buckets were written whole; -1: none."""
-        return self._stored(self.marker, "batch bigint").agg(F.coalesce(F.max("batch"), F.lit(-1))).first()[0]
-
-    def merge(self, changes: DataFrame, batch: int) -> list[int]:
-        """Fold ``changes`` in. Returns the buckets that were rewritten (at most ``buckets``)."""
+    def ready(self) -> tuple[str, int] | None:
+        """Source and number of the last batch whose buckets were written whole."""
+        last = self._stored(self.marker, "source string, batch bigint").first()
+        return None if last is None else tuple(last)
+
+    def merge(self, changes: DataFrame, batch: int, source: str = "") -> list[int]:
+        """Fold ``changes`` in. ``source`` and ``batch`` tell a replay from another batch: batches are
+        numbered within a source, such as a stream with its checkpoint. Returns the buckets that were
+        rewritten (at most ``buckets``)."""
         schema = f"{self.columns}, bucket int"
-        if self.ready() != batch:
+        if self.ready() != (source, batch):
             new = changes.withColumn("bucket", F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int"))
             touched = [r[0] for r in new.select("bucket").distinct().collect()]
             old = self.read().where(F.col("bucket").isin(touched)).select(new.columns)
             self.fold(old.unionAll(new)).repartition("bucket").write.mode("overwrite").parquet(self.next)
-            self.spark.range(1).select(F.lit(batch).cast("long").alias("batch")).coalesce(1).write.mode("overwrite").parquet(self.marker)
+            mark = self.spark.range(1).select(F.lit(source).alias("source"), F.lit(batch).cast("long").alias("batch"))
+            mark.coalesce(1).write.mode("overwrite").parquet(self.marker)
         rows = self.spark.read.schema(schema).parquet(self.next)
         touched = [r[0] for r in rows.select("bucket").distinct().collect()]
         (rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
@@ -135,8 +139,10 @@ def stream_config_upsert(spark: SparkSession, source_dir: str, schema: str, stat
             F.max_by("p", "last_seq").alias("p")).select(group, kind, "name", "first_seq", "last_seq", "p", "bucket")
 
     def fold(batch: DataFrame, batch_id: int) -> None:
-        held = KeyedState(batch.sparkSession, state_dir, columns, group, latest, buckets)
-        held.merge(config_changes(batch, group, seq, kind, agent, payload), batch_id)
+        sp = batch.sparkSession
+        stream = sp.sparkContext.getLocalProperty("sql.streaming.queryId") or checkpoint  # kept with the checkpoint
+        KeyedState(sp, state_dir, columns, group, latest, buckets).merge(
+            config_changes(batch, group, seq, kind, agent, payload), batch_id, stream)
 
     src = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
            .parquet(source_dir))

@@ -67,7 +67,7 @@ def files(path):
 
 
 def test_a_merge_rewrites_only_touched_buckets(spark, state):
-    assert state.read().count() == 0 and state.ready() == -1
+    assert state.read().count() == 0 and state.ready() is None
     state.merge(change(spark, [(i, "a", i) for i in range(100)]), 0)
     before = files(state.table)
     touched = state.merge(change(spark, [(7, "a", 500), (7, "b", 1), (1000, None, 3)]), 1)
@@ -92,3 +92,23 @@ def test_a_replayed_batch_mends_a_half_replaced_table(spark, state):
     assert rows(state.read(), "k", "name", "v") == want
     state.merge(change(spark, []), 2)
     assert rows(state.read(), "k", "name", "v") == want
+
+
+def test_a_new_stream_into_old_state_is_no_replay(spark, state):
+    state.merge(change(spark, [(1, "a", 1)]), 0, "first")
+    state.merge(change(spark, [(1, "a", 5), (2, "b", 1)]), 0, "second")
+    assert rows(state.read(), "k", "name", "v") == [(1, "a", 5), (2, "b", 1)]
+
+
+def test_config_stream_goes_on_and_starts_anew(spark, tmp_dir):
+    ddl = "g long, seq long, kind string, agent string, d string"
+    put = lambda name, data: spark.createDataFrame(data, ddl).coalesce(1).write.parquet(f"{tmp_dir}/{name}")
+    run = lambda src, ck: rows(jobs.stream_config_upsert(
+        spark, f"{tmp_dir}/{src}/*", ddl, f"{tmp_dir}/state", f"{tmp_dir}/{ck}", "g", "seq", "kind", "agent", ["d"], buckets=4))
+    put("a/1", [(1, 1, "role_config", "x", "x1"), (1, 2, "background", None, "bg")])
+    assert run("a", "ck") == [(1, 0, "x", "x1", "bg")]
+    put("a/2", [(1, 3, "role_config", "y", "y3"), (1, 4, "role_config", "x", "x4"), (2, 1, "other", "z", "-")])
+    want = [(1, 0, "x", "x4", "bg"), (1, 1, "y", "y3", "bg")]
+    assert run("a", "ck") == want
+    put("b/1", [(1, 5, "role_config", "y", "y5")])
+    assert run("b", "ck2") == [want[0], (1, 1, "y", "y5", "bg")]
