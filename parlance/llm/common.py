@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import struct
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -62,6 +63,9 @@ _WIDE_SPACE = re.compile("[" + "".join(map(chr, (
 _SPACED = re.compile(rb" ?[^\s]+|\s+(?!\S)|\s+")
 
 
+_LETTERS = re.compile(rb" ?[A-Za-z]+")
+#: What stands for a space in byte-level vocabularies (fixed value).
+_SPACE_SIGN = "\u0120"
 #: ASCII symbols at the end of a chunk.
 _TAIL = re.compile(rb"[!-/:-@\[-`{-~]+$")
 
@@ -73,11 +77,12 @@ class ChunkEncoder:
     (``words``: runs of non-space; otherwise runs with the one space before them), and chunks
     are encoded once as long as the worker remembers them. It remembers the chunks met since the
     last two times that ``limit`` new ones had come in, so rare chunks pass and memory stays
-    bounded. Texts in which the chunk rule may not hold (a special token's string, wide white
+    bounded. A new chunk of ASCII letters is one word to the tokenizer's pre-tokenizer, so its model
+    is asked directly; others go through the whole tokenizer, many at a time. Texts in which the chunk rule may not hold (a special token's string, wide white
     space) are encoded whole.
     """
 
-    def __init__(self, path: str, words: bool, limit: int = 150_000):
+    def __init__(self, path: str, words: bool, limit: int = 400_000):
         import os
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
@@ -90,6 +95,17 @@ class ChunkEncoder:
         self.between = b" \x01 " if words else b"\n"
         self.mark_id, = self.tok.encode(self.mark.decode(), add_special_tokens=False).ids
         self.special = [a.content.encode() for a in self.tok.get_added_tokens_decoder().values()]
+        self.model = self.tok.model
+        probe = ["hello", "zqxjk"] if words else ["hello", " hello", " Zqxjk", "ZQ"]
+        self.direct = all(self._word(w.encode()) == self._pack([w])[0] for w in probe)
+
+    def _word(self, chunk: bytes) -> bytes:
+        """Ids of ASCII letters, with one space before them or not, by the model alone."""
+        text = chunk.decode()
+        if text[0] == " ":
+            text = _SPACE_SIGN + text[1:]
+        ids = [t.id for t in self.model.tokenize(text)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _pack(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes()
@@ -120,6 +136,11 @@ class ChunkEncoder:
                     new[c] = v
                 else:
                     todo.append(c)
+        if self.direct and todo:
+            letters, word = _LETTERS.fullmatch, self._word
+            plain = [c for c in todo if letters(c)]
+            new.update(zip(plain, map(word, plain)))
+            todo = [c for c in todo if c not in new]
         alone = [c for c in todo if self.mark in c or c.isspace()]
         new.update(zip(alone, self._pack([c.decode() for c in alone])))
         if alone:
