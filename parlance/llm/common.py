@@ -64,6 +64,7 @@ _SPACED = re.compile(rb" ?[^\s]+|\s+(?!\S)|\s+")
 
 
 _LETTERS = re.compile(rb" ?[A-Za-z]+")
+_PACKED = [struct.Struct(f"<{n}I").pack for n in range(32)]
 #: What stands for a space in byte-level vocabularies (fixed value).
 _SPACE_SIGN = "\u0120"
 #: ASCII symbols at the end of a chunk.
@@ -105,7 +106,7 @@ class ChunkEncoder:
         if text[0] == " ":
             text = _SPACE_SIGN + text[1:]
         ids = [t.id for t in self.model.tokenize(text)]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return _PACKED[len(ids)](*ids) if len(ids) < len(_PACKED) else np.array(ids, "<u4").tobytes()
 
     def _pack(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes()
@@ -122,10 +123,16 @@ class ChunkEncoder:
     def _learn(self, chunks: set[bytes]) -> None:
         """Put the chunks' ids into ``new``, from ``old`` or by the tokenizer, many at a time."""
         new, old = self.new, self.old
+        letters = _LETTERS.fullmatch if self.direct else lambda c: None
         made, need = {}, set()
         for c in chunks:
             if (v := old.get(c)) is not None:
                 new[c] = v
+            elif letters(c):
+                low = c.lower() if self.words else c
+                if (v := new.get(low) or old.get(low)) is None:
+                    v = self._word(low)
+                new[c] = new[low] = v
             else:
                 made[c] = p = self._parts(c)
                 need.update(p)
@@ -136,10 +143,9 @@ class ChunkEncoder:
                     new[c] = v
                 else:
                     todo.append(c)
-        if self.direct and todo:
-            letters, word = _LETTERS.fullmatch, self._word
+        if self.direct:
             plain = [c for c in todo if letters(c)]
-            new.update(zip(plain, map(word, plain)))
+            new.update(zip(plain, map(self._word, plain)))
             todo = [c for c in todo if c not in new]
         alone = [c for c in todo if self.mark in c or c.isspace()]
         new.update(zip(alone, self._pack([c.decode() for c in alone])))
@@ -182,7 +188,7 @@ class ChunkEncoder:
                 whole.append(i)
                 raw = b""
             cut.append(raw.split() if self.words else _SPACED.findall(raw))
-        if missing := {c for chunks in cut for c in chunks if c not in known}:
+        if missing := set().union(*cut).difference(known):
             self._learn(missing)
         get = known.__getitem__
         out = [b"".join(map(get, chunks)) for chunks in cut]
