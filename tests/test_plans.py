@@ -123,8 +123,9 @@ def test_capped_documents_are_cut_before_collecting(spark):
 
 
 def test_flagship_tokenizes_once(spark, entry_module):
-    """The vocabulary is a written table; the main job explodes the tokens once (no join back
-    of the ids to the tokenized rows, and the seeded order is taken on the examples)."""
+    """The vocabulary and the tokens are written tables: the main plan splits no text. It explodes the
+    stored tokens for the frequent ones and for the rest, and ranks keys only."""
     df = entry_module.queries()["sft_batches"](spark, SF_SMALL)
     plan = _plan(df)
-    assert plan.count("Generate") == 1
+    assert "split(" not in plan and "regexp_replace" not in plan and "instruction" not in plan
+    assert plan.count("Generate") == 2
