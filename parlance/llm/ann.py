@@ -5,8 +5,11 @@ and is improved in rounds of Spark joins: a vector's neighbours (forward and a s
 ones) meet in the vector's block, are compared with one another, and what is nearer than a
 neighbour's worst is sent to that neighbour. A block holds ``BLOCK`` vectors and receives each
 neighbour's vector once, so no task grows with the input. Search walks the graph from each
-query's own neighbours: every step joins the nearest unvisited nodes of all queries to their
-neighbour lists, and the block of a query scores them.
+query's own neighbours and from the best of the ``HUBS`` longest vectors, which all queries are
+compared with: a long vector may have a large product with a query at any angle, and no cosine list
+leads to it. Every step joins unvisited nodes of all queries, half of them the best by product and
+half by cosine, to their neighbour lists, and the block of a query scores them. A query remembers
+the ``POOL`` best by either measure.
 
 Building uses unit-length vectors in eight bits (nearness of the graph: cosine); the scores
 returned are inner products of the original vectors in double precision.
@@ -31,8 +34,11 @@ from parlance.llm.common import materialize
 DEGREE, ROUNDS, TREES, LEAF, BLOCK = 48, 4, 6, 300, 2000
 #: Per node and round: forward and reverse neighbours that are compared with one another.
 SAMPLE = 32
-#: Best pairs that one meeting sends to one neighbour.
-SEND = 6
+#: Best pairs that one meeting sends to one neighbour, and that a block sends to one vector.
+SEND, SEND_BLOCK = 6, 12
+#: Longest vectors that every query starts from, and nodes a query remembers by each measure. The
+#: driver holds ``HUBS`` vectors in bytes, whatever the table's size.
+HUBS, POOL = 4096, 256
 
 
 def meet(own: np.ndarray, fresh: np.ndarray, vec: np.ndarray, worst: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -64,7 +70,7 @@ def best_of(a: np.ndarray, b: np.ndarray, s: np.ndarray, k: int) -> tuple[np.nda
     """The ``k`` largest distinct ``b`` of each ``a``, sorted by ``a`` and falling score."""
     o = np.lexsort((b, -s, a))
     a, b, s = a[o], b[o], s[o]
-    _, first = np.unique(np.stack([a, b]), axis=1, return_index=True) if len(a) else (None, np.zeros(0, np.int64))
+    _, first = np.unique(a.astype(np.int64) * (int(b.max(initial=0)) + 1) + b, return_index=True)
     keep = np.sort(first)
     a, b, s = a[keep], b[keep], s[keep]
     start = np.flatnonzero(np.r_[True, a[1:] != a[:-1]]) if len(a) else np.zeros(0, np.int64)
@@ -90,7 +96,8 @@ def _eight_bits(vectors: DataFrame) -> DataFrame:
             if len(pdf):
                 m = np.stack(pdf["v"].to_numpy()).astype(np.float64)
                 big = np.abs(m).max(1, keepdims=True)
-                norm = big[:, 0] * np.linalg.norm(m / big, axis=1)
+                with np.errstate(over="ignore"):
+                    norm = np.minimum(big[:, 0] * np.linalg.norm(m / big, axis=1), np.finfo(np.float64).max)
                 q = np.round(m / big * 127).astype(np.int8)
                 yield pd.DataFrame({"id": pdf["id"], "q": [x.tobytes() for x in q], "norm": norm})
     return vectors.mapInPandas(run, "id long, q binary, norm double")
@@ -205,7 +212,7 @@ def _round(graph: DataFrame, eight: DataFrame, blocks: int, seed: int) -> DataFr
         own, fresh = e["id"].to_numpy(), e["fresh"].to_numpy().astype(bool)
         start = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
         a, b, s = meet(np.split(at, start[1:]), np.split(fresh, start[1:]), m, vec["worst"].to_numpy())
-        a, b, s = best_of(a, b, s, DEGREE // 2)
+        a, b, s = best_of(a, b, s, SEND_BLOCK)
         if not len(a):
             return _NO_LISTS
         cut = np.flatnonzero(a[1:] != a[:-1]) + 1
@@ -229,52 +236,95 @@ def neighbour_graph(eight: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     return graph
 
 
-STATE = "id long, nb array<long>, sc array<float>, done array<boolean>"
+STATE = "id long, nb array<long>, sc array<float>, p array<double>, done array<boolean>"
+FIELDS = ["id", "nb", "sc", "p", "done"]
 
 
-def _step(state: DataFrame, graph: DataFrame, eight: DataFrame, blocks: int, width: int) -> DataFrame:
-    """Every query visits its ``width`` nearest unvisited nodes."""
-    def front(nb, sc, done) -> np.ndarray:
-        open_ = np.flatnonzero(~np.asarray(done, bool))
-        return open_[np.argsort(-np.asarray(sc)[open_], kind="stable")[:width]]
+def _pool(nb: np.ndarray, sc: np.ndarray, p: np.ndarray, done: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The ``POOL`` best by product and those by cosine, ties to the smaller id."""
+    if len(nb) > POOL:
+        keep = np.unique(np.r_[np.lexsort((nb, -p))[:POOL], np.lexsort((nb, -sc))[:POOL]])
+        nb, sc, p, done = nb[keep], sc[keep], p[keep], done[keep]
+    return nb, sc, p, done
+
+
+def _front(nb, sc, p, done, width: int) -> np.ndarray:
+    """Places of the unvisited nodes to visit: half the best by product, half by cosine."""
+    open_ = np.flatnonzero(~np.asarray(done, bool))
+    n, c, q = (np.asarray(x)[open_] for x in (nb, sc, p))
+    return np.unique(np.r_[open_[np.lexsort((n, -q))[:width // 2]], open_[np.lexsort((n, -c))[:width - width // 2]]])
 
+
+def _starts(graph: DataFrame, eight: DataFrame, queries: DataFrame) -> DataFrame:
+    """``STATE`` of every query: its own neighbours and its best hubs."""
+    lens = eight.select(F.col("id").alias("b"), "norm")
+    own = graph.join(queries, "id").select("id", F.explode(F.arrays_zip("nb", "sc")).alias("x"))
+    own = own.select("id", F.col("x.nb").alias("b"), "x.sc").join(lens, "b").groupBy("id").agg(
+        F.collect_list(F.struct("b", "sc", "norm")).alias("l")).select(
+        "id", F.col("l.b").alias("nb"), F.col("l.sc").alias("sc"), F.col("l.norm").alias("norm"))
+    hubs = eight.orderBy(F.desc("norm"), "id").limit(HUBS).collect()  # bounded by HUBS
+    if not hubs:
+        return eight.sparkSession.createDataFrame([], STATE)
+    hub, hub_norm, hub_q = np.array([r["id"] for r in hubs]), np.array([r["norm"] for r in hubs]), [bytes(r["q"]) for r in hubs]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        h = _matrix(hub_q)
+        for pdf in batches:
+            out = []
+            if len(pdf):
+                cos = _matrix(pdf["q"]) @ h.T
+                for i, nb, sc, norm, c in zip(pdf["id"].tolist(), pdf["nb"], pdf["sc"], pdf["norm"], cos):
+                    nb, sc, norm = (np.zeros(0, t) if x is None else np.asarray(x, t)
+                                   for x, t in ((nb, np.int64), (sc, np.float32), (norm, np.float64)))
+                    new = (hub != i) & ~np.isin(hub, nb)
+                    nb, sc, p = np.r_[nb, hub[new]], np.r_[sc, c[new]], np.r_[sc * norm, (c * hub_norm)[new]]
+                    out.append((i, *_pool(nb, sc, p, np.zeros(len(nb), bool))))
+            yield pd.DataFrame(out, columns=FIELDS)
+    asked = eight.join(queries, "id").select("id", "q").join(own, "id", "left")
+    return asked.select("id", "q", "nb", "sc", "norm").mapInPandas(run, STATE)
+
+
+def _step(state: DataFrame, graph: DataFrame, eight: DataFrame, blocks: int, width: int) -> DataFrame:
+    """Every query visits ``width`` unvisited nodes."""
     def visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for i, nb, sc, done in zip(pdf["id"], pdf["nb"], pdf["sc"], pdf["done"]):
-                yield pd.DataFrame({"id": i, "node": np.asarray(nb)[front(nb, sc, done)]})
+            own, node = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for i, nb, sc, p, done in zip(*[pdf[c] for c in FIELDS]):
+                go = _front(nb, sc, p, done, width)
+                own.append(np.full(len(go), i, np.int64))
+                node.append(np.asarray(nb, np.int64)[go])
+            yield pd.DataFrame({"id": np.concatenate(own), "node": np.concatenate(node)})
     asked = state.mapInPandas(visits, "id long, node long").select(_block("id", blocks).alias("blk"), "node").distinct()
     lists = materialize(asked.join(graph.select(F.col("id").alias("node"), "nb"), "node"), "visited")
     blk = _block("id", blocks).alias("blk")
     want = lists.select("blk", F.explode("nb").alias("id")).unionAll(state.select(blk, "id")).distinct()
     vecs = want.join(eight, "id")
-    none = {"nb": F.lit(None).cast("array<long>"), "sc": F.lit(None).cast("array<float>"), "done": F.lit(None).cast("array<boolean>"),
-            "q": F.lit(None).cast("binary"), "norm": F.lit(None).cast("double")}
-    cols = ["blk", "kind", "id", "nb", "sc", "done", "q", "norm"]
-    parts = [state.select(blk, F.lit(0).alias("kind"), "id", "nb", "sc", "done"),
+    kinds = {"blk": "int", "kind": "int", "id": "long", "nb": "array<long>", "sc": "array<float>", "p": "array<double>",
+             "done": "array<boolean>", "q": "binary", "norm": "double"}
+    parts = [state.select(blk, F.lit(0).alias("kind"), *FIELDS),
              lists.select("blk", F.lit(1).alias("kind"), F.col("node").alias("id"), "nb"),
              vecs.select("blk", F.lit(2).alias("kind"), "id", "q", "norm")]
     rows = None
-    for p in parts:
-        p = p.select(*[F.col(c) if c in p.columns else none[c].alias(c) for c in cols])
-        rows = p if rows is None else rows.unionByName(p)
+    for part in parts:
+        part = part.select(*[F.col(c) if c in part.columns else F.lit(None).cast(t).alias(c) for c, t in kinds.items()])
+        rows = part if rows is None else rows.unionByName(part)
 
     def block(pdf: pd.DataFrame) -> pd.DataFrame:
         kind = pdf["kind"].to_numpy()
-        vec = pdf[kind == 2].sort_values("id")
-        ids, m, norm = vec["id"].to_numpy(), _matrix(vec["q"]), vec["norm"].to_numpy().astype(np.float32)
+        vec = pdf.loc[kind == 2, ["id", "q", "norm"]].sort_values("id")
+        ids, m, norm = vec["id"].to_numpy(), _matrix(vec["q"]), vec["norm"].to_numpy()
         nbs = dict(zip(pdf["id"].to_numpy()[kind == 1], pdf["nb"].to_numpy()[kind == 1]))
         out = []
-        for i, nb, sc, done in pdf[kind == 0][["id", "nb", "sc", "done"]].itertuples(index=False):
-            nb, sc, done = np.asarray(nb), np.asarray(sc, np.float32), np.array(done, bool)
-            go = front(nb, sc, done)
+        for i, nb, sc, p, done in pdf.loc[kind == 0, FIELDS].itertuples(index=False):
+            nb, sc, p, done = np.asarray(nb), np.asarray(sc, np.float32), np.asarray(p, np.float64), np.array(done, bool)
+            go = _front(nb, sc, p, done, width)
             done[go] = True
             new = np.unique(np.concatenate([nbs[x] for x in nb[go].tolist() if x in nbs] or [nb[:0]]))
             new = new[~np.isin(new, nb) & (new != i)]
             at = np.searchsorted(ids, new)
-            score = (m[at] @ m[np.searchsorted(ids, i)]) * norm[at]
-            nb, sc, done = np.r_[nb, new], np.r_[sc, score], np.r_[done, np.zeros(len(new), bool)]
-            out.append((i, nb, sc, done))
-        return pd.DataFrame(out, columns=["id", "nb", "sc", "done"])
+            cos = m[at] @ m[np.searchsorted(ids, i)]
+            out.append((i, *_pool(np.r_[nb, new], np.r_[sc, cos], np.r_[p, cos * norm[at]], np.r_[done, np.zeros(len(new), bool)])))
+        return pd.DataFrame(out, columns=FIELDS)
     return materialize(rows.groupBy("blk").applyInPandas(block, STATE), "search")
 
 
@@ -284,16 +334,11 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, steps: int = 8,
     vectors = materialize(vectors, "vectors")
     eight = materialize(_eight_bits(vectors), "eight-bits")
     graph = neighbour_graph(eight)
-    norms = eight.select(F.col("id").alias("b"), "norm")
-    own = graph.join(queries.select("id").distinct(), "id").select("id", F.explode(F.arrays_zip("nb", "sc")).alias("x"))
-    own = own.select("id", F.col("x.nb").alias("b"), "x.sc").join(norms, "b")  # cosines become products
-    state = materialize(own.groupBy("id").agg(F.collect_list(F.struct("b", (F.col("sc") * F.col("norm")).cast("float").alias("p"))).alias("l"))
-                        .select("id", F.col("l.b").alias("nb"), F.col("l.p").alias("sc"),
-                                F.transform("l", lambda x: F.lit(False)).alias("done")), "search")
+    state = materialize(_starts(graph, eight, queries.select("id").distinct()), "search")
     blocks = max(1, -(-state.count() // (BLOCK // 4)))
     for _ in range(steps):
         state = _step(state, graph, eight, blocks, width)
-    best = F.slice(F.sort_array(F.transform(F.arrays_zip("sc", "nb"), lambda x: F.struct(x["sc"], x["nb"])), asc=False), 1, 3 * k)
+    best = F.slice(F.sort_array(F.transform(F.arrays_zip("p", "nb"), lambda x: F.struct(x["p"], x["nb"])), asc=False), 1, 3 * k)
     pairs = state.select(F.col("id").alias("query_id"), F.explode(best).alias("x")).select("query_id", F.col("x.nb").alias("vec_id"))
     a = vectors.select(F.col("id").alias("query_id"), F.col("v").alias("va"))
     b = vectors.select(F.col("id").alias("vec_id"), F.col("v").alias("vb"))

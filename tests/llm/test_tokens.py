@@ -252,7 +252,8 @@ def test_scan_as_a_job(docs, models):
     assert same >= len(rows) - 3  # equal scores may part at an edge
 
 
-def test_nearest(llm):
+def test_nearest(llm, monkeypatch):
+    monkeypatch.setattr(ann, "HUBS", 50)  # the graph has to find the rest
     r = np.random.default_rng(1)
     v = r.standard_normal((700, 16))
     v[3] = v[5]
@@ -281,6 +282,41 @@ def test_nearest(llm):
     assert ann.search(none.where("id < 0"), none.select("id"), 20).count() == 0
 
 
+@pytest.mark.parametrize("sigma", [0.5, 1.0])
+def test_nearest_of_unequal_lengths(llm, monkeypatch, sigma):
+    """Recall at 20 with lognormal lengths; hubs are a twentieth of the vectors."""
+    monkeypatch.setattr(ann, "HUBS", 500)
+    n, r = 10_000, np.random.default_rng(4)
+    v = r.standard_normal((n, 64))
+    v *= np.exp(sigma * r.standard_normal((n, 1))) / np.linalg.norm(v, axis=1, keepdims=True)
+    t = llm.createDataFrame(list(enumerate(v.tolist())), "vec_id long, embedding array<double>")
+    vs = ann.valid_vectors(t)
+    got = ann.search(vs, vs.where("id % 20 = 0").select("id"), 20).collect()
+    assert len(got) == n // 20 * 20
+    s = v[::20] @ v.T
+    s[np.arange(n // 20), np.arange(0, n, 20)] = -np.inf
+    last = np.sort(s, axis=1)[:, -20]
+    assert np.mean([x.score >= last[x.query_id // 20] - 1e-9 for x in got]) >= 0.9
+
+
+def test_a_giant_vector_leaves_the_others_found(llm, monkeypatch):
+    monkeypatch.setattr(ann, "HUBS", 30)
+    n, r = 600, np.random.default_rng(5)
+    v = r.standard_normal((n, 16))
+    v[7] *= 1e200
+    t = llm.createDataFrame(list(enumerate(v.tolist())), "vec_id long, embedding array<double>")
+    vs = ann.valid_vectors(t)
+    got = collections.defaultdict(set)
+    for x in ann.search(vs, vs.where("id % 20 = 0").select("id"), 20).collect():
+        got[x.query_id].add(x.vec_id)
+    hit = []
+    for q, found in got.items():
+        s = v @ v[q]
+        s[q] = -np.inf
+        hit.append(len(found & set(np.lexsort((np.arange(n), -s))[:20].tolist())) / 20)
+    assert len(got) == n // 20 and np.mean(hit) >= 0.9
+
+
 def test_pipeline_stages(docs, llm, tmp_dir):
     import corpus_pipeline as cp
     rows = texts(14, 80)
