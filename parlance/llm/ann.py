@@ -249,10 +249,13 @@ def _pool(nb: np.ndarray, sc: np.ndarray, p: np.ndarray, done: np.ndarray) -> tu
 
 
 def _front(nb, sc, p, done, width: int) -> np.ndarray:
-    """Places of the unvisited nodes to visit: half the best by product, half by cosine."""
+    """Places of the unvisited nodes to visit: half the best by product, then the best by cosine of
+    those left."""
+    nb, sc, p = np.asarray(nb), np.asarray(sc), np.asarray(p)
     open_ = np.flatnonzero(~np.asarray(done, bool))
-    n, c, q = (np.asarray(x)[open_] for x in (nb, sc, p))
-    return np.unique(np.r_[open_[np.lexsort((n, -q))[:width // 2]], open_[np.lexsort((n, -c))[:width - width // 2]]])
+    first = open_[np.lexsort((nb[open_], -p[open_]))[:width // 2]]
+    rest = np.setdiff1d(open_, first)
+    return np.r_[first, rest[np.lexsort((nb[rest], -sc[rest]))[:width - len(first)]]]
 
 
 def _starts(graph: DataFrame, eight: DataFrame, queries: DataFrame) -> DataFrame:
