@@ -338,3 +338,32 @@ def test_pipeline_stages(docs, llm, tmp_dir):
             assert not {x.doc_id for x in cur.collect()} & {i for i, _ in junk}
     assert {"doc_id", "sequence_id", "offset"} <= set(cur.columns) and cur.count() > 0
     assert cp.run(llm, tmp_dir).count() == cur.count()
+
+
+def test_pipeline_of_odd_rows_and_clashing_columns(docs, llm, tmp_dir):
+    import corpus_pipeline as cp
+    clean = texts(15, 30)
+    d = docs(ODD + [(100 + i, t) for i, t in clean])
+    d.write.parquet(tmp_dir + "/documents.parquet")
+    llm.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(tmp_dir + "/labels.parquet")
+    cur = llm.read.parquet(tmp_dir + "/documents.parquet")
+    for name, stage in cp.STAGES:
+        new = stage(llm, cur, tmp_dir)
+        if name != "best_fit_packing":
+            assert new.dtypes == d.dtypes
+        new.write.parquet(f"{tmp_dir}/{name}")
+        cur = llm.read.parquet(f"{tmp_dir}/{name}")
+    places = collections.defaultdict(list)
+    for x in cur.collect():
+        places[x.sequence_id].append((x.offset, x.length))
+    for p in places.values():
+        p.sort()
+        ends = np.cumsum([n for _, n in p]).tolist()
+        assert [o for o, _ in p] == [0, *ends[:-1]] and ends[-1] <= 2048
+
+
+def test_pipeline_of_an_empty_table(docs, llm, tmp_dir):
+    import corpus_pipeline as cp
+    docs([]).write.parquet(tmp_dir + "/documents.parquet")
+    llm.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(tmp_dir + "/labels.parquet")
+    assert cp.run(llm, tmp_dir).count() == 0
