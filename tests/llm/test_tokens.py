@@ -252,6 +252,17 @@ def test_scan_as_a_job(docs, models):
     assert same >= len(rows) - 3  # equal scores may part at an edge
 
 
+def test_scan_with_clashing_columns_and_repeated_rows(docs, models):
+    from pyspark.sql import functions as F
+    rows = texts(16, 6) + [(None, None), (3, ""), (7, "a b " * 200), (7, "a b " * 200)]
+    plain = docs(rows)
+    names = ("tid", "path", "ids", "decoded", "chunk", "state", "id")
+    odd = plain.select(*[F.lit("x").alias(c) for c in names], *plain.columns)
+    want, got = (sorted((x.doc_id or -1, bytes(x.ids), bytes(x.path), x.decoded) for x in sentencepiece_scan.encode(d, models[0], chunk=200).collect())
+                 for d in (plain, odd))
+    assert got == want and len(got) == len(rows)
+
+
 def test_nearest(llm, monkeypatch):
     monkeypatch.setattr(ann, "HUBS", 50)  # the graph has to find the rest
     r = np.random.default_rng(1)
