@@ -305,3 +305,55 @@ def test_a_block_of_near_copies_is_dealt_out(docs, llm, monkeypatch):
     assert shared.groupBy("key").count().where("count > 40").count() >= 1
     got = line_dedup.report(docs([(i, t) for i, t in enumerate(lines)])).where("n_removed = 1").count()
     assert got >= 297
+
+
+def test_pieces_never_tell_near_lines_apart():
+    """What the pieces rule out is not alike, whatever the edits; most of what is far apart is ruled out."""
+    r = random.Random(4)
+    xs, ys = [], []
+    for _ in range(1500):
+        x = r.choices("abcé😀 ", k=r.randrange(1, 90))
+        y = list(x)
+        for _ in range(r.randrange(0, 10)):
+            k = r.randrange(len(y) + 1)
+            y[k:k + r.randrange(2)] = r.choice(["", "z", "q"])
+        xs.append("".join(x))
+        ys.append("".join(y) or "q")
+    ok = line_dedup.may_be_near(xs, ys)
+    assert all(o or not line_dedup.alike(x, y) for o, x, y in zip(ok, xs, ys))
+    far = [" ".join(r.choices(WORDS, k=60)) for _ in range(200)]
+    assert line_dedup.may_be_near(far[:100], far[100:]).sum() <= 5
+    assert line_dedup.may_be_near([], []).sum() == 0 and line_dedup.may_be_near(["ab"], ["c"]).all()
+
+
+def test_pairs_in_passes_give_the_same_links(docs, monkeypatch):
+    r = random.Random(12)
+    base = [" ".join(r.choices(WORDS, k=30)) for _ in range(4)]
+    rows = [(0, "\n".join(base)), (1, "\n".join(b + " x" for b in base)), (2, "\n".join("y " + b for b in base))]
+    passes, real = [], line_dedup.write
+    monkeypatch.setattr(line_dedup, "PAIRS", 1)
+    monkeypatch.setattr(line_dedup, "write", lambda df, *a: (passes.append(a), real(df, *a)))
+    d = docs(rows)
+    lines = line_dedup.line_table(d).selectExpr("lid AS sid", "struct(doc_id, tid, line) AS first")
+    ids = [x.sid for x in lines.collect()]
+    pairs = d.sparkSession.createDataFrame([(a, b) for a in ids for b in ids if a < b], "a long, b long")
+    got = line_dedup.LineVerifier(d, lines).links(pairs).collect()
+    assert len(passes) == 3 and len(got) == len(set(got)) == 12  # three versions of each of four lines
+
+
+def test_a_written_table_leaves_no_shuffle_files(llm):
+    import time
+
+    from parlance.sources.io import materialize
+    disk, key = llm._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+    def files():
+        x = disk.getAllFiles()
+        return {f for i in range(x.size()) if (f := x.apply(i).getName()).startswith("shuffle_")}
+    had, before = files(), llm.conf.get(key)
+    made = materialize(llm.range(5000).repartition(7, "id").groupBy("id").count(), "shuffled")
+    for _ in range(50):
+        if not files() - had:
+            break
+        time.sleep(0.2)
+    assert not files() - had and llm.conf.get(key) == before and made.count() == 5000
