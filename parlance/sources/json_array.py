@@ -25,8 +25,9 @@ import pandas as pd
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
-#: A range is at most this long, and at least that long unless the file ends.
-MOST_BYTES, LEAST_BYTES = 32 << 20, 4 << 10
+#: A range is at most this long, and at least that long unless the file ends. A task holds a range about
+#: seven times over (bytes, text, records), so the bound is also that of its memory.
+MOST_BYTES, LEAST_BYTES = 4 << 20, 4 << 10
 OUT, IN, ESCAPE = 0, 1, 2
 _STRING = re.compile(rb'"(?:[^"\\]|\\.)*"', re.DOTALL)
 _REST = re.compile(rb'(?:[^"\\]|\\.)*"', re.DOTALL)

@@ -58,6 +58,16 @@ def test_one_file_is_read_in_many_tasks(spark, tmp_dir):
         io.scan_json_array(spark, path, "a long, b string").collect()
 
 
+def test_what_a_task_holds_does_not_grow_with_the_file(spark, tmp_dir, monkeypatch):
+    cut = J.ranges([("x", 40 << 30), ("y", 5)], 12, None)
+    assert max(b - a for _, _, a, b in cut) <= 4 << 20 and sum(b - a for _, _, a, b in cut) == (40 << 30) + 5
+    key, path = "spark.sql.execution.arrow.maxRecordsPerBatch", f"{tmp_dir}/sizes"
+    monkeypatch.setattr(io, "_bracket_lines", lambda batches: (pdf.assign(value=str(len(pdf))) for pdf in batches))
+    before = spark.conf.get(key)
+    io.sink_json_arrays(spark.range(3000), path, 2)
+    assert max(int(r.value) for r in spark.read.text(path).collect()) <= 200 and spark.conf.get(key) == before
+
+
 @pytest.mark.parametrize("block", [1, 7, 64])
 def test_prefix_history_from_blocks(spark, block):
     data = [(1, i, "u" if i % 2 else "a", f"t{i}") for i in range(0, 300, 3)] + [(2, 5, "u", None), (None, 1, "u", "n"), (None, 2, "a", "m")]
