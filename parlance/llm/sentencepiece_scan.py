@@ -23,7 +23,9 @@ null; extra columns are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -40,6 +42,11 @@ _LOW = -1e300
 _NORMAL, _UNKNOWN, _USER, _BYTE, _UNIGRAM, _BPE = 1, 2, 4, 6, 1, 2
 #: What the library subtracts from the least score for a character without a piece.
 _UNKNOWN_PENALTY = 10.0
+#: Characters with a column in the table of the trie (the most frequent in pieces), words that are solved at
+#: once in it, and their most characters; other words are solved one by one.
+COLUMNS, TOGETHER, SHORT = 127, 4096, 64
+#: Characters of the texts whose words are learned at a time.
+TEXTS = 1_000_000
 
 
 class Model:
@@ -62,6 +69,7 @@ class Model:
         self.byte = {int(p.piece[3:5], 16): i for i, p in enumerate(m.pieces) if p.type == _BYTE}
         self.bytes_of = [bytes([int(p.piece[3:5], 16)]) if p.type == _BYTE else p.piece.encode() if p.type in (_NORMAL, _USER) else b""
                          for p in m.pieces]
+        self.bytes_in = np.array([len(x) for x in self.bytes_of])
         self.unknown = next((i for i, p in enumerate(m.pieces) if p.type == _UNKNOWN), 0)
         # a node: its children by character, and the piece that ends there
         self.trie: list = [{}, None]
@@ -78,6 +86,29 @@ class Model:
         self.words = not any(x[0] != SPACE and x[1] == SPACE for x in self.inner)
         self.unit_re = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+" if self.words else "(?s).+")
         self.limit, self.new, self.old = limit, {}, {}
+        self._tabulate()
+
+    def _tabulate(self) -> None:
+        """The trie as a table (node and column of the character to the node below; 0: none, 1: the root),
+        and which columns some piece holds side by side."""
+        chars = [c for c, _ in Counter(c for p in self.piece for c in p).most_common(COLUMNS)]
+        self.column = np.zeros(0x110000, np.uint8)
+        self.column[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
+        nodes, below = [self.trie], []
+        for at, node in enumerate(nodes, 1):
+            for c, child in node[0].items():
+                if k := self.column[ord(c)]:
+                    nodes.append(child)
+                    below.append((at, k, len(nodes)))
+        self.below = np.zeros((len(nodes) + 1, len(chars) + 1), np.int32)
+        if below:
+            at, k, child = np.array(below).T
+            self.below[at, k] = child
+        self.at_node = np.array([-1] + [n[1][1] if n[1] else -1 for n in nodes], np.int32)
+        self.node_score = np.array([0.0] + [n[1][0] if n[1] else 0.0 for n in nodes])
+        self.beside = np.zeros((len(chars) + 1, len(chars) + 1), bool)
+        for x in self.inner:
+            self.beside[self.column[ord(x[0])], self.column[ord(x[1])]] = True
 
     def escaped(self, text: str | None) -> str:
         if not text:
@@ -137,46 +168,170 @@ class Model:
             ids += [id_] if id_ >= 0 else self.spell(text, start + i, start + j, id_)
         return score[-1], ids
 
+    def best_many(self, parts: list[str]) -> list[tuple[float, bytes]]:
+        """``best`` of whole parts, ids packed: short parts of characters with a column step through the
+        table together, some of similar length at a time."""
+        out: list = [None] * len(parts)
+        if len(parts) >= 16:
+            size = np.array([len(p) for p in parts])
+            cols = self.column[np.frombuffer("".join(parts).encode("utf-32-le"), np.uint32)]
+            start = np.cumsum(size) - size
+            none = np.r_[0, np.cumsum(cols == 0)]
+            some = np.flatnonzero((size > 0) & (size <= SHORT) & (none[start + size] == none[start]))
+            some = some[np.argsort(-size[some], kind="stable")]
+            for k in range(0, len(some), TOGETHER):
+                at = some[k:k + TOGETHER]
+                for i, got in zip(at.tolist(), self._together(cols, start[at], size[at])):
+                    out[i] = got
+        for i, p in enumerate(parts):
+            if out[i] is None:
+                score, path = self.best(p, 0, len(p))
+                out[i] = score, np.array(path, "<u4").tobytes()
+        return out
+
+    def _together(self, cols: np.ndarray, start: np.ndarray, size: np.ndarray) -> list[tuple[float, bytes] | None]:
+        """Best paths of parts in order of falling size (None: over a character without a piece)."""
+        w, n = len(size), int(size[0])
+        text = np.zeros((n + self.longest, w), np.uint8)
+        for i in range(n):
+            k = int(np.searchsorted(-size, -i))
+            text[i, :k] = cols[start[:k] + i]
+        score, back, piece = np.full((n + 1, w), _LOW), np.zeros((n + 1, w), np.int32), np.full((n + 1, w), -1, np.int32)
+        score[0] = 0.0
+        unknown = np.zeros(w, bool)
+        for i in range(n):
+            k = int(np.searchsorted(-size, -i))
+            s, idx, node = score[i], np.arange(k), np.ones(k, np.int32)
+            single = np.zeros(k, bool)
+            for j in range(i, i + self.longest):
+                node = self.below[node, text[j, idx]]
+                live = np.flatnonzero(node)
+                if len(live) < len(node):
+                    idx, node = idx[live], node[live]
+                    if not len(idx):
+                        break
+                got = self.at_node[node]
+                ends = np.flatnonzero(got >= 0)
+                if not len(ends):
+                    continue
+                to = idx[ends]
+                if j == i:
+                    single[to] = True
+                x = s[to] + self.node_score[node[ends]]
+                more = np.flatnonzero(x > score[j + 1, to])
+                to = to[more]
+                score[j + 1, to], back[j + 1, to], piece[j + 1, to] = x[more], i, got[ends[more]]
+            if not single.all():
+                to = np.flatnonzero(~single)
+                to = to[s[to] + self.penalty > score[i + 1, to]]
+                score[i + 1, to], back[i + 1, to], piece[i + 1, to] = s[to] + self.penalty, i, -1
+        ids, count = np.zeros((w, n), "<u4"), np.zeros(w, np.int64)
+        at, live = size.copy(), np.arange(w)
+        while len(live):
+            p = piece[at[live], live]
+            unknown[live[p < 0]] = True
+            count[live] += 1
+            ids[live, n - count[live]] = p
+            at[live] = back[at[live], live]
+            live = live[at[live] > 0]
+        raw = ids.tobytes()
+        return [None if u else (s, raw[4 * (i * n + n - c):4 * (i + 1) * n]) for i, (s, c, u) in enumerate(
+            zip(score[size, np.arange(w)].tolist(), count.tolist(), unknown.tolist()))]
+
+    def _cuts(self, units: list[str]) -> dict[str, list[str]]:
+        """The parts of units of more than one: no piece holds the two characters at a cut side by side."""
+        size = np.array([len(u) for u in units])
+        cols = self.column[np.frombuffer("".join(units).encode("utf-32-le"), np.uint32)]
+        end = np.cumsum(size)
+        apart = ~self.beside[cols[:-1], cols[1:]] | (cols[:-1] == 0) | (cols[1:] == 0)
+        apart[end[:-1] - 1] = False  # from one unit to the next
+        # a cut beside a character without a column is looked up
+        unsure = np.flatnonzero(apart & ((cols[:-1] == 0) | (cols[1:] == 0)))
+        text = "".join(units)
+        apart[[i for i in unsure.tolist() if text[i:i + 2] in self.inner]] = False
+        apart[end[:-1] - 1] = True
+        cut = np.r_[np.flatnonzero(apart) + 1, len(text)]
+        last = np.searchsorted(cut, end)
+        count, cut, out = np.diff(np.r_[-1, last]), [0, *cut.tolist()], {}
+        for k in np.flatnonzero(count > 1).tolist():
+            at = cut[last[k] + 1 - count[k]:last[k] + 2]
+            out[units[k]] = [text[a:b] for a, b in zip(at, at[1:])]
+        return out
+
+    def _spell_all(self, ids: np.ndarray, count: np.ndarray, parts: list[str]) -> list[bool]:
+        """Whether each part is spelled by its ``count`` of the ids: all at once, or one by one if any is not."""
+        raw = "".join(parts).encode()
+        ends, own = np.r_[0, np.cumsum(self.bytes_in[ids])][np.cumsum(count)], [len(p.encode()) for p in parts]
+        if (ends == np.cumsum(own)).all() and self.spelled(ids.tolist()) == raw:
+            return [True] * len(parts)
+        return [self.spelled(x.tolist()) == p.encode() for x, p in zip(np.split(ids, np.cumsum(count)[:-1]), parts)]
+
     def _learn(self, units: set[str]) -> None:
         """Solve units part by part and remember them: score, packed ids of the best path, ids by
         merges (or the path again), whether both spell the unit."""
         if len(self.new) > self.limit:
             self.new, self.old = {}, self.new
-        new, old, made, todo = self.new, self.old, {}, set()
+        new, old, unmet = self.new, self.old, []
         for u in units:
             if u in new:
                 continue
             if (v := old.get(u)) is not None:
                 new[u] = v
-                continue
-            cut = [0, *(i for i in range(1, len(u)) if u[i - 1:i + 1] not in self.inner), len(u)]
-            made[u] = parts = [u[a:b] for a, b in zip(cut, cut[1:])]
-            todo.update(p for p in parts if p not in new)
-        todo = list(todo)
-        own = self.lib.encode(todo, num_threads=1) if self.bpe and todo else [None] * len(todo)
-        for p, merged in zip(todo, own):
-            score, path = self.best(p, 0, len(p))
-            merged, raw = path if merged is None else merged, p.encode()
-            new[p] = (score, np.array(path, "<u4").tobytes(), np.array(merged, "<u4").tobytes(),
-                      self.spelled(path) == raw and self.spelled(merged) == raw)
+            else:
+                unmet.append(u)
+        if not unmet:
+            return
+        made = self._cuts(unmet)
+        if made:
+            todo = list({u for u in unmet if u not in made}.union(*made.values()).difference(new))
+        else:
+            todo = unmet
+        if todo:
+            solved = self.best_many(todo)
+            paths = [x[1] for x in solved]
+            ids, count = np.frombuffer(b"".join(paths), "<u4"), np.array([len(x) // 4 for x in paths])
+            merged, ok = paths, self._spell_all(ids, count, todo)
+            if self.bpe:
+                own = self.lib.encode(todo, num_threads=1)
+                count = np.array([len(x) for x in own])
+                ids, end = np.array(list(chain.from_iterable(own)), "<u4"), (4 * np.cumsum(count)).tolist()
+                raw = ids.tobytes()
+                merged = [raw[a:b] for a, b in zip([0, *end], end)]
+                ok = [a and b for a, b in zip(ok, self._spell_all(ids, count, todo))]
+            new.update(zip(todo, zip([x[0] for x in solved], paths, merged, ok)))
         for u, parts in made.items():
-            if len(parts) > 1:
-                got = [new[p] for p in parts]
-                new[u] = (sum(g[0] for g in got), b"".join([g[1] for g in got]), b"".join([g[2] for g in got]), all(g[3] for g in got))
+            score, path, own, ok = zip(*[new[p] for p in parts])
+            new[u] = sum(score), b"".join(path), b"".join(own), all(ok)
+
+    def solve_many(self, texts: list[str]) -> Iterator[tuple[bytes, bytes, bool]]:
+        """``solve`` of many escaped texts without their scores; new words are learned together."""
+        held, size = [], 0
+        for k, t in enumerate(texts):
+            held.append(self.unit_re.findall(t))
+            size += len(t)
+            if size > TEXTS or k == len(texts) - 1:
+                if missing := set().union(*held).difference(self.new):
+                    self._learn(missing)
+                    if missing := set().union(*held).difference(self.new):  # a generation ended meanwhile
+                        self._learn(missing)
+                get = self.new.__getitem__
+                for units in held:
+                    _, path, own, ok = zip(*map(get, units)) if units else ((),) * 4
+                    yield b"".join(path), b"".join(own), all(ok)
+                held, size = [], 0
 
     def solve(self, text: str) -> tuple[float, bytes, bytes, bool]:
         """Of an escaped text: score and packed ids of its best path, its ids by merges, and
         whether both spell it."""
         units = self.unit_re.findall(text)
-        try:
-            parts = [self.new[u] for u in units]
-        except KeyError:
-            self._learn({u for u in units if u not in self.new})
-            if not all(u in self.new for u in units):  # a generation ended meanwhile
-                self._learn(set(units))
-            parts = [self.new[u] for u in units]
-        return (sum([p[0] for p in parts]), b"".join([p[1] for p in parts]), b"".join([p[2] for p in parts]),
-                all([p[3] for p in parts]))
+        if not units:
+            return 0, b"", b"", True
+        if missing := set(units).difference(self.new):
+            self._learn(missing)
+            if missing := set(units).difference(self.new):  # a generation ended meanwhile
+                self._learn(missing)
+        score, path, own, ok = zip(*map(self.new.__getitem__, units))
+        return sum(score), b"".join(path), b"".join(own), all(ok)
 
     def spelled(self, ids) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -187,8 +342,10 @@ class Model:
         """First and last word start in the chunk after its first ``longest`` characters."""
         if not self.words:
             return -1, -1
-        a = next((m.start() + 1 for m in re.finditer(f"[^{SPACE}]{SPACE}", text[:size]) if m.start() + 1 >= self.longest), -1)
-        b = max((m.start() + 1 for m in re.finditer(f"[^{SPACE}]{SPACE}", text[:size])), default=-1)
+        m = re.compile(f"[^{SPACE}]{SPACE}").search(text, self.longest - 1, size)
+        a, b = m.start() + 1 if m else -1, text.rfind(SPACE, 0, size)
+        while b > 0 and text[b - 1] == SPACE:
+            b -= 1
         return (a, b) if 0 <= a <= b else (-1, -1)
 
     def _rows(self, text: str, size: int, start: int) -> np.ndarray:
@@ -207,27 +364,34 @@ class Model:
         out[out < _LOW / 2] = _LOW
         return out
 
-    def matrix(self, text: str, size: int) -> np.ndarray:
+    def solved(self, text: str, size: int) -> tuple[np.ndarray, str, bytes | None, str, int]:
         """Transfer matrix: entry state (characters taken) to exit state (characters taken from
-        the next chunk)."""
+        the next chunk); and what a backtrace needs: the text before the first inner word, the ids from
+        there to the last word (None: no such place, the text is whole), the text from there on and
+        how many of its characters are the chunk's."""
         a, b = self._inner(text, size)
         if a < 0:
-            return self._rows(text, size, 0)
+            return self._rows(text, size, 0), "", None, text, size
         into = np.array([self.best(text, e, a)[0] for e in range(self.longest)])
-        between = self.solve(text[a:b])[0]
+        between, ids, _, _ = self.solve(text[a:b])
         out = self._rows(text[b:], size - b, 0)[0]
         m = into[:, None] + between + out[None, :]
         m[m < _LOW / 2] = _LOW
-        return m
+        return m, text[:a], ids, text[b:], size - b
+
+    def matrix(self, text: str, size: int) -> np.ndarray:
+        return self.solved(text, size)[0]
 
     def backtrace(self, text: str, size: int, entry: int, exit_: int) -> bytes:
         """Ids of the chunk's best path between its two states."""
-        a, b = self._inner(text, size)
-        if a < 0:
-            return np.array(self._between(text, entry, size, exit_), "<u4").tobytes()
-        head = np.array(self.best(text, entry, a)[1], "<u4").tobytes()
-        tail = np.array(self._between(text[b:], 0, size - b, exit_), "<u4").tobytes()
-        return head + self.solve(text[a:b])[1] + tail
+        return self.trace(*self.solved(text, size)[1:], entry, exit_)
+
+    def trace(self, head: str, ids: bytes | None, tail: str, left: int, entry: int, exit_: int) -> bytes:
+        """The same from what ``solved`` gives."""
+        if ids is None:
+            return np.array(self._between(tail, entry, left, exit_), "<u4").tobytes()
+        first = np.array(self.best(head, entry, len(head))[1], "<u4").tobytes()
+        return first + bytes(ids) + np.array(self._between(tail, 0, left, exit_), "<u4").tobytes()
 
     def _between(self, text: str, entry: int, size: int, exit_: int) -> list[int]:
         if entry >= size + exit_:
@@ -296,9 +460,12 @@ def scan(texts: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
     def matrices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = model(path)
         for pdf in batches:
-            yield pdf[["tid", "i"]].assign(m=[m.matrix(t, s).ravel() for t, s in zip(pdf["part"], pdf["size"])])
-    per = parts.mapInPandas(matrices, "tid long, i long, m array<double>")
-    per = per.groupBy("tid").agg(F.sort_array(F.collect_list(F.struct("i", "m"))).alias("l"))
+            got = [m.solved(t, s) for t, s in zip(pdf["part"], pdf["size"])]
+            yield pdf[["tid", "i"]].assign(m=[x[0].ravel() for x in got], **{c: pd.Series([x[k] for x in got], index=pdf.index, dtype=object)
+                                           for k, c in enumerate(("head", "mid", "tail", "left"), 1)})
+    solved = materialize(parts.mapInPandas(matrices, "tid long, i long, m array<double>, head string, mid binary, tail string, left int"),
+                         "scan-solved")
+    per = solved.groupBy("tid").agg(F.sort_array(F.collect_list(F.struct("i", "m"))).alias("l"))
 
     def states(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -311,9 +478,9 @@ def scan(texts: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
     def trace(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = model(path)
         for pdf in batches:
-            yield pdf[["tid", "i"]].assign(ids=[m.backtrace(t, s, a, b) for t, s, a, b in zip(
-                pdf["part"], pdf["size"], pdf["entry"], pdf["exit"])])
-    ids = parts.join(edges, ["tid", "i"]).select("tid", "i", "size", "part", "entry", "exit").mapInPandas(
+            yield pdf[["tid", "i"]].assign(ids=[m.trace(*x) for x in zip(
+                *[pdf[c].tolist() for c in ("head", "mid", "tail", "left", "entry", "exit")])])
+    ids = solved.join(edges, ["tid", "i"]).select("tid", "i", "head", "mid", "tail", "left", "entry", "exit").mapInPandas(
         trace, "tid long, i long, ids binary")
     whole = F.transform(F.sort_array(F.collect_list(F.struct("i", "ids"))), lambda x: x["ids"])
     return ids.groupBy("tid").agg(F.aggregate(whole, F.lit(b""), lambda a, x: F.concat(a, x)).alias("path"))
@@ -327,10 +494,8 @@ def encode(docs: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
     def direct(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = model(path)
         for pdf in batches:
-            own, best, same = [], [], []
-            for text, got in zip(pdf["text"].tolist(), pdf["path"].tolist()):
-                t = m.escaped(text)
-                _, p, o, spells = m.solve(t)
+            own, best, same, texts = [], [], [], pdf["text"].tolist()
+            for text, got, (p, o, spells) in zip(texts, pdf["path"].tolist(), m.solve_many(list(map(m.escaped, texts)))):
                 if got is not None:
                     p = bytes(got)
                     spells = spells and m.decode(np.frombuffer(p, "<u4").tolist()) == text

@@ -378,3 +378,31 @@ def test_pipeline_of_an_empty_table(docs, llm, tmp_dir):
     docs([]).write.parquet(tmp_dir + "/documents.parquet")
     llm.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(tmp_dir + "/labels.parquet")
     assert cp.run(llm, tmp_dir).count() == 0
+
+
+def test_words_solved_together_are_those_solved_alone(models, monkeypatch):
+    rng = np.random.default_rng(4)
+    texts = ["", " ", "\n.a", *("".join(rng.choice(list("aeinost. \n\u00e9\u65e5\u0378\u2581Z9"), rng.integers(0, 90))) for _ in range(300))]
+    for path in models:
+        m, calls = sentencepiece_scan.Model(path), []
+        real = m.best
+        monkeypatch.setattr(m, "best", lambda *a: (calls.append(a), real(*a))[1])
+        got = list(m.solve_many([m.escaped(t) for t in texts]))
+        assert len(got) == len(texts) and len(calls) < len(m.new) // 2
+        for p, (score, ids, _, _) in m.new.items():
+            if all(p[i:i + 2] in m.inner for i in range(len(p) - 1)):
+                want = real(p, 0, len(p))
+                assert (score, np.frombuffer(ids, "<u4").tolist()) == want
+        one = sentencepiece_scan.Model(path)
+        assert got == [one.solve(one.escaped(t))[1:] for t in texts]
+
+
+def test_a_giant_text_is_solved_once_for_its_scan(models):
+    m = sentencepiece_scan.Model(models[0])
+    text = m.escaped("some words of a giant text, one after another. " * 20)
+    size = len(text) - m.longest
+    matrix, head, ids, tail, left = m.solved(text, size)
+    assert ids and text.startswith(head) and text.endswith(tail) and (matrix == m.matrix(text, size)).all()
+    m.solve = None  # a trace solves nothing between the edges again
+    for entry in range(3):
+        assert m.trace(head, ids, tail, left, entry, 0)
