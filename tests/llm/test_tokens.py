@@ -406,3 +406,11 @@ def test_a_giant_text_is_solved_once_for_its_scan(models):
     m.solve = None  # a trace solves nothing between the edges again
     for entry in range(3):
         assert m.trace(head, ids, tail, left, entry, 0)
+
+
+def test_a_word_is_remembered_once_whatever_symbols_follow():
+    e = ChunkEncoder("byte_bpe_50k.json", False)
+    texts = [f"a word{x} and{x}" for x in ("", ".", ",", "!?", "...", ")", ";")] + ["don't", "x.y. z", "caf\u00e9, a1. _b_ \x0b.", "a.\u00a0b", "A--B-- "]
+    want = [np.array(e.tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert e.batch(texts) == want
+    assert sum(c.startswith(b" word") for c in e.new) == 1 and sum(c.startswith(b" and") for c in e.new) == 1
