@@ -8,8 +8,8 @@ semiring, the best states at all edges follow, and every chunk is backtraced by
 its two states. Scores are added in double precision; of equal scores the path whose last piece
 is longer wins, as in the library.
 
-Where no piece holds white space after another character, no path crosses the start of a word,
-so within a chunk words are solved alone and remembered.
+No path crosses a place between two characters that no piece holds side by side, so within a chunk
+the parts between such places are solved alone and remembered.
 
 A BPE model (merges ranked by score) is not a sum of scores: its ids are not a best path, and the
 scan cannot give them. For such a model ``ids`` are made by its merges, word by word, by the
@@ -25,7 +25,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -84,7 +84,6 @@ class Model:
         self.penalty = min((s for s, _ in self.piece.values()), default=0.0) - _UNKNOWN_PENALTY
         # a word's start (a space after another character) is never inside a piece
         self.words = not any(x[0] != SPACE and x[1] == SPACE for x in self.inner)
-        self.unit_re = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+" if self.words else "(?s).+")
         self.limit, self.new, self.old = limit, {}, {}
         self._tabulate()
 
@@ -238,25 +237,23 @@ class Model:
         return [None if u else (s, raw[4 * (i * n + n - c):4 * (i + 1) * n]) for i, (s, c, u) in enumerate(
             zip(score[size, np.arange(w)].tolist(), count.tolist(), unknown.tolist()))]
 
-    def _cuts(self, units: list[str]) -> dict[str, list[str]]:
-        """The parts of units of more than one: no piece holds the two characters at a cut side by side."""
-        size = np.array([len(u) for u in units])
-        cols = self.column[np.frombuffer("".join(units).encode("utf-32-le"), np.uint32)]
-        end = np.cumsum(size)
-        apart = ~self.beside[cols[:-1], cols[1:]] | (cols[:-1] == 0) | (cols[1:] == 0)
-        apart[end[:-1] - 1] = False  # from one unit to the next
-        # a cut beside a character without a column is looked up
-        unsure = np.flatnonzero(apart & ((cols[:-1] == 0) | (cols[1:] == 0)))
-        text = "".join(units)
-        apart[[i for i in unsure.tolist() if text[i:i + 2] in self.inner]] = False
-        apart[end[:-1] - 1] = True
-        cut = np.r_[np.flatnonzero(apart) + 1, len(text)]
-        last = np.searchsorted(cut, end)
-        count, cut, out = np.diff(np.r_[-1, last]), [0, *cut.tolist()], {}
-        for k in np.flatnonzero(count > 1).tolist():
-            at = cut[last[k] + 1 - count[k]:last[k] + 2]
-            out[units[k]] = [text[a:b] for a, b in zip(at, at[1:])]
-        return out
+    def _parts(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
+        """The parts of all texts in order, and how many each has: no piece holds the two characters at a
+        cut side by side."""
+        text, size = "".join(texts), np.array([len(t) for t in texts], np.int64)
+        if not text:
+            return [], np.zeros(len(texts), np.int64)
+        code, end = np.frombuffer(text.encode("utf-32-le"), np.uint32), np.cumsum(size)
+        cols = self.column[code]
+        apart = np.r_[~self.beside[cols[:-1], cols[1:]], True]
+        # a pair with a character without a column is looked up
+        unsure = np.flatnonzero((cols[:-1] == 0) | (cols[1:] == 0))
+        pairs, which = np.unique(code[unsure].astype(np.int64) << 32 | code[unsure + 1], return_inverse=True)
+        apart[unsure] = np.array([chr(x >> 32) + chr(x & 0xFFFFFFFF) not in self.inner for x in pairs.tolist()], bool)[which]
+        apart[end[size > 0] - 1] = True  # from one text to the next
+        cut = np.flatnonzero(apart) + 1
+        at = cut.tolist()
+        return [text[i:j] for i, j in zip([0, *at], at)], np.diff(np.r_[0, np.searchsorted(cut, end, side="right")])
 
     def _spell_all(self, ids: np.ndarray, count: np.ndarray, parts: list[str]) -> list[bool]:
         """Whether each part is spelled by its ``count`` of the ids: all at once, or one by one if any is not."""
@@ -266,71 +263,60 @@ class Model:
             return [True] * len(parts)
         return [self.spelled(x.tolist()) == p.encode() for x, p in zip(np.split(ids, np.cumsum(count)[:-1]), parts)]
 
-    def _learn(self, units: set[str]) -> None:
-        """Solve units part by part and remember them: score, packed ids of the best path, ids by
-        merges (or the path again), whether both spell the unit."""
-        if len(self.new) > self.limit:
-            self.new, self.old = {}, self.new
-        new, old, unmet = self.new, self.old, []
-        for u in units:
-            if u in new:
-                continue
+    def _learn(self, parts: set[str]) -> None:
+        """Solve new parts and remember them: score, packed ids of the best path, ids by merges (or the
+        path again), whether both spell the part."""
+        new, old, todo = self.new, self.old, []
+        for u in parts:
             if (v := old.get(u)) is not None:
                 new[u] = v
             else:
-                unmet.append(u)
-        if not unmet:
+                todo.append(u)
+        if not todo:
             return
-        made = self._cuts(unmet)
-        if made:
-            todo = list({u for u in unmet if u not in made}.union(*made.values()).difference(new))
-        else:
-            todo = unmet
-        if todo:
-            solved = self.best_many(todo)
-            paths = [x[1] for x in solved]
-            ids, count = np.frombuffer(b"".join(paths), "<u4"), np.array([len(x) // 4 for x in paths])
-            merged, ok = paths, self._spell_all(ids, count, todo)
-            if self.bpe:
-                own = self.lib.encode(todo, num_threads=1)
-                count = np.array([len(x) for x in own])
-                ids, end = np.array(list(chain.from_iterable(own)), "<u4"), (4 * np.cumsum(count)).tolist()
-                raw = ids.tobytes()
-                merged = [raw[a:b] for a, b in zip([0, *end], end)]
-                ok = [a and b for a, b in zip(ok, self._spell_all(ids, count, todo))]
-            new.update(zip(todo, zip([x[0] for x in solved], paths, merged, ok)))
-        for u, parts in made.items():
-            score, path, own, ok = zip(*[new[p] for p in parts])
-            new[u] = sum(score), b"".join(path), b"".join(own), all(ok)
+        solved = self.best_many(todo)
+        paths = [x[1] for x in solved]
+        ids, count = np.frombuffer(b"".join(paths), "<u4"), np.array([len(x) // 4 for x in paths])
+        merged, ok = paths, self._spell_all(ids, count, todo)
+        if self.bpe:
+            own = self.lib.encode(todo, num_threads=1)
+            count = np.array([len(x) for x in own])
+            ids, end = np.array(list(chain.from_iterable(own)), "<u4"), (4 * np.cumsum(count)).tolist()
+            raw = ids.tobytes()
+            merged = [raw[a:b] for a, b in zip([0, *end], end)]
+            ok = [a and b for a, b in zip(ok, self._spell_all(ids, count, todo))]
+        new.update(zip(todo, zip([x[0] for x in solved], paths, merged, ok)))
+
+    def _found(self, texts: list[str]) -> Iterator[list[tuple[float, bytes, bytes, bool]]]:
+        """What is remembered of the parts of each text; new parts are learned together."""
+        parts, count = self._parts(texts)
+        if not (some := set(parts)) <= self.new.keys():
+            if len(self.new) > self.limit:
+                self.new, self.old = {}, self.new
+            self._learn(some.difference(self.new))
+        get, parts = self.new.__getitem__, iter(parts)
+        for n in count.tolist():
+            yield list(map(get, islice(parts, n)))
 
     def solve_many(self, texts: list[str]) -> Iterator[tuple[bytes, bytes, bool]]:
-        """``solve`` of many escaped texts without their scores; new words are learned together."""
+        """``solve`` of many escaped texts without their scores."""
         held, size = [], 0
         for k, t in enumerate(texts):
-            held.append(self.unit_re.findall(t))
+            held.append(t)
             size += len(t)
             if size > TEXTS or k == len(texts) - 1:
-                if missing := set().union(*held).difference(self.new):
-                    self._learn(missing)
-                    if missing := set().union(*held).difference(self.new):  # a generation ended meanwhile
-                        self._learn(missing)
-                get = self.new.__getitem__
-                for units in held:
-                    _, path, own, ok = zip(*map(get, units)) if units else ((),) * 4
+                for found in self._found(held):
+                    _, path, own, ok = zip(*found) if found else ((),) * 4
                     yield b"".join(path), b"".join(own), all(ok)
                 held, size = [], 0
 
     def solve(self, text: str) -> tuple[float, bytes, bytes, bool]:
         """Of an escaped text: score and packed ids of its best path, its ids by merges, and
         whether both spell it."""
-        units = self.unit_re.findall(text)
-        if not units:
+        found = next(self._found([text]))
+        if not found:
             return 0, b"", b"", True
-        if missing := set(units).difference(self.new):
-            self._learn(missing)
-            if missing := set(units).difference(self.new):  # a generation ended meanwhile
-                self._learn(missing)
-        score, path, own, ok = zip(*map(self.new.__getitem__, units))
+        score, path, own, ok = zip(*found)
         return sum(score), b"".join(path), b"".join(own), all(ok)
 
     def spelled(self, ids) -> bytes:

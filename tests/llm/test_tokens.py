@@ -397,6 +397,21 @@ def test_words_solved_together_are_those_solved_alone(models, monkeypatch):
         assert got == [one.solve(one.escaped(t))[1:] for t in texts]
 
 
+def test_words_of_known_parts_are_not_learned_again(models):
+    """Only the parts between places that no piece crosses are remembered, in any number of generations."""
+    rng = np.random.default_rng(6)
+    texts = ["", *(" ".join("".join(rng.choice(["the", "\u00e9\u0378", "Zq9", ".", "\u65e5"], 6)) for _ in range(40)) for _ in range(30))]
+    for path in models:
+        m, few = sentencepiece_scan.Model(path), sentencepiece_scan.Model(path, limit=3)
+        want = [m.solve(m.escaped(t)) for t in texts]
+        assert [x[1:] for x in want] == list(m.solve_many([m.escaped(t) for t in texts])) and all(x[3] for x in want)
+        assert m.new and all(p[i:i + 2] in m.inner for p in m.new for i in range(len(p) - 1))
+        assert [few.solve(few.escaped(t)) for t in texts] == want
+        for t, (score, ids, _, _) in zip(texts, want):
+            best, path_ = m.best(m.escaped(t), 0, len(m.escaped(t)))
+            assert score == pytest.approx(best) and np.frombuffer(ids, "<u4").tolist() == path_
+
+
 def test_a_giant_text_is_solved_once_for_its_scan(models):
     m = sentencepiece_scan.Model(models[0])
     text = m.escaped("some words of a giant text, one after another. " * 20)
