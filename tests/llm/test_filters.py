@@ -326,6 +326,47 @@ def test_pieces_never_tell_near_lines_apart():
     assert line_dedup.may_be_near([], []).sum() == 0 and line_dedup.may_be_near(["ab"], ["c"]).all()
 
 
+def test_sketches_never_tell_near_lines_apart():
+    """Lines with as many edits as may be stay a pair, lines of the same words in another order do not; lines
+    without a sketch stay one."""
+    r = random.Random(6)
+    xs, ys = [], []
+    for n in (9, 10, 15, 30, 75, 150, 400, 900):
+        for kind in range(60):
+            x = "ab " * (n // 3) + "c" * (n % 3) if kind < 10 else " ".join(r.choices(WORDS, k=n))[:n]
+            y = list(x)
+            for k in range(n // 10):  # evenly, or anywhere
+                k = 10 * k + 5 if kind % 2 else r.randrange(len(y))
+                y[k:k + 1] = r.choice(["", "z", "é", "qq"]) if kind % 3 else "z"
+            xs.append(x)
+            ys.append("".join(y))
+    near = np.array([line_dedup.alike(x, y) for x, y in zip(xs, ys)])
+
+    def may(xs, ys):
+        rows = [line_dedup.sketch_rows(line_dedup.sketches(x)) for x in (xs, ys)]
+        return line_dedup.may_share(*rows, *[np.array([len(t) for t in x]) for x in (xs, ys)])
+    assert near.sum() > 250 and may(xs, ys)[near].all()
+    some = [[r.choice(WORDS) + r.choice(WORDS) for _ in range(100)] for _ in range(200)]
+    assert may([" ".join(x) for x in some], [" ".join(r.sample(x, 100)) for x in some]).sum() <= 4
+    assert may(["", "ab", "x" * 300_000], ["a", "cd", "y" * 300_000]).all() and line_dedup.sketches([]) == []
+
+
+def test_lines_of_the_same_words_are_not_read_as_pairs(docs, monkeypatch):
+    """Lines with like SimHashes that are not alike; their texts are not fetched pair by pair."""
+    r = random.Random(8)
+    words = [r.choice(WORDS) + r.choice(WORDS) for _ in range(80)]
+    lines = [" ".join(r.sample(words, 80)) for _ in range(40)]
+    lines.append(lines[3].replace(words[0], words[0] + "x"))
+    read, real = [], line_dedup.LineVerifier.links
+
+    def links(self, pairs):
+        read.append(pairs.count())
+        return real(self, pairs)
+    monkeypatch.setattr(line_dedup.LineVerifier, "links", links)
+    got = line_dedup.report(docs([(i, t) for i, t in enumerate(lines)])).where("n_removed = 1").collect()
+    assert [x.doc_id for x in got] == [40] and sum(read) <= 30  # 780 pairs
+
+
 def test_pairs_in_passes_give_the_same_links(docs, monkeypatch):
     r = random.Random(12)
     base = [" ".join(r.choices(WORDS, k=30)) for _ in range(4)]
