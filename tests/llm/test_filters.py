@@ -346,7 +346,7 @@ def test_sketches_never_tell_near_lines_apart():
         rows = [line_dedup.sketch_rows(line_dedup.sketches(x)) for x in (xs, ys)]
         return line_dedup.may_share(*rows, *[np.array([len(t) for t in x]) for x in (xs, ys)])
     assert near.sum() > 250 and may(xs, ys)[near].all()
-    some = [[r.choice(WORDS) + r.choice(WORDS) for _ in range(100)] for _ in range(200)]
+    some = [["".join(r.choices("abcdefghijklmnop", k=3)) for _ in range(100)] for _ in range(200)]
     assert may([" ".join(x) for x in some], [" ".join(r.sample(x, 100)) for x in some]).sum() <= 4
     assert may(["", "ab", "x" * 300_000], ["a", "cd", "y" * 300_000]).all() and line_dedup.sketches([]) == []
 
@@ -354,7 +354,7 @@ def test_sketches_never_tell_near_lines_apart():
 def test_lines_of_the_same_words_are_not_read_as_pairs(docs, monkeypatch):
     """Lines with like SimHashes that are not alike; their texts are not fetched pair by pair."""
     r = random.Random(8)
-    words = [r.choice(WORDS) + r.choice(WORDS) for _ in range(80)]
+    words = ["".join(r.choices("abcdefghijklmnop", k=3)) for _ in range(80)]
     lines = [" ".join(r.sample(words, 80)) for _ in range(40)]
     lines.append(lines[3].replace(words[0], words[0] + "x"))
     read, real = [], line_dedup.LineVerifier.links
@@ -382,6 +382,23 @@ def test_pairs_in_passes_give_the_same_links(docs, monkeypatch):
     assert len(passes) == 3 and len(got) == len(set(got)) == 12  # three versions of each of four lines
 
 
+def test_tables_of_a_stage_go_when_its_result_is_written(docs, llm):
+    """What line dedup and the n-gram join leave under the checkpoint folder is their result, not every table on the way."""
+    import os
+
+    from parlance.session import checkpoint_dir
+
+    def left():
+        return {f for f in os.listdir(checkpoint_dir(llm).removeprefix("file:")) if not f.startswith("passing-") or os.listdir(
+            os.path.join(checkpoint_dir(llm).removeprefix("file:"), f))}
+    d = docs([(i, f"{t}\none line more that is the same") for i, t in texts(9, 30)]).cache()
+    for stage in (line_dedup.dedup_lines, lambda d: ngram_join.keep_one(d, 5, 80)):
+        had = left()
+        got = stage(d)
+        first, again = sorted(got.collect()), sorted(got.collect())
+        assert first == again and len(left() - had) == 1
+
+
 def test_a_written_table_leaves_no_shuffle_files(llm):
     import time
 
