@@ -367,6 +367,44 @@ def test_lines_of_the_same_words_are_not_read_as_pairs(docs, monkeypatch):
     assert [x.doc_id for x in got] == [40] and sum(read) <= 30  # 780 pairs
 
 
+def test_lines_of_one_language_seldom_meet(docs, monkeypatch):
+    """Lines of the same words, whose SimHashes share blocks, have few index rows; near ones of any length meet."""
+    monkeypatch.setattr(line_dedup, "DEPTHS", (0, 0, 0, 30_000_000), raising=False)
+    r = random.Random(21)
+    words = ["".join(r.choices("abcdefghijklmnop", k=3)) for _ in range(80)]
+    lines = [" ".join(r.sample(words, 80)) for _ in range(300)]
+    pairs = [(x, x.replace(x[4:7], "zzz", 1)) for x in lines[:20]] + [
+        (x := "".join(r.choices("abcdefgh ", k=n)).strip().ljust(n, "x"), x[:-1] + "z") for n in (30, 60, 64, 68, 70, 74, 90)]
+    d = docs([(0, "\n".join(lines)), (1, "\n".join(y for _, y in pairs)), (2, "\n".join(x for x, _ in pairs[20:]))])
+    found, shared = line_dedup.block_neighbours(line_dedup.line_table(d).withColumnRenamed("lid", "sid"))
+    assert shared.count() <= 3000  # each line with 40 of 299 others under some SimHash block before
+    sid = {t: line_dedup._long(line_dedup.xxhash.xxh3_64_intdigest(t.encode())) for p in pairs for t in map(line_dedup.normal, p)}
+    keys = collections.defaultdict(set)
+    for x in shared.collect():
+        keys[x.sid].add(x.key)
+    assert all(keys[sid[line_dedup.normal(x)]] & keys[sid[line_dedup.normal(y)]] for x, y in pairs)
+
+
+def test_short_lines_are_hashed_in_small_batches():
+    lines = [f"line {i:05d}" for i in range(20_000)]
+    some = list(line_dedup._batches(lines, 10, 70))
+    assert [i for x in some for i in x] == list(range(20_000)) and max(map(len, some)) <= 2000
+    sketches, keys = line_dedup.sketches_and_keys(lines[:50] + ["x" * 67, "short", "y" * 200_001], 24, 4)
+    assert [len(k) for k in keys] == [96] * 50 + [192, 0, 96] and sketches[-1] == sketches[-2] == b"" and keys[0] != keys[1]
+
+
+def test_a_walk_along_lines_never_needs_fewer_edits_than_there_are():
+    r = random.Random(13)
+    for _ in range(3000):
+        a = "".join(r.choices("abc ", k=r.randrange(60)))
+        b = list(a)
+        for _ in range(r.randrange(8)):
+            k = r.randrange(len(b) + 1)
+            b[k:k + r.randrange(3)] = r.choice(["", "z", "ab"])
+        most = r.randrange(10)
+        assert not line_dedup.few_edits(a, "".join(b), most) or line_dedup.within(a, "".join(b), most)
+
+
 def test_pairs_in_passes_give_the_same_links(docs, monkeypatch):
     r = random.Random(12)
     base = [" ".join(r.choices(WORDS, k=30)) for _ in range(4)]
